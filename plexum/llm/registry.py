@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plexum.llm import bpe, chat, decontaminate, toxicity, url_filter
+from plexum.llm import bpe, chat, decontaminate, html_extract, quality, toxicity, url_filter, webp
 from plexum.llm.common import read
 
 #: Both turns of the conversation that op1 adds.
@@ -76,6 +76,12 @@ def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", F.size("token_ids").cast("long").alias("n_tokens"), F.sha2(F.array_join(F.col("token_ids").cast("array<string>"), ","), 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    model = quality.fit(docs, read(spark, sf_dir, "labels"))
+    return quality.score(docs, model).select("doc_id", quality.held_out().alias("held_out"), F.col("score"), F.col("predicted"))
+
+
 #: Entries of op7 beside those of the pages' own hosts: list, kind, key, event, day.
 LISTED = (
     ("spam", "domain", "cheap-pills.example.com", "add", "2024-02-01"),
@@ -128,6 +134,19 @@ from p left join g on p.url = g.url and p.day = g.day
 """
 
 
+def op8_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = read(spark, sf_dir, "pages").select("page_id", "url", "html")
+    return html_extract.extract(pages).select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
+
+
+def op9_webp(spark: SparkSession, sf_dir: str) -> DataFrame:
+    stored = webp.to_media(read(spark, sf_dir, "documents").select("doc_id", "text")).drop("text")
+    return webp.from_media(stored).select(
+        "doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32",
+        F.length("media").cast("long").alias("media_bytes"), F.sha2("media", 256).alias("media_sha256"), "feature",
+    )
+
+
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
     model = toxicity.fit(docs, read(spark, sf_dir, "labels"))
@@ -139,7 +158,10 @@ def queries():
         "op1_chat_format": op1_chat_format,
         "op2_decontaminate": op2_decontaminate,
         "op3_bpe": op3_bpe,
+        "op4_quality": op4_quality,
         "op7_url_filter": op7_url_filter,
+        "op8_html_extract": op8_html_extract,
+        "op9_webp": op9_webp,
         "op10_toxicity": op10_toxicity,
     }
 
