@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plexum.llm import bpe, chat, decontaminate, html_extract, quality, toxicity, url_filter, webp
+from plexum.llm import bpe, chat, decontaminate, html_extract, ngram_join, quality, toxicity, url_filter, webp
 from plexum.llm.common import read
 
 #: Both turns of the conversation that op1 adds.
@@ -82,6 +82,10 @@ def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score(docs, model).select("doc_id", quality.held_out().alias("held_out"), F.col("score"), F.col("predicted"))
 
 
+def op5_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.join(read(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 #: Entries of op7 beside those of the pages' own hosts: list, kind, key, event, day.
 LISTED = (
     ("spam", "domain", "cheap-pills.example.com", "add", "2024-02-01"),
@@ -159,6 +163,7 @@ def queries():
         "op2_decontaminate": op2_decontaminate,
         "op3_bpe": op3_bpe,
         "op4_quality": op4_quality,
+        "op5_ngram_join": op5_ngram_join,
         "op7_url_filter": op7_url_filter,
         "op8_html_extract": op8_html_extract,
         "op9_webp": op9_webp,
