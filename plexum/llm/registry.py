@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plexum.llm import bpe, chat, decontaminate, html_extract, ngram_join, quality, toxicity, url_filter, webp
+from plexum.llm import bpe, chat, decontaminate, html_extract, ngram_join, quality, suffix_dedup, toxicity, url_filter, webp
 from plexum.llm.common import read
 
 #: Both turns of the conversation that op1 adds.
@@ -86,6 +86,11 @@ def op5_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.join(read(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = suffix_dedup.dedup(read(spark, sf_dir, "documents").select("doc_id", "text"))
+    return out.select("doc_id", "n_bytes", "n_removed", F.size("removed").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
 #: Entries of op7 beside those of the pages' own hosts: list, kind, key, event, day.
 LISTED = (
     ("spam", "domain", "cheap-pills.example.com", "add", "2024-02-01"),
@@ -164,6 +169,7 @@ def queries():
         "op3_bpe": op3_bpe,
         "op4_quality": op4_quality,
         "op5_ngram_join": op5_ngram_join,
+        "op6_suffix_dedup": op6_suffix_dedup,
         "op7_url_filter": op7_url_filter,
         "op8_html_extract": op8_html_extract,
         "op9_webp": op9_webp,
