@@ -31,6 +31,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -257,6 +258,17 @@ def forest(nodes: np.ndarray, token_sets: list[np.ndarray], side: np.ndarray | N
     return out
 
 
+def compressed(docs: DataFrame, text: str) -> DataFrame:
+    """docs with the text as compressed UTF-8, which takes a third of the space in a shuffle."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        press = zstandard.ZstdCompressor(level=3)
+        for batch in slices(batches, text, 4 << 20):
+            yield with_columns(batch, {text: pa.array([press.compress((x or "").encode("utf-8", "surrogatepass")) for x in batch.column(text).to_pylist()], pa.binary())})
+
+    return docs.mapInArrow(run, schema_with(docs, f"`{text}` binary"))
+
+
 def join(docs: DataFrame, id: str = "doc_id", text: str = "text", percent: int = PERCENT, max_tokens: int = MAX_TOKENS) -> DataFrame:
     """docs without the text, with n_shingles and component_id: the least id that links lead to, its own included."""
     spark = docs.sparkSession
@@ -268,12 +280,12 @@ def join(docs: DataFrame, id: str = "doc_id", text: str = "text", percent: int =
     chosen = clusters.join(by_node, "node").where("_id is not null")
     size = chosen.groupBy("component").agg(F.sum("n").alias("tokens")).withColumn("blocks", F.ceil(F.col("tokens") / max_tokens).cast("int"))
     placed = chosen.join(size, "component").select(F.col("node"), F.col("component"), "blocks", F.pmod(F.xxhash64("node"), "blocks").cast("int").alias("block"), F.col("_id").alias("_rep"))
-    held = placed.join(base, F.col("_rep") == F.col("_id")).select("node", "component", "blocks", "block", F.col("_text").alias("text")).dropDuplicates(["node"])
+    held = placed.join(compressed(base, "_text"), F.col("_rep") == F.col("_id")).select("node", "component", "blocks", "block", "_text").dropDuplicates(["node"])
 
     def to_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "text", 4 << 20):
-            tokens = [shingles(x).tobytes() for x in batch.column("text").to_pylist()]
-            yield with_columns(batch.drop_columns(["text"]), {"tokens": pa.array(tokens, pa.binary())})
+        for batch in slices(batches, "_text", 2 << 20):
+            tokens = [shingles(zstandard.decompress(x).decode("utf-8", "surrogatepass")).tobytes() for x in batch.column("_text").to_pylist()]
+            yield with_columns(batch.drop_columns(["_text"]), {"tokens": pa.array(tokens, pa.binary())})
 
     # A pair of blocks (i, j), i <= j, gets both blocks; a cluster of one block the pair (0, 0).
     pairs = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda o: F.struct(F.least("block", o).alias("i"), F.greatest("block", o).alias("j")))

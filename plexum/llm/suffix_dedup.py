@@ -8,8 +8,8 @@ and need no global sort. The work goes one suffix bucket (a range of ranks) at a
    brings both onto the sample. Sample suffixes are ranked by their first LENGTH - PERIOD + 1 bytes, bucket by bucket. A string
    that occurs twice has a sample whose rank occurs twice; positions without one are out.
 2. Ties. What is left is compared over the whole LENGTH. Anchors, positions chosen by the bytes that follow, fall alike in
-   all occurrences, so ranks at anchors settle whole stretches between anchors; a stretch that is in doubt is compared
-   position by position.
+   all occurrences, so ranks at anchors settle whole stretches between anchors; where stretches differ before one anchor's
+   string they are compared position by position.
 
 Texts are UTF-8; equal texts are one key with a count. A key that occurs twice and has LENGTH bytes goes whole.
 
@@ -40,7 +40,7 @@ PERIOD = 133
 ANCHOR, EVERY, GAP = 8, 16, 64
 _REF = (("key", "<i8"), ("low", "<u2"), ("high", "<u2"))
 _SAMPLE = (("rank", "<u4"), *_REF)
-_TIE = (("rank", "<u8"), ("kind", "u1"), *_REF)
+_TIE = (("rank", "<u8"), ("whole", "<u8"), ("kind", "u1"), *_REF)
 _DUP = (("kind", "u1"), *_REF)
 _RUN = (("key", "<i8"), ("start", "<u4"), ("stop", "<u4"))
 #: Kinds of ranked strings: LENGTH bytes from an anchor, an anchor to LENGTH past the next, LENGTH - GAP from an anchor, LENGTH from any.
@@ -114,29 +114,42 @@ def anchors(h: Hashes) -> np.ndarray:
     return at[h.of(at, at + ANCHOR, 11) % np.uint64(EVERY) == 0]
 
 
-def ties(raw: bytes, matched: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Kind, position and rank of the strings from anchors that have to be compared."""
+def ties(key: int, raw: bytes, matched: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Kind, position and rank of the strings from anchors that have to be compared; with SHORT ones also the rank of the
+    stretch that ends at the anchor, a number of its own where there is none."""
     h = Hashes(raw)
     ok = possible(h.n, matched)
     m, a = len(ok), anchors(h)
     full = a[a < m]
     full = full[ok[full]]
     x, y = a[:-1], a[1:]
+    whole = _alone(key, a)
+    fits = y + LENGTH <= h.n
+    whole[1:][fits] = h.of(x[fits], y[fits] + LENGTH, 101 + STRETCH)
     both = y < m
     both[both] &= ok[x[both]] & ok[y[both]]
     x, y = x[both], y[both]
     upto = np.concatenate([[0], np.cumsum(ok)])
-    short = a[a + LENGTH - GAP <= h.n]
-    short = short[upto[np.minimum(short + 1, m)] > upto[np.minimum(np.maximum(short - GAP + 1, 0), m)]]
+    near = (a + LENGTH - GAP <= h.n) & (upto[np.minimum(a + 1, m)] > upto[np.minimum(np.maximum(a - GAP + 1, 0), m)])
+    short = a[near]
     parts = [(AT_ANCHOR, full, full + LENGTH), (STRETCH, x, y + LENGTH), (SHORT, short, short + LENGTH - GAP)]
     return (
         np.concatenate([np.full(len(s), k) for k, s, _ in parts]), np.concatenate([s for _, s, _ in parts]),
-        np.concatenate([h.of(s, e, 101 + k) for k, s, e in parts]),
+        np.concatenate([h.of(s, e, 101 + k) for k, s, e in parts]), np.concatenate([np.zeros(len(full) + len(x), np.uint64), whole[near]]),
     )
 
 
+def _alone(key: int, at: np.ndarray) -> np.ndarray:
+    """Numbers that stand for one place only."""
+    x = (at.astype(np.uint64) + np.uint64(1)) * _M2 ^ np.uint64(key & 0xFFFFFFFFFFFFFFFF)
+    return (x ^ (x >> np.uint64(31))) * _M1
+
+
 def settle(raw: bytes, matched: np.ndarray, kinds: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """From the tied strings at anchors: starts that repeat for certain, starts in doubt, and the ranks of those."""
+    """From the tied strings at anchors: starts that repeat for certain, starts to compare singly, and the ranks of those.
+
+    Compared are stretches before an anchor whose SHORT string ends different stretches elsewhere, the certain ones among
+    them too, as they may be what another text's start repeats."""
     h = Hashes(raw)
     ok = possible(h.n, matched)
     m, a = len(ok), anchors(h)
@@ -149,9 +162,9 @@ def settle(raw: bytes, matched: np.ndarray, kinds: np.ndarray, at: np.ndarray) -
     np.add.at(sure, x, 1)
     np.add.at(sure, np.minimum(y + 1, m), -1)
     sure = np.cumsum(sure[:-1]) > 0
-    doubt = ok & ~sure
-    doubt[a[a < m]] = False
-    p = np.flatnonzero(doubt)
+    inner = ok.copy()
+    inner[a[a < m]] = False
+    p = np.flatnonzero(inner)
     after = np.searchsorted(a, p)
     near = after < len(a)
     gap = np.full(len(p), GAP + 1)
@@ -219,6 +232,10 @@ def repeated(x: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
     x, new = {k: v[first] for k, v in x.items()}, new[first]
     which = np.cumsum(new) - 1
     keep = np.bincount(which)[which] > 1
+    if "whole" in x:  # SHORT strings that all end one stretch are settled by that
+        start = np.flatnonzero(new)
+        one = np.minimum.reduceat(x["whole"], start) == np.maximum.reduceat(x["whole"], start)
+        keep &= (x["kind"] != SHORT) | ~one[which]
     return {k: v[keep] for k, v in x.items()}
 
 
@@ -271,11 +288,11 @@ def repeats(docs: DataFrame, text: str = "text") -> DataFrame:
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "packed", 2 << 20):
-            got = [(k, *ties(zstandard.decompress(p), _at(unpack(_REF, [m])))) for k, p, m in zip(*(batch.column(c).to_pylist() for c in ("key", "packed", "matched")))]
+            got = [(k, *ties(k, zstandard.decompress(p), _at(unpack(_REF, [m])))) for k, p, m in zip(*(batch.column(c).to_pylist() for c in ("key", "packed", "matched")))]
             r = np.concatenate([x[3] for x in got])
             if len(r):
                 keys = np.repeat(np.array([x[0] for x in got]), [len(x[1]) for x in got])
-                yield _batch(deal(_TIE, (r % np.uint64(buckets)).astype(np.int64), {"rank": r, "kind": np.concatenate([x[1] for x in got])} | _refs(keys, np.concatenate([x[2] for x in got]))))
+                yield _batch(deal(_TIE, (r % np.uint64(buckets)).astype(np.int64), {"rank": r, "whole": np.concatenate([x[4] for x in got]), "kind": np.concatenate([x[1] for x in got])} | _refs(keys, np.concatenate([x[2] for x in got]))))
 
     tied = _by_key(_ranked(held.mapInArrow(compare, "bucket int, payload binary"), _TIE, _DUP, buckets), _DUP, buckets, "tied")
 
@@ -293,7 +310,7 @@ def repeats(docs: DataFrame, text: str = "text") -> DataFrame:
             r = np.concatenate([x[2] for x in doubt])
             if len(r):
                 keys = np.repeat(np.array([x[0] for x in doubt]), [len(x[1]) for x in doubt])
-                yield _batch(deal(_TIE, (r % np.uint64(buckets)).astype(np.int64), {"rank": r, "kind": np.full(len(r), SINGLE)} | _refs(keys, np.concatenate([x[1] for x in doubt]))))
+                yield _batch(deal(_TIE, (r % np.uint64(buckets)).astype(np.int64), {"rank": r, "whole": np.zeros(len(r)), "kind": np.full(len(r), SINGLE)} | _refs(keys, np.concatenate([x[1] for x in doubt]))))
 
     decided = cut(held.join(tied, "key", "left").mapInArrow(decide, "bucket int, payload binary"))
 
