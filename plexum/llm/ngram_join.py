@@ -2,14 +2,14 @@
 
 A document is the set of its distinct shingles of SHINGLE words, as 64-bit hashes; texts with one set share a node. Two nodes
 link from a similarity of PERCENT / 100 on. In the order of the hashes, a set of n tokens of which a partner must share t
-has the prefix of its first n - t + l tokens; linked sets share at least l tokens of both prefixes. l is on a ladder of
-powers of RUNG up to n / 10. So:
+has the prefix of its first n - t + l tokens; linked sets share at least l tokens of both prefixes. l is on a ladder whose
+rungs grow by a quarter, up to REACH percent of n. So:
 
 1. Tokens of the longest prefix go to buckets by token, where those of one node only are dropped and the others get their
    number of nodes.
 2. Back at its node, a rung l is refuted if fewer than l tokens are left in its prefix; then no partner can exist and the
    node leaves. For each rung the first c - l + 1 of its c left tokens, rare ones first, are what a partner must meet. A node
-   probes at the rung whose tokens promise the fewest candidates, and is found at all of its rungs.
+   probes at the rung whose tokens promise the fewest candidates, and is found at the rungs where a partner may probe.
 3. Nodes that meet at one token and rung, one of them probing, are candidates. They are not paired up: each is tied to the
    least of them, and the ties' components are clusters that hold all links.
 4. A cluster's sets are compared exactly by counting shared tokens; clusters over MAX_TOKENS tokens in pairs of blocks. What
@@ -26,6 +26,7 @@ their text, null if nothing else has it; clashing columns are replaced.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -40,7 +41,10 @@ from plexum.llm.components import components
 
 SHINGLE = 5
 PERCENT = 80
-RUNG = 8
+#: The highest rung asks for at most this share, in percent, of a set's tokens.
+REACH = 15
+#: Rungs below its highest at which a node may probe.
+PROBE = 1
 #: Tokens that one task compares at once.
 MAX_TOKENS = 2_000_000
 _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
@@ -79,12 +83,33 @@ def needed(n, percent: int = PERCENT):
     return -(-n * percent // 100)
 
 
-def ladder(n: int, percent: int = PERCENT) -> list[int]:
-    """The rungs of a set of n tokens."""
-    out = [1]
-    while out[-1] * RUNG <= min(n // 10, needed(n, percent)):
-        out.append(out[-1] * RUNG)
-    return out
+def top_rung(n: int, percent: int = PERCENT) -> int:
+    """The highest rung of a set of n tokens: the largest k with rung_size(k) at most a share REACH of n."""
+    k = 0
+    while rung_size(k + 1) <= min(n * REACH // 100, needed(n, percent)):
+        k += 1
+    return k
+
+
+def rung_size(k: int) -> int:
+    """Shared prefix tokens that rung k asks for: growing by a quarter, one at least."""
+    size = 1
+    for _ in range(k):
+        size = max(size + 1, size * 5 // 4)
+    return size
+
+
+@lru_cache(100_000)
+def rungs_of(n: int, percent: int = PERCENT) -> tuple[int, int, int, int]:
+    """Of a set of n tokens: its lowest and highest rung, the lowest at which it may probe, and the highest that every
+    possible partner has too.
+
+    Partners' highest rungs lie at most n's own less `drop` apart, so the lower of two tops, or PROBE rungs below it, is
+    among the rungs of both."""
+    top = top_rung(n, percent)
+    common = top_rung(int(needed(n, percent)), percent)
+    drop = top - top_rung(int(needed(n, percent)), percent)
+    return max(0, top - drop - PROBE), top, max(0, top - PROBE), common
 
 
 def pack(columns, **arrays: np.ndarray) -> bytes:
@@ -130,9 +155,10 @@ def _postings(docs: DataFrame, buckets: int, percent: int, text: str) -> DataFra
                 s = shingles(x)
                 n = len(s)
                 if n and (node := node_of(s)) not in seen:
-                    rungs = ladder(n, percent)
+                    low, top, _, _ = rungs_of(n, percent)
                     free = n - needed(n, percent)
-                    seen[node] = (s[: free + rungs[-1]].copy(), n, np.searchsorted(np.array(rungs) + free, np.arange(free + rungs[-1]), side="right"))
+                    ends = free + np.array([rung_size(k) for k in range(low, top + 1)])
+                    seen[node] = (s[: ends[-1]].copy(), n, np.searchsorted(ends, np.arange(ends[-1]), side="right") + low)
             if not seen:
                 continue
             sizes = [len(v[0]) for v in seen.values()]
@@ -168,18 +194,20 @@ def shared_tokens(x: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
 def choose(tokens: np.ndarray, rungs: np.ndarray, df: np.ndarray, n: int, percent: int = PERCENT) -> list[tuple[int, np.ndarray, bool]]:
     """Of one node: for each rung (by number) the tokens at which partners meet it, and whether it probes there. Nothing if
     a rung that every possible partner has is refuted."""
-    own = ladder(n, percent)
-    common = len(ladder(int(needed(n, percent)), percent))
+    low, top, probe, common = rungs_of(n, percent)
     out, costs = [], []
-    for j, least in enumerate(own):
+    for j in range(low, top + 1):
+        least = rung_size(j)
         at = np.flatnonzero(rungs <= j)
         if len(at) < least:
-            if j < common:
+            if j <= common:
                 return []
             continue
         at = at[np.lexsort((tokens[at], df[at]))][: len(at) - least + 1]
         out.append((j, tokens[at]))
-        costs.append(int(df[at].sum()))
+        costs.append(int(df[at].sum()) if j >= probe else 1 << 62)
+    if not out:
+        return []
     best = int(np.argmin(costs))
     return [(j, t, i == best) for i, (j, t) in enumerate(out)]
 
