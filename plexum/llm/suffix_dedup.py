@@ -11,6 +11,8 @@ and need no global sort. The work goes one suffix bucket (a range of ranks) at a
    all occurrences, so ranks at anchors settle whole stretches between anchors; where stretches differ before one anchor's
    string they are compared position by position.
 
+Texts without repeats stay where they are: a Bloom filter of fixed size keeps them out of the joins.
+
 Texts are UTF-8; equal texts are one key with a count. A key that occurs twice and has LENGTH bytes goes whole.
 
 Defined cases: null text counts as empty; texts of fewer than LENGTH bytes are never touched; matches do not cross rows;
@@ -41,8 +43,11 @@ ANCHOR, EVERY, GAP = 8, 16, 64
 _REF = (("key", "<i8"), ("low", "<u2"), ("high", "<u2"))
 _SAMPLE = (("rank", "<u4"), *_REF)
 _TIE = (("rank", "<u8"), ("whole", "<u8"), ("kind", "u1"), *_REF)
+_SINGLE = (("rank", "<u8"), *_REF)
 _DUP = (("kind", "u1"), *_REF)
 _RUN = (("key", "<i8"), ("start", "<u4"), ("stop", "<u4"))
+#: Bits of the sketch that keeps texts without repeats out of the shuffles.
+SKETCH_BITS = 1 << 25
 #: Kinds of ranked strings: LENGTH bytes from an anchor, an anchor to LENGTH past the next, LENGTH - GAP from an anchor, LENGTH from any.
 AT_ANCHOR, STRETCH, SHORT, SINGLE = range(4)
 
@@ -148,8 +153,8 @@ def _alone(key: int, at: np.ndarray) -> np.ndarray:
 def settle(raw: bytes, matched: np.ndarray, kinds: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """From the tied strings at anchors: starts that repeat for certain, starts to compare singly, and the ranks of those.
 
-    Compared are stretches before an anchor whose SHORT string ends different stretches elsewhere, the certain ones among
-    them too, as they may be what another text's start repeats."""
+    Compared are stretches before an anchor whose SHORT string ends different stretches elsewhere, one place of each certain
+    stretch among them, as it may be what another text's start repeats."""
     h = Hashes(raw)
     ok = possible(h.n, matched)
     m, a = len(ok), anchors(h)
@@ -232,10 +237,13 @@ def repeated(x: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
     x, new = {k: v[first] for k, v in x.items()}, new[first]
     which = np.cumsum(new) - 1
     keep = np.bincount(which)[which] > 1
-    if "whole" in x:  # SHORT strings that all end one stretch are settled by that
+    if "whole" in x:  # SHORT strings that all end one stretch are settled by that; else each stretch sends one of its places
         start = np.flatnonzero(new)
         one = np.minimum.reduceat(x["whole"], start) == np.maximum.reduceat(x["whole"], start)
-        keep &= (x["kind"] != SHORT) | ~one[which]
+        by_whole = np.lexsort((np.arange(len(which)), x["whole"], which))
+        lead = np.zeros(len(which), bool)
+        lead[by_whole[np.concatenate([[True], (np.diff(which[by_whole]) != 0) | (np.diff(x["whole"][by_whole].astype(np.int64)) != 0)])]] = True
+        keep &= (x["kind"] != SHORT) | (~one[which] & lead)
     return {k: v[keep] for k, v in x.items()}
 
 
@@ -251,17 +259,44 @@ def _by_key(rows: DataFrame, columns, buckets: int, name: str) -> DataFrame:
 
 
 def _ranked(rows: DataFrame, columns, out, buckets: int) -> DataFrame:
-    """One suffix bucket at a time: entries of ranks that repeat, dealt by key."""
+    """One suffix bucket at a time: entries of ranks that repeat, dealt by key and ordered by place."""
 
     def rank(pdf: pd.DataFrame) -> pd.DataFrame:
         x = repeated(unpack(columns, pdf["payload"].tolist()))
-        return _frame(deal(out, x["key"] % buckets, {k: x[k] for k, _ in out}))
+        x["start"] = _at(x)
+        x["stop"] = x["start"] + 1
+        order = np.lexsort((x["start"], x["key"]))
+        return _frame(deal(out, x["key"][order] % buckets, {k: x[k][order] for k, _ in out}))
 
     return rows.groupBy("bucket").applyInPandas(rank, "bucket int, payload binary")
 
 
+def _bits(keys: np.ndarray) -> np.ndarray:
+    """Where keys stand in a sketch: a column each."""
+    return np.stack([_alone(seed, keys.astype(np.int64).view(np.uint64)) % np.uint64(SKETCH_BITS) for seed in (1, 2, 3)])
+
+
+def sketch(keys: DataFrame) -> np.ndarray:
+    """A Bloom filter of column key. Its size is fixed: with ever more keys it lets more pass, and in the end all."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at = np.unique(_bits(batch.column("key").to_numpy(zero_copy_only=False)))
+            yield pa.RecordBatch.from_arrays([pa.array((at >> np.uint64(6)).astype(np.int32)), pa.array((np.uint64(1) << (at & np.uint64(63))).view(np.int64))], names=["word", "mask"])
+
+    words = keys.select("key").mapInArrow(run, "word int, mask long").groupBy("word").agg(F.bit_or("mask").alias("mask")).toArrow()
+    out = np.zeros(SKETCH_BITS // 64, np.uint64)
+    out[words.column("word").to_numpy()] = words.column("mask").to_numpy().view(np.uint64)
+    return out
+
+
+def in_sketch(filter_: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    at = _bits(keys)
+    return ((filter_[(at >> np.uint64(6)).astype(np.int64)] >> (at & np.uint64(63))) & np.uint64(1)).all(axis=0)
+
+
 def repeats(docs: DataFrame, text: str = "text") -> DataFrame:
-    """key, spans: of each text with repeats, the runs of bytes to remove (start, stop). docs also has key, size, packed."""
+    """key, spans: of each text with repeats, the runs of bytes to remove (start, stop)."""
     buckets = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
     def sample(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -282,9 +317,10 @@ def repeats(docs: DataFrame, text: str = "text") -> DataFrame:
                 yield _batch(deal(_SAMPLE, ((r >> np.uint64(32)) % np.uint64(buckets)).astype(np.int64), {"rank": r & np.uint64(0xFFFFFFFF)} | _refs(np.concatenate(keys), np.concatenate(places))))
 
     matched = _by_key(_ranked(docs.select(text).mapInArrow(sample, "bucket int, payload binary"), _SAMPLE, _REF, buckets), _REF, buckets, "matched")
-    packed = packed_texts(docs, text)
-    known = cut(packed.groupBy("key").agg(F.max("size").alias("size"), F.count("*").alias("copies"), F.min("_order").alias("_order")))
-    held = cut(packed.join(known.select("key", F.col("_order").alias("_first")).join(matched, "key"), "key").where("_order = _first").select("key", "packed", "matched").dropDuplicates(["key"]))
+    matched = cut(matched)
+    known = cut(keys_of(docs, text).groupBy("key").agg(F.max("size").alias("size"), F.count("*").alias("copies"), F.min("_order").alias("_order")))
+    packed = packed_texts(docs, text, sketch(matched))
+    held = cut(packed.join(known.select("key", F.col("_order").alias("_first")).join(matched, "key"), "key").where("_order = _first").select("key", "packed", "matched"))
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "packed", 2 << 20):
@@ -296,31 +332,32 @@ def repeats(docs: DataFrame, text: str = "text") -> DataFrame:
 
     tied = _by_key(_ranked(held.mapInArrow(compare, "bucket int, payload binary"), _TIE, _DUP, buckets), _DUP, buckets, "tied")
 
-    def decide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    settled = held.join(tied, "key", "left")
+
+    def each(batch: pa.RecordBatch) -> list[tuple]:
+        out = []
+        for k, p, m, t in zip(*(batch.column(c).to_pylist() for c in ("key", "packed", "matched", "tied"))):
+            x = unpack(_DUP, [t] if t else [])
+            out.append((k, *settle(zstandard.decompress(p), _at(unpack(_REF, [m])), x["kind"], _at(x))))
+        return out
+
+    def certain(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "packed", 2 << 20):
-            certain, doubt = [], []
-            for k, p, m, t in zip(*(batch.column(c).to_pylist() for c in ("key", "packed", "matched", "tied"))):
-                x = unpack(_DUP, [t] if t else [])
-                sure, at, rank = settle(zstandard.decompress(p), _at(unpack(_REF, [m])), x["kind"], _at(x))
-                certain.append((k, runs(sure)))
-                doubt.append((k, at, rank))
-            own = {"key": np.repeat(np.array([k for k, _ in certain]), [len(r) for _, r in certain])} | {n: np.concatenate([r[:, i] for _, r in certain]) for i, n in enumerate(("start", "stop"))}
+            got = [(k, runs(sure)) for k, sure, _, _ in each(batch)]
+            own = {"key": np.repeat(np.array([k for k, _ in got]), [len(r) for _, r in got])} | {n: np.concatenate([r[:, i] for _, r in got]) for i, n in enumerate(("start", "stop"))}
             if len(own["key"]):
-                yield _batch([(-1 - b, p) for b, p in deal(_RUN, own["key"] % buckets, own)])
-            r = np.concatenate([x[2] for x in doubt])
-            if len(r):
-                keys = np.repeat(np.array([x[0] for x in doubt]), [len(x[1]) for x in doubt])
-                yield _batch(deal(_TIE, (r % np.uint64(buckets)).astype(np.int64), {"rank": r, "whole": np.zeros(len(r)), "kind": np.full(len(r), SINGLE)} | _refs(keys, np.concatenate([x[1] for x in doubt]))))
+                yield _batch(deal(_RUN, own["key"] % buckets, own))
 
-    decided = cut(held.join(tied, "key", "left").mapInArrow(decide, "bucket int, payload binary"))
-
-    def as_runs(pdf: pd.DataFrame) -> pd.DataFrame:
-        x = unpack(_REF, pdf["payload"].tolist())
-        at = _at(x)
-        return _frame(deal(_RUN, x["key"] % buckets, {"key": x["key"], "start": at, "stop": at + 1}))
+    def single(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, "packed", 2 << 20):
+            got = each(batch)
+            r = np.concatenate([x[3] for x in got])
+            if len(r):
+                keys = np.repeat(np.array([x[0] for x in got]), [len(x[2]) for x in got])
+                yield _batch(deal(_SINGLE, (r % np.uint64(buckets)).astype(np.int64), {"rank": r} | _refs(keys, np.concatenate([x[2] for x in got]))))
 
-    single = _ranked(decided.where("bucket >= 0"), _TIE, _REF, buckets).groupBy("bucket").applyInPandas(as_runs, "bucket int, payload binary")
-    starts = _by_key(single.unionByName(decided.where("bucket < 0").select((-1 - F.col("bucket")).alias("bucket"), "payload")), _RUN, buckets, "starts")
+    both = settled.mapInArrow(certain, "bucket int, payload binary").unionByName(_ranked(settled.mapInArrow(single, "bucket int, payload binary"), _SINGLE, _RUN, buckets))
+    starts = _by_key(both, _RUN, buckets, "starts")
 
     def to_spans(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -335,18 +372,37 @@ def repeats(docs: DataFrame, text: str = "text") -> DataFrame:
     return found.join(whole.select("key"), "key", "left_anti").unionByName(whole)
 
 
-def packed_texts(docs: DataFrame, text: str) -> DataFrame:
-    """docs, its text as key, size and packed (compressed); _order: a hash of the row, by which one of equal texts is chosen."""
+def _order(docs: DataFrame, text: str):
+    """A hash of the row's other columns, by which one of equal texts is chosen."""
+    others = [F.col(f"`{c}`") for c in docs.columns if c != text]
+    return F.xxhash64(*others) if others else F.lit(0).cast("long")
+
+
+def keys_of(docs: DataFrame, text: str) -> DataFrame:
+    """key, size and _order of each row."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, "t", 4 << 20):
+            raw = [_bytes(x) for x in batch.column("t").to_pylist()]
+            yield pa.RecordBatch.from_arrays([pa.array([key_of(x) for x in raw], pa.int64()), pa.array([len(x) for x in raw], pa.int64()), batch.column("_order")], names=["key", "size", "_order"])
+
+    return docs.select(F.col(f"`{text}`").alias("t"), _order(docs, text).alias("_order")).mapInArrow(run, "key long, size long, _order long")
+
+
+def packed_texts(docs: DataFrame, text: str, only: np.ndarray) -> DataFrame:
+    """docs whose key passes the sketch, the text as key, size and packed (compressed), with _order."""
+    sent = docs.sparkSession.sparkContext.broadcast(only)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         press = zstandard.ZstdCompressor(level=3)
         for batch in slices(batches, text, 4 << 20):
             raw = [_bytes(x) for x in batch.column(text).to_pylist()]
-            yield with_columns(batch.drop_columns([text]), {"key": pa.array([key_of(x) for x in raw], pa.int64()), "size": pa.array([len(x) for x in raw], pa.int64()), "packed": pa.array([press.compress(x) for x in raw], pa.binary())})
+            keys = np.array([key_of(x) for x in raw], np.int64)
+            kept = np.flatnonzero(in_sketch(sent.value, keys))
+            raw = [raw[i] for i in kept]
+            yield with_columns(batch.drop_columns([text]).take(pa.array(kept)), {"key": pa.array(keys[kept]), "size": pa.array([len(x) for x in raw], pa.int64()), "packed": pa.array([press.compress(x) for x in raw], pa.binary())})
 
-    others = [c for c in docs.columns if c != text]
-    out = docs.mapInArrow(run, schema_with(docs.drop(text), "key long, size long, packed binary"))
-    return out.withColumn("_order", F.xxhash64(*[F.col(c) for c in others]) if others else F.lit(0).cast("long"))
+    return docs.withColumn("_order", _order(docs, text)).mapInArrow(run, schema_with(docs.drop(text).withColumn("_order", F.lit(0).cast("long")), "key long, size long, packed binary"))
 
 
 def dedup(docs: DataFrame, text: str = "text") -> DataFrame:
@@ -356,9 +412,13 @@ def dedup(docs: DataFrame, text: str = "text") -> DataFrame:
     names = dict(zip(kept, (f"_c{i}" for i in count())))
     base = docs.select(*[F.col(f"`{c}`").alias(n) for c, n in names.items()], F.col(f"`{text}`").alias("_text"))
     found = cut(repeats(base, "_text"))
-    joined = packed_texts(base, "_text").join(found, "key", "left").drop("key", "_order")
+    touched = sketch(found)
+    sent = docs.sparkSession.sparkContext.broadcast(touched)
+    joined = packed_texts(base, "_text", touched).join(found, "key", "left").drop("key", "_order")
+    kind = pa.list_(pa.struct([("start", pa.int32()), ("stop", pa.int32())]))
+    added = "n_bytes long, removed array<struct<start:int,stop:int>>, n_removed long, kept binary"
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def cut_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "packed", 2 << 20):
             spans, left, gone = [], [], []
             for p, own in zip(batch.column("packed").to_pylist(), batch.column("spans").to_pylist()):
@@ -370,8 +430,14 @@ def dedup(docs: DataFrame, text: str = "text") -> DataFrame:
                 spans.append(own or [])
                 left.append(b"".join(parts))
                 gone.append(len(raw) - len(left[-1]))
-            kind = pa.list_(pa.struct([("start", pa.int32()), ("stop", pa.int32())]))
             yield with_columns(batch.drop_columns(["packed", "spans", "size"]), {"n_bytes": batch.column("size"), "removed": pa.array(spans, kind), "n_removed": pa.array(gone, pa.int64()), "kept": pa.array(left, pa.binary())})
 
-    out = joined.mapInArrow(run, schema_with(joined.drop("packed", "spans", "size"), "n_bytes long, removed array<struct<start:int,stop:int>>, n_removed long, kept binary"))
+    def pass_on(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, "_text", 4 << 20):
+            raw = [_bytes(x) for x in batch.column("_text").to_pylist()]
+            rest = np.flatnonzero(~in_sketch(sent.value, np.array([key_of(x) for x in raw], np.int64)))
+            raw = [raw[i] for i in rest]
+            yield with_columns(batch.drop_columns(["_text"]).take(pa.array(rest)), {"n_bytes": pa.array([len(x) for x in raw], pa.int64()), "removed": pa.array([[] for _ in raw], kind), "n_removed": pa.array([0] * len(raw), pa.int64()), "kept": pa.array(raw, pa.binary())})
+
+    out = joined.mapInArrow(cut_out, schema_with(joined.drop("packed", "spans", "size"), added)).unionByName(base.mapInArrow(pass_on, schema_with(base.drop("_text"), added)))
     return out.select(*[F.col(n).alias(c) for c, n in names.items() if c.lower() not in taken], "n_bytes", "removed", "n_removed", "kept")
