@@ -2,10 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from plexum.plans import summaries, texts, vectors
+from plexum.plans.base import ORACLES, QUERIES
 
-from pyspark.sql import DataFrame, SparkSession
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
 FLAGSHIP = "cell_gene_pivot"
+
+__all__ = ["FLAGSHIP", "ORACLES", "QUERIES", "summaries", "texts", "vectors"]
