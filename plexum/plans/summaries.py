@@ -78,10 +78,10 @@ def ident_spot_join(lineitem, orders):
     return lineitem.join(orders, F.col("l_orderkey") == F.col("o_orderkey"), "left").groupBy("o_orderstatus", "l_returnflag").agg(n(), F.count("o_orderkey").alias("matched"))
 
 
-@query("orders", "lineitem", sql="select o_orderkey, coalesce(lines, 0) as lines, round(mean_price, 4) as mean_price, max_price from orders left join (select l_orderkey, count(*) lines, avg(l_extendedprice) mean_price, max(l_extendedprice) max_price from lineitem group by 1) on o_orderkey = l_orderkey")
+@query("orders", "lineitem", sql="select o_orderkey, coalesce(lines, 0) as lines, round(mean_price, 6) as mean_price, max_price from orders left join (select l_orderkey, count(*) lines, avg(l_extendedprice) mean_price, max(l_extendedprice) max_price from lineitem group by 1) on o_orderkey = l_orderkey")
 def polygon_intensity_merge(orders, lineitem):
     intensity = lineitem.groupBy("l_orderkey").agg(n("lines"), F.avg("l_extendedprice").alias("mean_price"), F.max("l_extendedprice").alias("max_price"))
-    return orders.join(intensity, F.col("o_orderkey") == F.col("l_orderkey"), "left").select("o_orderkey", F.coalesce("lines", F.lit(0)).alias("lines"), F.round("mean_price", 4).alias("mean_price"), "max_price")
+    return orders.join(intensity, F.col("o_orderkey") == F.col("l_orderkey"), "left").select("o_orderkey", F.coalesce("lines", F.lit(0)).alias("lines"), F.round("mean_price", 6).alias("mean_price"), "max_price")
 
 
 @query("lineitem", sql="select l_orderkey, count(*) as n from lineitem a where not exists (select 1 from lineitem b where b.l_orderkey = a.l_orderkey and (b.l_returnflag = 'R' or b.l_discount > 0.09)) group by l_orderkey")
