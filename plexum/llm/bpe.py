@@ -28,7 +28,7 @@ from plexum.llm.common import schema_with, slices, with_columns
 #: The split pattern of byte-level BPE, with white space as Unicode has it.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+"
 #: Bytes of text for which one index is built; bounds a worker's memory.
-PART_BYTES = 6 << 20
+PART_BYTES = 4 << 20
 
 
 def byte_letters() -> dict[int, str]:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import tempfile
 from collections.abc import Iterable, Iterator
 
@@ -34,6 +36,26 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+#: Rows that Spark hands to a Python worker at once; texts are long, and the default of 10 000 of them fills a worker.
+BATCH_ROWS = 2_000
+
+
+def bound_batches(spark: SparkSession) -> None:
+    """Hand rows to Python workers in batches of at most BATCH_ROWS, unless the session already asks for fewer."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key)) <= BATCH_ROWS:
+        spark.conf.set(key, str(BATCH_ROWS))
+
+
+def release() -> None:
+    """Give freed memory back to the system: idle workers live on beside others."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
 def slices(batches: Iterable[pa.RecordBatch], column: str, limit: int) -> Iterator[pa.RecordBatch]:
     """The batches again, in pieces of about `limit` bytes of `column`, one row at least."""
     for batch in batches:
@@ -47,6 +69,7 @@ def slices(batches: Iterable[pa.RecordBatch], column: str, limit: int) -> Iterat
                 start, held = i, 0
             held += int(n) + 64
         yield batch.slice(start)
+    release()
 
 
 def with_columns(batch: pa.RecordBatch, added: dict[str, pa.Array]) -> pa.RecordBatch:
@@ -57,7 +80,8 @@ def with_columns(batch: pa.RecordBatch, added: dict[str, pa.Array]) -> pa.Record
 
 
 def schema_with(df: DataFrame, added: str) -> StructType:
-    """df's schema with the fields of a DDL string, in the order of with_columns."""
+    """df's schema with the fields of a DDL string, in the order of with_columns; what runs next gets bounded batches."""
+    bound_batches(df.sparkSession)
     new = StructType.fromDDL(added).fields
     taken = {f.name.lower() for f in new}
     return StructType([f for f in df.schema if f.name.lower() not in taken] + new)
