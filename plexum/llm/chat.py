@@ -53,15 +53,17 @@ def pointers(nodes: DataFrame) -> tuple[list[DataFrame], DataFrame]:
     )
     steps, size = [], 1
     bound = now.groupBy("tree").agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0
-    while size <= bound and not now.where("up is not null").isEmpty():
-        steps.append(now.where("up is not null").select("tree", "node", "up"))
-        a, b = now.alias("a"), now.alias("b")
-        now = cut(
+    at_root, live = now.where("up is null"), now.where("up is not null")
+    while size <= bound and not live.isEmpty():  # only messages whose pointer has not come to a root go on
+        steps.append(live.select("tree", "node", "up"))
+        a, b = live.alias("a"), at_root.unionByName(live).alias("b")
+        moved = cut(
             a.join(b, _same("a", "b", ("up", "node")), "left")
             .select("a.tree", "a.node", F.col("b.up").alias("up"), (F.col("a.depth") + F.coalesce("b.depth", F.lit(0))).alias("depth"), (F.col("a.total") + F.coalesce("b.total", F.lit(0.0))).alias("total"))
         )
+        at_root, live = at_root.unionByName(moved.where("up is null")), moved.where("up is not null")
         size *= 2
-    return steps, now.where("up is null").select("tree", "node", "depth", "total")
+    return steps, at_root.select("tree", "node", "depth", "total")
 
 
 def paths(messages: DataFrame, top: int = 1) -> DataFrame:
