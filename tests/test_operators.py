@@ -83,3 +83,12 @@ def test_stream(spark, tmp_path):
     q = stream.writeStream.format("memory").queryName("counted").outputMode("complete").trigger(availableNow=True).option("checkpointLocation", str(tmp_path / "cp")).start()
     q.awaitTermination(60)
     assert sum(r.n for r in spark.table("counted").collect()) == 10
+
+
+def test_codes_and_budgets():
+    from plexum.operators import probes
+
+    codes = probes.spread_codes(10, 3)
+    assert all(c.bit_count() == 3 for c in codes) and all((a ^ b).bit_count() >= 4 for i, a in enumerate(codes) for b in codes[:i])
+    assert probes.code_size(100, {10: 90, 12: 106, 14: 300}) == 12
+    assert probes.file_budget({"a": 2, "b": 10, "c": 5}, 12) == {"a": 2, "b": 5, "c": 5}
