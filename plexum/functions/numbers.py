@@ -54,3 +54,24 @@ def quantile_nearest(values: Column, q: float) -> Column:
     """The element of an array at the rounded rank q * (n - 1)."""
     kept = F.array_sort(F.array_compact(values))
     return F.when(F.size(kept) > 0, F.get(kept, F.round(F.lit(q) * (F.size(kept) - 1), 0).cast("int")))
+
+
+def uniform(key: Column) -> Column:
+    """A number in [0, 1) that a string decides, the same in any engine."""
+    return F.conv(F.substring(F.md5(key), 1, 6), 16, 10).cast("long") / 16_777_216.0
+
+
+def normal(key: Column) -> Column:
+    """A standard normal number that a string decides."""
+    radius = F.sqrt(-2 * F.ln(1 - uniform(F.concat(key, F.lit("|a")))))
+    return radius * F.cos(2 * F.pi() * uniform(F.concat(key, F.lit("|b"))))
+
+
+def random_bases(key: Column) -> Column:
+    """32 bases that a string decides."""
+    return F.translate(F.md5(key), "0123456789abcdef", "ACGT" * 4)
+
+
+def digitise(value: Column, edges: list[float]) -> Column:
+    """How many of the ascending edges a value has reached."""
+    return F.aggregate(F.array(*[F.lit(float(e)) for e in edges]), F.lit(0), lambda s, e: s + F.when(value >= e, 1).otherwise(0))

@@ -123,3 +123,112 @@ def pearson_residuals(counts: DataFrame, cell: str, gene: str, theta: float = 10
     total = counts.agg(F.sum(value).alias("_t"))
     mu = F.col("_r") * F.col("_c") / F.col("_t")
     return counts.join(rows, cell).join(cols, gene).join(F.broadcast(total)).withColumn("x", (F.col(value) - mu) / F.sqrt(mu + mu * mu / theta)).drop("_r", "_c", "_t")
+
+
+def preferred_rows(df: DataFrame, key: str, tiers: Sequence[Column]) -> DataFrame:
+    """Of each key the rows of the first tier that any of its rows meets; all its rows if none does."""
+    rank = first_criterion(tiers)
+    ranked = df.withColumn("_t", F.when(rank > 0, rank).otherwise(len(tiers) + 1))
+    best = ranked.groupBy(key).agg(F.min("_t").alias("_t"))
+    return ranked.join(best, [key, "_t"], "left_semi").drop("_t").select(df.columns)
+
+
+def transpose(df: DataFrame, row: str, columns: Sequence[str], rows: Sequence[str], name: str = "column") -> DataFrame:
+    """A row for each of columns, a column for each listed value of row."""
+    return df.unpivot([row], list(columns), name, "_v").groupBy(name).pivot(row, list(rows)).agg(F.sum("_v"))
+
+
+def distance_to_mean(df: DataFrame, key: str, axes: Sequence[str]) -> DataFrame:
+    """df with l2, each row's distance to the mean of its key."""
+    means = df.groupBy(key).agg(*[F.avg(a).alias(f"_{a}") for a in axes])
+    squares = reduce(lambda a, b: a + b, [(F.col(a) - F.col(f"_{a}")) * (F.col(a) - F.col(f"_{a}")) for a in axes])
+    return df.join(means, key).withColumn("l2", F.sqrt(squares)).drop(*[f"_{a}" for a in axes])
+
+
+def quantise_parameters(hist: DataFrame, key: str, width: float, low: float, high: float, gamma: float, top: int, overrides: dict[str, float]) -> DataFrame:
+    """(key, m, s) for quantising each key's values: m its low quantile, s what brings the range up to the high one to top."""
+    lo = histogram_quantile(hist, key, width, low).withColumnRenamed("quantile", "m")
+    other = F.col(key).isin(*overrides) if overrides else F.lit(False)
+    hi = histogram_quantile(hist.where(~other), key, width, high)
+    for k, q in overrides.items():
+        hi = hi.unionByName(histogram_quantile(hist.where(F.col(key) == k), key, width, q))
+    span = (F.col("quantile") - F.col("m")) * gamma
+    return lo.join(hi, key).select(key, "m", F.when(span > 0, top / span).otherwise(1.0).alias("s"))
+
+
+def channel_deviation(df: DataFrame, channel: str, deviation: str, n: str, least: int) -> DataFrame:
+    """(channel, deviation, cv): mean deviation of channels over tiles of at least `least` spots, weighted by their number, over
+    the mean of all channels; cv is the root mean square of what is left from 1."""
+    means = df.where(F.col(n) >= least).groupBy(channel).agg((F.sum(F.coalesce(F.nanvl(deviation, F.lit(1.0)), F.lit(1.0)) * F.col(n)) / F.sum(n)).alias("_d"))
+    whole = means.agg(F.avg("_d").alias("_m"), F.avg(F.col("_d") * F.col("_d")).alias("_q"))
+    cv = F.sqrt(F.greatest(F.col("_q") / (F.col("_m") * F.col("_m")) - 1, F.lit(0.0)))  # mean of (d/m - 1)^2
+    return means.join(F.broadcast(whole)).select(channel, (F.col("_d") / F.col("_m")).alias("deviation"), cv.alias("cv"))
+
+
+def initial_scale(df: DataFrame, channel: str, scale: str) -> DataFrame:
+    """(channel, scale): channels' mean scales over their mean, clipped at 2, over the mean, raised to 0.5, over the mean."""
+    everything = Window.partitionBy()  # one row for each channel
+    out = df.groupBy(channel).agg(F.avg(scale).alias("scale"))
+    for clip in (lambda c: F.greatest(F.least(c, F.lit(2.0)), F.lit(0.0)), lambda c: F.greatest(c, F.lit(0.5)), lambda c: c):
+        out = out.withColumn("scale", F.col("scale") / F.avg("scale").over(everything)).withColumn("scale", clip(F.col("scale")))
+    return out
+
+
+def drift(df: DataFrame, key: str, dx: str, dy: str, enough: int, farthest: float) -> DataFrame:
+    """(key, dx, dy, cv): the modes of the shifts of a key of over `enough` points if they lie below `farthest`, else the
+    medians; cv is the deviation of the shifts' lengths over their mean."""
+    length = F.hypot(dx, dy)
+    half = F.lit(0.5)
+    per = df.groupBy(key).agg(
+        F.count("*").alias("n"), F.mode(dx, True).alias("mx"), F.mode(dy, True).alias("my"), F.percentile(dx, half).alias("ex"), F.percentile(dy, half).alias("ey"),
+        F.try_divide(F.stddev_pop(length), F.avg(length)).alias("cv"),
+    )
+    by_mode = (F.col("n") > enough) & (F.hypot("mx", "my") < farthest)
+    return per.select(key, F.when(by_mode, F.col("mx")).otherwise(F.col("ex")).alias("dx"), F.when(by_mode, F.col("my")).otherwise(F.col("ey")).alias("dy"), "cv")
+
+
+def correlations(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """(a, b, r) for all pairs of a list of columns, in one pass."""
+    pairs = [(a, b) for i, a in enumerate(columns) for b in columns[i + 1 :]]
+    one = df.agg(*[F.corr(a, b).alias(f"_{i}") for i, (a, b) in enumerate(pairs)])
+    return one.select(F.inline(F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.col(f"_{i}").alias("r")) for i, (a, b) in enumerate(pairs)])))
+
+
+def relaxed_union(frames: Sequence[DataFrame]) -> DataFrame:
+    """Rows of all frames by name; missing columns are null, columns whose types differ take the wider one, or string."""
+    seen: dict[str, set[str]] = {}
+    for df in frames:
+        for f in df.schema:
+            seen.setdefault(f.name, set()).add(f.dataType.simpleString())
+    text = {c for c, kinds in seen.items() if len(kinds) > 1 and "string" in kinds}
+    cast = [df.withColumns({c: F.col(c).cast("string") for c in text if c in df.columns}) for df in frames]
+    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), cast)
+
+
+def require_subset(df: DataFrame, other: DataFrame, key: str) -> DataFrame:
+    """df, or an error if a key of it is not in other."""
+    lost = [r[0] for r in df.join(other, key, "left_anti").select(key).limit(5).collect()]
+    if lost:
+        raise ValueError(f"{key} not in the other table: {lost}")
+    return df
+
+
+def best_seed(genes: DataFrame, gene: str, weight: str, codes: Sequence[int], bits: int, seeds: int) -> DataFrame:
+    """(seed, entropy) of the seed whose deal of codes to genes loads the bits most evenly. A seed sorts genes by digest; genes
+    are at most as many as codes, so a seed's genes fit one group."""
+    n = genes.limit(len(codes) + 1).count()
+    if n > len(codes):
+        raise ValueError(f"over {len(codes)} genes for {len(codes)} codes")
+    tried = genes.select(gene, weight, F.explode(F.sequence(F.lit(0), F.lit(seeds - 1))).alias("seed"))
+    place = F.row_number().over(Window.partitionBy("seed").orderBy(F.md5(F.concat(F.col("seed").cast("string"), F.lit(":"), F.col(gene).cast("string"))), gene))
+    code = F.element_at(F.array(*[F.lit(c) for c in codes]), place)
+    loads = tried.withColumn("code", code).groupBy("seed").agg(*[F.sum(F.when(F.col("code").bitwiseAND(1 << i) > 0, F.col(weight)).otherwise(0.0)).alias(f"_{i}") for i in range(bits)])
+    total = reduce(lambda a, b: a + b, [F.col(f"_{i}") for i in range(bits)])
+    h = reduce(lambda a, b: a + b, [F.when(F.col(f"_{i}") > 0, -F.col(f"_{i}") / total * F.log2(F.col(f"_{i}") / total)).otherwise(0.0) for i in range(bits)])
+    return loads.select("seed", F.round(h, 9).alias("entropy")).agg(F.max_by(F.struct("seed", "entropy"), F.struct("entropy", -F.col("seed"))).alias("b")).select("b.*")
+
+
+def by_patterns(df: DataFrame, columns: Sequence[str], include: Sequence[str], exclude: Sequence[str]) -> DataFrame:
+    """Rows of which a column matches any pattern to include, all if there is none, and no column one to exclude."""
+    hit = lambda patterns: reduce(lambda a, b: a | b, [F.coalesce(F.col(c).rlike(p), F.lit(False)) for c in columns for p in patterns], F.lit(False))
+    return df.where((hit(include) if include else F.lit(True)) & ~hit(exclude))
