@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from plexum.operators import tables
@@ -62,3 +62,9 @@ def within_distance(df: DataFrame, code: str, others: Sequence[int], distance: i
     for c in others:
         test = test & (F.bit_count(F.col(code).bitwiseXOR(F.lit(c).cast("long"))) >= distance)
     return df.where(test)
+
+
+def round_peaks(intensities: Column, rounds: int, channels: int) -> Column:
+    """The strongest channel of each round, the first of equals, from intensities laid out round by round."""
+    parts = [F.slice(intensities, 1 + r * channels, channels) for r in range(rounds)]
+    return F.array(*[(F.array_position(p, F.array_max(p)) - 1).cast("int") for p in parts])

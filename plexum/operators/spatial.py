@@ -120,7 +120,7 @@ def grid_components(tiles: DataFrame) -> DataFrame:
     and pointer jumps; lineage is cut in the shared folder every round."""
     near = F.explode(F.array(*[F.struct((F.col("col") + dx).alias("col"), (F.col("row") + dy).alias("row")) for dx, dy in ((0, 0), (1, 0), (-1, 0), (0, 1), (0, -1))]))
     edges = tiles.select(F.col("id").alias("a"), near.alias("n")).join(tiles.select(F.col("id").alias("b"), "col", "row"), (F.col("n.col") == F.col("col")) & (F.col("n.row") == F.col("row"))).select("a", "b")
-    _need_folder(tiles)
+    need_folder(tiles)
     edges = edges.checkpoint()
     label = tiles.select("id", F.col("id").alias("label")).checkpoint()
     while True:
@@ -132,7 +132,7 @@ def grid_components(tiles: DataFrame) -> DataFrame:
         label = new
 
 
-def _need_folder(df: DataFrame) -> None:
+def need_folder(df: DataFrame) -> None:
     context = df.sparkSession.sparkContext
     if context._jsc.sc().getCheckpointDir().isDefined():
         return

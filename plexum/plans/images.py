@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from plexum.operators import probes, rasters
+from plexum.operators import graphs, probes, rasters
 from plexum.plans.base import query
 
 _PIXELS = "select l_suppkey % 7 as tile, l_linenumber as z, l_orderkey % 64 as y, l_partkey % 64 as x, l_quantity as value from lineitem"
@@ -35,3 +35,99 @@ select l_returnflag, count(*) as n from s join g using (i, j) group by 1""")
 def density_filter(lineitem):
     kept = probes.density_filter(lineitem.withColumn("blank", F.col("l_returnflag") == "R"), "l_quantity", "l_discount", "blank", (5, 0.025), 0.3)
     return kept.groupBy("l_returnflag").agg(F.count("*").alias("n"))
+
+
+_SET = "select distinct l_suppkey % 7 as tile, l_orderkey % 96 as y, l_partkey % 96 as x from lineitem where l_quantity < 30 and l_suppkey % 7 < 3"
+
+
+def _set(lineitem):
+    kept = lineitem.where("l_quantity < 30 and l_suppkey % 7 < 3")
+    return kept.select(F.pmod("l_suppkey", F.lit(7)).alias("tile"), F.pmod("l_orderkey", F.lit(96)).alias("y"), F.pmod("l_partkey", F.lit(96)).alias("x")).distinct()
+
+
+@query("orders", "lineitem", sql="""with l as (select l_orderkey % 100 as y, l_partkey % 100 as x, max(l_suppkey) as label from lineitem group by all)
+select o_orderkey, coalesce(label, 0)::bigint as label from (select o_orderkey, o_totalprice % 100 as py, o_custkey * 0.37 % 100 as px from orders) left join l on floor(py) = y and floor(px) = x""")
+def raster_lookup(orders, lineitem):
+    labels = lineitem.groupBy(F.pmod("l_orderkey", F.lit(100)).alias("y"), F.pmod("l_partkey", F.lit(100)).alias("x")).agg(F.max("l_suppkey").alias("label"))
+    points = orders.select("o_orderkey", (F.col("o_totalprice") % 100).alias("py"), (F.col("o_custkey") * 0.37 % 100).cast("double").alias("px"))
+    return rasters.label_at(points, labels, "py", "px").select("o_orderkey", "label")
+
+
+@query("part", sql="select p_partkey, p_size % 4 as split, p_partkey + case when p_size % 4 in (1, 3) then 964 else 0 end as x, p_size + case when p_size % 4 in (2, 3) then 964 else 0 end as y from part")
+def quadrant_split(part):
+    split = F.pmod("p_size", F.lit(4))
+    x, y = rasters.split_offset(split, F.col("p_partkey"), F.col("p_size"))
+    return part.select("p_partkey", split.alias("split"), x.alias("x"), y.alias("y"))
+
+
+@query("lineitem", sql=f"select tile, ((y // 6) * 16 + x // 6 + 1)::bigint as label, count(*) as area, round(avg(y), 6) as centroid_y, round(avg(x), 6) as centroid_x, min(y) as y_min, max(y) as y_max, min(x) as x_min, max(x) as x_max from ({_SET}) group by 1, 2")
+def region_properties(lineitem):
+    labelled = _set(lineitem).withColumn("label", (F.floor(F.col("y") / 6) * 16 + F.floor(F.col("x") / 6) + 1).cast("long"))
+    out = rasters.region_properties(labelled, ["tile"])
+    return out.withColumns({c: F.round(c, 6) for c in ("centroid_y", "centroid_x")})
+
+
+@query("lineitem", sql="select l_returnflag as k, min(l_discount) as y0, min(l_quantity) as x0, max(l_discount + 0.5) as y1, max(l_quantity + 2) as x1 from lineitem group by 1")
+def merged_boxes(lineitem):
+    return rasters.merge_boxes(lineitem.select(F.col("l_returnflag").alias("k"), F.col("l_discount").alias("y0"), F.col("l_quantity").alias("x0"), (F.col("l_discount") + 0.5).alias("y1"), (F.col("l_quantity") + 2).alias("x1")), "k")
+
+
+@query("lineitem", sql=f"with s as ({_SET}) select distinct tile, y + a as y, x + b as x from s, range(-1, 2) t(a), range(-1, 2) u(b)")
+def raster_dilate(lineitem):
+    return rasters.dilate(_set(lineitem), ["tile"], 1)
+
+
+@query("lineitem", sql=f"with s as ({_SET}), d as (select distinct tile, y + a as y, x + b as x from s, range(-1, 2) t(a), range(-1, 2) u(b)) select tile, y + a as y, x + b as x from d, range(-1, 2) t(a), range(-1, 2) u(b) group by all having count(*) = 9")
+def raster_closing(lineitem):
+    return rasters.closing(_set(lineitem), ["tile"], 1)
+
+
+@query("lineitem", sql=f"select tile, (y // 16)::bigint as row, (x // 16)::bigint as col, round(quantile_cont(value, 0.01), 6) as low, round(quantile_cont(value, 0.99), 6) as high from ({_PIXELS}) group by all")
+def subtile_percentiles(lineitem):
+    out = rasters.subtile_percentiles(_pixels(lineitem), ["tile"], 16, [0.01, 0.99])
+    return out.select("tile", "row", "col", F.round(F.col("q")[0], 6).alias("low"), F.round(F.col("q")[1], 6).alias("high"))
+
+
+@query("part", "supplier", sql="""with t as (select s_suppkey * 37 % 1000 as x0, s_suppkey * 91 % 1000 as y0 from supplier), p as (select p_partkey, p_partkey * 13 % 1000 as x, p_partkey * 29 % 1000 as y from part)
+select p_partkey, x, y from p where exists (select 1 from t where x >= x0 and x < x0 + 70 and y >= y0 and y < y0 + 50)""")
+def tile_coverage(part, supplier):
+    tiles = supplier.select((F.col("s_suppkey") * 37 % 1000).alias("x0"), (F.col("s_suppkey") * 91 % 1000).alias("y0"))
+    points = part.select("p_partkey", (F.col("p_partkey") * 13 % 1000).alias("x"), (F.col("p_partkey") * 29 % 1000).alias("y"))
+    return rasters.covered(points, tiles, 70, 50)
+
+
+@query("supplier", sql="select s_suppkey, round(s_acctbal * 1.01 + s_suppkey * 0.02 + 3, 4) as y, round(s_acctbal * -0.02 + s_suppkey * 0.99 - 1.5, 4) as x from supplier")
+def affine_shift(supplier):
+    y, x = rasters.affine(F.col("s_acctbal"), F.col("s_suppkey"), ((1.01, 0.02), (-0.02, 0.99)), (3, -1.5))
+    return supplier.select("s_suppkey", F.round(y, 4).alias("y"), F.round(x, 4).alias("x"))
+
+
+@query("lineitem", sql="with m as (select l_returnflag, min(l_extendedprice) as lo, avg(l_extendedprice) as s from lineitem group by 1) select l_returnflag, round(avg(greatest((l_extendedprice - lo * 1.5) / s, 0)), 6) as mean from lineitem join m using (l_returnflag) group by 1")
+def channel_rescale(lineitem):
+    m = lineitem.groupBy("l_returnflag").agg((F.min("l_extendedprice") * 1.5).alias("lo"), F.avg("l_extendedprice").alias("s"))
+    return lineitem.join(m, "l_returnflag").groupBy("l_returnflag").agg(F.round(F.avg(rasters.rescale(F.col("l_extendedprice"), F.col("lo"), F.col("s"))), 6).alias("mean"))
+
+
+@query("lineitem", sql=f"""with recursive s as ({_SET} and l_partkey % 96 < 20 and l_orderkey % 96 < 20), k as (select tile, y, x, tile * 10000 + y * 100 + x as id from s),
+e as (select a.id as a, b.id as b from k a join k b on a.tile = b.tile and abs(a.y - b.y) + abs(a.x - b.x) <= 1), w(a, b) as (select id, id from k union select w.a, e.b from w join e on w.b = e.a), l as (select a as id, min(b) as label from w group by 1)
+select tile, area, y, x from (select tile, label, count(*) as area, round(avg(y), 6) as y, round(avg(x), 6) as x from k join l using (id) group by all) where area between 2 and 400""")
+def pixel_components(lineitem):
+    out = graphs.pixel_components(_set(lineitem).where("x < 20 and y < 20"), ["tile"], 2, 400)
+    return out.withColumns({"y": F.round("y", 6), "x": F.round("x", 6)})
+
+
+@query("supplier", "nation", sql="""with recursive u as (select s_suppkey as id from supplier), f as (select s_suppkey as a, s_suppkey * 3 % 211 as b from supplier where s_suppkey % 4 <> 0), k as (select a, b from f where b in (select id from u)),
+e as (select a, b from k union select b, a from k union select id, id from u), w(a, b) as (select id, id from u union select w.a, e.b from w join e on w.b = e.a), l as (select a as id, min(b) as label from w group by 1)
+select id, dense_rank() over (order by label) as merged from l""")
+def label_merge(supplier, nation):
+    faces = supplier.where("s_suppkey % 4 <> 0").select(F.col("s_suppkey").alias("a"), (F.col("s_suppkey") * 3 % 211).alias("b"))
+    return graphs.merge_labels(supplier.select(F.col("s_suppkey").alias("id")), faces)
+
+
+@query("embeddings", sql="""with e as (select vec_id, label, [list_position(embedding[1:4], list_max(embedding[1:4])) - 1, list_position(embedding[5:8], list_max(embedding[5:8])) - 1, list_position(embedding[9:12], list_max(embedding[9:12])) - 1] as code from embeddings),
+b as (select code, min(label) as target from e where vec_id % 3 = 0 group by 1) select vec_id, array_to_string(e.code, '') as code, target from e left join b on e.code = b.code""")
+def exact_code(embeddings):
+    """Per-round strongest channels looked up in a code book; the book is made of the vectors whose id 3 divides."""
+    v = embeddings.select("vec_id", "label", probes.round_peaks(F.col("embedding"), 3, 4).alias("code"))
+    book = v.where("vec_id % 3 = 0").groupBy("code").agg(F.min("label").alias("target"))
+    return v.select("vec_id", "code").join(book, "code", "left").select("vec_id", F.array_join(F.col("code").cast("array<string>"), "").alias("code"), "target")
