@@ -13,6 +13,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from plexum.operators.ordering import row_index
+
 
 def _cell(v: Column, size: float) -> Column:
     return F.floor(v / size).cast("long")
@@ -151,7 +153,7 @@ def interior(tiles: DataFrame, steps: int) -> DataFrame:
     def ranks(axis: str) -> DataFrame:
         values = tiles.select(axis).distinct()
         n = values.agg(F.count("*").alias(f"_n{axis}"))
-        return values.withColumn(f"_r{axis}", F.row_number().over(Window.orderBy(axis)) - 1).join(F.broadcast(n))
+        return row_index(values, axis, name=f"_r{axis}").join(F.broadcast(n))
 
     both = tiles.join(ranks("x"), "x").join(ranks("y"), "y")
     ok = lambda a: (F.col(f"_r{a}") >= steps) & (F.col(f"_r{a}") < F.col(f"_n{a}") - steps)

@@ -116,10 +116,10 @@ def pixel_components(lineitem):
     return out.withColumns({"y": F.round("y", 6), "x": F.round("x", 6)})
 
 
-@query("supplier", "nation", sql="""with recursive u as (select s_suppkey as id from supplier), f as (select s_suppkey as a, s_suppkey * 3 % 211 as b from supplier where s_suppkey % 4 <> 0), k as (select a, b from f where b in (select id from u)),
+@query("supplier", sql="""with recursive u as (select s_suppkey as id from supplier), f as (select s_suppkey as a, s_suppkey * 3 % 211 as b from supplier where s_suppkey % 4 <> 0), k as (select a, b from f where b in (select id from u)),
 e as (select a, b from k union select b, a from k union select id, id from u), w(a, b) as (select id, id from u union select w.a, e.b from w join e on w.b = e.a), l as (select a as id, min(b) as label from w group by 1)
 select id, dense_rank() over (order by label) as merged from l""")
-def label_merge(supplier, nation):
+def label_merge(supplier):
     faces = supplier.where("s_suppkey % 4 <> 0").select(F.col("s_suppkey").alias("a"), (F.col("s_suppkey") * 3 % 211).alias("b"))
     return graphs.merge_labels(supplier.select(F.col("s_suppkey").alias("id")), faces)
 

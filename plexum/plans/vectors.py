@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from plexum.functions import numbers as N
-from plexum.operators import tables
+from plexum.operators import ordering, tables
 from plexum.plans.base import query
 
 _CENTRES = """e as (select vec_id, label, unnest(embedding)::double as v, unnest(range(1, len(embedding) + 1)) as i from embeddings), c as (select label, i, avg(v) as v from e group by all)"""
@@ -62,7 +62,7 @@ def round_mean_l2(supplier):
 def rank_sum_markers(embeddings):
     """The rank-sum statistic of each label's first coordinate against all others, ties at their mean rank."""
     values = embeddings.groupBy(F.col("embedding")[0].cast("double").alias("x")).agg(F.count("*").alias("c"))
-    ranked = values.withColumn("r", F.sum("c").over(Window.orderBy("x")) - (F.col("c") - 1) / 2)
+    ranked = ordering.running_sum(values, "x", F.col("c"), "r").withColumn("r", F.col("r") - (F.col("c") - 1) / 2)
     rows = embeddings.select("label", F.col("embedding")[0].cast("double").alias("x")).join(ranked, "x")
     return rows.groupBy("label").agg(F.count("*").alias("size"), F.round(F.sum("r") - F.count("*") * (F.count("*") + 1) / 2, 2).alias("u"))
 
