@@ -45,6 +45,15 @@ def _set(lineitem):
     return kept.select(F.pmod("l_suppkey", F.lit(7)).alias("tile"), F.pmod("l_orderkey", F.lit(96)).alias("y"), F.pmod("l_partkey", F.lit(96)).alias("x")).distinct()
 
 
+_SET_TILES = "select distinct l_suppkey % 7 as tile, l_orderkey % 96 as y, l_partkey % 96 as x from lineitem where l_quantity < 30"
+
+
+def _set_tiles(lineitem):
+    """The set pixels of all tiles; _set has those of three, as the SQL of its queries does."""
+    kept = lineitem.where("l_quantity < 30")
+    return kept.select(F.pmod("l_suppkey", F.lit(7)).alias("tile"), F.pmod("l_orderkey", F.lit(96)).alias("y"), F.pmod("l_partkey", F.lit(96)).alias("x")).distinct()
+
+
 @query("orders", "lineitem", sql="""with l as (select l_orderkey % 100 as y, l_partkey % 100 as x, max(l_suppkey) as label from lineitem group by all)
 select o_orderkey, coalesce(label, 0)::bigint as label from (select o_orderkey, o_totalprice % 100 as py, o_custkey * 0.37 % 100 as px from orders) left join l on floor(py) = y and floor(px) = x""")
 def raster_lookup(orders, lineitem):
@@ -116,6 +125,13 @@ def pixel_components(lineitem):
     return out.withColumns({"y": F.round("y", 6), "x": F.round("x", 6)})
 
 
+@query("lineitem")
+def pixel_components_tiles(lineitem):
+    """Spots of whole tiles: all set pixels, no corner. Recursive SQL over these has no end in sight, so tests compare with a flood fill."""
+    out = graphs.pixel_components(_set_tiles(lineitem), ["tile"], 2, 400)
+    return out.withColumns({"y": F.round("y", 6), "x": F.round("x", 6)})
+
+
 @query("supplier", sql="""with recursive u as (select s_suppkey as id from supplier), f as (select s_suppkey as a, s_suppkey * 3 % 211 as b from supplier where s_suppkey % 4 <> 0), k as (select a, b from f where b in (select id from u)),
 e as (select a, b from k union select b, a from k union select id, id from u), w(a, b) as (select id, id from u union select w.a, e.b from w join e on w.b = e.a), l as (select a as id, min(b) as label from w group by 1)
 select id, dense_rank() over (order by label) as merged from l""")

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from plexum.operators import graphs, grids, ordering, rasters, screening, spatial, tables
 from plexum.operators.thermo import melting_temperature
+from plexum.plans import registry
 
 
 def test_align():
@@ -138,3 +139,25 @@ def test_small_tables(spark):
     assert [tuple(r) for r in rasters.erode(pixels, [], 1).collect()] == [(1, 1)] and rasters.opening(pixels, [], 1).count() == 9
     vectors = spark.createDataFrame([([3.0, 4.0],), ([0.1, 0.1],)], "v array<double>")
     assert [r[0] for r in vectors.select(rasters.quiet(F.col("v"), 1.0)).collect()] == [[3.0, 4.0], [0.0, 0.0]]
+
+
+def test_pixel_components_of_whole_tiles(spark, tmp_path):
+    rng = random.Random(11)
+    crossing = [(6, y, x) for y, x in [(18, 19), (19, 19), (19, 20), (20, 20), (20, 21)]]
+    pixels = crossing + [(rng.randrange(7), rng.randrange(96), rng.randrange(96)) for _ in range(2500)]
+    rows = [(y + 96 * (n % 5), x + 96 * (n % 3), t + 7 * (n % 4), 29.0) for n, (t, y, x) in enumerate(pixels)] + [(1, 1, 1, 30.0)]
+    spark.createDataFrame(rows, "l_orderkey long, l_partkey long, l_suppkey long, l_quantity double").write.parquet(str(tmp_path / "lineitem.parquet"))
+    left, want = set(pixels), []
+    while left:
+        spot, todo = [], [left.pop()]
+        while todo:
+            t, y, x = todo.pop()
+            spot.append((t, y, x))
+            near = {(t, y + 1, x), (t, y - 1, x), (t, y, x + 1), (t, y, x - 1)} & left
+            left -= near
+            todo += near
+        if 2 <= len(spot) <= 400:
+            want.append((spot[0][0], len(spot), round(sum(p[1] for p in spot) / len(spot), 6), round(sum(p[2] for p in spot) / len(spot), 6)))
+    found = registry.QUERIES["pixel_components_tiles"](spark, str(tmp_path)).collect()
+    assert sorted((r.tile, r.area, r.y, r.x) for r in found) == sorted(want)
+    assert {r.tile for r in found} == set(range(7)) and any(r.y > 20 and r.x > 20 for r in found)
