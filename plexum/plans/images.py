@@ -76,6 +76,13 @@ def region_properties(lineitem):
     return out.withColumns({c: F.round(c, 6) for c in ("centroid_y", "centroid_x")})
 
 
+@query("lineitem", sql=f"select tile, ((y // 6) * 16 + x // 6 + 1)::bigint as label, count(*) as area, round(avg(y), 6) as centroid_y, round(avg(x), 6) as centroid_x, min(y) as y_min, max(y) as y_max, min(x) as x_min, max(x) as x_max from ({_SET_TILES}) group by 1, 2")
+def region_properties_tiles(lineitem):
+    labelled = _set_tiles(lineitem).withColumn("label", (F.floor(F.col("y") / 6) * 16 + F.floor(F.col("x") / 6) + 1).cast("long"))
+    out = rasters.region_properties(labelled, ["tile"])
+    return out.withColumns({c: F.round(c, 6) for c in ("centroid_y", "centroid_x")})
+
+
 @query("lineitem", sql="select l_returnflag as k, min(l_discount) as y0, min(l_quantity) as x0, max(l_discount + 0.5) as y1, max(l_quantity + 2) as x1 from lineitem group by 1")
 def merged_boxes(lineitem):
     return rasters.merge_boxes(lineitem.select(F.col("l_returnflag").alias("k"), F.col("l_discount").alias("y0"), F.col("l_quantity").alias("x0"), (F.col("l_discount") + 0.5).alias("y1"), (F.col("l_quantity") + 2).alias("x1")), "k")
@@ -86,11 +93,21 @@ def raster_dilate(lineitem):
     return rasters.dilate(_set(lineitem), ["tile"], 1)
 
 
+@query("lineitem", sql=f"with s as ({_SET_TILES}) select distinct tile, y + a as y, x + b as x from s, range(-1, 2) t(a), range(-1, 2) u(b)")
+def raster_dilate_tiles(lineitem):
+    return rasters.dilate(_set_tiles(lineitem), ["tile"], 1)
+
+
 @query("lineitem", sql=f"with s as ({_SET}), d as (select distinct tile, y + a as y, x + b as x from s, range(-1, 2) t(a), range(-1, 2) u(b)) select tile, y + a as y, x + b as x from d, range(-1, 2) t(a), range(-1, 2) u(b) group by all having count(*) = 9")
 def raster_closing(lineitem):
     return rasters.closing(_set(lineitem), ["tile"], 1)
 
 
+@query("lineitem", sql=f"with s as ({_SET_TILES}), d as (select distinct tile, y + a as y, x + b as x from s, range(-1, 2) t(a), range(-1, 2) u(b)) select tile, y + a as y, x + b as x from d, range(-1, 2) t(a), range(-1, 2) u(b) group by all having count(*) = 9")
+def raster_closing_tiles(lineitem):
+    return rasters.closing(_set_tiles(lineitem), ["tile"], 1)
+
+
 @query("lineitem", sql=f"select tile, (y // 16)::bigint as row, (x // 16)::bigint as col, round(quantile_cont(value, 0.01), 6) as low, round(quantile_cont(value, 0.99), 6) as high from ({_PIXELS}) group by all")
 def subtile_percentiles(lineitem):
     out = rasters.subtile_percentiles(_pixels(lineitem), ["tile"], 16, [0.01, 0.99])
