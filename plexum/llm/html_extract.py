@@ -1,14 +1,17 @@
 """Main-text extraction with templates deduced from equivalence classes.
 
-Pages of a host share a template. The tokens of a page are its container elements, each with its place in the nesting and
-its class and id, and its texts outside an article. Tokens with the same occurrence vector over the host's pages form an
-equivalence class; here a vector is a sum (exclusive or) of hashes of page and count, so that it is aggregated before and
-after a shuffle and no task ever holds the pages of a host. A class is valid if its tokens occur on enough pages; ordered by
-position and nested by path, the valid classes are the host's template. What a page holds beside its template are slots:
-text that the template repeats is dropped, and so are slots inside elements that are no part of an article.
+Pages of a host share templates. The tokens of a page are its container elements, each with its place in the nesting and
+its class and id, and its texts. Tokens with the same occurrence vector over the host's distinct pages form an equivalence
+class; here a vector is a sum (exclusive or) of hashes of page and count, so that it is aggregated before and after a shuffle
+and no task ever holds the pages of a host. A class is valid if its tokens occur on enough pages.
 
-Slots inside an article or main element are the main text. A page without one gets its slots outside menus, headers,
-footers, sidebars, notices, adverts, forms and comments that are not mostly links and not text of the template.
+A layout is known by its elements: a text is the template's if it is nested in an element and occurs on enough of the pages
+that hold this element, however few of the host's pages these are. A text of the element's own class occurs on all of them.
+What a page holds beside its template are slots: text that the template repeats is dropped, inside an article too, and so are
+slots inside elements that are no part of an article.
+
+Slots inside an article or main element are the main text; an article of template text alone is kept. A page without one gets
+its slots outside menus, headers, footers, sidebars, notices, adverts, forms and comments that are not mostly links.
 
 Defined cases: null html has no text; markup that is cut off ends with the page; a null or malformed URL has the empty
 host, whose pages share a template; a repeated row gives a repeated result; clashing columns are replaced.
@@ -32,7 +35,7 @@ from plexum.llm.common import cut, schema_with, slices, with_columns
 #: A token belongs to a template from so many pages, and this share of the host's pages, on. The share bounds a template's
 #: size: at most 1 / SHARE times the tokens of a page.
 PAGES, SHARE = 2, 0.1
-#: Text on this share of a host's pages, three at least, is the template's.
+#: Text on this share of the pages that hold its element, three at least, is the template's.
 CONSTANT = 0.5
 #: Templates of at most so many tokens in all are sent to every task; else they are joined by host.
 MAX_SENT = 50_000
@@ -164,39 +167,46 @@ def host(url: str | None) -> str:
     return m[1].lower() if m else ""
 
 
-def tokens(page: str | None) -> tuple[list[Block], list[str]]:
-    """A page's blocks, and its tokens in order: paths of containers, and texts outside main elements by hash."""
+def tokens(page: str | None) -> tuple[list[Block], list[tuple[str, str | None]]]:
+    """A page's blocks, and its tokens in order: paths of containers, and texts by hash, each with the path that it stands in."""
     found, paths = blocks(page)
-    return found, paths + [text_token(b) for b in found if not b.main]
+    return found, [(p, None) for p in paths] + [(text_token(b), b.path) for b in found]
 
 
 def text_token(b: Block) -> str:
     return f"{b.path}#{xxhash.xxh3_64_hexdigest(b.text)}"
 
 
-def templates(pages: DataFrame, url: str = "url", html: str = "html") -> DataFrame:
-    """host, pages (of the host), template: its tokens, each with its class (number, by position of the first token), the
-    pages that hold it, and its mean position."""
+def _seen(pages: DataFrame, url: str, html: str) -> DataFrame:
+    """host, token, within (a text's container), vector, pages (distinct by html), place; the token '' counts the host's pages."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fields = pa.list_(pa.struct([("token", pa.string()), ("within", pa.string()), ("vector", pa.int64()), ("place", pa.int64())]))
         for batch in slices(batches, "h", 4 << 20):
             rows: list[tuple] = []
             for u, h in zip(batch.column("u").to_pylist(), batch.column("h").to_pylist()):
-                at = host(u)
-                page = xxhash.xxh3_64_intdigest(f"{u}\0{h}")
+                page = xxhash.xxh3_64_intdigest(h or "")
                 own = tokens(h)[1]
-                place: dict[str, int] = {}
+                place: dict[tuple, int] = {}
                 for i, t in enumerate(own):
                     place.setdefault(t, i)
-                rows.append((at, "", 0, 0))
-                rows += [(at, t, _signed(xxhash.xxh3_64_intdigest(f"{n}", seed=page)), place[t]) for t, n in Counter(own).items()]
+                found = [{"token": "", "within": None, "vector": 0, "place": 0}]
+                found += [{"token": t[0], "within": t[1], "vector": _signed(xxhash.xxh3_64_intdigest(f"{n}", seed=page)), "place": place[t]} for t, n in Counter(own).items()]
+                rows.append((host(u), _signed(page), found))
             cols = list(zip(*rows))
-            yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], names=["host", "token", "vector", "place"])
+            yield pa.RecordBatch.from_arrays([pa.array(cols[0]), pa.array(cols[1]), pa.array(cols[2], fields)], names=["host", "page", "tokens"])
 
-    seen = (
-        pages.select(F.col(url).alias("u"), F.col(html).alias("h")).mapInArrow(run, "host string, token string, vector long, place long")
-        .groupBy("host", "token").agg(F.bit_xor("vector").alias("vector"), F.count("*").alias("pages"), F.avg("place").alias("place"))
+    return (
+        pages.select(F.col(url).alias("u"), F.col(html).alias("h")).mapInArrow(run, "host string, page long, tokens array<struct<token string, within string, vector long, place long>>")
+        .groupBy("host", "page").agg(F.first("tokens").alias("tokens")).select("host", F.inline("tokens"))
+        .groupBy("host", "token", "within").agg(F.bit_xor("vector").alias("vector"), F.count("*").alias("pages"), F.avg("place").alias("place"))
     )
+
+
+def templates(pages: DataFrame, url: str = "url", html: str = "html") -> DataFrame:
+    """host, pages (of the host, distinct), template: its tokens, each with its class (number, by position of the first token),
+    the pages that hold it, and its mean position."""
+    seen = _seen(pages, url, html)
     sizes = seen.where("token = ''").select("host", F.col("pages").alias("of"))
     valid = seen.where("token <> ''").where(f"pages >= {PAGES}").join(sizes, "host").where(f"pages >= {SHARE} * of")
     classes = valid.groupBy("host", "vector", "pages").agg(F.max("of").alias("of"), F.min("place").alias("first"), F.array_sort(F.collect_list(F.struct("place", "token"))).alias("members"))
@@ -206,25 +216,32 @@ def templates(pages: DataFrame, url: str = "url", html: str = "html") -> DataFra
     )
 
 
+def constants(pages: DataFrame, url: str = "url", html: str = "html") -> DataFrame:
+    """_host, _constant: text tokens of the host's templates, each judged over the pages that hold its element."""
+    seen = cut(_seen(pages, url, html).where("pages >= 3"))
+    holders = seen.where("within is null").select("host", F.col("token").alias("within"), F.col("pages").alias("of"))
+    # a text in no element stands in the page itself, whose token is ''
+    texts = seen.where("within is not null").join(holders, ["host", "within"])
+    return texts.where(F.col("pages") >= CONSTANT * F.col("of")).groupBy(F.col("host").alias("_host")).agg(F.collect_list("token").alias("_constant"))
+
+
 def _signed(x: int) -> int:
     return x - (1 << 64) if x >= 1 << 63 else x
 
 
 def main_text(page: str | None, constant: set[str]) -> tuple[str, list[str]]:
-    """The main text, and the paths of the slots that gave it. constant: the template's text tokens."""
+    """The main text, and the paths of the slots that gave it. constant: the templates' text tokens."""
     found = [b for b in blocks(page)[0] if not b.other]
-    picked = [b for b in found if b.main] or [b for b in found if b.link_share < 0.5 and text_token(b) not in constant]
+    main = [b for b in found if b.main]
+    slots = [b for b in main or found if (main or b.link_share < 0.5) and text_token(b) not in constant]
+    picked = slots or main
     return " ".join(b.text for b in picked), list(dict.fromkeys(b.path for b in picked))
 
 
 def extract(pages: DataFrame, url: str = "url", html: str = "html", max_sent: int = MAX_SENT) -> DataFrame:
     """pages with text (main text) and slots (the paths it stood in)."""
     of_host = F.coalesce(F.lower(F.regexp_extract(F.col(url), r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1)), F.lit(""))
-    least = F.greatest(F.lit(3.0), F.col("pages") * CONSTANT)
-    fixed = templates(pages, url, html).select(
-        F.col("host").alias("_host"), F.transform(F.filter("template", lambda t: t["token"].contains("#") & (t["pages"] >= least)), lambda t: t["token"]).alias("_constant")
-    ).where("size(_constant) > 0")
-    fixed = cut(fixed)
+    fixed = cut(constants(pages, url, html))
     small = (fixed.agg(F.sum(F.size("_constant"))).first()[0] or 0) <= max_sent
     joined = pages.withColumn("_host", of_host).join(F.broadcast(fixed) if small else fixed, "_host", "left")
 

@@ -188,6 +188,17 @@ def test_html(spark):
     assert {t.pages for t in template} == {6} and len({t["class"] for t in template}) == 1
 
 
+def test_html_templates_by_layout(spark):
+    note = "<div>Join our circle of readers</div>"
+    inside = [(i, f"http://a.org/{i}", f"<body><article><p>Story {i} of the day</p>{note}</article></body>") for i in range(40)]
+    rare = [(100 + i, f"http://a.org/r{i}", f"<body><div class=q><div>Sold by us</div><p>Item {i} on sale</p></div></body>") for i in range(3)]
+    copies = [(200 + i, f"http://b.org/{i}", "<body><article><p>One story</p><p>in two parts</p></article></body>") for i in range(5)]
+    alone = [(300 + i, f"http://c.org/{i}", f"<body><article><p>All the same</p></article><i>{i}</i></body>") for i in range(4)]
+    pages = spark.createDataFrame(inside + rare + copies + alone, "page_id long, url string, html string")
+    got = {r.page_id: r.text for r in html_extract.extract(pages).collect()}
+    assert got == {i: f"Story {i} of the day" for i in range(40)} | {100 + i: f"Item {i} on sale" for i in range(3)} | {200 + i: "One story in two parts" for i in range(5)} | {300 + i: "All the same" for i in range(4)}
+
+
 def test_webp_round_trip(spark, texts, odd):
     payloads = [x.encode() + b"\0" * (-len(x.encode()) % 64 if x else 64) for x in [*texts.values(), "", "a", "xyz" * 40_000]]
     media = [webp.store(p) for p in payloads]
