@@ -19,8 +19,8 @@ Buckets are as many as the session's shuffle partitions. Two different sets with
 be merged: for 10^9 documents the chance is about one in forty.
 
 Defined cases: null, empty and wordless texts have no shingles and link with nothing; a text of fewer than SHINGLE words is
-one shingle; repeated rows and copies link; ties of doc_id do no harm; rows with null doc_id take part and get the class of
-their text, null if nothing else has it; clashing columns are replaced.
+one shingle; repeated rows and copies link; texts are joined by node, so rows of one doc_id may differ in text; rows with
+null doc_id take part, link others, and get the class of their text, null if no row of it has an id; clashing columns are replaced.
 """
 
 from __future__ import annotations
@@ -287,14 +287,19 @@ def forest(nodes: np.ndarray, token_sets: list[np.ndarray], side: np.ndarray | N
 
 
 def compressed(docs: DataFrame, text: str) -> DataFrame:
-    """docs with the text as compressed UTF-8, which takes a third of the space in a shuffle."""
+    """node and its text as compressed UTF-8, which takes a third of the space in a shuffle; one row a node."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         press = zstandard.ZstdCompressor(level=3)
         for batch in slices(batches, text, 4 << 20):
-            yield with_columns(batch, {text: pa.array([press.compress((x or "").encode("utf-8", "surrogatepass")) for x in batch.column(text).to_pylist()], pa.binary())})
+            found = {}
+            for x in batch.column(text).to_pylist():
+                tokens = shingles(x)
+                if len(tokens) and (node := node_of(tokens)) not in found:
+                    found[node] = press.compress(x.encode("utf-8", "surrogatepass"))
+            yield pa.RecordBatch.from_arrays([pa.array(found, pa.int64()), pa.array(found.values(), pa.binary())], names=["node", text])
 
-    return docs.mapInArrow(run, schema_with(docs, f"`{text}` binary"))
+    return docs.select(text).mapInArrow(run, f"node long, `{text}` binary").dropDuplicates(["node"])
 
 
 def join(docs: DataFrame, id: str = "doc_id", text: str = "text", percent: int = PERCENT, max_tokens: int = MAX_TOKENS) -> DataFrame:
@@ -304,11 +309,11 @@ def join(docs: DataFrame, id: str = "doc_id", text: str = "text", percent: int =
     base = docs.select(F.col(id).alias("_id"), F.col(text).alias("_text"))
     known = cut(sets(base, "_text"))
     clusters = cut(components(candidates(base, buckets, percent, "_text")))
-    by_node = known.where("node is not null").groupBy("node").agg(F.min("_id").alias("_id"), F.max("n_shingles").alias("n"))
-    chosen = clusters.join(by_node, "node").where("_id is not null")
+    by_node = known.where("node is not null").groupBy("node").agg(F.max("n_shingles").alias("n"))
+    chosen = clusters.join(by_node, "node")
     size = chosen.groupBy("component").agg(F.sum("n").alias("tokens")).withColumn("blocks", F.ceil(F.col("tokens") / max_tokens).cast("int"))
-    placed = chosen.join(size, "component").select(F.col("node"), F.col("component"), "blocks", F.pmod(F.xxhash64("node"), "blocks").cast("int").alias("block"), F.col("_id").alias("_rep"))
-    held = placed.join(compressed(base, "_text"), F.col("_rep") == F.col("_id")).select("node", "component", "blocks", "block", "_text").dropDuplicates(["node"])
+    placed = chosen.join(size, "component").select(F.col("node"), F.col("component"), "blocks", F.pmod(F.xxhash64("node"), "blocks").cast("int").alias("block"))
+    held = compressed(base, "_text").join(placed, "node").select("node", "component", "blocks", "block", "_text")
 
     def to_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "_text", 2 << 20):

@@ -188,6 +188,17 @@ def test_html(spark):
     assert {t.pages for t in template} == {6} and len({t["class"] for t in template}) == 1
 
 
+def test_join_of_repeated_and_null_ids(spark):
+    words = [f"w{i}" for i in range(300)]
+    near = [" ".join([*words[: 300 - k], *(f"x{i}" for i in range(300 - k, 300))]) for k in (0, 25, 50)]  # 0 links with 25, 25 with 50
+    other = " ".join(f"o{i}" for i in range(100))
+    rows = [(1, near[0]), (None, near[1]), (3, near[2])] + [(7, other), (7, other + " end"), (7, "quite unlike the texts above it"), (9, other + " end here")]
+    for own in (rows, rows[::-1]):
+        df = spark.createDataFrame(own, "doc_id long, text string").coalesce(1)
+        got = sorted(((r.doc_id, r.component_id) for r in ngram_join.join(df).collect()), key=repr)
+        assert got == sorted([(1, 1), (None, 1), (3, 1), (7, 7), (7, 7), (7, 7), (9, 7)], key=repr)
+
+
 def test_html_templates_by_layout(spark):
     note = "<div>Join our circle of readers</div>"
     inside = [(i, f"http://a.org/{i}", f"<body><article><p>Story {i} of the day</p>{note}</article></body>") for i in range(40)]
