@@ -226,11 +226,13 @@ def variance_captured(df: DataFrame, columns: Sequence[str], selected: Sequence[
 
 
 def blank_classifier(spots: DataFrame, features: Sequence[str], blank: str, depth: int = 4) -> DataFrame:
-    """spots with p_blank, a decision tree's chance that a spot is a blank."""
+    """spots with p_blank, a decision tree's chance that a spot is a blank; null for spots without one of the features, which
+    the tree is not fitted on."""
     from pyspark.ml.classification import DecisionTreeClassifier
     from pyspark.ml.feature import VectorAssembler
     from pyspark.ml.functions import vector_to_array
 
-    ready = VectorAssembler(inputCols=list(features), outputCol="_f", handleInvalid="skip").transform(spots.withColumn("_y", F.col(blank).cast("double")))
-    model = DecisionTreeClassifier(featuresCol="_f", labelCol="_y", probabilityCol="_p", rawPredictionCol="_r", predictionCol="_k", maxDepth=depth, seed=0).fit(ready)
-    return model.transform(ready).withColumn("p_blank", F.element_at(vector_to_array("_p"), 2)).drop("_f", "_y", "_p", "_r", "_k")
+    ready = VectorAssembler(inputCols=list(features), outputCol="_f", handleInvalid="keep").transform(spots.withColumn("_y", F.col(blank).cast("double")))
+    whole = F.forall(vector_to_array("_f"), lambda v: ~F.isnan(v))
+    model = DecisionTreeClassifier(featuresCol="_f", labelCol="_y", probabilityCol="_p", rawPredictionCol="_r", predictionCol="_k", maxDepth=depth, seed=0).fit(ready.where(whole))
+    return model.transform(ready).withColumn("p_blank", F.when(whole, F.element_at(vector_to_array("_p"), 2))).drop("_f", "_y", "_p", "_r", "_k")

@@ -172,3 +172,9 @@ def test_raster_queries_take_all_tiles(spark, tmp_path):
     assert rows_of("raster_dilate_tiles", "tile", "y", "x") == wide
     assert rows_of("raster_closing_tiles", "tile", "y", "x") == pixels | {(t, 10, 11) for t in range(7)}
     assert rows_of("region_properties_tiles", "tile", "label", "area") == {(t, n, a) for t in range(7) for n, a in [(18, 1), (19, 1), (241, 1)]}
+
+
+def test_blank_classifier_keeps_spots_without_a_feature(spark):
+    rows = [(i, float(i), 1.0, i < 20) for i in range(40)] + [(100, None, 1.0, True), (101, 3.0, None, False), (102, float("nan"), 1.0, True)]
+    out = screening.blank_classifier(spark.createDataFrame(rows, "id int, a double, b double, blank boolean"), ["a", "b"], "blank")
+    assert {r.id: r.p_blank for r in out.collect()} == {i: float(i < 20) for i in range(40)} | {100: None, 101: None, 102: None}
