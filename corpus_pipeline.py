@@ -1,7 +1,8 @@
 """A corpus pipeline of five stages over `documents`.
 
-Each stage takes what its predecessor kept and, but for the last, returns the columns of documents. Rows with a null doc_id
-cannot be told apart by the join stage and pass it unjudged; null texts count as empty everywhere and are kept.
+Each stage takes what its predecessor kept and, but for the last, returns the columns of documents. The join stage tells rows
+apart by doc_id and text, so that null and repeated doc_ids are judged by their texts; null texts count as empty everywhere
+and are kept.
 """
 
 from __future__ import annotations
@@ -24,13 +25,17 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents that links join, the one of least doc_id stays; of rows that repeat a doc_id, one."""
-    found = ngram_join.join(docs.select("doc_id", "text"))
-    kept = cut(found.where("doc_id = component_id").groupBy("doc_id").agg(F.count("*").alias("n")))
-    out = docs.join(kept.select("doc_id"), "doc_id", "left_semi")
+    """Of documents that links join, the one of least doc_id stays, null ids last; of rows that repeat a doc_id and a text, one.
+    Texts without words link with nothing; those with a null doc_id all stay."""
+    key = F.struct(F.col("doc_id").isNull().alias("unnamed"), F.coalesce("doc_id", F.lit(0)).alias("id"), F.xxhash64("text").alias("text"))
+    apart = F.col("doc_id").isNull() & ~F.coalesce("text", F.lit("")).rlike(r"\S")
+    judged = docs.where(~apart).withColumn("_key", key)
+    found = ngram_join.join(judged.select("_key", "text"), "_key")
+    kept = cut(found.where("_key = component_id").groupBy("_key").agg(F.count("*").alias("n")))
+    out = judged.join(kept.select("_key"), "_key", "left_semi")
     if not kept.where("n > 1").isEmpty():
-        out = out.dropDuplicates(["doc_id"])
-    return out.unionByName(docs.where("doc_id is null")).select(docs.columns)
+        out = out.dropDuplicates(["_key"])
+    return out.select(docs.columns).unionByName(docs.where(apart)).select(docs.columns)
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

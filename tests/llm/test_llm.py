@@ -350,5 +350,16 @@ def test_pipeline(spark):
     assert sorted((r.doc_id for r in odd.collect()), key=repr) == [1, 2, None]
 
 
+def test_pipeline_join_by_text(spark):
+    import corpus_pipeline
+
+    schema = spark.read.parquet(f"{SF}/documents.parquet").schema
+    texts = ["one text of seven words in all", "quite another text under the same id", "a third that has an id in one row"]
+    rows = [(None, texts[0])] * 3 + [(5, texts[1]), (5, texts[2]), (5, texts[2]), (None, texts[2]), (8, texts[2]), (None, None), (None, ""), (6, "")]
+    docs = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in rows], schema)
+    got = [(r.doc_id, r.text) for r in corpus_pipeline.one_of_each_group(spark, docs, SF).collect()]
+    assert sorted(got, key=repr) == sorted([(None, texts[0]), (5, texts[1]), (5, texts[2]), (None, None), (None, ""), (6, "")], key=repr)
+
+
 def test_sql_escapes():
     assert r"'\', '\\'" in OP1_SQL
