@@ -7,9 +7,11 @@ import gc
 import tempfile
 from collections.abc import Iterable, Iterator
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 
@@ -85,3 +87,37 @@ def schema_with(df: DataFrame, added: str) -> StructType:
     new = StructType.fromDDL(added).fields
     taken = {f.name.lower() for f in new}
     return StructType([f for f in df.schema if f.name.lower() not in taken] + new)
+
+
+#: Bits of a sketch of keys.
+SKETCH_BITS = 1 << 25
+
+
+def _bits(keys: np.ndarray) -> np.ndarray:
+    """Where keys stand in a sketch: a column each."""
+    x = keys.astype(np.int64).view(np.uint64)
+    out = []
+    for seed in (1, 2, 3):
+        h = (x ^ np.uint64(seed * 0x9E3779B97F4A7C15 % 2**64)) * np.uint64(0xC4CEB9FE1A85EC53)
+        h = (h ^ (h >> np.uint64(31))) * np.uint64(0xFF51AFD7ED558CCD)
+        out.append((h ^ (h >> np.uint64(33))) % np.uint64(SKETCH_BITS))
+    return np.stack(out)
+
+
+def sketch(keys: DataFrame, column: str = "key") -> np.ndarray:
+    """A Bloom filter of a column of longs. Its size is fixed: with ever more keys it lets more pass, and in the end all."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at = np.unique(_bits(batch.column(column).to_numpy(zero_copy_only=False)))
+            yield pa.RecordBatch.from_arrays([pa.array((at >> np.uint64(6)).astype(np.int32)), pa.array((np.uint64(1) << (at & np.uint64(63))).view(np.int64))], names=["word", "mask"])
+
+    words = keys.select(column).mapInArrow(run, "word int, mask long").groupBy("word").agg(F.bit_or("mask").alias("mask")).toArrow()
+    out = np.zeros(SKETCH_BITS // 64, np.uint64)
+    out[words.column("word").to_numpy()] = words.column("mask").to_numpy().view(np.uint64)
+    return out
+
+
+def in_sketch(held: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    at = _bits(keys)
+    return ((held[(at >> np.uint64(6)).astype(np.int64)] >> (at & np.uint64(63))) & np.uint64(1)).all(axis=0)

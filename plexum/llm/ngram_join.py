@@ -7,20 +7,25 @@ rungs grow by a quarter, up to REACH percent of n. So:
 
 1. Tokens of the longest prefix go to buckets by token, where those of one node only are dropped and the others get their
    number of nodes.
-2. Back at its node, a rung l is refuted if fewer than l tokens are left in its prefix; then no partner can exist and the
-   node leaves. For each rung the first c - l + 1 of its c left tokens, rare ones first, are what a partner must meet. A node
-   probes at the rung whose tokens promise the fewest candidates, and is found at the rungs where a partner may probe.
-3. Nodes that meet at one token and rung, one of them probing, are candidates. They are not paired up: each is tied to the
-   least of them, and the ties' components are clusters that hold all links.
-4. A cluster's sets are compared exactly by counting shared tokens; clusters over MAX_TOKENS tokens in pairs of blocks. What
-   comes out is a spanning forest of the links, whose components are the classes.
+2. Back at its node, a rung that every partner must have is refuted if fewer than l tokens are left in its prefix; then the
+   node leaves. Else it probes at the rung whose tokens promise the fewest candidates. Where even these promise more than
+   COST, its prefix is lengthened over the whole set, in the order of rarity (4).
+3. Probes meet the nodes that hold their tokens. The tokens that a pair shares are counted, and pairs below the l that both
+   prefixes reach are dropped. The rest are compared exactly.
+4. Nodes of step 2 that cost too much share their tokens among themselves, rare ones first; the prefix of c - t + l of the c
+   tokens that others hold too must give l shared ones, l being MULTI. They stand in dense groups: so first each is
+   compared with the least node of each of its tokens, and what links becomes a component; then only pairs of different
+   components are counted against l, and compared. No group of near copies is expanded into its pairs.
 
-Buckets are as many as the session's shuffle partitions. Two different sets with one 64-bit fingerprint and one size would
-be merged: for 10^9 documents the chance is about one in forty.
+The links' components are the classes. Every pair of which one node probes is found in step 3, every other in step 4.
+
+Buckets grow with the input, at most BUCKET bytes of entries each on average; one token's entries stay together. Two different
+sets with one 64-bit fingerprint would be merged: for 10^9 documents the chance is about one in forty.
 
 Defined cases: null, empty and wordless texts have no shingles and link with nothing; a text of fewer than SHINGLE words is
 one shingle; repeated rows and copies link; texts are joined by node, so rows of one doc_id may differ in text; rows with
-null doc_id take part, link others, and get the class of their text, null if no row of it has an id; clashing columns are replaced.
+null doc_id take part, link others, and get the class of their text, null if no row of it has an id; clashing columns are
+replaced; an empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -36,7 +41,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plexum.llm.common import cut, schema_with, slices, with_columns
+from plexum.llm.common import cut, in_sketch, schema_with, sketch, slices, with_columns
 from plexum.llm.components import components
 
 SHINGLE = 5
@@ -45,13 +50,24 @@ PERCENT = 80
 REACH = 15
 #: Rungs below its highest at which a node may probe.
 PROBE = 1
-#: Tokens that one task compares at once.
-MAX_TOKENS = 2_000_000
+#: Shared tokens, summed over a prefix, from which a node is compared in the order of rarity instead.
+COST = 2_048
+#: Shared tokens that a prefix in the order of rarity asks for.
+MULTI = 4
+#: Meetings that are counted at once.
+EVENTS = 4_000_000
+#: Bytes of entries in a bucket, on average.
+BUCKET = 32 << 20
 _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 _M1, _M2 = np.uint64(0xFF51AFD7ED558CCD), np.uint64(0xC4CEB9FE1A85EC53)
 _POSTING = (("token", "<u8"), ("node", "<i8"), ("n", "<u4"), ("rung", "u1"))
 _SHARED = (*_POSTING, ("df", "<u4"))
-_CANDIDATE = (("token", "<u8"), ("node", "<i8"), ("rung", "u1"), ("probe", "u1"))
+_ENTRY = (("token", "<u8"), ("node", "<i8"), ("rung", "u1"), ("probe", "u1"), ("top", "u1"))
+_WHOLE = (("token", "<u8"), ("node", "<i8"), ("n", "<u4"))
+_COUNTED = (*_WHOLE, ("df", "<u4"))
+_RARE = (("token", "<u8"), ("node", "<i8"), ("component", "<i8"), ("least", "u1"))
+#: Stands for a node that does not probe.
+NONE = 255
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -191,147 +207,254 @@ def shared_tokens(x: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
     return {k: v[keep] for k, v in x.items()} | {"df": df[keep].astype(np.uint32)}
 
 
-def choose(tokens: np.ndarray, rungs: np.ndarray, df: np.ndarray, n: int, percent: int = PERCENT) -> list[tuple[int, np.ndarray, bool]]:
-    """Of one node: for each rung (by number) the tokens at which partners meet it, and whether it probes there. Nothing if
-    a rung that every possible partner has is refuted."""
+def probe_of(rungs: np.ndarray, df: np.ndarray, n: int, percent: int = PERCENT, cost: int = COST) -> int | None:
+    """Of one node, from its shared tokens: the rung at which it probes, NONE if each promises too much, None if a rung that
+    every possible partner has is refuted."""
     low, top, probe, common = rungs_of(n, percent)
-    out, costs = [], []
-    for j in range(low, top + 1):
-        least = rung_size(j)
-        at = np.flatnonzero(rungs <= j)
-        if len(at) < least:
-            if j <= common:
-                return []
-            continue
-        at = at[np.lexsort((tokens[at], df[at]))][: len(at) - least + 1]
-        out.append((j, tokens[at]))
-        costs.append(int(df[at].sum()) if j >= probe else 1 << 62)
-    if not out:
-        return []
-    best = int(np.argmin(costs))
-    return [(j, t, i == best) for i, (j, t) in enumerate(out)]
-
-
-def candidate_ties(x: dict[str, np.ndarray]) -> np.ndarray:
-    """Pairs (node, least node) of those that meet at a token and rung where one of them probes."""
-    order = np.lexsort((x["node"], x["rung"], x["token"]))
-    token, rung, node, probe = (x[k][order] for k in ("token", "rung", "node", "probe"))
+    held = np.bincount(rungs - low, minlength=top - low + 1).cumsum()
+    if any(held[k - low] < rung_size(k) for k in range(low, common + 1)):
+        return None
+    costs = np.bincount(rungs - low, df, top - low + 1).cumsum()[probe - low :]
+    best = int(costs.argmin())
+    return probe + best if costs[best] <= cost else NONE
+
+
+def _expand(first: np.ndarray, size: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """For ranges (first, size): numbers of the ranges and of what is in them, in pieces of about EVENTS."""
+    stop = np.cumsum(size)
+    at = 0
+    while at < len(first):
+        end = max(at + 1, int(np.searchsorted(stop, (stop[at - 1] if at else 0) + EVENTS, side="right")))
+        s, f = size[at:end], first[at:end]
+        yield np.repeat(np.arange(at, end), s), np.arange(s.sum()) + np.repeat(f - (np.cumsum(s) - s), s)
+        at = end
+
+
+def _tally(a: np.ndarray, b: np.ndarray, least: np.ndarray, n: np.ndarray) -> dict[str, np.ndarray]:
+    """Pairs once each, with their counts added up and the least count that is asked of them."""
+    order = np.lexsort((b, a))
+    a, b, least, n = a[order], b[order], least[order], n[order]
+    start = np.flatnonzero(np.concatenate([[True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])])) if len(a) else np.zeros(0, np.int64)
+    return {"a": a[start], "b": b[start], "least": least[start], "n": np.add.reduceat(n, start) if len(start) else n}
+
+
+def _groups(token: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of sorted tokens: for each entry, where its group starts and ends."""
     if not len(token):
-        return np.zeros((0, 2), np.int64)
-    start = np.flatnonzero(np.concatenate([[True], (token[1:] != token[:-1]) | (rung[1:] != rung[:-1])]))
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    start = np.flatnonzero(np.concatenate([[True], token[1:] != token[:-1]]))
     size = np.diff(np.append(start, len(token)))
-    ok = np.repeat((np.add.reduceat(probe.astype(np.int64), start) > 0) & (size > 1), size)
-    pairs = np.stack([node, np.repeat(node[start], size)], axis=1)[ok]
-    return np.unique(pairs[pairs[:, 0] != pairs[:, 1]], axis=0)
+    return np.repeat(start, size), np.repeat(start + size, size)
+
+
+def _pairs(parts: list[dict[str, np.ndarray]]) -> pd.DataFrame:
+    x = _tally(*(np.concatenate([p[k] for p in parts]) if parts else np.zeros(0, np.int64) for k in ("a", "b", "least", "n")))
+    return pd.DataFrame({"a": x["a"], "b": x["b"], "least": x["least"].astype(np.int32), "n": x["n"].astype(np.int32)})
 
 
-def candidates(docs: DataFrame, buckets: int, percent: int = PERCENT, text: str = "text") -> DataFrame:
-    """a, b: ties whose components hold all links."""
+def meetings(x: dict[str, np.ndarray]) -> pd.DataFrame:
+    """a, b, least, n: probes and the nodes that hold their tokens, how many tokens they must share and share here."""
+    order = np.lexsort((x["node"], x["token"]))
+    x = {k: v[order] for k, v in x.items()}
+    first, end = _groups(x["token"])
+    asks = np.flatnonzero((x["probe"] != NONE) & (x["rung"] <= x["probe"]) & (end - first > 1))
+    sizes = np.array([rung_size(k) for k in range(int(x["top"].max()) + 1)]) if len(order) else np.zeros(1, np.int64)
+    parts = []
+    for i, other in _expand(first[asks], (end - first)[asks]):
+        p = asks[i]
+        # of two that probe, the lesser does
+        ok = (x["rung"][other] <= x["probe"][p]) & (x["node"][other] != x["node"][p]) & ((x["probe"][other] == NONE) | (x["node"][p] < x["node"][other]))
+        p, other = p[ok], other[ok]
+        parts.append(_tally(x["node"][p], x["node"][other], sizes[np.minimum(x["probe"][p], x["top"][other])], np.ones(len(p), np.int64)))
+    return _pairs(parts)
+
+
+def leaders(x: dict[str, np.ndarray]) -> pd.DataFrame:
+    """a, b: each node with the least one of each of its tokens."""
+    order = np.lexsort((x["node"], x["token"]))
+    node = x["node"][order]
+    pairs = np.stack([node[_groups(x["token"][order])[0]], node], axis=1)
+    pairs = np.unique(pairs[pairs[:, 0] != pairs[:, 1]], axis=0)
+    return pd.DataFrame({"a": pairs[:, 0], "b": pairs[:, 1]})
 
-    def share(pdf: pd.DataFrame) -> pd.DataFrame:
-        x = shared_tokens(unpack(_POSTING, pdf["payload"].tolist()))
-        return _frame(deal(_SHARED, x["node"] % buckets, x))
 
-    def at_nodes(pdf: pd.DataFrame) -> pd.DataFrame:
-        x = unpack(_SHARED, pdf["payload"].tolist())
+def crossings(x: dict[str, np.ndarray]) -> pd.DataFrame:
+    """a, b, least, n: nodes of different components that share tokens."""
+    order = np.lexsort((x["node"], x["component"], x["token"]))
+    x = {k: v[order] for k, v in x.items()}
+    end = _groups(x["token"])[1]
+    both = np.concatenate([[0], np.cumsum((x["token"][1:] != x["token"][:-1]) | (x["component"][1:] != x["component"][:-1]))]) if len(end) else end
+    own = _groups(both)[1]
+    parts = []
+    for i, j in _expand(own, end - own):
+        a, b = x["node"][i], x["node"][j]
+        parts.append(_tally(np.minimum(a, b), np.maximum(a, b), np.minimum(x["least"][i], x["least"][j]).astype(np.int64), np.ones(len(i), np.int64)))
+    return _pairs(parts)
+
+
+def _at_nodes(rows: DataFrame, columns, each, out: str) -> DataFrame:
+    """Rows of buckets by node: each(arrays of one node) for every node, rows of schema out."""
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        x = unpack(columns, pdf["payload"].tolist())
         order = np.argsort(x["node"], kind="stable")
         x = {k: v[order] for k, v in x.items()}
-        edges = np.flatnonzero(np.concatenate([[True], x["node"][1:] != x["node"][:-1], [True]]))
-        got: dict[str, list[np.ndarray]] = {k: [np.zeros(0, kind)] for k, kind in _CANDIDATE}
-        for s, e in zip(edges[:-1], edges[1:]):
-            for j, tokens, probe in choose(x["token"][s:e], x["rung"][s:e], x["df"][s:e], int(x["n"][s]), percent):
-                got["token"].append(tokens)
-                for k, v in (("node", x["node"][s]), ("rung", j), ("probe", probe)):
-                    got[k].append(np.full(len(tokens), v))
-        y = {k: np.concatenate(v).astype(kind) for (k, kind), v in zip(_CANDIDATE, got.values())}
-        return _frame(deal(_CANDIDATE, (y["token"] % np.uint64(buckets)).astype(np.int64), y))
-
-    def meet(pdf: pd.DataFrame) -> pd.DataFrame:
-        pairs = candidate_ties(unpack(_CANDIDATE, pdf["payload"].tolist()))
-        return pd.DataFrame({"a": pairs[:, 0], "b": pairs[:, 1]})
-
-    rows = _postings(docs, buckets, percent, text)
-    for step in (share, at_nodes):
-        rows = rows.groupBy("bucket").applyInPandas(step, "bucket int, payload binary")
-    return rows.groupBy("bucket").applyInPandas(meet, "a long, b long").distinct()
-
-
-def forest(nodes: np.ndarray, token_sets: list[np.ndarray], side: np.ndarray | None = None, percent: int = PERCENT) -> list[tuple[int, int]]:
-    """A spanning forest, as pairs of nodes, of the links among the sets; with side (0 or 1 each) of those across sides and
-    those of what they join. Counts shared tokens over an inverted index, one set against all before it."""
-    m = len(nodes)
-    sizes = np.array([len(s) for s in token_sets])
-    flat = np.concatenate(token_sets) if m else np.zeros(0, np.uint64)
-    token = np.unique(flat, return_inverse=True)[1] if len(flat) else np.zeros(0, np.int64)
-    owner = np.repeat(np.arange(m), sizes)
-    order = np.argsort(token, kind="stable")
-    lists, starts = owner[order], np.concatenate([[0], np.cumsum(np.bincount(token))]).astype(np.int64) if len(flat) else np.zeros(1, np.int64)
-    root = np.arange(m)
-    ends = np.cumsum(sizes)
-    out = []
-    for x in range(m):
-        own = token[ends[x] - sizes[x] : ends[x]]
-        width = starts[own + 1] - starts[own]
-        stop = np.cumsum(width)
-        at = np.arange(stop[-1] if len(stop) else 0) + np.repeat(starts[own] - (stop - width), width)
-        shared = np.bincount(lists[at], minlength=m)[:x]
-        linked = 100 * shared >= percent * (sizes[x] + sizes[:x] - shared)
-        linked &= shared > 0
-        if side is not None:
-            linked &= side[:x] != side[x]
-        for r in np.unique(root[:x][linked]):
-            if r != root[x]:
-                out.append((int(nodes[x]), int(nodes[r])))
-                root[root == max(r, root[x])] = min(r, root[x])
-    return out
-
-
-def compressed(docs: DataFrame, text: str) -> DataFrame:
-    """node and its text as compressed UTF-8, which takes a third of the space in a shuffle; one row a node."""
+        edges = np.flatnonzero(np.concatenate([[True], x["node"][1:] != x["node"][:-1], [True]])) if len(order) else []
+        found = [r for s, e in zip(edges[:-1], edges[1:]) if (r := each({k: v[s:e] for k, v in x.items()}))]
+        return pd.DataFrame(found, columns=[f.split()[0] for f in out.split(", ")])
+
+    return rows.groupBy("bucket").applyInPandas(run, out)
+
+
+def _share(rows: DataFrame, columns, out, buckets: int) -> DataFrame:
+    """Buckets by token: tokens of two nodes or more, with their number of nodes, dealt by node."""
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        x = shared_tokens(unpack(columns, pdf["payload"].tolist()))
+        return _frame(deal(out, x["node"] % buckets, x))
+
+    return rows.groupBy("bucket").applyInPandas(run, "bucket int, payload binary")
+
+
+def _deal(rows: DataFrame, columns, buckets: int, more: str | None = None) -> DataFrame:
+    """Rows with entries (packed) as rows of buckets by token; more: a column to put into each entry."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, "entries", 8 << 20):
+            packed = batch.column("entries").to_pylist()
+            x = unpack(columns, packed)
+            if more:
+                width = sum(np.dtype(kind).itemsize for _, kind in columns)
+                x[more] = np.repeat(batch.column(more).to_numpy(zero_copy_only=False), [len(p) // width for p in packed])
+            dealt = deal(columns, (x["token"] % np.uint64(buckets)).astype(np.int64), x)
+            yield pa.RecordBatch.from_arrays([pa.array([b for b, _ in dealt], pa.int32()), pa.array([p for _, p in dealt], pa.binary())], names=["bucket", "payload"])
+
+    return rows.mapInArrow(run, "bucket int, payload binary")
+
+
+def _in_buckets(rows: DataFrame, columns, each, out: str) -> DataFrame:
+    return rows.groupBy("bucket").applyInPandas(lambda pdf: each(unpack(columns, pdf["payload"].tolist())), out)
+
+
+def _enough(counted: DataFrame) -> DataFrame:
+    """Pairs that share as many prefix tokens as their l asks for."""
+    return counted.groupBy("a", "b").agg(F.sum("n").alias("n"), F.max("least").alias("least")).where("n >= least").select("a", "b")
+
+
+def probed(docs: DataFrame, buckets: int, percent: int = PERCENT, text: str = "text", cost: int = COST) -> DataFrame:
+    """node, probe, entries: of each node that may have partners, the rung at which it probes and its shared prefix tokens."""
+
+    def each(x: dict[str, np.ndarray]) -> tuple | None:
+        n, node = int(x["n"][0]), int(x["node"][0])
+        probe = probe_of(x["rung"], x["df"], n, percent, cost)
+        if probe is None:
+            return None
+        m = len(x["token"])
+        return node, probe, pack(_ENTRY, token=x["token"], node=x["node"], rung=x["rung"], probe=np.full(m, probe), top=np.full(m, rungs_of(n, percent)[1]))
+
+    return _at_nodes(_share(_postings(docs, buckets, percent, text), _POSTING, _SHARED, buckets), _SHARED, each, "node long, probe int, entries binary")
+
+
+def rare_first(held: DataFrame, buckets: int, percent: int = PERCENT, multi: int = MULTI) -> DataFrame:
+    """node, entries: of each set in held, its prefix in the order of rarity among the sets of held."""
+
+    def post(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, "packed", 2 << 20):
+            tokens = [_tokens(p) for p in batch.column("packed").to_pylist()]
+            size = [len(t) for t in tokens]
+            flat = np.concatenate(tokens)
+            dealt = deal(_WHOLE, (flat % np.uint64(buckets)).astype(np.int64), {"token": flat, "node": np.repeat(batch.column("node").to_numpy(), size), "n": np.repeat(size, size)})
+            yield pa.RecordBatch.from_arrays([pa.array([b for b, _ in dealt], pa.int32()), pa.array([p for _, p in dealt], pa.binary())], names=["bucket", "payload"])
+
+    def each(x: dict[str, np.ndarray]) -> tuple | None:
+        n, c = int(x["n"][0]), len(x["token"])
+        t = int(needed(n, percent))
+        if c < t:
+            return None
+        least = min(multi, t)
+        prefix = np.lexsort((x["token"], x["df"]))[: c - t + least]
+        return int(x["node"][0]), pack(_RARE, token=x["token"][prefix], node=x["node"][prefix], component=x["node"][prefix], least=np.full(len(prefix), least))
+
+    return _at_nodes(_share(held.mapInArrow(post, "bucket int, payload binary"), _WHOLE, _COUNTED, buckets), _COUNTED, each, "node long, entries binary")
+
+
+def _tokens(packed: bytes) -> np.ndarray:
+    return shingles(zstandard.decompress(packed).decode("utf-8", "surrogatepass"))
+
+
+def compressed(docs: DataFrame, text: str, only: np.ndarray | None = None) -> DataFrame:
+    """node and packed (its text as compressed UTF-8, which takes a third of the space in a shuffle), one row a node; of
+    nodes that pass the sketch `only`."""
+    sent = docs.sparkSession.sparkContext.broadcast(only)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         press = zstandard.ZstdCompressor(level=3)
         for batch in slices(batches, text, 4 << 20):
             found = {}
-            for x in batch.column(text).to_pylist():
-                tokens = shingles(x)
-                if len(tokens) and (node := node_of(tokens)) not in found:
+            texts = [x for x in batch.column(text).to_pylist() if x]
+            nodes = np.array([node_of(t) if len(t := shingles(x)) else 0 for x in texts], np.int64)
+            passed = nodes != 0 if sent.value is None else in_sketch(sent.value, nodes)
+            for node, x in zip(nodes[passed].tolist(), (x for x, ok in zip(texts, passed) if ok)):
+                if node not in found:
                     found[node] = press.compress(x.encode("utf-8", "surrogatepass"))
-            yield pa.RecordBatch.from_arrays([pa.array(found, pa.int64()), pa.array(found.values(), pa.binary())], names=["node", text])
+            yield pa.RecordBatch.from_arrays([pa.array(found, pa.int64()), pa.array(found.values(), pa.binary())], names=["node", "packed"])
 
-    return docs.select(text).mapInArrow(run, f"node long, `{text}` binary").dropDuplicates(["node"])
+    return docs.select(text).mapInArrow(run, "node long, packed binary").dropDuplicates(["node"])
 
 
-def join(docs: DataFrame, id: str = "doc_id", text: str = "text", percent: int = PERCENT, max_tokens: int = MAX_TOKENS) -> DataFrame:
-    """docs without the text, with n_shingles and component_id: the least id that links lead to, its own included."""
+def linked(pairs: DataFrame, held: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """Of pairs (a, b), those whose sets in held link."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last: tuple[int, np.ndarray] = (0, np.zeros(0, np.uint64))
+        for batch in slices(batches, "of_b", 2 << 20):
+            out = []
+            for a, b, of_a, of_b in zip(*(batch.column(k).to_pylist() for k in ("a", "b", "of_a", "of_b"))):
+                if last[0] != a or not len(last[1]):
+                    last = (a, _tokens(of_a))
+                x, y = last[1], _tokens(of_b)
+                both = len(np.intersect1d(x, y, assume_unique=True))
+                if 100 * both >= percent * (len(x) + len(y) - both):
+                    out.append((a, b))
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], pa.int64()) for i in (0, 1)], names=["a", "b"])
+
+    of_b = pairs.join(held.select(F.col("node").alias("b"), F.col("packed").alias("of_b")), "b")
+    both = of_b.join(held.select(F.col("node").alias("a"), F.col("packed").alias("of_a")), "a")
+    return both.select("a", "b", "of_a", "of_b").mapInArrow(run, "a long, b long")
+
+
+def links(docs: DataFrame, known: DataFrame, percent: int = PERCENT, text: str = "text", cost: int = COST) -> DataFrame:
+    """node, component: the classes of nodes that link. known: sets(docs)."""
     spark = docs.sparkSession
-    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    total = known.agg(F.sum("n_shingles")).first()[0] or 0
+    buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), total * 21 // BUCKET)
+    alive = cut(probed(docs, buckets, percent, text, cost))
+    met = _in_buckets(_deal(alive.select("entries"), _ENTRY, buckets), _ENTRY, meetings, "a long, b long, least int, n int")
+    pairs = cut(_enough(met))
+    dense = alive.where(f"probe = {NONE}").select("node")
+    wanted = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).union(dense).distinct()
+    held = cut(compressed(docs, text, sketch(wanted, "node")).join(wanted, "node"))
+    if dense.isEmpty():
+        return components(linked(pairs, held, percent))
+    rare = cut(rare_first(held.join(dense, "node"), buckets, percent))
+    stars = _in_buckets(_deal(rare, _RARE, buckets), _RARE, leaders, "a long, b long").distinct()
+    sure = cut(linked(pairs.union(stars).distinct(), held, percent))
+    classes = cut(components(sure))
+    placed = rare.join(classes, "node", "left").select("entries", F.coalesce("component", "node").alias("component"))
+    met = _in_buckets(_deal(placed, _RARE, buckets, "component"), _RARE, crossings, "a long, b long, least int, n int")
+    more = cut(linked(_enough(met), held, percent))
+    return classes if more.isEmpty() else components(sure.union(more))
+
+
+def join(docs: DataFrame, id: str = "doc_id", text: str = "text", percent: int = PERCENT, cost: int = COST) -> DataFrame:
+    """docs without the text, with n_shingles and component_id: the least id that links lead to, its own included."""
     base = docs.select(F.col(id).alias("_id"), F.col(text).alias("_text"))
     known = cut(sets(base, "_text"))
-    clusters = cut(components(candidates(base, buckets, percent, "_text")))
-    by_node = known.where("node is not null").groupBy("node").agg(F.max("n_shingles").alias("n"))
-    chosen = clusters.join(by_node, "node")
-    size = chosen.groupBy("component").agg(F.sum("n").alias("tokens")).withColumn("blocks", F.ceil(F.col("tokens") / max_tokens).cast("int"))
-    placed = chosen.join(size, "component").select(F.col("node"), F.col("component"), "blocks", F.pmod(F.xxhash64("node"), "blocks").cast("int").alias("block"))
-    held = compressed(base, "_text").join(placed, "node").select("node", "component", "blocks", "block", "_text")
-
-    def to_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "_text", 2 << 20):
-            tokens = [shingles(zstandard.decompress(x).decode("utf-8", "surrogatepass")).tobytes() for x in batch.column("_text").to_pylist()]
-            yield with_columns(batch.drop_columns(["_text"]), {"tokens": pa.array(tokens, pa.binary())})
-
-    # A pair of blocks (i, j), i <= j, gets both blocks; a cluster of one block the pair (0, 0).
-    pairs = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda o: F.struct(F.least("block", o).alias("i"), F.greatest("block", o).alias("j")))
-    dealt = held.mapInArrow(to_sets, "node long, component long, blocks int, block int, tokens binary").withColumn("pair", F.explode(pairs))
-
-    def compare(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("node")
-        side = None if (pdf["block"] == pdf["block"].iloc[0]).all() else (pdf["block"] == pdf["block"].max()).astype(int).to_numpy()
-        found = forest(pdf["node"].to_numpy(), [np.frombuffer(t, np.uint64) for t in pdf["tokens"]], side, percent)
-        return pd.DataFrame(found, columns=["a", "b"], dtype="int64")
-
-    links = dealt.groupBy("component", "pair.i", "pair.j").applyInPandas(compare, "a long, b long")
-    classes = components(links)
-    labelled = known.join(classes, "node", "left").withColumn("_class", F.coalesce("component", "node"))
-    least = labelled.where("_class is not null").groupBy("_class").agg(F.min("_id").alias("_least"))
-    return labelled.join(least, "_class", "left").select(F.col("_id").alias(id), "n_shingles", F.coalesce("_least", F.col("_id")).alias("component_id"))
+    classes = links(base, known, percent, "_text", cost)
+    least = known.where("node is not null").groupBy("node").agg(F.min("_id").alias("_least")).join(classes, "node", "left").withColumn("_class", F.coalesce("component", "node"))
+    of_class = least.groupBy("_class").agg(F.min("_least").alias("_id"))
+    # A row per node, written first, so that Spark can split the rows of a popular node.
+    of_node = cut(least.drop("_least").join(of_class.withColumnRenamed("_id", "_least"), "_class", "left").select("node", "_least"))
+    named = known.where("node is not null").join(of_node, "node", "left").select("_id", "n_shingles", F.coalesce("_least", "_id").alias("component_id"))
+    rest = known.where("node is null").select("_id", "n_shingles", F.col("_id").alias("component_id"))
+    return named.unionByName(rest).withColumnRenamed("_id", id)

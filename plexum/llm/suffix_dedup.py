@@ -33,7 +33,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plexum.llm.common import cut, schema_with, slices, with_columns
+from plexum.llm.common import cut, in_sketch, schema_with, sketch, slices, with_columns
 from plexum.llm.ngram_join import deal, unpack
 
 LENGTH = 200
@@ -46,8 +46,6 @@ _TIE = (("rank", "<u8"), ("whole", "<u8"), ("kind", "u1"), *_REF)
 _SINGLE = (("rank", "<u8"), *_REF)
 _DUP = (("kind", "u1"), *_REF)
 _RUN = (("key", "<i8"), ("start", "<u4"), ("stop", "<u4"))
-#: Bits of the sketch that keeps texts without repeats out of the shuffles.
-SKETCH_BITS = 1 << 25
 #: Kinds of ranked strings: LENGTH bytes from an anchor, an anchor to LENGTH past the next, LENGTH - GAP from an anchor, LENGTH from any.
 AT_ANCHOR, STRETCH, SHORT, SINGLE = range(4)
 
@@ -271,30 +269,6 @@ def _ranked(rows: DataFrame, columns, out, buckets: int) -> DataFrame:
     return rows.groupBy("bucket").applyInPandas(rank, "bucket int, payload binary")
 
 
-def _bits(keys: np.ndarray) -> np.ndarray:
-    """Where keys stand in a sketch: a column each."""
-    return np.stack([_alone(seed, keys.astype(np.int64).view(np.uint64)) % np.uint64(SKETCH_BITS) for seed in (1, 2, 3)])
-
-
-def sketch(keys: DataFrame) -> np.ndarray:
-    """A Bloom filter of column key. Its size is fixed: with ever more keys it lets more pass, and in the end all."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            at = np.unique(_bits(batch.column("key").to_numpy(zero_copy_only=False)))
-            yield pa.RecordBatch.from_arrays([pa.array((at >> np.uint64(6)).astype(np.int32)), pa.array((np.uint64(1) << (at & np.uint64(63))).view(np.int64))], names=["word", "mask"])
-
-    words = keys.select("key").mapInArrow(run, "word int, mask long").groupBy("word").agg(F.bit_or("mask").alias("mask")).toArrow()
-    out = np.zeros(SKETCH_BITS // 64, np.uint64)
-    out[words.column("word").to_numpy()] = words.column("mask").to_numpy().view(np.uint64)
-    return out
-
-
-def in_sketch(filter_: np.ndarray, keys: np.ndarray) -> np.ndarray:
-    at = _bits(keys)
-    return ((filter_[(at >> np.uint64(6)).astype(np.int64)] >> (at & np.uint64(63))) & np.uint64(1)).all(axis=0)
-
-
 def repeats(docs: DataFrame, text: str = "text") -> DataFrame:
     """key, spans: of each text with repeats, the runs of bytes to remove (start, stop)."""
     buckets = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))

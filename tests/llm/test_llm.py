@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+import time
 import zlib
 
 import numpy as np
@@ -131,8 +132,8 @@ def test_join_like_brute_force(spark, docs, texts, odd):
                 x, y = sorted((find(a), find(b)))
                 root[y] = x
     df = spark.createDataFrame(base, "doc_id long, text string")
-    for limit in (ngram_join.MAX_TOKENS, 300):  # one block, and many
-        got = {r.doc_id: (r.n_shingles, r.component_id) for r in ngram_join.join(df, max_tokens=limit).collect()}
+    for cost in (ngram_join.COST, 60, -1):  # by prefixes, by both ways, in the order of rarity alone
+        got = {r.doc_id: (r.n_shingles, r.component_id) for r in ngram_join.join(df, cost=cost).collect()}
         assert got == {i: (len(sets[i]), find(i)) for i in ids}
     out = sorted(((r.doc_id, r.n_shingles, r.component_id) for r in ngram_join.join(odd).collect()), key=repr)
     assert out == sorted([(1, 0, 1), (2, 0, 2), (None, 1, None), (3, 2, 3), (3, 2, 3), (4, 1, 4)], key=repr)
@@ -188,6 +189,21 @@ def test_html(spark):
     assert {t.pages for t in template} == {6} and len({t["class"] for t in template}) == 1
 
 
+def test_join_of_many_short_texts(spark):
+    """40 000 sets of five shingles that share them across: the work must not grow with the square of the sets."""
+    random.seed(8)
+    rows = [(i, " ".join(random.choice("abcdefghijkl") for _ in range(9))) for i in range(40_000)]
+    rows += [(50_000 + i, rows[i][1].upper()) for i in range(500)]
+    began = time.perf_counter()
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in ngram_join.join(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert time.perf_counter() - began < 60  # a few seconds of it are work; the rest is Spark's jobs
+    least = {}
+    for i, x in rows:
+        least.setdefault(tuple(ngram_join.shingles(x).tolist()), i)
+    # sets of five link when four are shared of six at most: never, but for equal sets, and chance sets of fewer shingles
+    assert all(got[i] == (len(s), least[s]) for i, x in rows if len(s := tuple(ngram_join.shingles(x).tolist())) == 5)
+
+
 def test_join_of_repeated_and_null_ids(spark):
     words = [f"w{i}" for i in range(300)]
     near = [" ".join([*words[: 300 - k], *(f"x{i}" for i in range(300 - k, 300))]) for k in (0, 25, 50)]  # 0 links with 25, 25 with 50
