@@ -11,11 +11,12 @@ rungs grow by a quarter, up to REACH percent of n. So:
    node leaves. Else it probes at the rung whose tokens promise the fewest candidates. Where even these promise more than
    COST, its prefix is lengthened over the whole set, in the order of rarity (4).
 3. Probes meet the nodes that hold their tokens. The tokens that a pair shares are counted, and pairs below the l that both
-   prefixes reach are dropped. The rest are compared exactly.
+   prefixes reach are dropped: l or more, if the two sizes ask for more shared tokens than t. Sizes that can't link, given
+   the tokens that no other holds, don't meet. The rest are compared exactly.
 4. Nodes of step 2 that cost too much share their tokens among themselves, rare ones first; the prefix of c - t + l of the c
    tokens that others hold too must give l shared ones, l being MULTI. They stand in dense groups: so first each is
-   compared with the least node of each of its tokens, and what links becomes a component; then only pairs of different
-   components are counted against l, and compared. No group of near copies is expanded into its pairs.
+   compared with the most central node of each of its tokens, and what links becomes a component; then only pairs of
+   different components are counted, and compared. No group of near copies is expanded into its pairs.
 
 The links' components are the classes. Every pair of which one node probes is found in step 3, every other in step 4.
 
@@ -51,7 +52,7 @@ REACH = 15
 #: Rungs below its highest at which a node may probe.
 PROBE = 1
 #: Shared tokens, summed over a prefix, from which a node is compared in the order of rarity instead.
-COST = 2_048
+COST = 1_024
 #: Shared tokens that a prefix in the order of rarity asks for.
 MULTI = 4
 #: Meetings that are counted at once.
@@ -62,10 +63,11 @@ _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 _M1, _M2 = np.uint64(0xFF51AFD7ED558CCD), np.uint64(0xC4CEB9FE1A85EC53)
 _POSTING = (("token", "<u8"), ("node", "<i8"), ("n", "<u4"), ("rung", "u1"))
 _SHARED = (*_POSTING, ("df", "<u4"))
-_ENTRY = (("token", "<u8"), ("node", "<i8"), ("rung", "u1"), ("probe", "u1"), ("top", "u1"))
+_ENTRY = (("token", "<u8"), ("node", "<i8"), ("rung", "u1"), ("probe", "u1"), ("top", "u1"), ("n", "<u4"), ("most", "<u4"))
 _WHOLE = (("token", "<u8"), ("node", "<i8"), ("n", "<u4"))
 _COUNTED = (*_WHOLE, ("df", "<u4"))
-_RARE = (("token", "<u8"), ("node", "<i8"), ("component", "<i8"), ("least", "u1"))
+_RARE = (("token", "<u8"), ("node", "<i8"), ("component", "<i8"), ("n", "<u4"), ("most", "<u4"), ("rest", "<u4"))
+_PAIR = (("a", "<i8"), ("b", "<i8"), ("least", "<i4"), ("n", "<i4"))
 #: Stands for a node that does not probe.
 NONE = 255
 
@@ -238,58 +240,82 @@ def _tally(a: np.ndarray, b: np.ndarray, least: np.ndarray, n: np.ndarray) -> di
     return {"a": a[start], "b": b[start], "least": least[start], "n": np.add.reduceat(n, start) if len(start) else n}
 
 
-def _groups(token: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Of sorted tokens: for each entry, where its group starts and ends."""
-    if not len(token):
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    start = np.flatnonzero(np.concatenate([[True], token[1:] != token[:-1]]))
-    size = np.diff(np.append(start, len(token)))
-    return np.repeat(start, size), np.repeat(start + size, size)
+def _tallied(parts: list[dict[str, np.ndarray]]) -> dict[str, np.ndarray]:
+    return _tally(*(np.concatenate([p[k] for p in parts]) if parts else np.zeros(0, np.int64) for k in ("a", "b", "least", "n")))
 
 
-def _pairs(parts: list[dict[str, np.ndarray]]) -> pd.DataFrame:
-    x = _tally(*(np.concatenate([p[k] for p in parts]) if parts else np.zeros(0, np.int64) for k in ("a", "b", "least", "n")))
-    return pd.DataFrame({"a": x["a"], "b": x["b"], "least": x["least"].astype(np.int32), "n": x["n"].astype(np.int32)})
+def overlap(n: np.ndarray, m: np.ndarray, percent: int) -> np.ndarray:
+    """Tokens that linked sets of n and m share at least."""
+    return -(-percent * (n + m) // (100 + percent))
 
 
-def meetings(x: dict[str, np.ndarray]) -> pd.DataFrame:
-    """a, b, least, n: probes and the nodes that hold their tokens, how many tokens they must share and share here."""
-    order = np.lexsort((x["node"], x["token"]))
+def _by_size(x: dict[str, np.ndarray], percent: int) -> tuple[dict[str, np.ndarray], np.ndarray, np.ndarray, np.ndarray]:
+    """Entries by token and size; the number of each one's token; and where the partners of its token start and end whose
+    size lets them link with it, considering that it can share `most` tokens at the most."""
+    order = np.lexsort((x["node"], x["n"], x["token"]))
     x = {k: v[order] for k, v in x.items()}
-    first, end = _groups(x["token"])
-    asks = np.flatnonzero((x["probe"] != NONE) & (x["rung"] <= x["probe"]) & (end - first > 1))
-    sizes = np.array([rung_size(k) for k in range(int(x["top"].max()) + 1)]) if len(order) else np.zeros(1, np.int64)
+    x |= {k: x[k].astype(np.int64) for k in ("n", "most")}
+    group = np.cumsum(np.concatenate([[0], x["token"][1:] != x["token"][:-1]])[: len(order)]).astype(np.int64)
+    place = group << 32 | x["n"]
+    up_to = np.minimum((100 + percent) * x["most"] // percent - x["n"], x["n"] * 100 // percent)
+    return x, group, np.searchsorted(place, group << 32 | needed(x["n"], percent)), np.searchsorted(place, group << 32 | np.maximum(up_to, 0), side="right")
+
+
+def meetings(x: dict[str, np.ndarray], percent: int = PERCENT) -> dict[str, np.ndarray]:
+    """a, b, least, n: probes and the nodes that hold their tokens, how many prefix tokens they must share and share here."""
+    x, _, first, end = _by_size(x, percent)
+    asks = np.flatnonzero((x["probe"] != NONE) & (x["rung"] <= x["probe"]) & (end > first))
+    sizes = np.array([rung_size(k) for k in range(int(x["top"].max()) + 1)]) if len(first) else np.zeros(1, np.int64)
     parts = []
-    for i, other in _expand(first[asks], (end - first)[asks]):
+    for i, y in _expand(first[asks], (end - first)[asks]):
         p = asks[i]
         # of two that probe, the lesser does
-        ok = (x["rung"][other] <= x["probe"][p]) & (x["node"][other] != x["node"][p]) & ((x["probe"][other] == NONE) | (x["node"][p] < x["node"][other]))
-        p, other = p[ok], other[ok]
-        parts.append(_tally(x["node"][p], x["node"][other], sizes[np.minimum(x["probe"][p], x["top"][other])], np.ones(len(p), np.int64)))
-    return _pairs(parts)
-
-
-def leaders(x: dict[str, np.ndarray]) -> pd.DataFrame:
-    """a, b: each node with the least one of each of its tokens."""
-    order = np.lexsort((x["node"], x["token"]))
-    node = x["node"][order]
-    pairs = np.stack([node[_groups(x["token"][order])[0]], node], axis=1)
-    pairs = np.unique(pairs[pairs[:, 0] != pairs[:, 1]], axis=0)
+        ok = (x["rung"][y] <= x["probe"][p]) & (x["node"][y] != x["node"][p]) & ((x["probe"][y] == NONE) | (x["node"][p] < x["node"][y]))
+        p, y = p[ok], y[ok]
+        both = overlap(x["n"][p], x["n"][y], percent)
+        ok = both <= x["most"][y]
+        p, y, both = p[ok], y[ok], both[ok]
+        # what a set shares outside its prefix is what the prefix leaves of it at most
+        rest = np.maximum(needed(x["n"][p], percent) - sizes[x["probe"][p]], needed(x["n"][y], percent) - sizes[np.minimum(x["probe"][p], x["top"][y])])
+        parts.append(_tally(x["node"][p], x["node"][y], both - rest, np.ones(len(p), np.int64)))
+    return _tallied(parts)
+
+
+def leaders(x: dict[str, np.ndarray], percent: int = PERCENT) -> pd.DataFrame:
+    """a, b: each node with one of each of its tokens: the one that lacks the fewest shared tokens, which is amid the others."""
+    lacks = x["n"].astype(np.int64) - x["most"]
+    order = np.lexsort((x["node"], lacks, x["token"]))
+    token, node, n, most = (x[k][order] for k in ("token", "node", "n", "most"))
+    n, most = n.astype(np.int64), most.astype(np.int64)
+    start = np.flatnonzero(np.concatenate([[True], token[1:] != token[:-1]])) if len(token) else np.zeros(0, np.int64)
+    lead = np.repeat(start, np.diff(np.append(start, len(token))))
+    ok = (node != node[lead]) & (overlap(n, n[lead], percent) <= np.minimum(most, most[lead]))
+    pairs = np.unique(np.sort(np.stack([node[lead], node], axis=1)[ok], axis=1), axis=0)
     return pd.DataFrame({"a": pairs[:, 0], "b": pairs[:, 1]})
 
 
-def crossings(x: dict[str, np.ndarray]) -> pd.DataFrame:
-    """a, b, least, n: nodes of different components that share tokens."""
-    order = np.lexsort((x["node"], x["component"], x["token"]))
-    x = {k: v[order] for k, v in x.items()}
-    end = _groups(x["token"])[1]
-    both = np.concatenate([[0], np.cumsum((x["token"][1:] != x["token"][:-1]) | (x["component"][1:] != x["component"][:-1]))]) if len(end) else end
-    own = _groups(both)[1]
+def crossings(x: dict[str, np.ndarray], percent: int = PERCENT) -> dict[str, np.ndarray]:
+    """a, b, least, n: nodes of different components that share tokens. Of a token's nodes, those outside its largest
+    component look for partners."""
+    x, group, first, end = _by_size(x, percent)
+    if not len(group):
+        return _tallied([])
+    runs, which, size = np.unique(np.stack([group, x["component"]], axis=1), axis=0, return_inverse=True, return_counts=True)
+    order = np.lexsort((size, runs[:, 0]))
+    largest = order[np.append(runs[order, 0][1:] != runs[order, 0][:-1], True)][group]
+    outside = which.ravel() != largest
+    asks = np.flatnonzero(outside & (end > first))
     parts = []
-    for i, j in _expand(own, end - own):
-        a, b = x["node"][i], x["node"][j]
-        parts.append(_tally(np.minimum(a, b), np.maximum(a, b), np.minimum(x["least"][i], x["least"][j]).astype(np.int64), np.ones(len(i), np.int64)))
-    return _pairs(parts)
+    for i, y in _expand(first[asks], (end - first)[asks]):
+        p = asks[i]
+        ok = (x["component"][p] != x["component"][y]) & (~outside[y] | (x["node"][p] < x["node"][y]))
+        p, y = p[ok], y[ok]
+        both = overlap(x["n"][p], x["n"][y], percent)
+        ok = both <= x["most"][y]
+        p, y, both = p[ok], y[ok], both[ok]
+        a, b = x["node"][p], x["node"][y]
+        parts.append(_tally(np.minimum(a, b), np.maximum(a, b), both - np.maximum(x["rest"][p], x["rest"][y]).astype(np.int64), np.ones(len(p), np.int64)))
+    return _tallied(parts)
 
 
 def _at_nodes(rows: DataFrame, columns, each, out: str) -> DataFrame:
@@ -332,13 +358,20 @@ def _deal(rows: DataFrame, columns, buckets: int, more: str | None = None) -> Da
     return rows.mapInArrow(run, "bucket int, payload binary")
 
 
-def _in_buckets(rows: DataFrame, columns, each, out: str) -> DataFrame:
-    return rows.groupBy("bucket").applyInPandas(lambda pdf: each(unpack(columns, pdf["payload"].tolist())), out)
+def _enough(rows: DataFrame, columns, each, buckets: int) -> DataFrame:
+    """a, b: pairs that share as many prefix tokens as they must, counted by each(entries) over all buckets by token."""
+
+    def count(pdf: pd.DataFrame) -> pd.DataFrame:
+        x = each(unpack(columns, pdf["payload"].tolist()))
+        return _frame(deal(_PAIR, (x["a"] ^ x["b"]) % buckets, x))
 
+    def add(pdf: pd.DataFrame) -> pd.DataFrame:
+        x = unpack(_PAIR, pdf["payload"].tolist())
+        x = _tally(*(x[k] for k, _ in _PAIR))
+        ok = x["n"] >= x["least"]
+        return pd.DataFrame({"a": np.minimum(x["a"], x["b"])[ok], "b": np.maximum(x["a"], x["b"])[ok]})
 
-def _enough(counted: DataFrame) -> DataFrame:
-    """Pairs that share as many prefix tokens as their l asks for."""
-    return counted.groupBy("a", "b").agg(F.sum("n").alias("n"), F.max("least").alias("least")).where("n >= least").select("a", "b")
+    return rows.groupBy("bucket").applyInPandas(count, "bucket int, payload binary").groupBy("bucket").applyInPandas(add, "a long, b long")
 
 
 def probed(docs: DataFrame, buckets: int, percent: int = PERCENT, text: str = "text", cost: int = COST) -> DataFrame:
@@ -349,8 +382,9 @@ def probed(docs: DataFrame, buckets: int, percent: int = PERCENT, text: str = "t
         probe = probe_of(x["rung"], x["df"], n, percent, cost)
         if probe is None:
             return None
-        m = len(x["token"])
-        return node, probe, pack(_ENTRY, token=x["token"], node=x["node"], rung=x["rung"], probe=np.full(m, probe), top=np.full(m, rungs_of(n, percent)[1]))
+        m, top = len(x["token"]), rungs_of(n, percent)[1]
+        most = int(needed(n, percent)) - rung_size(top) + m  # all but the tokens of its prefix that no other holds
+        return node, probe, pack(_ENTRY, token=x["token"], node=x["node"], rung=x["rung"], **{k: np.full(m, v) for k, v in (("probe", probe), ("top", top), ("n", n), ("most", most))})
 
     return _at_nodes(_share(_postings(docs, buckets, percent, text), _POSTING, _SHARED, buckets), _SHARED, each, "node long, probe int, entries binary")
 
@@ -373,7 +407,8 @@ def rare_first(held: DataFrame, buckets: int, percent: int = PERCENT, multi: int
             return None
         least = min(multi, t)
         prefix = np.lexsort((x["token"], x["df"]))[: c - t + least]
-        return int(x["node"][0]), pack(_RARE, token=x["token"][prefix], node=x["node"][prefix], component=x["node"][prefix], least=np.full(len(prefix), least))
+        own = x["node"][prefix]
+        return int(own[0]), pack(_RARE, token=x["token"][prefix], node=own, component=own, **{k: np.full(len(prefix), v) for k, v in (("n", n), ("most", c), ("rest", t - least))})
 
     return _at_nodes(_share(held.mapInArrow(post, "bucket int, payload binary"), _WHOLE, _COUNTED, buckets), _COUNTED, each, "node long, entries binary")
 
@@ -429,20 +464,18 @@ def links(docs: DataFrame, known: DataFrame, percent: int = PERCENT, text: str =
     total = known.agg(F.sum("n_shingles")).first()[0] or 0
     buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), total * 21 // BUCKET)
     alive = cut(probed(docs, buckets, percent, text, cost))
-    met = _in_buckets(_deal(alive.select("entries"), _ENTRY, buckets), _ENTRY, meetings, "a long, b long, least int, n int")
-    pairs = cut(_enough(met))
+    pairs = cut(_enough(_deal(alive.select("entries"), _ENTRY, buckets), _ENTRY, lambda x: meetings(x, percent), buckets))
     dense = alive.where(f"probe = {NONE}").select("node")
     wanted = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).union(dense).distinct()
     held = cut(compressed(docs, text, sketch(wanted, "node")).join(wanted, "node"))
     if dense.isEmpty():
         return components(linked(pairs, held, percent))
     rare = cut(rare_first(held.join(dense, "node"), buckets, percent))
-    stars = _in_buckets(_deal(rare, _RARE, buckets), _RARE, leaders, "a long, b long").distinct()
+    stars = _deal(rare, _RARE, buckets).groupBy("bucket").applyInPandas(lambda pdf: leaders(unpack(_RARE, pdf["payload"].tolist()), percent), "a long, b long").distinct()
     sure = cut(linked(pairs.union(stars).distinct(), held, percent))
     classes = cut(components(sure))
     placed = rare.join(classes, "node", "left").select("entries", F.coalesce("component", "node").alias("component"))
-    met = _in_buckets(_deal(placed, _RARE, buckets, "component"), _RARE, crossings, "a long, b long, least int, n int")
-    more = cut(linked(_enough(met), held, percent))
+    more = cut(linked(_enough(_deal(placed, _RARE, buckets, "component"), _RARE, lambda x: crossings(x, percent), buckets), held, percent))
     return classes if more.isEmpty() else components(sure.union(more))
 
 
