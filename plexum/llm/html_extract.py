@@ -1,20 +1,25 @@
 """Main-text extraction with templates deduced from equivalence classes.
 
-Pages of a host share templates. The tokens of a page are its container elements, each with its place in the nesting and
-its class and id, and its texts. Tokens with the same occurrence vector over the host's distinct pages form an equivalence
-class; here a vector is a sum (exclusive or) of hashes of page and count, so that it is aggregated before and after a shuffle
-and no task ever holds the pages of a host. A class is valid if its tokens occur on enough pages.
-
-A layout is known by its elements: a text is the template's if it is nested in an element and occurs on enough of the pages
-that hold this element, however few of the host's pages these are. A text of the element's own class occurs on all of them.
-What a page holds beside its template are slots: text that the template repeats is dropped, inside an article too, and so are
-slots inside elements that are no part of an article.
-
-Slots inside an article or main element are the main text; an article of template text alone is kept. A page without one gets
-its slots outside menus, headers, footers, sidebars, notices, adverts, forms and comments that are not mostly links.
+Pages of a host share templates. The tokens of a page are its container elements, each with its place in the nesting, its
+class and id and, for boxes, its number among its like; and its texts. Tokens with the same occurrence vector over the
+host's distinct pages form an equivalence class; here a vector is a sum (exclusive or) of hashes of page and count, so that
+it is aggregated before and after a shuffle and no task ever holds the pages of a host. A class is valid if it occurs on
+enough pages (PAGES, SHARE) and its tokens once on each, so that they have one order; it is nested in the class of the element
+around it. The valid classes are the host's template, which decides on each page:
+
+- Text that repeats on a share CONSTANT of the pages that hold its element is the template's own and goes. What is left are
+  slots; the template knows how much text each slot holds on average, and how much of it is links.
+- The slots of the main text are those inside the innermost box of the template that holds half of all slot text. An article
+  or main element of the template goes before, from a tenth on, or if all of its text is the template's.
+- Of these, boxes that the template makes and that hold mostly links go, as do those that it makes and names for what is no
+  part of an article (OTHER_NAMES). A box that is not of the template is its author's, whatever its name, and stays.
+
+Markup that says what it is (menus, headers, footers, asides, forms, scripts; hidden elements) is left out everywhere. Pages
+with tokens that are not in the template, and pages of hosts with fewer than PAGES pages, are judged by their own tokens.
 
 Defined cases: null html has no text; markup that is cut off ends with the page; a null or malformed URL has the empty
-host, whose pages share a template; a repeated row gives a repeated result; clashing columns are replaced.
+host, whose pages share a template; a repeated row counts once for the template and gives a repeated result; clashing columns
+are replaced; an article of template text alone is kept; an empty table gives an empty table; texts of any length are whole.
 """
 
 from __future__ import annotations
@@ -27,22 +32,24 @@ from typing import NamedTuple
 
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from plexum.llm.common import cut, schema_with, slices, with_columns
 
 #: A token belongs to a template from so many pages, and this share of the host's pages, on. The share bounds a template's
 #: size: at most 1 / SHARE times the tokens of a page.
-PAGES, SHARE = 2, 0.1
+PAGES, SHARE = 3, 0.1
 #: Text on this share of the pages that hold its element, three at least, is the template's.
 CONSTANT = 0.5
+#: Shares of the slot text from which a box, and an article element, holds the main text; of links from which it is a menu.
+HALF, TENTH, MENU = 0.5, 0.1, 0.5
 #: Templates of at most so many tokens in all are sent to every task; else they are joined by host.
 MAX_SENT = 50_000
 
 TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)"
-    r"|<(?P<raw>script|style|noscript|template|iframe|object|svg|math|textarea|title|select|audio|video|canvas)(?=[\s/>])(?:[^>\"']|\"[^\"]*\"|'[^']*')*+>.*?(?:</(?P=raw)\s*>|\Z)"
+    r"|<(?P<raw>script|style|noscript|template|iframe|object|textarea|title|select|audio|video|canvas)(?=[\s/>])(?:[^>\"']|\"[^\"]*\"|'[^']*')*+>.*?(?:</(?P=raw)\s*>|\Z)"
     r"|<(?P<end>/?)(?P<tag>[a-zA-Z][^\s/>]*)(?P<attrs>(?:[^>\"']|\"[^\"]*\"|'[^']*')*+>|[^>]*(?:>|\Z))"
     r"|<[!?/][^>]*(?:>|\Z)",
     re.S | re.I,
@@ -54,32 +61,44 @@ VOID = set("area base br col embed hr img input link meta param source track wbr
 #: An element of the first kind ends an open one of the second, if no element of the third stands between.
 CLOSES = {"p": ({"p"}, set()), "li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr", "td", "th"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}), "option": ({"option"}, {"select"})}
 MAIN_TAGS = {"article", "main"}
-MAIN_WORDS = {"article", "articlebody", "main", "maincontent", "content", "post", "entry", "story"}
-OTHER_TAGS = set("nav header footer aside form button select menu dialog head script style noscript template figure fieldset".split())
-OTHER_WORDS = set(
-    "ad ads adv advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments complementary consent contentinfo cookie cookies copyright disclaimer disqus footer gdpr"
-    " header login masthead menu modal nav navbar navigation newsletter notice notices notification overlay pager pagination popup promo promoted promotion promotions related replies reply search"
-    " share sharing sidebar signup social sponsor sponsored subscribe subscription toolbar warning widget widgets".split()
+#: Elements that are numbered among their like, and that may hold the main text beside MAIN_TAGS.
+BOXES = set("div section table tr td center".split())
+OTHER_TAGS = set("nav header footer aside form button select menu dialog head script style noscript template fieldset".split())
+#: Names (a whole class or id, or its last part) of boxes that hold no part of an article, if the template makes them.
+OTHER_NAMES = set(
+    "ad ads advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments consent cookie cookies copyright disqus footer gdpr header login menu modal nav navbar"
+    " navigation newsletter notice notices notification overlay pager pagination popup promo promoted promotion promotions related replies share sharing sidebar signup social sponsor"
+    " sponsored subscribe subscription toolbar widget widgets".split()
 )
 
 
 class Element(NamedTuple):
     tag: str
     path: str
-    main: bool
+    parent: Element | None
     other: bool
+    named: bool
 
 
 class Block(NamedTuple):
-    path: str
-    main: bool
-    other: bool
+    within: Element
     text: str
-    link_share: float
+    linked: int
+
+
+class Slot(NamedTuple):
+    """What a template knows of a container: whether it stands once on a page, and its own slot text and links on average."""
+
+    once: bool
+    chars: float
+    links: float
 
 
-def _element(parent: Element | None, tag: str, attrs: str) -> Element:
-    named, hidden = set(), False
+PAGE = Element("", "", None, False, False)
+
+
+def _element(parent: Element, tag: str, attrs: str, number: Counter) -> Element:
+    named = hidden = False
     label = tag
     if "=" in attrs or "hidden" in attrs:
         for name, a, b, c in ATTRIBUTE.findall(attrs):
@@ -87,21 +106,22 @@ def _element(parent: Element | None, tag: str, attrs: str) -> Element:
             if name.lower() in ("hidden", "aria-hidden"):
                 hidden |= name.lower() == "hidden" or value == "true"
                 continue
-            found = WORDS.findall(value)
-            named |= set(found)
-            label += "." + "-".join(found)
-    main = tag in MAIN_TAGS or bool(named & MAIN_WORDS)
-    other = hidden or tag in OTHER_TAGS or (tag not in ("html", "body") and tag not in MAIN_TAGS and bool(named & OTHER_WORDS))
-    if parent is None:
-        return Element(tag, label, main, other)
-    return Element(tag, f"{parent.path}>{label}", main or parent.main, other or parent.other)
-
-
-def blocks(page: str | None) -> tuple[list[Block], list[str]]:
-    """The texts of a page's blocks in page order, and the paths of its container elements."""
-    stack: list[Element] = []
+            label += "." + "-".join(WORDS.findall(value))
+            named |= any(x in OTHER_NAMES or WORDS.findall(x)[-1:] and WORDS.findall(x)[-1] in OTHER_NAMES for x in value.split())
+    path = f"{parent.path}>{label}"
+    if tag in BOXES:
+        number[path] += 1
+        if number[path] > 1:
+            path += f"[{number[path]}]"
+    return Element(tag, path, parent, hidden or tag in OTHER_TAGS or parent.other, named and tag not in MAIN_TAGS and tag not in ("html", "body"))
+
+
+def blocks(page: str | None) -> tuple[list[Block], list[Element]]:
+    """The texts of a page's blocks in page order, and its container elements."""
+    stack: list[Element] = [PAGE]
+    numbers: list[Counter] = [Counter()]
     out: list[Block] = []
-    paths: list[str] = []
+    elements: list[Element] = []
     text: list[str] = []
     linked = in_link = 0
     page = page or ""
@@ -111,21 +131,18 @@ def blocks(page: str | None) -> tuple[list[Block], list[str]]:
         if text:
             joined = " ".join(references.unescape("".join(text)).split())
             if joined:
-                top = stack[-1] if stack else Element("", "", False, False)
-                out.append(Block(top.path, top.main, top.other, joined, min(1.0, linked / len(joined))))
+                out.append(Block(stack[-1], joined, min(linked, len(joined))))
             text.clear()
         linked = 0
 
-    def add(piece: str) -> None:
-        nonlocal linked
-        if piece:
-            text.append(piece)
-            if in_link:
-                linked += len(piece)
+    def close(to: int) -> None:
+        del stack[to:], numbers[to:]
 
     at = 0
     for m in TOKEN.finditer(page):
-        add(page[at : m.start()])
+        if m.start() > at:
+            text.append(page[at : m.start()])
+            linked += m.start() - at if in_link else 0
         at = m.end()
         tag = (m["tag"] or m["raw"] or "").lower()
         if not tag or m["raw"]:
@@ -141,25 +158,25 @@ def blocks(page: str | None) -> tuple[list[Block], list[str]]:
         if tag in VOID:
             continue
         if m["end"]:
-            for i in range(len(stack) - 1, -1, -1):
+            for i in range(len(stack) - 1, 0, -1):
                 if stack[i].tag == tag:
-                    del stack[i:]
+                    close(i)
                     break
             continue
-        ends, within = CLOSES.get(tag, (set(), set()))
-        if not ends and tag not in INLINE:
-            ends = {"p"}
-        for i in range(len(stack) - 1, -1, -1):
+        ends, within = CLOSES.get(tag, ({"p"}, set()))
+        for i in range(len(stack) - 1, 0, -1):
             if stack[i].tag in ends:
-                del stack[i:]
+                close(i)
                 break
             if stack[i].tag in within or not within:
                 break
-        stack.append(_element(stack[-1] if stack else None, tag, m["attrs"] or ""))
-        paths.append(stack[-1].path)
-    add(page[at:])
+        stack.append(_element(stack[-1], tag, m["attrs"] or "", numbers[-1]))
+        numbers.append(Counter())
+        elements.append(stack[-1])
+    if at < len(page):
+        text.append(page[at:])
     flush()
-    return out, paths
+    return out, elements
 
 
 def host(url: str | None) -> str:
@@ -167,87 +184,148 @@ def host(url: str | None) -> str:
     return m[1].lower() if m else ""
 
 
-def tokens(page: str | None) -> tuple[list[Block], list[tuple[str, str | None]]]:
-    """A page's blocks, and its tokens in order: paths of containers, and texts by hash, each with the path that it stands in."""
-    found, paths = blocks(page)
-    return found, [(p, None) for p in paths] + [(text_token(b), b.path) for b in found]
+def text_token(b: Block) -> str:
+    return f"{b.within.path}#{xxhash.xxh3_64_hexdigest(b.text)}"
+
+
+def tokens(page: str | None) -> list[tuple[str, str | None, int, int, int]]:
+    """A page's tokens in order, each once: paths of containers and, by hash, texts; with the path that a text stands in, how
+    often the token stands on the page, the text that it holds itself, and that text's links."""
+    found, elements = blocks(page)
+    own: dict[tuple[str, str | None], list[int]] = {("", None): [1, 0, 0]}
+    for e in elements:
+        own.setdefault((e.path, None), [0, 0, 0])[0] += 1
+    for b in found:
+        inside = own[b.within.path, None]
+        one = own.setdefault((text_token(b), b.within.path), [0, 0, 0])
+        one[0] += 1
+        for x in (inside, one):
+            x[1] += len(b.text)
+            x[2] += b.linked
+    return [(*k, *v) for k, v in own.items()]
 
 
-def text_token(b: Block) -> str:
-    return f"{b.path}#{xxhash.xxh3_64_hexdigest(b.text)}"
+def _signed(x: int) -> int:
+    return x - (1 << 64) if x >= 1 << 63 else x
 
 
-def _seen(pages: DataFrame, url: str, html: str) -> DataFrame:
-    """host, token, within (a text's container), vector, pages (distinct by html), place; the token '' counts the host's pages."""
+def seen(pages: DataFrame, url: str = "url", html: str = "html") -> DataFrame:
+    """host, token, within, vector, pages (distinct by html) and on each page: most (how often at most), and in sum chars,
+    links; place on average. Token '' is the page itself. Texts on fewer than three pages are left out."""
+    kind = pa.list_(pa.struct([("token", pa.string()), ("within", pa.string()), ("vector", pa.int64()), ("n", pa.int32()), ("chars", pa.int64()), ("links", pa.int64()), ("place", pa.int32())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        fields = pa.list_(pa.struct([("token", pa.string()), ("within", pa.string()), ("vector", pa.int64()), ("place", pa.int64())]))
         for batch in slices(batches, "h", 4 << 20):
             rows: list[tuple] = []
             for u, h in zip(batch.column("u").to_pylist(), batch.column("h").to_pylist()):
                 page = xxhash.xxh3_64_intdigest(h or "")
-                own = tokens(h)[1]
-                place: dict[tuple, int] = {}
-                for i, t in enumerate(own):
-                    place.setdefault(t, i)
-                found = [{"token": "", "within": None, "vector": 0, "place": 0}]
-                found += [{"token": t[0], "within": t[1], "vector": _signed(xxhash.xxh3_64_intdigest(f"{n}", seed=page)), "place": place[t]} for t, n in Counter(own).items()]
-                rows.append((host(u), _signed(page), found))
+                rows.append((host(u), _signed(page), [
+                    {"token": t, "within": w, "vector": _signed(xxhash.xxh3_64_intdigest(f"{n}", seed=page)), "n": n, "chars": c, "links": k, "place": i}
+                    for i, (t, w, n, c, k) in enumerate(tokens(h))
+                ]))
             cols = list(zip(*rows))
-            yield pa.RecordBatch.from_arrays([pa.array(cols[0]), pa.array(cols[1]), pa.array(cols[2], fields)], names=["host", "page", "tokens"])
+            yield pa.RecordBatch.from_arrays([pa.array(cols[0]), pa.array(cols[1]), pa.array(cols[2], kind)], names=["host", "page", "tokens"])
 
+    each = "array<struct<token string, within string, vector long, n int, chars long, links long, place int>>"
     return (
-        pages.select(F.col(url).alias("u"), F.col(html).alias("h")).mapInArrow(run, "host string, page long, tokens array<struct<token string, within string, vector long, place long>>")
+        pages.select(F.col(url).alias("u"), F.col(html).alias("h")).mapInArrow(run, f"host string, page long, tokens {each}")
         .groupBy("host", "page").agg(F.first("tokens").alias("tokens")).select("host", F.inline("tokens"))
-        .groupBy("host", "token", "within").agg(F.bit_xor("vector").alias("vector"), F.count("*").alias("pages"), F.avg("place").alias("place"))
-    )
-
-
-def templates(pages: DataFrame, url: str = "url", html: str = "html") -> DataFrame:
-    """host, pages (of the host, distinct), template: its tokens, each with its class (number, by position of the first token),
-    the pages that hold it, and its mean position."""
-    seen = _seen(pages, url, html)
-    sizes = seen.where("token = ''").select("host", F.col("pages").alias("of"))
-    valid = seen.where("token <> ''").where(f"pages >= {PAGES}").join(sizes, "host").where(f"pages >= {SHARE} * of")
-    classes = valid.groupBy("host", "vector", "pages").agg(F.max("of").alias("of"), F.min("place").alias("first"), F.array_sort(F.collect_list(F.struct("place", "token"))).alias("members"))
-    return (
-        classes.groupBy("host").agg(F.max("of").alias("pages"), F.array_sort(F.collect_list(F.struct("first", "pages", "members"))).alias("classes"))
-        .select("host", "pages", F.flatten(F.transform("classes", lambda c, i: F.transform(c["members"], lambda m: F.struct(m["token"].alias("token"), i.alias("class"), c["pages"].alias("pages"), m["place"].alias("place"))))).alias("template"))
-    )
-
-
-def constants(pages: DataFrame, url: str = "url", html: str = "html") -> DataFrame:
-    """_host, _constant: text tokens of the host's templates, each judged over the pages that hold its element."""
-    seen = cut(_seen(pages, url, html).where("pages >= 3"))
-    holders = seen.where("within is null").select("host", F.col("token").alias("within"), F.col("pages").alias("of"))
-    # a text in no element stands in the page itself, whose token is ''
-    texts = seen.where("within is not null").join(holders, ["host", "within"])
-    return texts.where(F.col("pages") >= CONSTANT * F.col("of")).groupBy(F.col("host").alias("_host")).agg(F.collect_list("token").alias("_constant"))
-
-
-def _signed(x: int) -> int:
-    return x - (1 << 64) if x >= 1 << 63 else x
-
-
-def main_text(page: str | None, constant: set[str]) -> tuple[str, list[str]]:
-    """The main text, and the paths of the slots that gave it. constant: the templates' text tokens."""
-    found = [b for b in blocks(page)[0] if not b.other]
-    main = [b for b in found if b.main]
-    slots = [b for b in main or found if (main or b.link_share < 0.5) and text_token(b) not in constant]
-    picked = slots or main
-    return " ".join(b.text for b in picked), list(dict.fromkeys(b.path for b in picked))
+        .groupBy("host", "token", "within").agg(
+            F.bit_xor("vector").alias("vector"), F.count("*").alias("pages"), F.max("n").alias("most"), F.sum("chars").alias("chars"), F.sum("links").alias("links"), F.avg("place").alias("place"))
+        .where("within is null or pages >= 3")
+    )
+
+
+def templates(found: DataFrame) -> DataFrame:
+    """From seen(): _host, _slots (path, once, chars, links, class: number by first place in the page) and _constant (text
+    tokens of the template)."""
+    inside = found.where("within is null").select("host", F.col("token").alias("within"), F.col("pages").alias("of"))
+    fixed = found.where("within is not null").join(inside, ["host", "within"]).where(F.col("pages") >= CONSTANT * F.col("of"))
+    less = fixed.groupBy("host", F.col("within").alias("token")).agg(F.sum("chars").alias("fixed"), F.sum("links").alias("fixed_links"))
+    sizes = found.where("token = '' and within is null").select("host", F.col("pages").alias("of"))
+    valid = found.where(f"within is null and pages >= {PAGES}").join(sizes, "host").where(f"pages >= {SHARE} * of")
+    held = valid.drop("within").join(less, ["host", "token"], "left")
+    ordered = Window.partitionBy("host").orderBy("first", "vector")
+    classes = valid.groupBy("host", "vector", "pages").agg(F.min("place").alias("first")).withColumn("class", F.row_number().over(ordered))
+    per_page = lambda whole, part: (F.col(whole) - F.coalesce(part, F.lit(0))) / F.col("pages")
+    slot = F.struct(F.col("token").alias("path"), (F.col("most") == 1).alias("once"), per_page("chars", "fixed").alias("chars"), per_page("links", "fixed_links").alias("links"), "class", "place")
+    slots = held.join(classes, ["host", "vector", "pages"]).groupBy("host").agg(F.collect_list(slot).alias("_slots"))
+    constant = fixed.groupBy("host").agg(F.collect_list("token").alias("_constant"))
+    return slots.join(constant, "host", "full").withColumnRenamed("host", "_host")
+
+
+def region(found: list[Block], elements: list[Element], slots: dict[str, Slot], constant: set[str]) -> str:
+    """The path of the box that holds the main text."""
+    times = Counter(e.path for e in elements)
+    own: dict[str, float] = {}
+    inside: dict[str, Element] = {}
+    for b in found:
+        if b.within.other:
+            continue
+        inside[b.within.path] = b.within
+        if b.within.path in slots:
+            own[b.within.path] = max(0.0, slots[b.within.path].chars - slots[b.within.path].links)
+        else:
+            own[b.within.path] = own.get(b.within.path, 0.0) + (0 if text_token(b) in constant else len(b.text) - b.linked)
+    mass: dict[str, float] = {}
+    for path, chars in own.items():
+        e: Element | None = inside[path]
+        while e:
+            mass[e.path] = mass.get(e.path, 0.0) + chars
+            e = e.parent
+    total = mass.get("", 0.0)
+    boxes = [e for e in elements if not e.other and (slots[e.path].once if e.path in slots else times[e.path] == 1)]
+    least = TENTH * total if slots else 0.0
+    for kind, share in ((MAIN_TAGS, least), (BOXES | {"body"}, HALF * total)):
+        held = [e for e in boxes if e.tag in kind and e.path in mass and (mass[e.path] >= share or kind is MAIN_TAGS and not mass[e.path])]
+        if held:
+            return max(held, key=lambda e: (e.path.count(">"), mass[e.path])).path
+    return ""
+
+
+def main_text(page: str | None, slots: dict[str, Slot], constant: set[str]) -> tuple[str, list[str]]:
+    """The main text, and the paths of the slots that gave it."""
+    found, elements = blocks(page)
+    top = region(found, elements, slots, constant)
+
+    def dropped(e: Element | None) -> bool:
+        while e and e.path != top:
+            slot = slots.get(e.path)
+            if e.named and (slot or not slots) or slot and slot.once and e.tag in BOXES and slot.links > MENU * slot.chars > 0:
+                return True
+            e = e.parent
+        return e is None
+
+    gone: dict[str, bool] = {}
+    kept = []
+    for b in found:
+        path = b.within.path
+        if path not in gone:
+            gone[path] = b.within.other or dropped(b.within)
+        if not gone[path]:
+            kept.append(b)
+    kept = [b for b in kept if text_token(b) not in constant] or kept
+    return " ".join(b.text for b in kept), list(dict.fromkeys(b.within.path for b in kept))
 
 
 def extract(pages: DataFrame, url: str = "url", html: str = "html", max_sent: int = MAX_SENT) -> DataFrame:
     """pages with text (main text) and slots (the paths it stood in)."""
     of_host = F.coalesce(F.lower(F.regexp_extract(F.col(url), r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1)), F.lit(""))
-    fixed = cut(constants(pages, url, html))
-    small = (fixed.agg(F.sum(F.size("_constant"))).first()[0] or 0) <= max_sent
-    joined = pages.withColumn("_host", of_host).join(F.broadcast(fixed) if small else fixed, "_host", "left")
+    made = cut(templates(cut(seen(pages, url, html))))
+    small = (made.agg(F.sum(F.size("_slots") + F.coalesce(F.size("_constant"), F.lit(0)))).first()[0] or 0) <= max_sent
+    joined = pages.withColumn("_host", of_host).join(F.broadcast(made) if small else made, "_host", "left")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known: dict[str, tuple[dict[str, Slot], set[str]]] = {}
         for batch in slices(batches, html, 4 << 20):
-            got = [main_text(h, set(c or ())) for h, c in zip(batch.column(html).to_pylist(), batch.column("_constant").to_pylist())]
-            yield with_columns(batch.drop_columns(["_host", "_constant"]), {"text": pa.array([t for t, _ in got], pa.string()), "slots": pa.array([s for _, s in got], pa.list_(pa.string()))})
+            hosts = batch.column("_host").to_pylist()
+            got = []
+            for i, (name, page) in enumerate(zip(hosts, batch.column(html).to_pylist())):
+                if name not in known:
+                    if len(known) > 1_000:
+                        known.clear()
+                    known[name] = ({x["path"]: Slot(x["once"], x["chars"], x["links"]) for x in batch.column("_slots")[i].as_py() or ()}, set(batch.column("_constant")[i].as_py() or ()))
+                got.append(main_text(page, *known[name]))
+            yield with_columns(batch.drop_columns(["_host", "_slots", "_constant"]), {"text": pa.array([t for t, _ in got], pa.string()), "slots": pa.array([s for _, s in got], pa.list_(pa.string()))})
 
     return joined.mapInArrow(run, schema_with(pages, "text string, slots array<string>"))

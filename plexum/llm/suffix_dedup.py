@@ -11,9 +11,17 @@ and need no global sort. The work goes one suffix bucket (a range of ranks) at a
    all occurrences, so ranks at anchors settle whole stretches between anchors; where stretches differ before one anchor's
    string they are compared position by position.
 
+3. Proof. Ranks only propose: each proposed stretch names another place that has its rank, and goes if 128-bit digests of the
+   bytes at both places agree. Starts of stretches that fail are grouped by their LENGTH bytes themselves, with all proposed
+   starts of equal rank. So nothing is removed because fingerprints collide.
+
 Texts without repeats stay where they are: a Bloom filter of fixed size keeps them out of the joins.
 
-Texts are UTF-8; equal texts are one key with a count. A key that occurs twice and has LENGTH bytes goes whole.
+Buckets grow with the input, one for each BUCKET bytes of text at least, and with them the bits that tell samples apart.
+A bucket's entries are sorted in one task; the places of one string stay together.
+
+Texts are UTF-8; equal texts are one key with a count. A key that occurs twice and has LENGTH bytes goes whole. Two different
+texts with one 64-bit key would be taken for one: for 10^9 texts the chance is about one in forty.
 
 Defined cases: null text counts as empty; texts of fewer than LENGTH bytes are never touched; matches do not cross rows;
 rows that repeat remove each other; what is removed may split a character, so `kept` is binary; clashing columns are
@@ -23,6 +31,7 @@ replaced.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from hashlib import blake2b
 from itertools import count
 
 import numpy as np
@@ -34,7 +43,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from plexum.llm.common import cut, in_sketch, schema_with, sketch, slices, with_columns
-from plexum.llm.ngram_join import deal, unpack
+from plexum.llm.ngram_join import deal, pack, unpack
 
 LENGTH = 200
 PERIOD = 133
@@ -44,8 +53,12 @@ _REF = (("key", "<i8"), ("low", "<u2"), ("high", "<u2"))
 _SAMPLE = (("rank", "<u4"), *_REF)
 _TIE = (("rank", "<u8"), ("whole", "<u8"), ("kind", "u1"), *_REF)
 _SINGLE = (("rank", "<u8"), *_REF)
-_DUP = (("kind", "u1"), *_REF)
-_RUN = (("key", "<i8"), ("start", "<u4"), ("stop", "<u4"))
+_OTHER = (("other", "<i8"), ("there", "<u4"))
+_DUP = (("kind", "u1"), *_REF, *_OTHER)
+_RUN = (("key", "<i8"), ("start", "<u4"), ("stop", "<u4"), *_OTHER)
+_CLAIM = (("start", "<u4"), ("stop", "<u4"), ("there", "<u4"))
+#: Bytes of text for each bucket.
+BUCKET = 16 << 20
 #: Kinds of ranked strings: LENGTH bytes from an anchor, an anchor to LENGTH past the next, LENGTH - GAP from an anchor, LENGTH from any.
 AT_ANCHOR, STRETCH, SHORT, SINGLE = range(4)
 
@@ -148,23 +161,21 @@ def _alone(key: int, at: np.ndarray) -> np.ndarray:
     return (x ^ (x >> np.uint64(31))) * _M1
 
 
-def settle(raw: bytes, matched: np.ndarray, kinds: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """From the tied strings at anchors: starts that repeat for certain, starts to compare singly, and the ranks of those.
+def settle(raw: bytes, matched: np.ndarray, tied_: dict[str, np.ndarray]) -> tuple[dict[str, np.ndarray], np.ndarray, np.ndarray]:
+    """From the tied strings at anchors: runs of starts that repeat at another place by their ranks, starts to compare singly,
+    and the ranks of those.
 
     Compared are stretches before an anchor whose SHORT string ends different stretches elsewhere, one place of each certain
     stretch among them, as it may be what another text's start repeats."""
     h = Hashes(raw)
     ok = possible(h.n, matched)
     m, a = len(ok), anchors(h)
-    sure = np.zeros(m + 1, np.int32)
-    one = at[kinds == AT_ANCHOR]
-    np.add.at(sure, one, 1)
-    np.add.at(sure, one + 1, -1)
-    x = at[kinds == STRETCH]
-    y = a[np.searchsorted(a, x, side="right")] if len(x) else x
-    np.add.at(sure, x, 1)
-    np.add.at(sure, np.minimum(y + 1, m), -1)
-    sure = np.cumsum(sure[:-1]) > 0
+    kinds, at = tied_["kind"], _at(tied_)
+    held = (kinds == AT_ANCHOR) | (kinds == STRETCH)
+    stop = at[held] + 1
+    whole = kinds[held] == STRETCH
+    stop[whole] = np.minimum(a[np.searchsorted(a, at[held][whole], side="right")], m) if whole.any() else stop[whole]
+    sure = claims(at[held], stop, tied_["other"][held], tied_["there"][held].astype(np.int64))
     inner = ok.copy()
     inner[a[a < m]] = False
     p = np.flatnonzero(inner)
@@ -177,15 +188,23 @@ def settle(raw: bytes, matched: np.ndarray, kinds: np.ndarray, at: np.ndarray) -
     alive = gap >= GAP
     alive[~alive] = tied[a[after[~alive]]]
     p = p[alive]
-    return np.flatnonzero(sure), p, h.of(p, p + LENGTH, 101 + SINGLE)
+    return sure, p, h.of(p, p + LENGTH, 101 + SINGLE)
 
 
-def runs(starts: np.ndarray) -> np.ndarray:
-    """Ascending positions as rows (first, past the last)."""
-    if not len(starts):
-        return np.zeros((0, 2), np.int64)
-    split = np.flatnonzero(np.diff(starts) > 1)
-    return np.stack([starts[np.concatenate([[0], split + 1])], starts[np.concatenate([split, [len(starts) - 1]])] + 1], axis=1)
+def claims(start: np.ndarray, stop: np.ndarray, other: np.ndarray, there: np.ndarray) -> dict[str, np.ndarray]:
+    """Runs of starts with what they should equal (a text, and a place for the first start): those that go on where another
+    ends, at both places, are joined."""
+    shift = there - start
+    order = np.lexsort((start, shift, other))
+    start, stop, other, shift = start[order], stop[order], other[order], shift[order]
+    if not len(order):
+        return {"start": start, "stop": stop, "other": other, "there": shift}
+    new = np.concatenate([[True], (other[1:] != other[:-1]) | (shift[1:] != shift[:-1])])
+    part = np.cumsum(new) << 34  # runs of one part only are compared
+    reach = np.maximum.accumulate(stop + part)
+    new[1:] |= (start + part)[1:] > reach[:-1]
+    first = np.flatnonzero(new)
+    return {"start": start[first], "stop": np.maximum.reduceat(stop, first), "other": other[first], "there": start[first] + shift[first]}
 
 
 def covered(starts: np.ndarray) -> list[tuple[int, int]]:
@@ -224,7 +243,7 @@ def _batch(rows: list[tuple[int, bytes]]) -> pa.RecordBatch:
 
 
 def repeated(x: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
-    """Entries whose rank (and kind) stands at two places or more, each place once."""
+    """Entries whose rank (and kind) stands at two places or more, each place once, with another of these places."""
     kind = x.get("kind", np.zeros(len(x["rank"]), np.uint8))
     order = np.lexsort((x["high"], x["low"], x["key"], kind, x["rank"]))
     x, kind = {k: v[order] for k, v in x.items()}, kind[order]
@@ -235,8 +254,10 @@ def repeated(x: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
     x, new = {k: v[first] for k, v in x.items()}, new[first]
     which = np.cumsum(new) - 1
     keep = np.bincount(which)[which] > 1
+    start = np.flatnonzero(new)
+    other = np.where(new, np.minimum(start[which] + 1, len(new) - 1), start[which])
+    x |= {"other": x["key"][other], "there": _at(x)[other]}
     if "whole" in x:  # SHORT strings that all end one stretch are settled by that; else each stretch sends one of its places
-        start = np.flatnonzero(new)
         one = np.minimum.reduceat(x["whole"], start) == np.maximum.reduceat(x["whole"], start)
         by_whole = np.lexsort((np.arange(len(which)), x["whole"], which))
         lead = np.zeros(len(which), bool)
@@ -269,81 +290,161 @@ def _ranked(rows: DataFrame, columns, out, buckets: int) -> DataFrame:
     return rows.groupBy("bucket").applyInPandas(rank, "bucket int, payload binary")
 
 
-def repeats(docs: DataFrame, text: str = "text") -> DataFrame:
-    """key, spans: of each text with repeats, the runs of bytes to remove (start, stop)."""
-    buckets = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+def _claims_of(x: dict[str, np.ndarray]) -> list[tuple[int, bytes]]:
+    """Runs of one text, dealt by the text that they should equal."""
+    others = np.unique(x["other"])
+    return [(int(others[k]), p) for k, p in deal(_CLAIM, np.searchsorted(others, x["other"]), {n: x[n] for n, _ in _CLAIM})]
+
+
+def _digest(raw: bytes, at: int, size: int) -> bytes:
+    return blake2b(memoryview(raw)[at : at + size], digest_size=16).digest()
+
+
+def proven(proposed: DataFrame, held: DataFrame) -> DataFrame:
+    """key, sure, failed: runs of starts whose bytes equal those of the place that they name, and the others. proposed: key
+    and starts (runs); held: key and packed (the text)."""
+
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = [(o, k, p) for k, own in zip(batch.column("key").to_pylist(), batch.column("starts").to_pylist()) for o, p in _claims_of(claims(*(v.astype(np.int64) for n, v in unpack(_RUN, [own]).items() if n != "key")))]
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.int64(), pa.int64(), pa.binary()))], names=["other", "asks", "claims"])
+
+    def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, "packed", 2 << 20):
+            out, last = [], (None, b"")
+            for k, p, own in zip(*(batch.column(c).to_pylist() for c in ("other", "packed", "claims"))):
+                if last[0] != k:
+                    last = (k, zstandard.decompress(p))
+                x = unpack(_CLAIM, [own])
+                out.append(b"".join(_digest(last[1], int(t), int(e) - int(s) + LENGTH - 1) for s, e, t in zip(x["start"], x["stop"], x["there"])))
+            yield pa.RecordBatch.from_arrays([batch.column("asks"), batch.column("claims"), pa.array(out, pa.binary())], names=["key", "claims", "digests"])
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, "packed", 2 << 20):
+            rows, last = [], (None, b"")
+            for k, p, own, theirs in zip(*(batch.column(c).to_pylist() for c in ("key", "packed", "claims", "digests"))):
+                if last[0] != k:
+                    last = (k, zstandard.decompress(p))
+                x = unpack(_CLAIM, [own])
+                ok = np.array([theirs[16 * i : 16 * i + 16] == _digest(last[1], int(s), int(e) - int(s) + LENGTH - 1) for i, (s, e) in enumerate(zip(x["start"], x["stop"]))], bool)
+                rows.append((k, *(pack(_CLAIM, **{n: v[w] for n, v in x.items()}) for w in (ok, ~ok))))
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.int64(), pa.binary(), pa.binary()))], names=["key", "sure", "failed"])
+
+    texts = held.select("key", "packed")
+    asked = proposed.mapInArrow(ask, "other long, asks long, claims binary")
+    answered = asked.join(texts.withColumnRenamed("key", "other"), "other").select("other", "asks", "claims", "packed").mapInArrow(answer, "key long, claims binary, digests binary")
+    return answered.join(texts, "key").select("key", "claims", "digests", "packed").mapInArrow(compare, "key long, sure binary, failed binary")
+
+
+def by_bytes(found: DataFrame, held: DataFrame) -> DataFrame:
+    """key, sure: of the runs that failed in found, the starts whose LENGTH bytes another proposed start has."""
+
+    def strings(column: str, with_bytes: bool):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in slices(batches, "packed", 1 << 20):
+                for k, p, own in zip(*(batch.column(c).to_pylist() for c in ("key", "packed", column))):
+                    raw, x = zstandard.decompress(p), unpack(_CLAIM, own)
+                    for s, e in zip(x["start"].astype(np.int64), x["stop"].astype(np.int64)):
+                        for lo in range(int(s), int(e), 4_096):
+                            at = np.arange(lo, min(int(e), lo + 4_096))
+                            cols = [pa.array(Hashes(raw).of(at, at + LENGTH, 1).view(np.int64))]
+                            cols += [pa.array(np.full(len(at), k)), pa.array(at), pa.array([raw[i : i + LENGTH] for i in at], pa.binary())] if with_bytes else []
+                            yield pa.RecordBatch.from_arrays(cols, names=["rank", "key", "start", "string"][: len(cols)])
+
+        return run
+
+    whole = found.groupBy("key").agg(F.array_union(F.collect_list("sure"), F.collect_list("failed")).alias("all"), F.collect_list("failed").alias("failed")).join(held.select("key", "packed"), "key")
+    wanted = whole.select("key", "packed", "failed").mapInArrow(strings("failed", False), "rank long").distinct()
+    places = cut(whole.select("key", "packed", "all").mapInArrow(strings("all", True), "rank long, key long, start long, string binary").join(wanted, "rank", "left_semi").dropDuplicates(["key", "start"]))
+    twice = places.groupBy("string").agg(F.count("*").alias("n")).where("n > 1").select("string")
+    lists = places.join(twice, "string", "left_semi").groupBy("key").agg(F.collect_list("start").alias("starts"))
+
+    def to_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at = [np.array(x, np.int64) for x in batch.column("starts").to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column("key"), pa.array([pack(_CLAIM, start=x, stop=x + 1, there=x) for x in at], pa.binary())], names=["key", "sure"])
+
+    return lists.mapInArrow(to_runs, "key long, sure binary")
+
+
+def repeats(docs: DataFrame, text: str = "text", bits: int = 64) -> DataFrame:
+    """key, spans: of each text with repeats, the runs of bytes to remove (start, stop). bits: of the ranks that propose; with
+    few of them more is proposed and refuted, and the result is the same."""
+    known = cut(keys_of(docs, text).groupBy("key").agg(F.max("size").alias("size"), F.count("*").alias("copies"), F.min("_order").alias("_order")))
+    total = known.agg(F.sum("size")).first()[0] or 0
+    buckets = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), total // BUCKET)
+    mask = np.uint64((1 << bits) - 1)
 
     def sample(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, text, 8 << 20):
-            seen, ranks, keys, places = set(), [], [], []
+            had, ranks, keys, places = set(), [], [], []
             for x in batch.column(text).to_pylist():
                 raw = _bytes(x)
                 key = key_of(raw)
-                if len(raw) < LENGTH or key in seen:
+                if len(raw) < LENGTH or key in had:
                     continue
-                seen.add(key)
+                had.add(key)
                 at = sample_positions(len(raw))
                 ranks.append(Hashes(raw).of(at, at + LENGTH - PERIOD + 1))
                 keys.append(np.full(len(at), key))
                 places.append(at)
-            if seen:
+            if had:
                 r = np.concatenate(ranks)
                 yield _batch(deal(_SAMPLE, ((r >> np.uint64(32)) % np.uint64(buckets)).astype(np.int64), {"rank": r & np.uint64(0xFFFFFFFF)} | _refs(np.concatenate(keys), np.concatenate(places))))
 
-    matched = _by_key(_ranked(docs.select(text).mapInArrow(sample, "bucket int, payload binary"), _SAMPLE, _REF, buckets), _REF, buckets, "matched")
-    matched = cut(matched)
-    known = cut(keys_of(docs, text).groupBy("key").agg(F.max("size").alias("size"), F.count("*").alias("copies"), F.min("_order").alias("_order")))
+    matched = cut(_by_key(_ranked(docs.select(text).mapInArrow(sample, "bucket int, payload binary"), _SAMPLE, _REF, buckets), _REF, buckets, "matched"))
     packed = packed_texts(docs, text, sketch(matched))
-    held = cut(packed.join(known.select("key", F.col("_order").alias("_first")).join(matched, "key"), "key").where("_order = _first").select("key", "packed", "matched"))
+    held = cut(packed.join(known.select("key", F.col("_order").alias("_first")).join(matched, "key"), "key").where("_order = _first").select("key", "packed", "matched").dropDuplicates(["key"]))
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "packed", 2 << 20):
             got = [(k, *ties(k, zstandard.decompress(p), _at(unpack(_REF, [m])))) for k, p, m in zip(*(batch.column(c).to_pylist() for c in ("key", "packed", "matched")))]
-            r = np.concatenate([x[3] for x in got])
+            r = np.concatenate([x[3] for x in got]) & mask
             if len(r):
                 keys = np.repeat(np.array([x[0] for x in got]), [len(x[1]) for x in got])
                 yield _batch(deal(_TIE, (r % np.uint64(buckets)).astype(np.int64), {"rank": r, "whole": np.concatenate([x[4] for x in got]), "kind": np.concatenate([x[1] for x in got])} | _refs(keys, np.concatenate([x[2] for x in got]))))
 
     tied = _by_key(_ranked(held.mapInArrow(compare, "bucket int, payload binary"), _TIE, _DUP, buckets), _DUP, buckets, "tied")
-
     settled = held.join(tied, "key", "left")
 
     def each(batch: pa.RecordBatch) -> list[tuple]:
-        out = []
-        for k, p, m, t in zip(*(batch.column(c).to_pylist() for c in ("key", "packed", "matched", "tied"))):
-            x = unpack(_DUP, [t] if t else [])
-            out.append((k, *settle(zstandard.decompress(p), _at(unpack(_REF, [m])), x["kind"], _at(x))))
-        return out
+        return [
+            (k, *settle(zstandard.decompress(p), _at(unpack(_REF, [m])), unpack(_DUP, [t] if t else [])))
+            for k, p, m, t in zip(*(batch.column(c).to_pylist() for c in ("key", "packed", "matched", "tied")))
+        ]
 
     def certain(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "packed", 2 << 20):
-            got = [(k, runs(sure)) for k, sure, _, _ in each(batch)]
-            own = {"key": np.repeat(np.array([k for k, _ in got]), [len(r) for _, r in got])} | {n: np.concatenate([r[:, i] for _, r in got]) for i, n in enumerate(("start", "stop"))}
+            got = [(k, c) for k, c, _, _ in each(batch)]
+            own = {"key": np.repeat(np.array([k for k, _ in got]), [len(c["start"]) for _, c in got])} | {n: np.concatenate([c[n] for _, c in got]) for n in ("start", "stop", "other", "there")}
             if len(own["key"]):
                 yield _batch(deal(_RUN, own["key"] % buckets, own))
 
     def single(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "packed", 2 << 20):
             got = each(batch)
-            r = np.concatenate([x[3] for x in got])
+            r = np.concatenate([x[3] for x in got]) & mask
             if len(r):
                 keys = np.repeat(np.array([x[0] for x in got]), [len(x[2]) for x in got])
                 yield _batch(deal(_SINGLE, (r % np.uint64(buckets)).astype(np.int64), {"rank": r} | _refs(keys, np.concatenate([x[2] for x in got]))))
 
     both = settled.mapInArrow(certain, "bucket int, payload binary").unionByName(_ranked(settled.mapInArrow(single, "bucket int, payload binary"), _SINGLE, _RUN, buckets))
-    starts = _by_key(both, _RUN, buckets, "starts")
+    found = cut(proven(_by_key(both, _RUN, buckets, "starts"), held))
+    sure = found.select("key", "sure")
+    if not found.where("length(failed) > 0").isEmpty():
+        sure = sure.unionByName(by_bytes(found, held))
 
     def to_spans(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
-            for p in batch.column("starts").to_pylist():
-                x = unpack(_RUN, [p])
+            for p in batch.column("sure").to_pylist():
+                x = unpack(_CLAIM, p)
                 rows.append([{"start": a, "stop": b} for a, b in covered(np.stack([x["start"], x["stop"]], axis=1).astype(np.int64))])
             yield pa.RecordBatch.from_arrays([batch.column("key"), pa.array(rows, pa.list_(pa.struct([("start", pa.int32()), ("stop", pa.int32())])))], names=["key", "spans"])
 
-    found = starts.mapInArrow(to_spans, "key long, spans array<struct<start:int,stop:int>>")
+    spans = sure.groupBy("key").agg(F.collect_list("sure").alias("sure")).mapInArrow(to_spans, "key long, spans array<struct<start:int,stop:int>>").where("size(spans) > 0")
     whole = known.where(f"copies > 1 and size >= {LENGTH}").select("key", F.array(F.struct(F.lit(0).alias("start"), F.col("size").cast("int").alias("stop"))).alias("spans"))
-    return found.join(whole.select("key"), "key", "left_anti").unionByName(whole)
+    return spans.join(whole.select("key"), "key", "left_anti").unionByName(whole)
 
 
 def _order(docs: DataFrame, text: str):
@@ -379,13 +480,13 @@ def packed_texts(docs: DataFrame, text: str, only: np.ndarray) -> DataFrame:
     return docs.withColumn("_order", _order(docs, text)).mapInArrow(run, schema_with(docs.drop(text).withColumn("_order", F.lit(0).cast("long")), "key long, size long, packed binary"))
 
 
-def dedup(docs: DataFrame, text: str = "text") -> DataFrame:
+def dedup(docs: DataFrame, text: str = "text", bits: int = 64) -> DataFrame:
     """docs without the text, with n_bytes, removed (runs of bytes: start, stop), n_removed, and kept (what is left, binary)."""
     kept = [c for c in docs.columns if c != text]
     taken = {"n_bytes", "removed", "n_removed", "kept"}
     names = dict(zip(kept, (f"_c{i}" for i in count())))
     base = docs.select(*[F.col(f"`{c}`").alias(n) for c, n in names.items()], F.col(f"`{text}`").alias("_text"))
-    found = cut(repeats(base, "_text"))
+    found = cut(repeats(base, "_text", bits))
     touched = sketch(found)
     sent = docs.sparkSession.sparkContext.broadcast(touched)
     joined = packed_texts(base, "_text", touched).join(found, "key", "left").drop("key", "_order")

@@ -145,6 +145,8 @@ def test_suffix_dedup_like_brute_force(spark, texts, odd):
     shared = "".join(random.choice("abcdefgh ") for _ in range(700))
     extra = [(20_000 + i, "".join(random.choice("xyz") for _ in range(random.randint(0, 300))) + shared[random.randint(0, 300) : random.randint(400, 700)] + "é" * i) for i in range(30)]
     base = list(texts.items()) + extra + [(30_000, "ab" * 400), (30_001, "q" * 199), (30_002, "q" * 200), (30_003, extra[0][1])]
+    long = "".join(random.choice("klmnop") for _ in range(90_000))  # places past 64 KiB, within and across texts
+    base += [(40_000, long + shared[:250] + long[70_000:70_300]), (40_001, "t" + long[66_000:66_400] + "t")]
     seen = {}
     for i, t in base:
         raw = t.encode()
@@ -162,6 +164,8 @@ def test_suffix_dedup_like_brute_force(spark, texts, odd):
     df = spark.createDataFrame(base, "doc_id long, text string")
     got = {r.doc_id: bytes(r.kept) for r in suffix_dedup.dedup(df).collect()}
     assert got == want
+    got = {r.doc_id: bytes(r.kept) for r in suffix_dedup.dedup(df, bits=9).collect()}  # ranks that collide all over
+    assert got == want
     out = suffix_dedup.dedup(odd).collect()
     assert len(out) == len(ODD) and {(r.doc_id, r.n_removed) for r in out} == {(1, 0), (2, 0), (None, 0), (3, 0), (4, 40_000)}
     assert suffix_dedup.dedup(odd.limit(0)).count() == 0
@@ -178,15 +182,72 @@ def test_url_filter(spark):
 
 def test_html(spark):
     page = "<html><head><title>T</title><script>var a='</p>';</script></head><body><nav><a href='/'>Home</a></nav><div class='cookie-notice'>We use</div><article><h1>A &amp; B</h1><p>one <b>two</b>\n three<br>four<p>five<aside>side</aside><div class='comments'><p>me too</p></div></article><footer>&copy;</footer>"
-    assert html_extract.main_text(page, set())[0] == "A & B one two three four five"
-    assert html_extract.main_text(None, set())[0] == "" and html_extract.main_text("<p", set())[0] == ""
+    assert html_extract.main_text(page, {}, set())[0] == "A & B one two three four five"
+    assert html_extract.main_text(None, {}, set())[0] == "" and html_extract.main_text("<p", {}, set())[0] == ""
     plain = [(i, f"http://h.org/{i}", f"<body><div>Welcome to us</div><div class=x><p>Text {i} of a page.</p></div></body>") for i in range(6)]
     pages = spark.createDataFrame(plain + [(9, None, None), (9, None, None)], "page_id long, url string, html string")
-    got = sorted((r.page_id, r.text) for r in html_extract.extract(pages).collect())
-    assert got == [(i, f"Text {i} of a page.") for i in range(6)] + [(9, ""), (9, "")]
+    for sent in (1_000, 0):  # templates sent to all tasks, or joined by host
+        got = sorted((r.page_id, r.text) for r in html_extract.extract(pages, max_sent=sent).collect())
+        assert got == [(i, f"Text {i} of a page.") for i in range(6)] + [(9, ""), (9, "")]
     assert html_extract.extract(pages.limit(0)).count() == 0
-    template = html_extract.templates(pages).where("host = 'h.org'").first().template
-    assert {t.pages for t in template} == {6} and len({t["class"] for t in template}) == 1
+    template = html_extract.templates(html_extract.seen(pages)).where("_host = 'h.org'").first()
+    assert {t["class"] for t in template["_slots"]} == {1} and all(t.once for t in template["_slots"]) and len(template["_constant"]) == 1
+
+
+def test_html_keeps_what_authors_write(spark):
+    """Names of boxes that only one author uses, figures and formulas are parts of an article; long pages are whole."""
+    inner = "<figure><figcaption>a plot</figcaption></figure><section class='warning'>take care</section><div class='related-work'>others did</div><blockquote class='reply'>said she</blockquote><p>so <math><mi>x</mi></math></p><div class='post login-required'><p>deep</p></div>"
+    rows = [(i, f"http://k.org/{i}", f"<body><nav><a href=/>Home</a></nav><article><p>Page {i} has its own words.</p>{inner if i == 3 else ''}<div class=comments><p>Reader {i} says hm</p></div></article></body>") for i in range(12)]
+    rows.append((50, "http://k.org/50", "<body><article>" + "<p>words of a long page</p>" * 30_000 + "</article></body>"))
+    df = spark.createDataFrame([(*r, "old", 7) for r in rows], "page_id long, url string, html string, TEXT string, slots int")
+    out = {r.page_id: r.text for r in html_extract.extract(df).collect()}
+    assert out[3] == "Page 3 has its own words. a plot take care others did said she so x deep" and out[5] == "Page 5 has its own words."
+    assert len(out[50]) == 30_000 * len("words of a long page ") - 1
+
+
+def _by_brute_force(pages):
+    """Slots of each host from whole occurrence vectors, kept as tuples over all distinct pages."""
+    out = {}
+    for h in {html_extract.host(u) for _, u, _ in pages}:
+        own = sorted({x or "" for _, u, x in pages if html_extract.host(u) == h})
+        rows = [{(t, w): (n, c, k) for t, w, n, c, k in html_extract.tokens(x)} for x in own]
+        vectors = {key: tuple(r.get(key, (0, 0, 0))[0] for r in rows) for key in set().union(*rows)}
+        held = {key: sum(n > 0 for n in v) for key, v in vectors.items()}
+        fixed = {key for key, n in held.items() if key[1] is not None and n >= 3 and n >= 0.5 * held[key[1], None]}
+        total = lambda key, i: sum(r[key][i] for r in rows if key in r)
+        slots = {
+            key[0]: (max(v) == 1, *(round((total(key, i) - sum(total(f, i) for f in fixed if f[1] == key[0])) / held[key], 6) for i in (1, 2)), v)
+            for key, v in vectors.items() if key[1] is None and held[key] >= 3 and held[key] >= 0.1 * len(own)
+        }
+        out[h] = slots, {f[0] for f in fixed}
+    return out
+
+
+def test_html_templates_like_brute_force(spark):
+    """Hosts with neutral markup alone: the template decides, and is what whole occurrence vectors give."""
+    random.seed(12)
+    say = lambda n: " ".join(random.choice("red blue tall wide old new far near".split()) + str(random.randint(0, 999)) for _ in range(n))
+    want, rows = {}, []
+    for i in range(30):  # a menu, an article in boxes, a note of the site inside it, a short notice that differs, each a bare div
+        body = [say(random.randint(8, 40)) for _ in range(random.randint(1, 4))] if i % 3 else [say(2)]
+        menu = "".join(f"<a href=/{k}>{say(1)}</a> " for k in range(9))
+        rows.append((i, f"http://n.org/{i}", f"<body><div>{menu}</div><div><div><div>{''.join(f'<p>{x}</p>' for x in body)}<p>Join our circle of readers</p></div></div></div><div>{say(9)}</div></body>"))
+        want[i] = " ".join(body)
+    for i in range(30, 42):  # another layout of that host
+        body = say(25)
+        rows.append((i, f"http://n.org/{i}", f"<body><table><tr><td>{say(2)}</td><td>{body}</td></tr></table></body>"))
+        want[i] = body
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    assert {r.page_id: r.text for r in html_extract.extract(df).collect()} == want
+    assert sum(html_extract.main_text(h, {}, set())[0] != want[i] for i, _, h in rows) >= 30  # without a template, other text
+    rows += [(99, "http://one.org/", "<body><article>alone</article></body>"), (100, None, None)]
+    for r in html_extract.templates(html_extract.seen(spark.createDataFrame(rows, "page_id long, url string, html string"))).collect():
+        slots, fixed = _by_brute_force(rows)[r["_host"]]
+        assert {x.path: (x.once, round(x.chars, 6), round(x.links, 6)) for x in r["_slots"]} == {k: v[:3] for k, v in slots.items()} and set(r["_constant"] or ()) == fixed
+        classes = {}
+        for x in r["_slots"]:
+            classes.setdefault(x["class"], set()).add(slots[x.path][3])
+        assert all(len(v) == 1 for v in classes.values()) and len(classes) == len({v[3] for v in slots.values()})
 
 
 def test_join_of_many_short_texts(spark):
