@@ -53,10 +53,11 @@ _REF = (("key", "<i8"), ("low", "<u2"), ("high", "<u2"))
 _SAMPLE = (("rank", "<u4"), *_REF)
 _TIE = (("rank", "<u8"), ("whole", "<u8"), ("kind", "u1"), *_REF)
 _SINGLE = (("rank", "<u8"), *_REF)
-_OTHER = (("other", "<i8"), ("there", "<u4"))
+#: Another place of the same string: its text, and how far on it stands there.
+_OTHER = (("other", "<i8"), ("shift", "<i4"))
 _DUP = (("kind", "u1"), *_REF, *_OTHER)
-_RUN = (("key", "<i8"), ("start", "<u4"), ("stop", "<u4"), *_OTHER)
-_CLAIM = (("start", "<u4"), ("stop", "<u4"), ("there", "<u4"))
+_RUN = (("key", "<i8"), ("start", "<u4"), ("size", "<u4"), *_OTHER)
+_CLAIM = (("start", "<u4"), ("size", "<u4"), ("shift", "<i4"))
 #: Bytes of text for each bucket.
 BUCKET = 16 << 20
 #: Kinds of ranked strings: LENGTH bytes from an anchor, an anchor to LENGTH past the next, LENGTH - GAP from an anchor, LENGTH from any.
@@ -175,7 +176,7 @@ def settle(raw: bytes, matched: np.ndarray, tied_: dict[str, np.ndarray]) -> tup
     stop = at[held] + 1
     whole = kinds[held] == STRETCH
     stop[whole] = np.minimum(a[np.searchsorted(a, at[held][whole], side="right")], m) if whole.any() else stop[whole]
-    sure = claims(at[held], stop, tied_["other"][held], tied_["there"][held].astype(np.int64))
+    sure = claims(at[held], stop - at[held], tied_["other"][held], tied_["shift"][held].astype(np.int64))
     inner = ok.copy()
     inner[a[a < m]] = False
     p = np.flatnonzero(inner)
@@ -191,20 +192,19 @@ def settle(raw: bytes, matched: np.ndarray, tied_: dict[str, np.ndarray]) -> tup
     return sure, p, h.of(p, p + LENGTH, 101 + SINGLE)
 
 
-def claims(start: np.ndarray, stop: np.ndarray, other: np.ndarray, there: np.ndarray) -> dict[str, np.ndarray]:
-    """Runs of starts with what they should equal (a text, and a place for the first start): those that go on where another
-    ends, at both places, are joined."""
-    shift = there - start
+def claims(start: np.ndarray, size: np.ndarray, other: np.ndarray, shift: np.ndarray) -> dict[str, np.ndarray]:
+    """Runs of starts with where they should stand again (a text, and how far on): those that go on where another ends, at
+    both places, are joined."""
     order = np.lexsort((start, shift, other))
-    start, stop, other, shift = start[order], stop[order], other[order], shift[order]
+    start, stop, other, shift = start[order], (start + size)[order], other[order], shift[order]
     if not len(order):
-        return {"start": start, "stop": stop, "other": other, "there": shift}
+        return {"start": start, "size": stop, "other": other, "shift": shift}
     new = np.concatenate([[True], (other[1:] != other[:-1]) | (shift[1:] != shift[:-1])])
     part = np.cumsum(new) << 34  # runs of one part only are compared
     reach = np.maximum.accumulate(stop + part)
     new[1:] |= (start + part)[1:] > reach[:-1]
     first = np.flatnonzero(new)
-    return {"start": start[first], "stop": np.maximum.reduceat(stop, first), "other": other[first], "there": start[first] + shift[first]}
+    return {"start": start[first], "size": np.maximum.reduceat(stop, first) - start[first], "other": other[first], "shift": shift[first]}
 
 
 def covered(starts: np.ndarray) -> list[tuple[int, int]]:
@@ -256,7 +256,7 @@ def repeated(x: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
     keep = np.bincount(which)[which] > 1
     start = np.flatnonzero(new)
     other = np.where(new, np.minimum(start[which] + 1, len(new) - 1), start[which])
-    x |= {"other": x["key"][other], "there": _at(x)[other]}
+    x |= {"other": x["key"][other], "shift": _at(x)[other] - _at(x)}
     if "whole" in x:  # SHORT strings that all end one stretch are settled by that; else each stretch sends one of its places
         one = np.minimum.reduceat(x["whole"], start) == np.maximum.reduceat(x["whole"], start)
         by_whole = np.lexsort((np.arange(len(which)), x["whole"], which))
@@ -283,7 +283,7 @@ def _ranked(rows: DataFrame, columns, out, buckets: int) -> DataFrame:
     def rank(pdf: pd.DataFrame) -> pd.DataFrame:
         x = repeated(unpack(columns, pdf["payload"].tolist()))
         x["start"] = _at(x)
-        x["stop"] = x["start"] + 1
+        x["size"] = np.ones(len(x["start"]), np.int64)
         order = np.lexsort((x["start"], x["key"]))
         return _frame(deal(out, x["key"][order] % buckets, {k: x[k][order] for k, _ in out}))
 
@@ -306,34 +306,38 @@ def proven(proposed: DataFrame, held: DataFrame) -> DataFrame:
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = [(o, k, p) for k, own in zip(batch.column("key").to_pylist(), batch.column("starts").to_pylist()) for o, p in _claims_of(claims(*(v.astype(np.int64) for n, v in unpack(_RUN, [own]).items() if n != "key")))]
-            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.int64(), pa.int64(), pa.binary()))], names=["other", "asks", "claims"])
+            rows = []
+            for k, own in zip(batch.column("key").to_pylist(), batch.column("starts").to_pylist()):
+                runs = claims(*(v.astype(np.int64) for n, v in unpack(_RUN, [own]).items() if n != "key"))
+                for o, p in _claims_of(runs):
+                    rows += [(o, k, o, True, p), (k, k, o, False, p)]
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.binary()))], names=["key", "asks", "other", "there", "claims"])
 
-    def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "packed", 2 << 20):
             out, last = [], (None, b"")
-            for k, p, own in zip(*(batch.column(c).to_pylist() for c in ("other", "packed", "claims"))):
+            for k, p, there, own in zip(*(batch.column(c).to_pylist() for c in ("key", "packed", "there", "claims"))):
                 if last[0] != k:
                     last = (k, zstandard.decompress(p))
-                x = unpack(_CLAIM, [own])
-                out.append(b"".join(_digest(last[1], int(t), int(e) - int(s) + LENGTH - 1) for s, e, t in zip(x["start"], x["stop"], x["there"])))
-            yield pa.RecordBatch.from_arrays([batch.column("asks"), batch.column("claims"), pa.array(out, pa.binary())], names=["key", "claims", "digests"])
+                x = {n: v.astype(np.int64) for n, v in unpack(_CLAIM, [own]).items()}
+                at = x["start"] + x["shift"] if there else x["start"]
+                out.append(b"".join(_digest(last[1], s, n + LENGTH - 1) for s, n in zip(at.tolist(), x["size"].tolist())))
+            yield with_columns(batch.drop_columns(["key", "packed"]), {"digests": pa.array(out, pa.binary())})
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "packed", 2 << 20):
-            rows, last = [], (None, b"")
-            for k, p, own, theirs in zip(*(batch.column(c).to_pylist() for c in ("key", "packed", "claims", "digests"))):
-                if last[0] != k:
-                    last = (k, zstandard.decompress(p))
+        for batch in batches:
+            rows = []
+            for k, own, one, two in zip(*(batch.column(c).to_pylist() for c in ("asks", "claims", "one", "two"))):
                 x = unpack(_CLAIM, [own])
-                ok = np.array([theirs[16 * i : 16 * i + 16] == _digest(last[1], int(s), int(e) - int(s) + LENGTH - 1) for i, (s, e) in enumerate(zip(x["start"], x["stop"]))], bool)
+                ok = (np.frombuffer(one, "V16") == np.frombuffer(two, "V16")) if len(one) else np.zeros(0, bool)
                 rows.append((k, *(pack(_CLAIM, **{n: v[w] for n, v in x.items()}) for w in (ok, ~ok))))
             yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.int64(), pa.binary(), pa.binary()))], names=["key", "sure", "failed"])
 
-    texts = held.select("key", "packed")
-    asked = proposed.mapInArrow(ask, "other long, asks long, claims binary")
-    answered = asked.join(texts.withColumnRenamed("key", "other"), "other").select("other", "asks", "claims", "packed").mapInArrow(answer, "key long, claims binary, digests binary")
-    return answered.join(texts, "key").select("key", "claims", "digests", "packed").mapInArrow(compare, "key long, sure binary, failed binary")
+    asked = proposed.mapInArrow(ask, "key long, asks long, other long, there boolean, claims binary")
+    told = asked.join(held.select("key", "packed"), "key").select("key", "asks", "other", "there", "claims", "packed")
+    told = told.mapInArrow(digests, "asks long, other long, there boolean, claims binary, digests binary")
+    both = told.groupBy("asks", "other").agg(F.max("claims").alias("claims"), F.max(F.when(F.col("there"), F.col("digests"))).alias("one"), F.max(F.when(~F.col("there"), F.col("digests"))).alias("two"))
+    return both.mapInArrow(compare, "key long, sure binary, failed binary")
 
 
 def by_bytes(found: DataFrame, held: DataFrame) -> DataFrame:
@@ -344,9 +348,9 @@ def by_bytes(found: DataFrame, held: DataFrame) -> DataFrame:
             for batch in slices(batches, "packed", 1 << 20):
                 for k, p, own in zip(*(batch.column(c).to_pylist() for c in ("key", "packed", column))):
                     raw, x = zstandard.decompress(p), unpack(_CLAIM, own)
-                    for s, e in zip(x["start"].astype(np.int64), x["stop"].astype(np.int64)):
-                        for lo in range(int(s), int(e), 4_096):
-                            at = np.arange(lo, min(int(e), lo + 4_096))
+                    for s, n in zip(x["start"].tolist(), x["size"].tolist()):
+                        for lo in range(s, s + n, 4_096):
+                            at = np.arange(lo, min(s + n, lo + 4_096))
                             cols = [pa.array(Hashes(raw).of(at, at + LENGTH, 1).view(np.int64))]
                             cols += [pa.array(np.full(len(at), k)), pa.array(at), pa.array([raw[i : i + LENGTH] for i in at], pa.binary())] if with_bytes else []
                             yield pa.RecordBatch.from_arrays(cols, names=["rank", "key", "start", "string"][: len(cols)])
@@ -362,7 +366,7 @@ def by_bytes(found: DataFrame, held: DataFrame) -> DataFrame:
     def to_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             at = [np.array(x, np.int64) for x in batch.column("starts").to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column("key"), pa.array([pack(_CLAIM, start=x, stop=x + 1, there=x) for x in at], pa.binary())], names=["key", "sure"])
+            yield pa.RecordBatch.from_arrays([batch.column("key"), pa.array([pack(_CLAIM, start=x, size=np.ones(len(x)), shift=np.zeros(len(x))) for x in at], pa.binary())], names=["key", "sure"])
 
     return lists.mapInArrow(to_runs, "key long, sure binary")
 
@@ -416,7 +420,7 @@ def repeats(docs: DataFrame, text: str = "text", bits: int = 64) -> DataFrame:
     def certain(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "packed", 2 << 20):
             got = [(k, c) for k, c, _, _ in each(batch)]
-            own = {"key": np.repeat(np.array([k for k, _ in got]), [len(c["start"]) for _, c in got])} | {n: np.concatenate([c[n] for _, c in got]) for n in ("start", "stop", "other", "there")}
+            own = {"key": np.repeat(np.array([k for k, _ in got]), [len(c["start"]) for _, c in got])} | {n: np.concatenate([c[n] for _, c in got]) for n in ("start", "size", "other", "shift")}
             if len(own["key"]):
                 yield _batch(deal(_RUN, own["key"] % buckets, own))
 
@@ -439,7 +443,7 @@ def repeats(docs: DataFrame, text: str = "text", bits: int = 64) -> DataFrame:
             rows = []
             for p in batch.column("sure").to_pylist():
                 x = unpack(_CLAIM, p)
-                rows.append([{"start": a, "stop": b} for a, b in covered(np.stack([x["start"], x["stop"]], axis=1).astype(np.int64))])
+                rows.append([{"start": a, "stop": b} for a, b in covered(np.stack([x["start"], x["start"] + x["size"]], axis=1).astype(np.int64))])
             yield pa.RecordBatch.from_arrays([batch.column("key"), pa.array(rows, pa.list_(pa.struct([("start", pa.int32()), ("stop", pa.int32())])))], names=["key", "spans"])
 
     spans = sure.groupBy("key").agg(F.collect_list("sure").alias("sure")).mapInArrow(to_spans, "key long, spans array<struct<start:int,stop:int>>").where("size(spans) > 0")
