@@ -7,8 +7,6 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from plexum.operators import tables
-
 
 def spread_codes(n_bits: int, ones: int, distance: int = 4) -> list[int]:
     """Codes of n_bits with so many ones, in ascending order, each at least `distance` from all before it."""
@@ -52,10 +50,6 @@ def density_filter(spots: DataFrame, x: str, y: str, blank: str, steps: tuple[fl
     return placed.join(good, ["_i", "_j"], "left_semi").drop("_i", "_j")
 
 
-def relative_to_best(df: DataFrame, value: str, share: float) -> DataFrame:
-    return tables.over_share_of_max(df, value, share)
-
-
 def within_distance(df: DataFrame, code: str, others: Sequence[int], distance: int) -> DataFrame:
     """Codes at least `distance` bits from each of a short list."""
     test = F.lit(True)

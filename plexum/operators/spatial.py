@@ -34,12 +34,13 @@ def box_overlaps(left: DataFrame, right: DataFrame, size: float) -> DataFrame:
     return a.join(b, on & meet & home).select(F.col("a.id").alias("left_id"), F.col("b.id").alias("right_id"))
 
 
-def exclusive(points: DataFrame, boxes: DataFrame, size: float) -> DataFrame:
-    """Points (tile, x, y, ...) strictly inside the area that is their tile's own: its box less all boxes of lower id."""
+def exclusive(points: DataFrame, boxes: DataFrame, size: float, later_wins: bool = False) -> DataFrame:
+    """Points (tile, x, y, ...) strictly inside the area that is their tile's own: its box less all boxes of lower id, or of
+    higher id if the later tile wins."""
     cells = _cells(boxes, size).alias("b")
     p = points.withColumns({"_pid": F.struct(*[F.col(c) for c in points.columns]), "_cx": _cell(F.col("x"), size), "_cy": _cell(F.col("y"), size)}).alias("p")
     mine = p.join(boxes.select(F.col("id").alias("tile"), "x0", "y0", "x1", "y1").alias("m"), "tile").where("x > x0 and x < x1 and y > y0 and y < y1").select("p.*").alias("p")
-    taken = (F.col("p._cx") == F.col("b._cx")) & (F.col("p._cy") == F.col("b._cy")) & (F.col("b.id") < F.col("p.tile")) & F.expr("p.x >= b.x0 and p.x <= b.x1 and p.y >= b.y0 and p.y <= b.y1")
+    taken = (F.col("p._cx") == F.col("b._cx")) & (F.col("p._cy") == F.col("b._cy")) & (F.col("b.id") > F.col("p.tile") if later_wins else F.col("b.id") < F.col("p.tile")) & F.expr("p.x >= b.x0 and p.x <= b.x1 and p.y >= b.y0 and p.y <= b.y1")
     return mine.join(cells, taken, "left_anti").select(points.columns)
 
 
@@ -67,7 +68,8 @@ def nearest(points: DataFrame, targets: DataFrame, group: str, ties: Sequence[st
     both = points.select("id", group, "v", F.lit(None).cast(targets.schema["target_id"].dataType).alias("target_id")).unionByName(targets.groupBy(group, "v").agg(F.min("target_id").alias("target_id")).select(F.lit(None).cast(points.schema["id"].dataType).alias("id"), group, "v", "target_id"))
     held = F.when(F.col("target_id").isNotNull(), F.struct("v", "target_id"))
     w = Window.partitionBy(group).orderBy("v")
-    near = both.withColumns({"_b": F.last(held, True).over(w), "_a": F.first(held, True).over(w.rangeBetween(Window.currentRow, Window.unboundedFollowing))}).where("id is not null")
+    back = Window.partitionBy(group).orderBy(F.col("v").desc())  # what lies ahead is what was passed from the other end
+    near = both.withColumns({"_b": F.last(held, True).over(w), "_a": F.last(held, True).over(back)}).where("id is not null")
     d = lambda s: F.abs(F.col("v") - F.col(f"{s}.v"))
     best = F.least(F.when(F.col("_b").isNotNull(), F.struct(d("_b").alias("d"), F.col("_b.target_id").alias("t"))), F.when(F.col("_a").isNotNull(), F.struct(d("_a").alias("d"), F.col("_a.target_id").alias("t"))))
     return near.withColumn("_n", best).select("id", group, F.col("_n.t").alias("target_id"), F.col("_n.d").alias("distance"))

@@ -99,16 +99,6 @@ def histogram(df: DataFrame, key: str, value: str, width: float) -> DataFrame:
     return df.where(F.col(value).isNotNull()).groupBy(key, F.floor(F.col(value) / width).cast("long").alias("bin")).agg(F.count("*").alias("n"))
 
 
-def histogram_quantile(hist: DataFrame, key: str, width: float, q: float) -> DataFrame:
-    """The quantile of a histogram: the bin where the running share reaches q, linear inside it."""
-    w = Window.partitionBy(key).orderBy("bin")
-    run, total = F.sum("n").over(w), F.sum("n").over(Window.partitionBy(key))
-    at = hist.withColumns({"run": run, "total": total}).where(F.col("run") >= q * F.col("total"))
-    first = at.groupBy(key).agg(F.min_by(F.struct("bin", "n", "run", "total"), "bin").alias("b"))
-    inside = (q * F.col("b.total") - (F.col("b.run") - F.col("b.n"))) / F.col("b.n")
-    return first.select(key, ((F.col("b.bin") + inside) * width).alias("quantile"))
-
-
 def normalise_log1p(counts: DataFrame, cell: str, value: str = "n") -> DataFrame:
     """Counts scaled to the median total of all cells, then ln(1 + x)."""
     totals = counts.groupBy(cell).agg(F.sum(value).alias("_total"))
@@ -145,17 +135,6 @@ def distance_to_mean(df: DataFrame, key: str, axes: Sequence[str]) -> DataFrame:
     return df.join(means, key).withColumn("l2", F.sqrt(squares)).drop(*[f"_{a}" for a in axes])
 
 
-def quantise_parameters(hist: DataFrame, key: str, width: float, low: float, high: float, gamma: float, top: int, overrides: dict[str, float]) -> DataFrame:
-    """(key, m, s) for quantising each key's values: m its low quantile, s what brings the range up to the high one to top."""
-    lo = histogram_quantile(hist, key, width, low).withColumnRenamed("quantile", "m")
-    other = F.col(key).isin(*overrides) if overrides else F.lit(False)
-    hi = histogram_quantile(hist.where(~other), key, width, high)
-    for k, q in overrides.items():
-        hi = hi.unionByName(histogram_quantile(hist.where(F.col(key) == k), key, width, q))
-    span = (F.col("quantile") - F.col("m")) * gamma
-    return lo.join(hi, key).select(key, "m", F.when(span > 0, top / span).otherwise(1.0).alias("s"))
-
-
 def channel_deviation(df: DataFrame, channel: str, deviation: str, n: str, least: int) -> DataFrame:
     """(channel, deviation, cv): mean deviation of channels over tiles of at least `least` spots, weighted by their number, over
     the mean of all channels; cv is the root mean square of what is left from 1."""
@@ -174,19 +153,6 @@ def initial_scale(df: DataFrame, channel: str, scale: str) -> DataFrame:
     return out
 
 
-def drift(df: DataFrame, key: str, dx: str, dy: str, enough: int, farthest: float) -> DataFrame:
-    """(key, dx, dy, cv): the modes of the shifts of a key of over `enough` points if they lie below `farthest`, else the
-    medians; cv is the deviation of the shifts' lengths over their mean."""
-    length = F.hypot(dx, dy)
-    half = F.lit(0.5)
-    per = df.groupBy(key).agg(
-        F.count("*").alias("n"), F.mode(dx, True).alias("mx"), F.mode(dy, True).alias("my"), F.percentile(dx, half).alias("ex"), F.percentile(dy, half).alias("ey"),
-        F.try_divide(F.stddev_pop(length), F.avg(length)).alias("cv"),
-    )
-    by_mode = (F.col("n") > enough) & (F.hypot("mx", "my") < farthest)
-    return per.select(key, F.when(by_mode, F.col("mx")).otherwise(F.col("ex")).alias("dx"), F.when(by_mode, F.col("my")).otherwise(F.col("ey")).alias("dy"), "cv")
-
-
 def correlations(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """(a, b, r) for all pairs of a list of columns, in one pass."""
     pairs = [(a, b) for i, a in enumerate(columns) for b in columns[i + 1 :]]

@@ -37,19 +37,11 @@ def density_filter(lineitem):
     return kept.groupBy("l_returnflag").agg(F.count("*").alias("n"))
 
 
-_SET = "select distinct l_suppkey % 7 as tile, l_orderkey % 96 as y, l_partkey % 96 as x from lineitem where l_quantity < 30 and l_suppkey % 7 < 3"
+_SET = "select distinct l_suppkey % 7 as tile, l_orderkey % 96 as y, l_partkey % 96 as x from lineitem where l_quantity < 30"
 
 
 def _set(lineitem):
-    kept = lineitem.where("l_quantity < 30 and l_suppkey % 7 < 3")
-    return kept.select(F.pmod("l_suppkey", F.lit(7)).alias("tile"), F.pmod("l_orderkey", F.lit(96)).alias("y"), F.pmod("l_partkey", F.lit(96)).alias("x")).distinct()
-
-
-_SET_TILES = "select distinct l_suppkey % 7 as tile, l_orderkey % 96 as y, l_partkey % 96 as x from lineitem where l_quantity < 30"
-
-
-def _set_tiles(lineitem):
-    """The set pixels of all tiles; _set has those of three, as the SQL of its queries does."""
+    """The set pixels of all tiles."""
     kept = lineitem.where("l_quantity < 30")
     return kept.select(F.pmod("l_suppkey", F.lit(7)).alias("tile"), F.pmod("l_orderkey", F.lit(96)).alias("y"), F.pmod("l_partkey", F.lit(96)).alias("x")).distinct()
 
@@ -76,13 +68,6 @@ def region_properties(lineitem):
     return out.withColumns({c: F.round(c, 6) for c in ("centroid_y", "centroid_x")})
 
 
-@query("lineitem", sql=f"select tile, ((y // 6) * 16 + x // 6 + 1)::bigint as label, count(*) as area, round(avg(y), 6) as centroid_y, round(avg(x), 6) as centroid_x, min(y) as y_min, max(y) as y_max, min(x) as x_min, max(x) as x_max from ({_SET_TILES}) group by 1, 2")
-def region_properties_tiles(lineitem):
-    labelled = _set_tiles(lineitem).withColumn("label", (F.floor(F.col("y") / 6) * 16 + F.floor(F.col("x") / 6) + 1).cast("long"))
-    out = rasters.region_properties(labelled, ["tile"])
-    return out.withColumns({c: F.round(c, 6) for c in ("centroid_y", "centroid_x")})
-
-
 @query("lineitem", sql="select l_returnflag as k, min(l_discount) as y0, min(l_quantity) as x0, max(l_discount + 0.5) as y1, max(l_quantity + 2) as x1 from lineitem group by 1")
 def merged_boxes(lineitem):
     return rasters.merge_boxes(lineitem.select(F.col("l_returnflag").alias("k"), F.col("l_discount").alias("y0"), F.col("l_quantity").alias("x0"), (F.col("l_discount") + 0.5).alias("y1"), (F.col("l_quantity") + 2).alias("x1")), "k")
@@ -93,21 +78,11 @@ def raster_dilate(lineitem):
     return rasters.dilate(_set(lineitem), ["tile"], 1)
 
 
-@query("lineitem", sql=f"with s as ({_SET_TILES}) select distinct tile, y + a as y, x + b as x from s, range(-1, 2) t(a), range(-1, 2) u(b)")
-def raster_dilate_tiles(lineitem):
-    return rasters.dilate(_set_tiles(lineitem), ["tile"], 1)
-
-
 @query("lineitem", sql=f"with s as ({_SET}), d as (select distinct tile, y + a as y, x + b as x from s, range(-1, 2) t(a), range(-1, 2) u(b)) select tile, y + a as y, x + b as x from d, range(-1, 2) t(a), range(-1, 2) u(b) group by all having count(*) = 9")
 def raster_closing(lineitem):
     return rasters.closing(_set(lineitem), ["tile"], 1)
 
 
-@query("lineitem", sql=f"with s as ({_SET_TILES}), d as (select distinct tile, y + a as y, x + b as x from s, range(-1, 2) t(a), range(-1, 2) u(b)) select tile, y + a as y, x + b as x from d, range(-1, 2) t(a), range(-1, 2) u(b) group by all having count(*) = 9")
-def raster_closing_tiles(lineitem):
-    return rasters.closing(_set_tiles(lineitem), ["tile"], 1)
-
-
 @query("lineitem", sql=f"select tile, (y // 16)::bigint as row, (x // 16)::bigint as col, round(quantile_cont(value, 0.01), 6) as low, round(quantile_cont(value, 0.99), 6) as high from ({_PIXELS}) group by all")
 def subtile_percentiles(lineitem):
     out = rasters.subtile_percentiles(_pixels(lineitem), ["tile"], 16, [0.01, 0.99])
@@ -134,18 +109,10 @@ def channel_rescale(lineitem):
     return lineitem.join(m, "l_returnflag").groupBy("l_returnflag").agg(F.round(F.avg(rasters.rescale(F.col("l_extendedprice"), F.col("lo"), F.col("s"))), 6).alias("mean"))
 
 
-@query("lineitem", sql=f"""with recursive s as ({_SET} and l_partkey % 96 < 20 and l_orderkey % 96 < 20), k as (select tile, y, x, tile * 10000 + y * 100 + x as id from s),
-e as (select a.id as a, b.id as b from k a join k b on a.tile = b.tile and abs(a.y - b.y) + abs(a.x - b.x) <= 1), w(a, b) as (select id, id from k union select w.a, e.b from w join e on w.b = e.a), l as (select a as id, min(b) as label from w group by 1)
-select tile, area, y, x from (select tile, label, count(*) as area, round(avg(y), 6) as y, round(avg(x), 6) as x from k join l using (id) group by all) where area between 2 and 400""")
-def pixel_components(lineitem):
-    out = graphs.pixel_components(_set(lineitem).where("x < 20 and y < 20"), ["tile"], 2, 400)
-    return out.withColumns({"y": F.round("y", 6), "x": F.round("x", 6)})
-
-
 @query("lineitem")
-def pixel_components_tiles(lineitem):
+def pixel_components(lineitem):
     """Spots of whole tiles: all set pixels, no corner. Recursive SQL over these has no end in sight, so tests compare with a flood fill."""
-    out = graphs.pixel_components(_set_tiles(lineitem), ["tile"], 2, 400)
+    out = graphs.pixel_components(_set(lineitem), ["tile"], 2, 400)
     return out.withColumns({"y": F.round("y", 6), "x": F.round("x", 6)})
 
 

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from plexum.plans import images, ordered, screens, statistics, summaries, texts, vectors
+from plexum.plans import curation, images, ordered, screens, statistics, summaries, texts, vectors
 from plexum.plans.base import ORACLES, QUERIES
 
 FLAGSHIP = "cell_gene_pivot"
 
-__all__ = ["FLAGSHIP", "ORACLES", "QUERIES", "images", "ordered", "screens", "statistics", "summaries", "texts", "vectors"]
+__all__ = ["FLAGSHIP", "ORACLES", "QUERIES", "curation", "images", "ordered", "screens", "statistics", "summaries", "texts", "vectors"]

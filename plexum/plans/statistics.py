@@ -78,15 +78,6 @@ def angular_bins(embeddings):
     return embeddings.groupBy(angle_bin.alias("angle_bin")).agg(F.count("*").alias("n"), F.round(F.median(at(2)), 6).alias("mid"), F.round(F.avg(at(2)), 6).alias("mean"))
 
 
-@query("events", sql="""with h as (select event_type as k, floor(value / 2)::bigint as bin, count(*) as n from events where value is not null group by all),
-r as (select *, sum(n) over (partition by k order by bin) as run, sum(n) over (partition by k) as total from h), q as (select k, 0.01 as q, 'm' as what from h union select k, case k when 'click' then 0.9 when 'view' then 0.85 else 0.999 end, 'h' from h),
-v as (select k, what, arg_min((bin + (q * total - (run - n)) / n) * 2, bin) as v from r join q using (k) where run >= q * total group by all)
-select a.k as event_type, round(a.v, 5) as m, round(65534 / ((b.v - a.v) * 1.05), 5) as s from v a join v b on a.k = b.k and a.what = 'm' and b.what = 'h'""")
-def quantise_params(events):
-    out = tables.quantise_parameters(tables.histogram(events, "event_type", "value", 2.0), "event_type", 2.0, 0.01, 0.999, 1.05, 65_534, {"click": 0.9, "view": 0.85})
-    return out.select("event_type", F.round("m", 5).alias("m"), F.round("s", 5).alias("s"))
-
-
 _DEVIATIONS = "select l_suppkey, l_linenumber, avg(l_discount) * 20 as d, count(*) as n from lineitem group by all"
 
 
@@ -126,15 +117,6 @@ def seeded_search(part):
     return tables.best_seed(genes, "p_brand", "w", _CODES, 8, 200)
 
 
-@query("lineitem", sql="""with s as (select l_suppkey, (l_quantity % 7)::double as dx, l_linenumber::double as dy from lineitem),
-mx as (select l_suppkey, arg_min(dx, (-n, dx)) as mx from (select l_suppkey, dx, count(*) as n from s group by all) group by 1), my as (select l_suppkey, arg_min(dy, (-n, dy)) as my from (select l_suppkey, dy, count(*) as n from s group by all) group by 1),
-a as (select l_suppkey, count(*) as n, median(dx) as ex, median(dy) as ey, stddev_pop(sqrt(dx * dx + dy * dy)) / avg(sqrt(dx * dx + dy * dy)) as cv from s group by 1)
-select l_suppkey, case when n > 50 and sqrt(mx * mx + my * my) < 6 then mx else ex end as dx, case when n > 50 and sqrt(mx * mx + my * my) < 6 then my else ey end as dy, round(cv, 6) as cv from a join mx using (l_suppkey) join my using (l_suppkey)""")
-def robust_drift(lineitem):
-    shifts = lineitem.select("l_suppkey", (F.col("l_quantity") % 7).cast("double").alias("dx"), F.col("l_linenumber").cast("double").alias("dy"))
-    return tables.drift(shifts, "l_suppkey", "dx", "dy", 50, 6.0).withColumn("cv", F.round("cv", 6))
-
-
 _MEASURES = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
 
 

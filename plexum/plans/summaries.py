@@ -158,21 +158,6 @@ def hist_fixed(events):
     return tables.histogram(events, "event_type", "value", 10.0)
 
 
-@query("events", sql="""with h as (select event_type, floor(value / 10.0)::bigint as bin, count(*) as n from events where value is not null group by all),
-r as (select *, sum(n) over (partition by event_type order by bin) run, sum(n) over (partition by event_type) total from h),
-f as (select *, row_number() over (partition by event_type order by bin) k from r where run >= 0.9 * total)
-select event_type, round((bin + (0.9 * total - (run - n)) / n) * 10.0, 6) as quantile from f where k = 1""")
-def hist_quantile(events):
-    out = tables.histogram_quantile(tables.histogram(events, "event_type", "value", 10.0), "event_type", 10.0, 0.9)
-    return out.select("event_type", F.round("quantile", 6).alias("quantile"))
-
-
-@query("events", sql="with h as (select event_type, floor(value / 5)::bigint as bin, count(*) n from events where value is not null group by all) select event_type, bin * 5 + 2.5 as mode_value from (select *, row_number() over (partition by event_type order by n desc, bin) k from h) where k = 1")
-def mode_bin(events):
-    top = tables.best_per_key(tables.histogram(events, "event_type", "value", 5.0), ["event_type"], [F.col("n").desc(), "bin"])
-    return top.select("event_type", (F.col("bin") * 5 + F.lit(2.5).cast("double")).alias("mode_value"))
-
-
 @query("lineitem", sql="select floor(l_quantity / 5)::bigint as i, floor(log10(l_extendedprice) * 10)::bigint as j, count(*) as n, round(count(*) filter (l_returnflag = 'R') / (count(*) + 1e-9), 6) as density from lineitem where l_extendedprice > 0 group by all")
 def density_grid(lineitem):
     blank = F.col("l_returnflag") == "R"
@@ -180,17 +165,6 @@ def density_grid(lineitem):
     return lineitem.where("l_extendedprice > 0").groupBy(*keys).agg(n(), F.round(F.count_if(blank) / (F.count("*") + F.lit(1e-9)), 6).alias("density"))
 
 
-@query("lineitem", sql="""with g as (select floor(l_quantity / 5)::bigint i, count(*) n, count(*) filter (l_returnflag = 'R') b from lineitem group by 1), d as (select *, b / (n + 1e-9) as density from g),
-l as (select unnest(range(0, 11)) as level) select level, coalesce(sum(n) filter (density < level / 10.0), 0)::bigint as spots, round(coalesce(sum(b) filter (density < level / 10.0), 0) / greatest(1, coalesce(sum(n) filter (density < level / 10.0), 0)), 6) as blank_share from l, d group by level""")
-def threshold_curve(lineitem):
-    grid = lineitem.groupBy(F.floor(F.col("l_quantity") / 5).alias("i")).agg(n(), F.count_if(F.col("l_returnflag") == "R").alias("b")).withColumn("density", F.col("b") / (F.col("n") + F.lit(1e-9)))
-    levels = grid.withColumn("level", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(10).cast("long"))))  # eleven levels a cell
-    under = F.col("density") < F.col("level") / 10
-    spots = F.coalesce(F.sum(F.when(under, F.col("n"))), F.lit(0))
-    blanks = F.coalesce(F.sum(F.when(under, F.col("b"))), F.lit(0))
-    return levels.groupBy("level").agg(spots.alias("spots"), F.round(blanks / F.greatest(F.lit(1), spots), 6).alias("blank_share"))
-
-
 @query("events", sql="with c as (select user_id, event_type, count(*) n from events group by all), p as (select user_id, n / sum(n) over (partition by user_id) p from c) select user_id, round(abs(-sum(p * log2(p))), 6) as entropy from p group by 1")
 def entropy(events):
     out = tables.entropy(events.groupBy("user_id", "event_type").agg(n()), "user_id")
@@ -209,13 +183,6 @@ def top_n_per_group(part):
     return tables.top_per_key(part.select("p_brand", "p_partkey", "p_retailprice"), ["p_brand"], [F.col("p_retailprice").desc(), "p_partkey"], 5)
 
 
-@query("part", sql="with c as (select *, count(*) over (partition by p_type) c, row_number() over (partition by p_type order by p_retailprice, p_partkey) r from part) select p_type, p_partkey, c < 12 as low from c where r <= case when c < 12 then 4 else 16 end")
-def low_resample(part):
-    by = Window.partitionBy("p_type")
-    c = part.withColumns({"c": F.count("*").over(by), "r": F.row_number().over(by.orderBy("p_retailprice", "p_partkey"))})
-    return c.where(F.col("r") <= F.when(F.col("c") < 12, 4).otherwise(16)).select("p_type", "p_partkey", (F.col("c") < 12).alias("low"))
-
-
 @query("lineitem", sql="select name, count(*) as n, round(sum(value), 2) as total from (unpivot (select l_quantity, l_discount, l_tax from lineitem) on l_quantity, l_discount, l_tax into name name value value) group by name")
 def unpivot(lineitem):
     return tables.unpivot(lineitem.select("l_linenumber", "l_quantity", "l_discount", "l_tax"), ["l_linenumber"], ["l_quantity", "l_discount", "l_tax"], "name", "value").groupBy("name").agg(n(), F.round(F.sum("value"), 2).alias("total"))
@@ -343,7 +310,3 @@ def qc_metrics(events):
     return events.groupBy("user_id").agg(n("total"), F.countDistinct("event_type").alias("genes"), F.round(F.count_if(F.col("event_type") == "error") * 100.0 / F.count("*"), 6).alias("pct_error"), F.round(F.log1p(F.count("*")), 6).alias("log_total"))
 
 
-@query("lineitem", sql="with b as (select l_returnflag, floor(l_quantity)::bigint q, quantile_cont(l_extendedprice, 0.5) p from lineitem group by all having count(*) >= 5) select l_returnflag, count(*) as bins, round(regr_slope(p, q), 4) as slope, round(regr_intercept(p, q), 2) as intercept from b group by 1")
-def regression_bins(lineitem):
-    b = lineitem.groupBy("l_returnflag", F.floor("l_quantity").cast("long").alias("q")).agg(F.percentile("l_extendedprice", F.lit(0.5)).alias("p"), n()).where("n >= 5")
-    return b.groupBy("l_returnflag").agg(n("bins"), F.round(F.regr_slope("p", "q"), 4).alias("slope"), F.round(F.regr_intercept("p", "q"), 2).alias("intercept"))

@@ -27,7 +27,8 @@ def gc_like(documents):
 
 @query("documents", sql="with k as (select unnest(list_transform(range(1, length(text) - 3), lambda i: substr(text, i, 5))) as kmer from documents where length(text) >= 5) select kmer, count(*) as n from k group by 1 having count(*) >= 50")
 def kmer_count(documents):
-    return documents.select(F.explode(S.kmers(F.col("text"), 5)).alias("kmer")).groupBy("kmer").agg(F.count("*").alias("n")).where("n >= 50")
+    counted = documents.select(F.explode(S.kmer_bytes(F.col("text"), 5)).alias("kmer")).groupBy("kmer").agg(F.count("*").alias("n")).where("n >= 50")
+    return counted.select(S.kmer_text(F.col("kmer")).alias("kmer"), "n")
 
 
 @query("part", sql="select p_partkey, len(list_filter(list_transform(range(1, greatest(length(p_name) - 1, 1)), lambda i: substr(p_name, i, 3)), lambda k: k in ('ing', 'the', 'art', 'Par'))) > 0 and length(p_name) >= 3 as hit from part")
@@ -47,10 +48,18 @@ def regex_parse(pages):
     return pages.select("page_id", F.regexp_extract(u, r"^https?://([^/]+)", 1).alias("host"), F.regexp_extract(u, r"/([a-z]{2})/", 1).alias("lang"), F.nullif(F.regexp_extract(u, r"[?&]page=(\d+)", 1), F.lit("")).alias("page"), F.regexp_replace(u, r"^https?://", "").alias("bare"), F.split_part(u, F.lit("/"), F.lit(3)).alias("third"))
 
 
-@query("part", sql="select p_partkey, not contains(p_name, 'GGGG') as ok_quad_c, not contains(p_name, 'TTTT') as ok_quad_a, len(regexp_extract_all(p_name, 'T')) / nullif(length(p_name), 0) < 0.28 as ok_comp_a from part")
+_BASES = "translate(upper(p_name || p_type), 'BDEFHIJKLMNOPQRSUVWXYZ -', 'ACGTACGTACGTACGTACGTACGT')"
+_WINDOWS = " and ".join(f"len(regexp_extract_all(substr(s, length(s) - {5 + i}, 6), 'G')) < 4" for i in range(6))
+
+
+@query("part", sql=f"""with p as (select p_partkey, {_BASES} as s from part)
+select p_partkey, not contains(s, 'GGGG') as ok_quad_c, not contains(s, 'TTTT') as ok_quad_a, {_WINDOWS} as ok_stack_c, len(regexp_extract_all(s, 'T')) / length(s) < 0.28 as ok_comp_a,
+not regexp_matches(s, 'A{{4,}}|T{{4,}}|C{{4,}}|G{{4,}}') as ok_homopolymer, round(len(regexp_extract_all(s, 'G|C')) / length(s), 6) as gc_content from p""")
 def probe_flags(part):
-    flags = S.probe_flags(F.col("p_name"))
-    return part.select("p_partkey", *[flags[k].alias(k) for k in ("ok_quad_c", "ok_quad_a", "ok_comp_a")])
+    """Names and types read as bases."""
+    bases = F.translate(F.upper(F.concat("p_name", "p_type")), "BDEFHIJKLMNOPQRSUVWXYZ -", "ACGTACGTACGTACGTACGTACGT")
+    flags = S.probe_flags(F.col("s"))
+    return part.select("p_partkey", bases.alias("s")).select("p_partkey", *[(F.round(c, 6) if k == "gc_content" else c).alias(k) for k, c in flags.items()])
 
 
 @query("part", sql="select p_partkey, translate(p_name, '- ', '__') as clean, levenshtein(p_name, p_type)::bigint as distance, right(md5(p_name), 6) as digest, lower(p_brand) || '/' || upper(p_type) as joined from part")
@@ -58,6 +67,6 @@ def name_tools(part):
     return part.select("p_partkey", S.sanitise(F.col("p_name")).alias("clean"), F.levenshtein("p_name", "p_type").cast("long").alias("distance"), F.right(F.md5(F.col("p_name").cast("binary")), F.lit(6)).alias("digest"), F.concat(F.lower("p_brand"), F.lit("/"), F.upper("p_type")).alias("joined"))
 
 
-@query("part", sql="select p_partkey, chr(65 + ((p_partkey % 96) // 12)::int) || ((p_partkey % 96) % 12 + 1)::varchar as well from part")
+@query("part", sql="select p_partkey, chr(65 + ((p_partkey % 96) // 12)::int) || lpad(((p_partkey % 96) % 12 + 1)::varchar, 2, '0') as well from part")
 def well_names(part):
     return part.select("p_partkey", S.well_name(F.col("p_partkey")).alias("well"))

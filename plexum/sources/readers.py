@@ -33,6 +33,22 @@ def ident_tables(spark: SparkSession, paths: str | Sequence[str], roi: str) -> D
     return df.withColumns({"z": F.col("z").cast("int"), "roi": F.lit(roi), "roilabel": F.concat(F.lit(roi), F.col("label").cast("string"))})
 
 
+def spots_path(spark: SparkSession, workspace: str, roi: str, codebook: str, must_exist: bool = False) -> str:
+    """Where a region's spots are: the first of the tables under output, then deconv, with the code book's name sanitised or as
+    it is, that exists in the workspace's file system; else the first place, or an error if one must exist."""
+    clean = codebook.replace("-", "_").replace(" ", "_")
+    places = [f"{workspace}/analysis/{part}/{roi}+{name}.parquet" for part in ("output", "deconv") for name in (clean, codebook)]
+    jvm = spark.sparkContext._jvm
+    path = jvm.org.apache.hadoop.fs.Path(places[0])
+    store = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    for p in places:
+        if store.exists(jvm.org.apache.hadoop.fs.Path(p)):
+            return p
+    if must_exist:
+        raise FileNotFoundError(f"no spots of {roi}, {codebook}; looked for {', '.join(places)}")
+    return places[0]
+
+
 def delimited(spark: SparkSession, path: str, schema: str | StructType, sep: str = ",", header: bool = False, comment: str | None = None) -> DataFrame:
     reader = spark.read.schema(schema).option("sep", sep).option("header", str(header).lower())
     return (reader.option("comment", comment) if comment else reader).csv(path)

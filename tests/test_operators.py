@@ -23,9 +23,12 @@ def test_sequences(spark):
     assert one(spark, S.md_match(lit("20A31"))) == 51 and one(spark, S.md_longest(lit("10^AC42"))) == 42
     assert one(spark, S.has_site(lit("AAGGATCCAA"), "GGATCC")) and not one(spark, S.has_site(lit("AAAA"), "GGATCC", ""))
     assert one(spark, S.pcr(lit("TTACGTAAGGCATT"), "ACG", "TGCC")) == "ACGTAAGGCA"
+    # the last place of the reverse site behind the primer, not one before it
+    assert one(spark, S.pcr(lit("GGCATTACGTAAGGCATTGGCATT"), "ACG", "TGCC")) == "ACGTAAGGCATTGGCA" and one(spark, S.pcr(lit("GGCATTACG"), "ACG", "TGCC")) is None
+    assert one(spark, S.clipped_match(lit("5S30M2I40M"))) == (5, 30) and one(spark, S.clipped_match(lit("30M2I40M"))) == (0, 40) and one(spark, S.clipped_match(lit("*"))) == (0, 0)
     assert one(spark, S.duration_seconds(lit("1h30m"))) == 5400 and one(spark, S.duration_seconds(lit("x"))) is None
     assert one(spark, S.format_si(lit(1500.0))) == "1.5k"
-    assert one(spark, S.well_name(lit(13))) == "B2" and one(spark, S.well_name(lit(9), by_column=True)) == "B2"
+    assert one(spark, S.well_name(lit(13))) == "B02" and one(spark, S.well_name(lit(9), by_column=True)) == "B02"
 
 
 def test_numbers(spark):

@@ -158,7 +158,7 @@ def test_pixel_components_of_whole_tiles(spark, tmp_path):
             todo += near
         if 2 <= len(spot) <= 400:
             want.append((spot[0][0], len(spot), round(sum(p[1] for p in spot) / len(spot), 6), round(sum(p[2] for p in spot) / len(spot), 6)))
-    found = registry.QUERIES["pixel_components_tiles"](spark, str(tmp_path)).collect()
+    found = registry.QUERIES["pixel_components"](spark, str(tmp_path)).collect()
     assert sorted((r.tile, r.area, r.y, r.x) for r in found) == sorted(want)
     assert {r.tile for r in found} == set(range(7)) and any(r.y > 20 and r.x > 20 for r in found)
 
@@ -169,9 +169,9 @@ def test_raster_queries_take_all_tiles(spark, tmp_path):
     spark.createDataFrame(rows, "l_orderkey long, l_partkey long, l_suppkey long, l_quantity double").write.parquet(str(tmp_path / "lineitem.parquet"))
     rows_of = lambda name, *c: {tuple(r) for r in registry.QUERIES[name](spark, str(tmp_path)).select(*c).collect()}
     wide = {(t, y + a, x + b) for t, y, x in pixels for a in (-1, 0, 1) for b in (-1, 0, 1)}
-    assert rows_of("raster_dilate_tiles", "tile", "y", "x") == wide
-    assert rows_of("raster_closing_tiles", "tile", "y", "x") == pixels | {(t, 10, 11) for t in range(7)}
-    assert rows_of("region_properties_tiles", "tile", "label", "area") == {(t, n, a) for t in range(7) for n, a in [(18, 1), (19, 1), (241, 1)]}
+    assert rows_of("raster_dilate", "tile", "y", "x") == wide
+    assert rows_of("raster_closing", "tile", "y", "x") == pixels | {(t, 10, 11) for t in range(7)}
+    assert rows_of("region_properties", "tile", "label", "area") == {(t, n, a) for t in range(7) for n, a in [(18, 1), (19, 1), (241, 1)]}
 
 
 def test_blank_classifier_keeps_spots_without_a_feature(spark):
