@@ -6,7 +6,8 @@ one window) becomes a pattern over word numbers; one automaton finds all of them
 hit maps back to the words, and from there to character offsets, of the original text.
 
 The automaton is sent to the executors, so the items' size is checked: over `max_bytes` they are split into blocks of at
-most that size, each scanned in its own pass. Passes only append to a column of hits; none of them shuffles documents.
+most that size. One block is one scan without a shuffle. Several blocks are scanned one after the other; each scan keeps only
+the hits, by the text's digest, and all blocks' hits come back to the documents in one join.
 
 Defined cases: null or wordless documents are clean; null or wordless items have no window; repeated rows give repeated
 results; two items with one window both count; a null item_id marks words but names no item; clashing columns are replaced.
@@ -17,11 +18,14 @@ from __future__ import annotations
 import re
 from collections import defaultdict
 from collections.abc import Iterator
+from functools import reduce
+from itertools import chain
 
 import ahocorasick
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+import xxhash
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from plexum.llm.common import cut, schema_with, slices, with_columns
@@ -89,42 +93,84 @@ def join_runs(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out
 
 
-def find(docs: DataFrame, items: DataFrame, text: str = "text", window: int = WINDOW, max_bytes: int = MAX_BYTES) -> DataFrame:
-    """docs with n_words, runs (of hit words: start, stop) and items (those with occurring windows, in string order)."""
-    spark, out = docs.sparkSession, None
-    for block in blocks(items, max_bytes):
-        first = out is None
-        out = docs if first else cut(out)
-        sent = spark.sparkContext.broadcast(block)
-
-        def scan(batches: Iterator[pa.RecordBatch], sent=sent, first=first) -> Iterator[pa.RecordBatch]:
-            automaton = Automaton(sent.value, window)
-            for batch in slices(batches, text, 4 << 20):
-                runs, owners, sizes = [], [], []
-                before = [([], [])] * batch.num_rows if first else zip(batch.column("runs").to_pylist(), batch.column("items").to_pylist())
-                for x, (old, had) in zip(batch.column(text).to_pylist(), before):
-                    own = words(x)
-                    hits = automaton.hits(own)
-                    sizes.append(len(own))
-                    runs.append([{"start": a, "stop": b} for a, b in join_runs([(a, b) for a, b, _ in hits] + [(r["start"], r["stop"]) for r in old])])
-                    owners.append(sorted({i for _, _, o in hits for i in o} | set(had)))
-                kind = pa.list_(pa.struct([("start", pa.int32()), ("stop", pa.int32())]))
-                yield with_columns(batch, {"n_words": pa.array(sizes, pa.int64()), "runs": pa.array(runs, kind), "items": pa.array(owners, pa.list_(pa.string()))})
-
-        out = out.mapInArrow(scan, schema_with(out, f"n_words long, runs {RUNS}, items array<string>"))
-    return out
+#: The last automaton that this worker has built, by the block that it is of.
+_BUILT: dict[tuple, Automaton] = {}
 
 
-def char_spans(text: Column, runs: Column) -> Column:
-    """The runs of words as character offsets into the original text."""
+def automaton_of(sent, window: int) -> Automaton:
+    """The automaton of a block that was sent, built once in a worker."""
+    key = (sent._path if hasattr(sent, "_path") else id(sent), len(sent.value), window, hash(tuple(sent.value[:1] + sent.value[-1:])))
+    if key not in _BUILT:
+        _BUILT.clear()
+        _BUILT[key] = Automaton(sent.value, window)
+    return _BUILT[key]
 
-    def spans(x, own):
-        if x is None or not len(own):
-            return []
-        at = np.array([m.span() for m in WORD.finditer(x.translate(_LOWER))])
-        return [{"start": int(at[r["start"], 0]), "stop": int(at[r["stop"] - 1, 1])} for r in own]
 
-    return F.pandas_udf(lambda x, own: x.combine(own, spans), RUNS)(text, runs)
+def char_spans(text: str | None, runs: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Runs of words as character offsets into the original text."""
+    if not runs:
+        return []
+    at = [m.span() for m in WORD.finditer((text or "").translate(_LOWER))]
+    return [(at[a][0], at[b - 1][1]) for a, b in runs]
+
+
+def _spans(rows: list[list[tuple[int, int]]]) -> pa.Array:
+    return pa.array([[{"start": a, "stop": b} for a, b in r] for r in rows], pa.list_(pa.struct([("start", pa.int32()), ("stop", pa.int32())])))
+
+
+def _scan(sent, text: str, window: int, hits_only: bool):
+    """What a scan for one block adds to rows: n_words, runs, items, spans; or, of rows with hits, their text's digest, runs, items."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        automaton = automaton_of(sent, window)
+        for batch in slices(batches, text, 4 << 20):
+            texts = batch.column(text).to_pylist()
+            own = [words(x) for x in texts]
+            hits = [automaton.hits(w) for w in own]
+            runs = [join_runs([(a, b) for a, b, _ in h]) for h in hits]
+            owners = pa.array([sorted({i for _, _, o in h for i in o}) for h in hits], pa.list_(pa.string()))
+            if hits_only:
+                hit = pa.array(np.flatnonzero([bool(r) for r in runs]))
+                digests = pa.array([xxhash.xxh3_128_digest(texts[i].encode("utf-8", "surrogatepass")) for i in hit.to_pylist()], pa.binary())
+                yield pa.RecordBatch.from_arrays([digests, _spans(runs).take(hit), owners.take(hit)], names=["digest", "runs", "items"])
+            else:
+                yield with_columns(batch, {"n_words": pa.array([len(w) for w in own], pa.int64()), "runs": _spans(runs), "items": owners, "spans": _spans([char_spans(x, r) for x, r in zip(texts, runs)])})
+
+    return run
+
+
+def find(docs: DataFrame, items: DataFrame, text: str = "text", window: int = WINDOW, max_bytes: int = MAX_BYTES) -> DataFrame:
+    """docs with n_words, runs (of hit words: start, stop), items (those with occurring windows, in string order) and spans
+    (the runs as character offsets of the text: start, stop)."""
+    send = docs.sparkSession.sparkContext.broadcast
+    added = f"n_words long, runs {RUNS}, items array<string>, spans {RUNS}"
+    several = blocks(items, max_bytes)
+    first = next(several)
+    second = next(several, None)
+    if second is None:
+        return docs.mapInArrow(_scan(send(first), text, window, False), schema_with(docs, added))
+    hits = [cut(docs.select(text).mapInArrow(_scan(send(b), text, window, True), f"digest binary, runs {RUNS}, items array<string>").dropDuplicates(["digest"])) for b in chain([first, second], several)]
+    found = reduce(DataFrame.unionByName, hits).groupBy("digest").agg(F.flatten(F.collect_list("runs")).alias("_runs"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("_items"))
+    keyed = docs.mapInArrow(_with_digest(text), schema_with(docs, "_digest binary"))
+    joined = keyed.join(found, keyed["_digest"] == found["digest"], "left").drop("_digest", "digest")
+
+    def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, text, 4 << 20):
+            texts = batch.column(text).to_pylist()
+            runs = [join_runs([(r["start"], r["stop"]) for r in x or ()]) for x in batch.column("_runs").to_pylist()]
+            owners = pa.array([x or [] for x in batch.column("_items").to_pylist()], pa.list_(pa.string()))
+            own = batch.drop_columns(["_runs", "_items"])
+            yield with_columns(own, {"n_words": pa.array([len(words(x)) for x in texts], pa.int64()), "runs": _spans(runs), "items": owners, "spans": _spans([char_spans(x, r) for x, r in zip(texts, runs)])})
+
+    return joined.mapInArrow(finish, schema_with(docs, added))
+
+
+def _with_digest(text: str):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, text, 4 << 20):
+            yield with_columns(batch, {"_digest": pa.array([xxhash.xxh3_128_digest((x or "").encode("utf-8", "surrogatepass")) for x in batch.column(text).to_pylist()], pa.binary())})
+
+    return run
 
 
 def mark(docs: DataFrame, items: DataFrame, text: str = "text", window: int = WINDOW, max_bytes: int = MAX_BYTES) -> DataFrame:

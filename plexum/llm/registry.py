@@ -49,7 +49,7 @@ from e group by conv_id
 def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
     out = decontaminate.mark(docs, read(spark, sf_dir, "benchmark"))
-    return out.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), "contaminated")
+    return out.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), "contaminated", F.array_join(F.transform("spans", lambda x: F.concat_ws(":", x["start"], x["stop"])), ",").alias("hit_spans"))
 
 
 OP2_SQL = r"""
@@ -57,12 +57,17 @@ with bw as (select item_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOP
 win as (select distinct item_id, least(len(w), 10) as n, array_to_string(w[i:i + 9], ' ') as s from (select item_id, w, unnest(range(1, greatest(len(w) - 9, 1) + 1)) as i from bw where len(w) > 0)),
 sizes as (select distinct n from win),
 dw as (select row_number() over () as r, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as w from documents),
+gaps as (select row_number() over () as r, list_transform(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda g: length(g)) as g from documents),
 grams as (select r, i, n, array_to_string(w[i:i + n - 1], ' ') as s from (select r, w, n, unnest(range(1, len(w) - n + 2)) as i from dw, sizes where len(w) >= n)),
 found as (select g.r, g.i, g.n, item_id from grams g join win using (n, s)),
-hit as (select r, count(distinct j) as n_hit from (select distinct r, unnest(range(i, i + n)) as j from found) group by r),
+hits as (select distinct r, unnest(range(i, i + n)) as j from found),
+hit as (select r, count(*) as n_hit from hits group by r),
+runs as (select r, min(j) as a, max(j) as b from (select r, j, j - row_number() over (partition by r order by j) as k from hits) group by r, k),
+offs as (select r, (list_sum(g[1:a]) + coalesce(list_sum(list_transform(w[1:a - 1], lambda x: length(x))), 0))::bigint as s, (list_sum(g[1:b]) + list_sum(list_transform(w[1:b], lambda x: length(x))))::bigint as e from runs join dw using (r) join gaps using (r)),
+spans as (select r, string_agg(s || ':' || e, ',' order by s) as hit_spans from offs group by r),
 items as (select r, count(*) as n_items, string_agg(k, ',' order by k) as list from (select distinct r, item_id::varchar as k from found) group by r)
-select doc_id, len(w)::bigint as n_words, coalesce(n_hit, 0)::bigint as n_hit, coalesce(n_items, 0)::bigint as n_items, sha256(coalesce(list, '')) as items_sha256, coalesce(n_hit, 0) > 0 as contaminated
-from dw left join hit using (r) left join items using (r)
+select doc_id, len(w)::bigint as n_words, coalesce(n_hit, 0)::bigint as n_hit, coalesce(n_items, 0)::bigint as n_items, sha256(coalesce(list, '')) as items_sha256, coalesce(n_hit, 0) > 0 as contaminated, coalesce(hit_spans, '') as hit_spans
+from dw left join hit using (r) left join items using (r) left join spans using (r)
 """
 
 

@@ -3,9 +3,15 @@
 `decode` reads any lossless file: prefix codes (simple and coded lengths, meta codes by block), back-references with the
 short distance map, the colour cache, and the predictor, cross-colour, subtract-green and palette transforms.
 
-`store` keeps bytes as 8-bit samples: green channels of images of SIDE columns, one entropy-coded file for each part of
-PART bytes, files one after the other. `load` reads them back; files of store's shape are decoded in lockstep, one symbol of
-every image at a time, as array operations; any other file goes through `decode`.
+`store` keeps bytes as 8-bit samples: green channels of images of SIDE columns, a file for each part of PART bytes, files one
+after the other. A part is entropy-coded; where strings repeat, so that back-references make it smaller by a share GAIN, it is
+written with them. Only green holds samples, so transforms between channels and the colour cache have nothing to gain there.
+`load` reads the files back: those with back-references, and any foreign file, by `decode`; files of literals alone in
+lockstep, one symbol of every image at a time, as array operations.
+
+Defined cases: null and empty texts are one row of zeros; texts of any length are whole, in several files; equal texts give
+equal media, whatever rows they are in, and repeated rows repeated results; null media give null; a file that is cut off or
+no lossless WebP is an error; clashing columns are replaced; an empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -26,6 +32,8 @@ SIDE = 64
 PART = SIDE * 256
 #: Longest code that store uses; the format allows 15.
 LONGEST = 11
+#: Back-references are used from so many samples on, and if they make a part smaller by this share.
+LEAST, GAIN = 16, 0.1
 
 # Fixed values of the format: order in which lengths of the code-length code are stored.
 CODE_LENGTH_ORDER = (17, 18, 0, 1, 2, 3, 4, 5, 16, 6, 7, 8, 9, 10, 11, 12, 13, 14, 15)
@@ -390,42 +398,125 @@ def write_single(w: Writer, symbol: int) -> None:
     w.bits(symbol, 8)
 
 
-def _header(lengths: list[int], height: int) -> Writer:
+def _header(height: int, green: list[int], distance: list[int]) -> Writer:
     w = Writer()
     for value, n in ((0x2F, 8), (SIDE - 1, 14), (height - 1, 14), (0, 1), (0, 3), (0, 1), (0, 1), (0, 1)):
         w.bits(value, n)  # no transform, no colour cache, no meta codes
-    used = [s for s, n in enumerate(lengths) if n]
-    if len(used) == 1:
-        write_single(w, used[0])
-    else:
-        write_lengths(w, lengths + [0] * 24)
-    for symbol in (0, 0, 255, 0):  # red, blue, alpha, distance
+    _write_code(w, green)
+    for symbol in (0, 0, 255):  # red, blue, alpha
         write_single(w, symbol)
+    _write_code(w, distance)
     return w
 
 
+def _write_code(w: Writer, lengths: list[int]) -> None:
+    used = [s for s, n in enumerate(lengths) if n]
+    if len(used) < 2 and sum(used) < 256:
+        write_single(w, used[0] if used else 0)
+    else:
+        write_lengths(w, lengths)
+
+
+def prefixed(value: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Lengths or distances from 1 on as prefix symbol, extra bits and their number."""
+    v = value.astype(np.int64) - 1
+    top = np.frexp(np.maximum(v, 1).astype(float))[1] - 1  # place of the highest bit
+    extra = np.where(v < 4, 0, top - 1)
+    return np.where(v < 4, v, 2 * top + (v >> np.maximum(top - 1, 0) & 1)), np.where(v < 4, 0, v & (1 << extra) - 1), extra
+
+
+def references(part: np.ndarray) -> np.ndarray:
+    """Rows (start, size, distance) of strings of LEAST samples or more that stand before in the part, from the front on, each
+    as long as it goes on; found at the last place of the same eight samples."""
+    n = len(part) - 7
+    if n < LEAST:
+        return np.zeros((0, 3), np.int64)
+    eight = np.zeros(n, np.uint64)
+    for k in range(8):
+        eight |= part[k : n + k].astype(np.uint64) << np.uint64(8 * k)
+    order = np.argsort(eight, kind="stable")
+    same = np.flatnonzero(eight[order[1:]] == eight[order[:-1]])
+    if not len(same):
+        return np.zeros((0, 3), np.int64)
+    distance = np.zeros(n, np.int64)
+    distance[order[same + 1]] = order[same + 1] - order[same]
+    edge = np.flatnonzero(np.diff(distance, prepend=-1) != 0)
+    stop = np.append(edge[1:], n)[np.searchsorted(edge, np.arange(n), side="right") - 1]
+    size = np.where(distance > 0, np.minimum(stop - np.arange(n) + 7, 4096), 0)
+    good = np.flatnonzero(size >= LEAST)
+    out, at, k = [], 0, 0
+    while (k := int(np.searchsorted(good, at))) < len(good):
+        start = int(good[k])
+        out.append((start, int(size[start]), int(distance[start])))
+        at = start + int(size[start])
+    return np.array(out, np.int64).reshape(-1, 3)
+
+
+def _tokens(part: np.ndarray, refs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of a part: its literals and references in order as green symbols; and at each reference, the length's extra bits and
+    their number, distance symbol, extra bits and their number."""
+    inside = np.zeros(len(part) + 1, np.int64)
+    np.add.at(inside, refs[:, 0], 1)
+    np.add.at(inside, refs[:, 0] + refs[:, 1], -1)
+    literal = np.flatnonzero(np.cumsum(inside[:-1]) == 0)
+    ls, le, ln = prefixed(refs[:, 1])
+    ds, de, dn = prefixed(refs[:, 2] + 120)
+    order = np.argsort(np.concatenate([literal, refs[:, 0]]), kind="stable")
+    green = np.concatenate([part[literal].astype(np.int64), 256 + ls])[order]
+    at = np.argsort(order, kind="stable")[len(literal) :]
+    return green, at, np.stack([le, ln], axis=1), np.stack([ds, de, dn], axis=1)
+
+
+def _bits(head: Writer, value: np.ndarray, size: np.ndarray) -> bytes:
+    """A writer's bits and then values of so many bits each, 14 at the most."""
+    at = head.size + np.cumsum(size) - size
+    shifted, first = value << (at & 7), at >> 3
+    total = int(at[-1] + size[-1] + 7) // 8
+    body = sum(np.bincount(first + k, shifted >> 8 * k & 255, total + 3) for k in range(3))[:total].astype(np.uint8)
+    own = np.frombuffer(head.done(), np.uint8)
+    body[: len(own)] |= own
+    return body.tobytes()
+
+
+def _table(lengths: list[int]) -> tuple[np.ndarray, np.ndarray]:
+    value, size = np.zeros(len(lengths), np.int64), np.zeros(len(lengths), np.int64)
+    codes = canonical(lengths)
+    if len(codes) > 1:  # one symbol alone takes no bits
+        for s, (c, n) in codes.items():
+            value[s], size[s] = c, n
+    return value, size
+
+
+def _file(part: np.ndarray, refs: np.ndarray) -> bytes:
+    green, at, length, distance = _tokens(part, refs)
+    g = code_lengths(np.bincount(green, minlength=280))
+    d = code_lengths(np.bincount(distance[:, 0], minlength=40)) if len(refs) else [0] * 40
+    head = _header(len(part) // SIDE, g, d)
+    (gv, gs), (dv, ds) = _table(g), _table(d)
+    if not len(refs):
+        value, size = gv[green], gs[green]
+    else:  # four values for each reference, one for each literal
+        slots = np.ones(len(green), np.int64)
+        slots[at] = 4
+        first = np.cumsum(slots) - slots
+        value, size = np.zeros(slots.sum(), np.int64), np.zeros(slots.sum(), np.int64)
+        value[first], size[first] = gv[green], gs[green]
+        for k, (v, n) in enumerate(((length[:, 0], length[:, 1]), (dv[distance[:, 0]], ds[distance[:, 0]]), (distance[:, 1], distance[:, 2])), 1):
+            value[first[at] + k], size[first[at] + k] = v, n
+    return riff(_bits(head, value, size) if size.any() else head.done())
+
+
 def store(payload: bytes) -> bytes:
     """Files that hold a payload, a positive multiple of SIDE bytes, one for each PART of it."""
     out = []
     for start in range(0, len(payload), PART):
         part = np.frombuffer(payload[start : start + PART], np.uint8)
-        lengths = code_lengths(np.bincount(part, minlength=256))
-        w = _header(lengths, len(part) // SIDE)
-        codes = canonical(lengths)
-        if len(codes) > 1:
-            value, size = np.zeros(256, np.int64), np.zeros(256, np.int64)
-            for s, (c, n) in codes.items():
-                value[s], size[s] = c, n
-            n = size[part]
-            at = w.size + np.cumsum(n) - n
-            shifted, first = value[part] << (at & 7), at >> 3
-            total = int(at[-1] + n[-1] + 7) // 8
-            body = sum(np.bincount(first + k, shifted >> 8 * k & 255, total + 2) for k in range(3))[:total].astype(np.uint8)
-            head = np.frombuffer(w.done(), np.uint8)
-            body[: len(head)] |= head
-            out.append(riff(body.tobytes()))
-        else:
-            out.append(riff(w.done()))
+        plain, refs = _file(part, np.zeros((0, 3), np.int64)), references(part)
+        # a reference takes about four bytes
+        if len(refs) and refs[:, 1].sum() * len(plain) / len(part) - 4 * len(refs) > GAIN * len(plain):
+            short = _file(part, refs)
+            plain = short if len(short) < (1 - GAIN) * len(plain) else plain
+        out.append(plain)
     return b"".join(out)
 
 
