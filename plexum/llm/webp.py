@@ -33,7 +33,9 @@ PART = SIDE * 256
 #: Longest code that store uses; the format allows 15.
 LONGEST = 11
 #: Back-references are used from so many samples on, and if they make a part smaller by this share.
-LEAST, GAIN = 16, 0.1
+LEAST, GAIN = 16, 0.25
+#: Parts of whose strings of eight samples a smaller share than this stands before are not searched.
+SHARE = 0.2
 
 # Fixed values of the format: order in which lengths of the code-length code are stored.
 CODE_LENGTH_ORDER = (17, 18, 0, 1, 2, 3, 4, 5, 16, 6, 7, 8, 9, 10, 11, 12, 13, 14, 15)
@@ -73,13 +75,11 @@ class Writer:
 
 def canonical(lengths: list[int]) -> dict[int, tuple[int, int]]:
     """symbol: (code as it stands in the stream, length)."""
-    out, code = {}, 0
-    for size in range(1, 16):
-        code <<= 1
-        for s, n in enumerate(lengths):
-            if n == size:
-                out[s] = (int(f"{code:0{size}b}"[::-1], 2), size)
-                code += 1
+    out, code, last = {}, 0, 0
+    for size, s in sorted((n, s) for s, n in enumerate(lengths) if n):
+        code <<= size - last
+        out[s] = (int(f"{code:0{size}b}"[::-1], 2), size)
+        code, last = code + 1, size
     return out
 
 
@@ -87,23 +87,27 @@ class Code:
     """A prefix code for reading. A code of one symbol takes no bits."""
 
     def __init__(self, lengths: list[int]):
-        used = [s for s, n in enumerate(lengths) if n]
-        self.only = used[0] if len(used) == 1 else None
-        self.table = {} if self.only is not None else {(n, c): s for s, (c, n) in canonical(lengths).items()}
-        if not used:
-            self.only = 0
-        elif self.only is None and sum(2.0**-n for n in lengths if n) != 1:
+        used = [n for n in lengths if n]
+        self.only = None
+        if len(used) < 2:
+            self.only = next((s for s, n in enumerate(lengths) if n), 0)
+            return
+        self.width = max(used)
+        if sum(1 << self.width - n for n in used) != 1 << self.width:
             raise ValueError("incomplete prefix code")
+        self.table = [(0, 0)] * (1 << self.width)  # by the next bits
+        for s, (c, n) in canonical(lengths).items():
+            self.table[c :: 1 << n] = [(s, n)] * (1 << self.width - n)
 
     def read(self, r: Reader) -> int:
         if self.only is not None:
             return self.only
-        code = 0
-        for n in range(1, 16):
-            code |= r.bits(1) << (n - 1)
-            if (n, code) in self.table:
-                return self.table[n, code]
-        raise ValueError("bad prefix code")
+        first = r.at >> 3
+        s, n = self.table[int.from_bytes(r.data[first : first + 3], "little") >> (r.at & 7) & (1 << self.width) - 1]
+        r.at += n
+        if r.at > r.size:
+            raise ValueError("truncated bitstream")
+        return s
 
 
 def read_lengths(r: Reader, alphabet: int) -> list[int]:
@@ -431,9 +435,10 @@ def references(part: np.ndarray) -> np.ndarray:
     n = len(part) - 7
     if n < LEAST:
         return np.zeros((0, 3), np.int64)
-    eight = np.zeros(n, np.uint64)
-    for k in range(8):
-        eight |= part[k : n + k].astype(np.uint64) << np.uint64(8 * k)
+    eight = np.ascontiguousarray(np.lib.stride_tricks.sliding_window_view(part, 8)).view("<u8").ravel()
+    some = np.sort(eight[eight * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(61) == 0])  # an eighth, chosen by what they hold
+    if np.count_nonzero(some[1:] == some[:-1]) < SHARE * len(some):
+        return np.zeros((0, 3), np.int64)
     order = np.argsort(eight, kind="stable")
     same = np.flatnonzero(eight[order[1:]] == eight[order[:-1]])
     if not len(same):
@@ -455,6 +460,8 @@ def references(part: np.ndarray) -> np.ndarray:
 def _tokens(part: np.ndarray, refs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Of a part: its literals and references in order as green symbols; and at each reference, the length's extra bits and
     their number, distance symbol, extra bits and their number."""
+    if not len(refs):
+        return part.astype(np.int64), np.zeros(0, np.int64), np.zeros((0, 2), np.int64), np.zeros((0, 3), np.int64)
     inside = np.zeros(len(part) + 1, np.int64)
     np.add.at(inside, refs[:, 0], 1)
     np.add.at(inside, refs[:, 0] + refs[:, 1], -1)
