@@ -1,4 +1,8 @@
-"""Connected components by alternating large and small stars, in DataFrame operations only."""
+"""Connected components by alternating large and small stars, in DataFrame operations only.
+
+Defined cases: edges may repeat, in either direction; an edge of a node with itself is no edge, and its node has no row; an
+edge with a null end is left out; other columns are ignored; an empty table gives an empty table.
+"""
 
 from __future__ import annotations
 

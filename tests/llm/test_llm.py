@@ -456,6 +456,20 @@ def test_pipeline(spark):
     assert sorted((r.doc_id for r in odd.collect()), key=repr) == [1, 2, None]
 
 
+def test_pipeline_of_empty_and_wider_tables(spark):
+    import corpus_pipeline
+
+    schema = spark.read.parquet(f"{SF}/documents.parquet").schema
+    empty = spark.createDataFrame([], schema)
+    wide = spark.createDataFrame([(1, "one two three", "en", "s", 13, True, "r"), (2, None, "en", "s", 0, False, "q")], schema.simpleString()[7:-1].replace(":", " ") + ", toxic boolean, runs string")
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, empty, SF)
+        assert out.columns == empty.columns and out.count() == 0
+    for name, stage in corpus_pipeline.STAGES[1:3]:
+        out = stage(spark, wide, SF)
+        assert out.columns == wide.columns and sorted((r.doc_id, r.toxic, r.runs) for r in out.collect()) == [(1, True, "r"), (2, False, "q")], name
+
+
 def test_pipeline_join_by_text(spark):
     import corpus_pipeline
 
