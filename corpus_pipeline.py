@@ -1,8 +1,13 @@
 """A corpus pipeline of five stages over `documents`.
 
-Each stage takes what its predecessor kept and, but for the last, returns the columns of documents. The join stage tells rows
-apart by doc_id and text, so that null and repeated doc_ids are judged by their texts; null texts count as empty everywhere
-and are kept.
+Each stage takes what its predecessor kept and, but for the last, returns the columns of documents. A stage's rows are written
+to the shared folder and read again; once a stage is written, what its predecessor wrote is deleted, so that one copy of the
+corpus is left, which the caller reads last.
+
+Defined cases: null texts count as empty everywhere and are kept. The join stage tells rows apart by doc_id and text: null and
+repeated doc_ids are judged by their texts, of rows that tie in both one stays, and of linked rows the one of least doc_id,
+null ids last. Rows without words and a null doc_id all stay. Columns of documents keep their names and types, also where an
+operator adds a column of that name; further columns are passed on. An empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -86,4 +91,11 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     for k, (_, stage) in enumerate(STAGES[:-1]):
         stage(spark, docs, sf_dir).write.parquet(f"{folder}/{k}")
         docs = spark.read.parquet(f"{folder}/{k}")
+        if k:
+            _delete(spark, f"{folder}/{k - 1}")
     return STAGES[-1][1](spark, docs, sf_dir)
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
