@@ -266,12 +266,18 @@ def repeated(x: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
     return {k: v[keep] for k, v in x.items()}
 
 
+def _own(columns):
+    """The fields of an entry beside its key."""
+    return tuple(c for c in columns if c[0] != "key")
+
+
 def _by_key(rows: DataFrame, columns, buckets: int, name: str) -> DataFrame:
-    """rows (bucket by key, payload) as one row for each key: key, and its entries' payload."""
+    """rows (bucket by key, payload) as one row for each key: key, and its entries' payload without the key."""
 
     def gather(pdf: pd.DataFrame) -> pd.DataFrame:
         x = unpack(columns, pdf["payload"].tolist())
-        got = deal(columns, np.unique(x["key"], return_inverse=True)[1], x)
+        number = np.unique(x["key"], return_inverse=True)[1]
+        got = deal(_own(columns), number, {k: v for k, v in x.items() if k != "key"})
         return pd.DataFrame({"key": np.unique(x["key"]), name: [p for _, p in got]})
 
     return rows.groupBy("bucket").applyInPandas(gather, f"key long, {name} binary")
@@ -308,7 +314,7 @@ def proven(proposed: DataFrame, held: DataFrame) -> DataFrame:
         for batch in batches:
             rows = []
             for k, own in zip(batch.column("key").to_pylist(), batch.column("starts").to_pylist()):
-                runs = claims(*(v.astype(np.int64) for n, v in unpack(_RUN, [own]).items() if n != "key"))
+                runs = claims(*(v.astype(np.int64) for v in unpack(_own(_RUN), [own]).values()))
                 for o, p in _claims_of(runs):
                     rows += [(o, k, o, True, p), (k, k, o, False, p)]
             yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.binary()))], names=["key", "asks", "other", "there", "claims"])
@@ -322,7 +328,8 @@ def proven(proposed: DataFrame, held: DataFrame) -> DataFrame:
                 x = {n: v.astype(np.int64) for n, v in unpack(_CLAIM, [own]).items()}
                 at = x["start"] + x["shift"] if there else x["start"]
                 out.append(b"".join(_digest(last[1], s, n + LENGTH - 1) for s, n in zip(at.tolist(), x["size"].tolist())))
-            yield with_columns(batch.drop_columns(["key", "packed"]), {"digests": pa.array(out, pa.binary())})
+            own = [None if there else c for there, c in zip(batch.column("there").to_pylist(), batch.column("claims").to_pylist())]
+            yield with_columns(batch.drop_columns(["key", "packed"]), {"claims": pa.array(own, pa.binary()), "digests": pa.array(out, pa.binary())})
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -402,7 +409,7 @@ def repeats(docs: DataFrame, text: str = "text", bits: int = 64) -> DataFrame:
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "packed", 2 << 20):
-            got = [(k, *ties(k, zstandard.decompress(p), _at(unpack(_REF, [m])))) for k, p, m in zip(*(batch.column(c).to_pylist() for c in ("key", "packed", "matched")))]
+            got = [(k, *ties(k, zstandard.decompress(p), _at(unpack(_own(_REF), [m])))) for k, p, m in zip(*(batch.column(c).to_pylist() for c in ("key", "packed", "matched")))]
             r = np.concatenate([x[3] for x in got]) & mask
             if len(r):
                 keys = np.repeat(np.array([x[0] for x in got]), [len(x[1]) for x in got])
@@ -413,7 +420,7 @@ def repeats(docs: DataFrame, text: str = "text", bits: int = 64) -> DataFrame:
 
     def each(batch: pa.RecordBatch) -> list[tuple]:
         return [
-            (k, *settle(zstandard.decompress(p), _at(unpack(_REF, [m])), unpack(_DUP, [t] if t else [])))
+            (k, *settle(zstandard.decompress(p), _at(unpack(_own(_REF), [m])), unpack(_own(_DUP), [t] if t else [])))
             for k, p, m, t in zip(*(batch.column(c).to_pylist() for c in ("key", "packed", "matched", "tied")))
         ]
 
