@@ -405,7 +405,7 @@ def repeats(docs: DataFrame, text: str = "text", bits: int = 64) -> DataFrame:
 
     matched = cut(_by_key(_ranked(docs.select(text).mapInArrow(sample, "bucket int, payload binary"), _SAMPLE, _REF, buckets), _REF, buckets, "matched"))
     packed = packed_texts(docs, text, sketch(matched))
-    held = cut(packed.join(known.select("key", F.col("_order").alias("_first")).join(matched, "key"), "key").where("_order = _first").select("key", "packed", "matched").dropDuplicates(["key"]))
+    held = cut(packed.join(known.select("key", F.col("_order").alias("_first")).join(matched, "key"), "key").where("_order = _first").select("key", "packed", "matched"))  # rows that repeat in all columns stay: they propose the same
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "packed", 2 << 20):

@@ -168,6 +168,9 @@ def test_suffix_dedup_like_brute_force(spark, texts, odd):
                 gone[p : p + 200] = True
         want[i] = bytes(np.frombuffer(raw, np.uint8)[~gone])
     df = spark.createDataFrame(base, "doc_id long, text string")
+    twice = [base[0], extra[1], extra[1]]  # rows that repeat in all columns
+    again = suffix_dedup.dedup(spark.createDataFrame(twice, "doc_id long, text string")).collect()
+    assert sorted((r.doc_id, len(r.kept)) for r in again) == sorted((i, len(t.encode()) if i == base[0][0] or len(t.encode()) < 200 else 0) for i, t in twice)
     got = {r.doc_id: bytes(r.kept) for r in suffix_dedup.dedup(df).collect()}
     assert got == want
     got = {r.doc_id: bytes(r.kept) for r in suffix_dedup.dedup(df, bits=9).collect()}  # ranks that collide all over
