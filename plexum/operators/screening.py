@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import itertools
 import math
 import re
 from collections.abc import Callable, Sequence
@@ -14,7 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from plexum.operators import spatial, tables
-from plexum.operators.thermo import DNA, ENDS, melting_temperature
+from plexum.operators.thermo import Sums, melting_temperature
 
 
 def words(spark: SparkSession, length: int, letters: str = "ACT", c_share: tuple[float, float] = (0.45, 0.55), a_share: float = 0.28, away: tuple[str, int] | None = None) -> DataFrame:
@@ -65,7 +64,7 @@ def pairwise(read: Column, cigar: Column, md: Column) -> Column:
     return run(read, cigar, md)
 
 
-def off_target_tm(aligned: Column, least: int = 15, formamide: float = 0.0) -> Column:
+def off_target_tm(aligned: Column, least: int = 15, formamide: float = 0.0, model: str = "hybrid") -> Column:
     """The highest melting temperature of runs of at least `least` matching bases; 0 without one."""
     marks = F.concat(aligned["marks"], F.lit(" "))
     # the ends of runs: cut the marks into pieces that each end a run, and sum their lengths
@@ -73,7 +72,7 @@ def off_target_tm(aligned: Column, least: int = 15, formamide: float = 0.0) -> C
     empty = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("runs"))
     folded = F.aggregate(pieces, empty, lambda acc, p: F.struct((acc["at"] + F.length(p)).alias("at"), F.concat(acc["runs"], F.array(F.substring(aligned["read"], acc["at"] + 1, F.length(p) - F.length(F.translate(p, "|", ""))))).alias("runs")))
     runs = F.filter(folded["runs"], lambda r: F.length(r) >= least)
-    return F.coalesce(F.array_max(F.transform(runs, lambda r: melting_temperature(r, formamide=formamide))), F.lit(0.0))
+    return F.coalesce(F.array_max(F.transform(runs, lambda r: melting_temperature(r, model, formamide))), F.lit(0.0))
 
 
 def off_target(hits: DataFrame, accepted: DataFrame, formamide: float = 10.0) -> DataFrame:
@@ -87,33 +86,20 @@ def off_target(hits: DataFrame, accepted: DataFrame, formamide: float = 10.0) ->
     return good.join(worst, "name", "left").na.fill({"max_tm_offtarget": 0.0, "match_consec_all": 0})
 
 
-def crawl(sequences: DataFrame, length: tuple[int, int] = (43, 55), gc: tuple[float, float] = (0.3, 0.7), tm: tuple[float, float] = (54, 68), formamide: float = 50.0, accept: Callable[[str], bool] | None = None) -> DataFrame:
+def crawl(sequences: DataFrame, length: tuple[int, int] = (43, 55), gc: tuple[float, float] = (0.3, 0.7), tm: tuple[float, float] = (54, 68), formamide: float = 50.0, accept: Callable[[str], bool] | None = None, model: str = "hybrid") -> DataFrame:
     """sequences (name, seq): windows (name, seq, pos_start, pos_end). From each start the end moves on, never back, to the first
-    window with fit GC that is warm enough; it counts unless too hot, with N, long runs of a base, or refused by `accept`.
-    Temperatures come from prefix sums, so that a window costs the same at any length."""
-    heat, none, salt, strand = dict(DNA), (0.0, 0.0), 0.368 * math.log(0.39), 1.987 * math.log(5e-9 / 4)
-    heat |= {k[::-1].translate(str.maketrans("ACGT", "TGCA")): v for k, v in DNA.items()}
-
+    window with fit GC that is warm enough; it counts unless too hot, with N, long runs of a base, or refused by `accept`."""
     bad = re.compile("N|A{6}|T{6}|C{5}|G{5}")
 
     def windows(seq: str):
         seq = seq.upper()
-        pairs = [heat.get(seq[i : i + 2], (0.0, 0.0)) for i in range(len(seq) - 1)]
-        h, s = ([0.0, *itertools.accumulate(p[k] for p in pairs)] for k in (0, 1))
-        strong, stop = [0, *itertools.accumulate(c in "GC" for c in seq)], length[0]
-
-        def celsius(a: int, b: int) -> float:
-            first, last = ENDS.get(seq[a], none), ENDS.get(seq[b - 1], none)
-            entropy = s[b - 1] - s[a] + first[1] + last[1] + (b - a - 1) * salt + strand
-            return 1000.0 * (h[b - 1] - h[a] + first[0] + last[0]) / entropy - 273.15 - 0.65 * formamide
-
+        sums, stop = Sums(seq, model, formamide), length[0]
         for start in range(len(seq) - length[0]):
             if seq[start] == "N":
                 continue
             stop = max(stop, start + length[0])
             while stop <= min(start + length[1], len(seq)):
-                share = (strong[stop] - strong[start]) / (stop - start)
-                warm = celsius(start, stop) if gc[0] <= share <= gc[1] else -math.inf
+                warm = sums.celsius(start, stop) if gc[0] <= sums.share(start, stop) <= gc[1] else -math.inf
                 if warm > tm[0]:
                     piece = seq[start:stop]
                     if warm <= tm[1] and not bad.search(piece) and (accept is None or accept(piece)):
@@ -129,6 +115,33 @@ def crawl(sequences: DataFrame, length: tuple[int, int] = (43, 55), gc: tuple[fl
     return sequences.select("name", "seq").mapInPandas(run, "name string, seq string, pos_start long, pos_end long")
 
 
+def split_arms(probes: DataFrame, target: float, seq: str = "seq", hairpin: Callable[[str], float] | None = None) -> DataFrame:
+    """probes with padlock, splint and pad_start: two neighbouring pieces of a probe, each the shortest over 5 degrees warmer
+    than the target. The first one begins in the first eight bases, has 18 to 27 and no hairpin over the target; the second
+    follows at once or one base on, the latter preferred, has 18 to 29 and a hairpin less than 2 degrees over it. `hairpin` gives
+    a hairpin's temperature; without it none is looked for. Probes without such pieces have empty texts and -1."""
+    fields = "padlock string, splint string, pad_start int"
+
+    def split(own: str) -> tuple[str, str, int]:
+        sums = Sums(own)
+        for start in range(8):
+            ends = range(start + 18, min(start + 28, len(own) + 1))
+            stop = next((e for e in ends if sums.celsius(start, e) - 5 > target), ends[-1] if ends else None)
+            if stop is None or (hairpin and hairpin(own[start:stop]) > target):
+                continue
+            for at in (stop + 1, stop):
+                ends = (at + j for j in range(18, 30) if at + j < len(own) and sums.celsius(at, at + j) - 5 > target)
+                if end := next((e for e in ends if not hairpin or hairpin(own[at:e]) < target + 2), None):
+                    return own[start:stop], own[at:end], at
+        return "", "", -1
+
+    @F.pandas_udf(fields)
+    def run(texts: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame([split(t.upper()) if t else ("", "", -1) for t in texts], columns=["padlock", "splint", "pad_start"])
+
+    return probes.withColumn("_arms", run(F.col(seq))).select(*probes.columns, "_arms.*")
+
+
 def tiered_selection(probes: DataFrame, group: str, tiers: int, overlap: int, enough: int) -> DataFrame:
     """probes (group, id, start, stop, priority from 1): tier i selects among priorities up to i, the first greedily, later ones by
     weight sqrt(tiers + 1 - priority). Of each group the first tier that selects over `enough` counts, else the last."""

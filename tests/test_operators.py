@@ -1,3 +1,5 @@
+import math
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -36,7 +38,17 @@ def test_numbers(spark):
     assert one(spark, N.unit(F.array(F.lit(0.0), F.lit(0.0)))) == pytest.approx([2**-0.5] * 2)
     assert one(spark, N.phase(F.lit(0.0), F.lit(-1.0))) == pytest.approx(3.14159265)
     assert one(spark, N.quantile_nearest(F.array(*[F.lit(float(i)) for i in range(11)]), 0.1)) == 1.0
-    assert 50 < one(spark, thermo.melting_temperature(F.lit("ACGTACGTACGTACGTACGT"))) < 80
+    assert 50 < one(spark, thermo.melting_temperature(F.lit("ACGTACGTACGTACGTACGT"), "dna")) < 80
+    # AAC, hybrid: H -3.11 - 6.62 - 9.79, S -18.8 - 18.5 - 25.8; a third G or C; 10 % formamide
+    log, gc = math.log(0.39), 1 / 3
+    warm = -19520 / (-63.1 + 1.987 * math.log(1e-9)) - 273.15 + (-1.842 * gc + 2.675) * log - 0.7348 * log**2 + (0.453 * gc / 100 - 2.88) * 113 / 45.04
+    assert one(spark, thermo.melting_temperature(F.lit("AAC"), "hybrid", 10.0)) == pytest.approx(warm)
+    # AAC, dna: H -7.9 - 8.4 + 2.3 + 0.1, S -22.2 - 22.4 + 4.1 - 2.8 and salt
+    cold = -13900 / (-43.3 + 0.368 * 2 * log + 1.987 * math.log(1e-9)) - 273.15
+    assert one(spark, thermo.melting_temperature(F.lit("AAC"), "dna")) == pytest.approx(cold)
+    for model in thermo.MODELS:
+        sums, text = thermo.Sums("GGACTNACGTTGCAAC", model, 20.0), "ACTNACGTTGCA"
+        assert sums.celsius(2, 14) == pytest.approx(one(spark, thermo.melting_temperature(F.lit(text), model, 20.0)))
     assert one(spark, thermo.melting_temperature(F.lit("A"))) is None
 
 
