@@ -75,6 +75,38 @@ def nearest(points: DataFrame, targets: DataFrame, group: str, ties: Sequence[st
     return near.withColumn("_n", best).select("id", group, F.col("_n.t").alias("target_id"), F.col("_n.d").alias("distance"))
 
 
+def nearest_in_plane(points: DataFrame, targets: DataFrame, group: str, size: float, levels: int = 6) -> DataFrame:
+    """(group, id, target_id, distance, dx, dy): for points (group, id, x, y) the nearest target of the same group, ties by id; dx and
+    dy lead to the target. Ids are unique in a group; points of groups without targets are left out.
+
+    Cells are laid out at several levels, each four times as wide as the one before, from `size` on; the last has one cell. A
+    point's level is the first at which its cell or one next to it holds a target. That one is less than three cells off, so
+    the nearest lies in the nine cells around the point one level up, where they are joined: pairs stay few wherever `size`
+    is about the distance between targets, and far points cost as much as near ones."""
+    def at(x: Column, y: Column, level: Column) -> tuple[Column, Column]:
+        wide = F.lit(float(size)) * F.pow(F.lit(4.0), level)
+        return tuple(F.when(level < levels, F.floor(v / wide)).otherwise(0).cast("long") for v in (x, y))
+
+    def placed(df: DataFrame, level: Column) -> DataFrame:
+        df = df.withColumn("_l", level)
+        cx, cy = at(F.col("x"), F.col("y"), F.col("_l"))
+        return df.withColumns({"_cx": cx, "_cy": cy})
+
+    around = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (-1, 0, 1) for j in (-1, 0, 1)])
+    step = F.explode(F.when(F.col("_l") < levels, around).otherwise(F.slice(around, 5, 1))).alias("_s")
+    key = [group, "_l", "_cx", "_cy"]
+    every = F.explode(F.sequence(F.lit(0), F.lit(levels)))
+    held = placed(targets.select(group, "x", "y"), every).select(*key).distinct()
+    near = held.select(*key, step).select(group, "_l", (F.col("_cx") + F.col("_s.i")).alias("_cx"), (F.col("_cy") + F.col("_s.j")).alias("_cy")).distinct()
+    level = placed(points.select(group, "id", "x", "y"), every).join(near, key).groupBy(group, "id", "x", "y").agg(F.min("_l").alias("_first"))
+    asked = placed(level, F.least(F.col("_first") + 1, F.lit(levels))).select(group, "id", "x", "y", "_l", "_cx", "_cy", step)
+    asked = asked.select(group, "id", "x", "y", "_l", (F.col("_cx") + F.col("_s.i")).alias("_cx"), (F.col("_cy") + F.col("_s.j")).alias("_cy"))
+    there = placed(targets.select(group, F.col("id").alias("target_id"), "x", "y"), F.explode(F.sequence(F.lit(1), F.lit(levels)))).withColumnsRenamed({"x": "_tx", "y": "_ty"})
+    pairs = asked.join(there, key).withColumns({"dx": F.col("_tx") - F.col("x"), "dy": F.col("_ty") - F.col("y")})
+    best = F.min(F.struct(F.hypot("dx", "dy").alias("distance"), "target_id", "dx", "dy")).alias("_b")
+    return pairs.groupBy(group, "id").agg(best).select(group, "id", "_b.target_id", "_b.distance", "_b.dx", "_b.dy")
+
+
 def coverage(intervals: DataFrame, group: str) -> DataFrame:
     """Depth of closed integer intervals (group, start, stop) as runs: group, since, until (inclusive), depth."""
     steps = intervals.select(group, F.explode(F.array(F.struct(F.col("start").alias("at_"), F.lit(1).alias("d")), F.struct((F.col("stop") + 1).alias("at_"), F.lit(-1).alias("d")))).alias("s")).groupBy(group, F.col("s.at_").alias("since")).agg(F.sum("s.d").alias("d"))

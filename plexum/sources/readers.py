@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import struct
 from collections.abc import Sequence
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
@@ -124,3 +126,68 @@ def workspace(spark: SparkSession, root: str) -> DataFrame:
 def images(spark: SparkSession, path: str) -> DataFrame:
     """Image files as bytes, with path and size."""
     return spark.read.format("binaryFile").load(path)
+
+
+def tiff_fault(data: bytes) -> str | None:
+    """Why a TIFF file cannot be read, or None: its header, each directory and the place of each strip or tile are followed."""
+    order = {b"II": "<", b"MM": ">"}.get(data[:2])
+    if not order or len(data) < 8:
+        return "no TIFF header"
+    big = struct.unpack_from(order + "H", data, 2)[0]
+    if big not in (42, 43):
+        return "no TIFF header"
+    word, count, width, first = ("Q", "Q", 20, 8) if big == 43 else ("I", "H", 12, 4)
+    sizes = {1: "B", 3: "H", 4: "I", 16: "Q"}
+    try:
+        at, seen = struct.unpack_from(order + word, data, first)[0], set()
+        if not at:
+            return "no directory"
+        while at:
+            if at in seen:
+                return "directories in a circle"
+            seen.add(at)
+            n, tags = struct.unpack_from(order + count, data, at)[0], {}
+            at += struct.calcsize(count)
+            for i in range(n):
+                tag, kind, many = struct.unpack_from(order + "HH" + word, data, at + i * width)
+                if tag not in (273, 279, 324, 325) or kind not in sizes:
+                    continue
+                field = at + i * width + 4 + struct.calcsize(word)
+                own = f"{many}{sizes[kind]}"
+                if struct.calcsize(order + own) > struct.calcsize(word):
+                    field = struct.unpack_from(order + word, data, field)[0]
+                tags[tag] = struct.unpack_from(order + own, data, field)
+            for where, length in ((273, 279), (324, 325)):
+                if where in tags and any(a + b > len(data) for a, b in zip(tags[where], tags.get(length, ()))):
+                    return "data past the end"
+            if not tags.keys() & {273, 324}:
+                return "no data"
+            at = struct.unpack_from(order + word, data, at + n * width)[0]
+    except (struct.error, OverflowError, MemoryError):
+        return "cut off"
+    return None
+
+
+def verify_images(spark: SparkSession, path: str | list[str]) -> DataFrame:
+    """(path, fault) of TIFF files, null where a file can be read. Files are checked where they are read, a few at a time."""
+
+    def run(frames):
+        for pdf in frames:
+            yield pd.DataFrame({"path": pdf["path"], "fault": [tiff_fault(x) for x in pdf["content"]]})
+
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.tif*").option("recursiveFileLookup", "true").load(path)
+    return files.select("path", "content").mapInPandas(run, "path string, fault string")
+
+
+def verify_codebook(spark: SparkSession, root: str, codebook: str, rois: Sequence[str] = ()) -> DataFrame:
+    """verify_images over the folders registered--{roi}+{codebook} under a root, with roi. Named regions without files, or no
+    files at all, are an error."""
+    found = with_path_parts(verify_images(spark, f"{root}/registered--*+{codebook}"), {"roi": r"/registered--([^/+]+)\+"})
+    if rois:
+        found = found.where(F.col("roi").isin(*rois))
+    held = {r["roi"] for r in found.select("roi").distinct().collect()}
+    if missing := sorted(set(rois) - held):
+        raise ValueError(f"no registered files of {missing} with {codebook}")
+    if not held:
+        raise ValueError(f"no registered files with {codebook}")
+    return found
