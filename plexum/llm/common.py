@@ -33,8 +33,13 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """df, computed once and kept in the shared folder; its lineage ends there."""
+    """df, computed once and kept in the shared folder; its lineage ends there.
+
+    Spark deletes shuffles that no plan refers to, but learns of them only when the driver's memory is collected, which may be
+    long after; so it is collected here, and what earlier cuts have made useless is off the disks before more is written."""
     shared_dir(df.sparkSession)
+    gc.collect()
+    df.sparkSession.sparkContext._jvm.System.gc()
     return df.checkpoint(eager=True)
 
 
