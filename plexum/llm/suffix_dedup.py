@@ -415,7 +415,7 @@ def repeats(docs: DataFrame, text: str = "text", bits: int = 64) -> DataFrame:
                 keys = np.repeat(np.array([x[0] for x in got]), [len(x[1]) for x in got])
                 yield _batch(deal(_TIE, (r % np.uint64(buckets)).astype(np.int64), {"rank": r, "whole": np.concatenate([x[4] for x in got]), "kind": np.concatenate([x[1] for x in got])} | _refs(keys, np.concatenate([x[2] for x in got]))))
 
-    tied = _by_key(_ranked(held.mapInArrow(compare, "bucket int, payload binary"), _TIE, _DUP, buckets), _DUP, buckets, "tied")
+    tied = cut(_by_key(_ranked(held.mapInArrow(compare, "bucket int, payload binary"), _TIE, _DUP, buckets), _DUP, buckets, "tied"))
     settled = held.join(tied, "key", "left")
 
     def each(batch: pa.RecordBatch) -> list[tuple]:
@@ -440,7 +440,8 @@ def repeats(docs: DataFrame, text: str = "text", bits: int = 64) -> DataFrame:
                 yield _batch(deal(_SINGLE, (r % np.uint64(buckets)).astype(np.int64), {"rank": r} | _refs(keys, np.concatenate([x[2] for x in got]))))
 
     both = settled.mapInArrow(certain, "bucket int, payload binary").unionByName(_ranked(settled.mapInArrow(single, "bucket int, payload binary"), _SINGLE, _RUN, buckets))
-    found = cut(proven(_by_key(both, _RUN, buckets, "starts"), held))
+    proposed = cut(_by_key(both, _RUN, buckets, "starts"))
+    found = cut(proven(proposed, held))
     sure = found.select("key", "sure")
     if not found.where("length(failed) > 0").isEmpty():
         sure = sure.unionByName(by_bytes(found, held))
