@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plexum.llm import bpe, chat, decontaminate, html_extract, ngram_join, quality, suffix_dedup, toxicity, url_filter, webp
+from plexum.llm import bpe, chat, decontaminate, html_extract, ngram_join, quality, suffix_dedup, token_ids, toxicity, url_filter, webp
 from plexum.llm.common import read
 
 #: Both turns of the conversation that op1 adds.
@@ -167,6 +167,12 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(docs, model).select("doc_id", F.round("severity", 9).alias("severity"), "grade", F.round("p_toxic", 9).alias("p_toxic"), "toxic")
 
 
+def op13_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    folder = token_ids.write(docs, public_tokenizers.path("word_bpe_49k.json"))
+    return token_ids.read(spark, folder).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+
+
 def queries():
     return {
         "op1_chat_format": op1_chat_format,
@@ -179,6 +185,7 @@ def queries():
         "op8_html_extract": op8_html_extract,
         "op9_webp": op9_webp,
         "op10_toxicity": op10_toxicity,
+        "op13_token_ids": op13_token_ids,
     }
 
 
