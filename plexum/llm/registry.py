@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import hashlib
+
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plexum.llm import bpe, chat, decontaminate, html_extract, ngram_join, quality, suffix_dedup, token_ids, toxicity, url_filter, webp
+from plexum.llm import bpe, chat, decontaminate, html_extract, ngram_join, quality, suffix_dedup, token_ids, toxicity, url_filter, webp, yinyang
 from plexum.llm.common import read
 
 #: Both turns of the conversation that op1 adds.
@@ -167,6 +169,44 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(docs, model).select("doc_id", F.round("severity", 9).alias("severity"), "grade", F.round("p_toxic", 9).alias("p_toxic"), "toxic")
 
 
+#: Centroids and rounds of op12.
+CENTROIDS, ROUNDS = 40, 5
+
+
+def op12_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = read(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    out, centroids = yinyang.fit(vectors, CENTROIDS, ROUNDS, 64, seed="2:", scale=256)
+    out = out.select("vec_id", "cluster", "distance")
+    sums = dict(tuple(r) for r in out.groupBy("cluster").agg(F.sum("distance")).collect())  # one for each centroid
+    facts = [(c, sums.get(c, 0), sum(sums.values()), hashlib.sha256(",".join(map(str, x)).encode()).hexdigest()) for c, x in enumerate(centroids.tolist())]
+    of = spark.createDataFrame(facts, "cluster int, cluster_inertia long, inertia long, centroid_sha256 string")
+    return out.join(F.broadcast(of), "cluster").select("vec_id", "cluster", "distance", "cluster_inertia", "inertia", "centroid_sha256")
+
+
+def _op12_sql() -> str:
+    near = "select r, v, min({'d': list_dot_product(v, v) - 2 * list_dot_product(v, w) + list_dot_product(w, w), 'c': c}) as b from x, %s group by r, v"
+    parts = [
+        """x as (select row_number() over () as r, vec_id, list_transform(embedding, lambda e: floor(e::double * 256)) as v from embeddings
+  where len(embedding) = 64 and len(list_filter(embedding, lambda e: e is not null and isfinite(e))) = 64)""",
+        f"c0 as (select row_number() over (order by sha256('2:' || vec_id), v) - 1 as c, v as w from x where vec_id is not null qualify c < {CENTROIDS})",
+    ]
+    for i in range(ROUNDS):
+        parts += [
+            f"a{i} as materialized ({near % f'c{i}'})",
+            f"m{i} as (select c, list(m order by i) as w from (select c, i, floor(sum(e) / count(*)) as m from (select b.c as c, unnest(v) as e, unnest(range(1, 65)) as i from a{i}) group by c, i) group by c)",
+            f"c{i + 1} as materialized (select c, coalesce(m{i}.w, c{i}.w) as w from c{i} left join m{i} using (c))",
+        ]
+    last = f"c{ROUNDS}"
+    chain = ", ".join([*parts, f"z as materialized ({near % last})"])
+    return f"""with {chain}
+select vec_id, b.c::int as cluster, b.d::bigint as distance, (sum(b.d) over (partition by b.c))::bigint as cluster_inertia, (sum(b.d) over ())::bigint as inertia,
+  sha256(array_to_string(list_transform(w, lambda e: e::bigint), ',')) as centroid_sha256
+from z join x using (r) join {last} on b.c = c"""
+
+
+OP12_SQL = _op12_sql()
+
+
 def op13_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
     folder = token_ids.write(docs, public_tokenizers.path("word_bpe_49k.json"))
@@ -185,9 +225,10 @@ def queries():
         "op8_html_extract": op8_html_extract,
         "op9_webp": op9_webp,
         "op10_toxicity": op10_toxicity,
+        "op12_centroids": op12_centroids,
         "op13_token_ids": op13_token_ids,
     }
 
 
 def oracle_sql():
-    return {"op1_chat_format": OP1_SQL, "op2_decontaminate": OP2_SQL, "op7_url_filter": OP7_SQL}
+    return {"op1_chat_format": OP1_SQL, "op2_decontaminate": OP2_SQL, "op7_url_filter": OP7_SQL, "op12_centroids": OP12_SQL}
