@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plexum.llm import bpe, chat, decontaminate, html_extract, ngram_join, quality, suffix_dedup, token_ids, toxicity, url_filter, webp, yinyang
+from plexum.llm import align, bpe, chat, decontaminate, html_extract, ngram_join, quality, suffix_dedup, token_ids, toxicity, url_filter, webp, yinyang
 from plexum.llm.common import read
 
 #: Both turns of the conversation that op1 adds.
@@ -169,6 +169,13 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(docs, model).select("doc_id", F.round("severity", 9).alias("severity"), "grade", F.round("p_toxic", 9).alias("p_toxic"), "toxic")
 
 
+def op11_align(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    digest = lambda groups: hashlib.sha256(groups.encode()).hexdigest()  # noqa: E731  the description itself is three times its text
+    out = align.count_links(docs, tokenizer_path(), public_tokenizers.path("piece_bpe_32k.model"), told=digest)
+    return out.select("doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", F.col("groups").alias("groups_sha256"))
+
+
 #: Centroids and rounds of op12.
 CENTROIDS, ROUNDS = 40, 5
 
@@ -225,6 +232,7 @@ def queries():
         "op8_html_extract": op8_html_extract,
         "op9_webp": op9_webp,
         "op10_toxicity": op10_toxicity,
+        "op11_align": op11_align,
         "op12_centroids": op12_centroids,
         "op13_token_ids": op13_token_ids,
     }
