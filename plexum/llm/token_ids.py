@@ -58,7 +58,7 @@ def unpack(control: np.ndarray, data: np.ndarray, n: int) -> np.ndarray:
     ends = np.cumsum(size, dtype=np.int64)
     if n and ends[-1] != len(data):
         raise ValueError("control bytes and data bytes do not agree")
-    padded = np.concatenate([data, np.zeros(3, np.uint8)])
+    padded = np.concatenate([data, np.zeros(4, np.uint8)])
     four = np.lib.stride_tricks.sliding_window_view(padded, 4)
     return np.ascontiguousarray(four[ends - size]).view("<u4").ravel() & MASKS[size]
 

@@ -22,10 +22,12 @@ import pyarrow.compute as pc
 
 from plexum.llm.bpe import PATTERN, byte_letters
 
-#: Pieces that one cache holds before it starts anew; bounds a worker's memory.
-PIECES = 1_000_000
+#: Pieces that one cache holds before it keeps only those of the text at hand; bounds a worker's memory.
+PIECES = 500_000
 #: Characters without white space from which a text does not go through the rank encoder.
 RUN = 1_000
+#: Pieces that the library gets as one text.
+TOGETHER = 200
 
 Ids = tuple[np.ndarray, np.ndarray]  # ids of all texts in one array; where each text's begin, with the end last
 
@@ -47,16 +49,20 @@ class Pieces:
 
     def __init__(self, encode_all: Callable[[list[str]], Ids], whole: Callable[[list[str]], Ids] | None = None, most: int = PIECES):
         self.encode_all, self.whole, self.most = encode_all, whole, most
-        self._forget()
-
-    def _forget(self) -> None:
         self.known: dict[str, int] = {}
         self.ids, self.at = np.zeros(0, np.int32), np.zeros(1, np.int64)
 
+    def _forget(self, but: list[str]) -> None:
+        kept = [p for p in but if p in self.known]
+        at = np.fromiter(map(self.known.__getitem__, kept), np.int64, len(kept))
+        size = np.diff(self.at)[at]
+        self.ids, self.at = self.ids[spans(self.at[at], size)], np.concatenate([[0], np.cumsum(size)])
+        self.known = dict(zip(kept, range(len(kept))))
+
     def _numbers(self, pieces: list[str]) -> np.ndarray:
         """Where each of some distinct pieces stands in the cache, after the new ones are encoded."""
         if len(self.known) > self.most:
-            self._forget()
+            self._forget(but=pieces)
         new = [p for p in pieces if p not in self.known]
         ids, at = self.encode_all(new)
         self.known.update(zip(new, range(len(self.known), len(self.known) + len(new)), strict=True))
@@ -111,27 +117,39 @@ class WordBPE(Pieces):
         added = [t for t in self.library.get_added_tokens_decoder().items() if t[1].special]
         self.mark, self.mark_text = (added[-1][0], added[-1][1].content) if added else (None, None)
         self.size = self.library.get_vocab_size()
+        suffix = self.library.model.end_of_word_suffix
+        self.ends = np.array([bool(suffix) and (self.library.id_to_token(i) or "").endswith(suffix) for i in range(self.size)])
 
     def encode(self, texts: pa.Array) -> Ids:
         return super().encode(pc.replace_substring(texts, "\n", " "))
 
-    def _encode(self, pieces: list[str], together: int = 200) -> Ids:
-        """Many pieces in one call, a special token between them: a call costs more than a piece."""
-        groups = [pieces[i : i + together] for i in range(0, len(pieces), together)]
-        if self.mark is None:
-            return _flat([e.ids for e in self.library.encode_batch_fast(pieces, add_special_tokens=False)])
-        ids, sizes = [np.zeros(0, np.int32)], [np.zeros(1, np.int64)]
-        for own, found in zip(groups, self.library.encode_batch_fast([self.mark_text.join(g) for g in groups], add_special_tokens=False), strict=True):
-            flat = np.array(found.ids, np.int32)
-            cuts = np.flatnonzero(flat == self.mark)
-            if len(cuts) == len(own) - 1:
-                ids.append(np.delete(flat, cuts))
-                sizes.append(np.diff(np.concatenate([[-1], cuts, [len(flat)]])) - 1)
-            else:  # a piece holds the mark itself
-                flat, at = _flat([e.ids for e in self.library.encode_batch_fast(own, add_special_tokens=False)])
-                ids.append(flat)
-                sizes.append(np.diff(at))
-        return np.concatenate(ids), np.cumsum(np.concatenate(sizes))
+    def _encode(self, pieces: list[str]) -> Ids:
+        """Many pieces in one call, since a call costs more than a piece. Pieces of letters are one word each, and two with a
+        sign behind them; so their ids end where words do. Between others stands a special token, which costs more."""
+        kinds = [1 if p.isalpha() else 2 if p[:-1].isalpha() and p[-1] in ",.;:!?" else 0 for p in pieces]
+        found, order = [], []
+        for kind in (1, 2, 0):
+            own = [i for i, k in enumerate(kinds) if k == kind]
+            order += own
+            found += [self._together([pieces[j] for j in own[i : i + TOGETHER]], kind) for i in range(0, len(own), TOGETHER)]
+        if not found:
+            return np.zeros(0, np.int32), np.zeros(1, np.int64)
+        ids, sizes = map(np.concatenate, zip(*found))
+        back = np.argsort(order)
+        at = np.cumsum(sizes) - sizes
+        return ids[spans(at[back], sizes[back])], np.concatenate([[0], np.cumsum(sizes[back])])
+
+    def _together(self, pieces: list[str], words: int) -> Ids:
+        """Ids and how many each piece has; words: in each, or 0 where this is not known. What does not add up is encoded alone."""
+        if words or self.mark is not None:
+            ids = np.array(self.library.encode_batch_fast([(" " if words else self.mark_text).join(pieces)], add_special_tokens=False)[0].ids, np.int32)
+            cuts = np.flatnonzero(self.ends[ids] if words else ids == self.mark)
+            if words and len(cuts) == words * len(pieces):
+                return ids, np.diff(np.concatenate([[-1], cuts[words - 1 :: words]]))
+            if not words and len(cuts) == len(pieces) - 1:
+                return np.delete(ids, cuts), np.diff(np.concatenate([[-1], cuts, [len(ids)]])) - 1
+        flat, at = _flat([e.ids for e in self.library.encode_batch_fast(pieces, add_special_tokens=False)])
+        return flat, np.diff(at)
 
 
 class ByteBPE:
