@@ -6,13 +6,15 @@ corpus is left, which the caller reads last.
 
 Defined cases: null texts count as empty everywhere and are kept. The join stage tells rows apart by doc_id and text: null and
 repeated doc_ids are judged by their texts, of rows that tie in both one stays, and of linked rows the one of least doc_id,
-null ids last. Rows without words and a null doc_id all stay. Columns of documents keep their names and types, also where an
-operator adds a column of that name; further columns are passed on. An empty table gives an empty table.
+null ids last. Rows without words and a null doc_id all stay. Columns of documents keep their names, types and values, also where an
+operator adds a column of that name: operators see all but doc_id, text and n_chars under other names. Only the last stage's own
+token_ids and n_tokens replace columns of these names. An empty table gives an empty table.
 """
 
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -23,15 +25,30 @@ from plexum.llm.common import cut, read, shared_dir
 from plexum.llm.registry import tokenizer_path
 
 
+#: Columns that stages read or write; all others are passed on.
+OWN = ("doc_id", "text", "n_chars")
+
+
+def _apart(docs: DataFrame, stage: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """What a stage keeps of docs, in docs' own columns: the stage sees others under names that no operator uses."""
+    names = docs.columns
+    apart = [c if c in OWN else f"passed_{i}_on" for i, c in enumerate(names)]
+    return stage(docs.toDF(*apart)).select(apart).toDF(*names)
+
+
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose severity the ordinal model rejects go."""
-    model = toxicity.fit(docs, read(spark, sf_dir, "labels"))
-    return toxicity.score(docs, model).where(~F.col("toxic")).select(docs.columns)
+    model = toxicity.fit(docs.select("doc_id", "text"), read(spark, sf_dir, "labels"))
+    return _apart(docs, lambda own: toxicity.score(own, model).where(~F.col("toxic")))
 
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of documents that links join, the one of least doc_id stays, null ids last; of rows that repeat a doc_id and a text, one.
     Texts without words link with nothing; those with a null doc_id all stay."""
+    return _apart(docs, _one_of_each_group)
+
+
+def _one_of_each_group(docs: DataFrame) -> DataFrame:
     key = F.struct(F.col("doc_id").isNull().alias("unnamed"), F.coalesce("doc_id", F.lit(0)).alias("id"), F.xxhash64("text").alias("text"))
     apart = F.col("doc_id").isNull() & ~F.coalesce("text", F.lit("")).rlike(r"\S")
     judged = docs.where(~apart).withColumn("_key", key)
@@ -45,7 +62,7 @@ def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Bytes of long repeated strings go from the texts; what is left of a split character goes too."""
-    return _as_text(suffix_dedup.dedup(docs)).select(docs.columns)
+    return _apart(docs, lambda own: _as_text(suffix_dedup.dedup(own)))
 
 
 def _as_text(found: DataFrame) -> DataFrame:
@@ -65,7 +82,7 @@ def _as_text(found: DataFrame) -> DataFrame:
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold a window of a benchmark item go."""
-    return decontaminate.mark(docs, read(spark, sf_dir, "benchmark")).where(~F.col("contaminated")).select(docs.columns)
+    return _apart(docs, lambda own: decontaminate.mark(own, read(spark, sf_dir, "benchmark")).where(~F.col("contaminated")))
 
 
 def to_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
