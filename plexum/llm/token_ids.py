@@ -45,22 +45,31 @@ MASKS = np.array([0, 0xFF, 0xFFFF, 0xFFFFFF, 0xFFFFFFFF], np.uint32)
 
 def pack(ranks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Control bytes and data bytes of unsigned numbers below 2^32."""
-    v = ranks.astype("<u4")
-    size = 1 + (v >> 8 > 0) + (v >> 16 > 0) + (v >> 24 > 0)
+    v = ranks.astype("<u4", copy=False)
+    size = np.ones(len(v), np.uint8)
+    for bits in (8, 16, 24):
+        if int(v.max(initial=0)) >> bits:
+            size += v >> np.uint32(bits) > 0
     codes = np.zeros(-(-len(v) // 4) * 4, np.uint8)
     codes[: len(v)] = size - 1
-    control = (codes.reshape(-1, 4) << np.array([0, 2, 4, 6], np.uint8)).sum(axis=1, dtype=np.uint8)
-    return control, v.view(np.uint8).reshape(-1, 4)[np.arange(4) < size[:, None]]
+    control = codes[0::4] | codes[1::4] << 2 | codes[2::4] << 4 | codes[3::4] << 6
+    ends = np.cumsum(size, dtype=np.int64)
+    at = ends - size
+    data = np.empty(int(ends[-1]) if len(v) else 0, np.uint8)
+    data[at] = v.astype(np.uint8)
+    for k in (1, 2, 3):
+        more = np.flatnonzero(size > k)
+        data[at[more] + k] = (v[more] >> np.uint32(8 * k)).astype(np.uint8)
+    return control, data
 
 
 def unpack(control: np.ndarray, data: np.ndarray, n: int) -> np.ndarray:
     size = LENGTHS[control].ravel()[:n]
     ends = np.cumsum(size, dtype=np.int64)
-    if n and ends[-1] != len(data):
+    if (int(ends[-1]) if n else 0) != len(data):
         raise ValueError("control bytes and data bytes do not agree")
-    padded = np.concatenate([data, np.zeros(4, np.uint8)])
-    four = np.lib.stride_tricks.sliding_window_view(padded, 4)
-    return np.ascontiguousarray(four[ends - size]).view("<u4").ravel() & MASKS[size]
+    four = np.ndarray((len(data) + 1,), "<u4", data.tobytes() + bytes(4), 0, (1,))  # four bytes from each place on
+    return four[ends - size] & MASKS[size]
 
 
 def shard(names: list[int | None], sizes: np.ndarray, ranks: np.ndarray) -> bytes:
@@ -136,8 +145,9 @@ def by_frequency(coded: DataFrame, size: int, kind: type) -> np.ndarray:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen = np.zeros(size, np.int64)
         for batch in batches:
-            for raw in batch.column("ids"):
-                seen += np.bincount(np.frombuffer(raw.as_buffer(), kind), minlength=size)
+            ids = batch.column("ids")
+            first, last = (np.frombuffer(ids.buffers()[1], np.int32)[ids.offset + k] for k in (0, len(ids)))
+            seen += np.bincount(np.frombuffer(ids.buffers()[2], np.uint8)[first:last].view(kind), minlength=size) if last > first else 0
         at = np.flatnonzero(seen)
         yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(seen[at])], names=["id", "n"])
 

@@ -82,7 +82,7 @@ class Pieces:
             odd[row[number == empty]] = True
             odd |= pc.match_substring(texts, "▁").to_numpy(zero_copy_only=False)
             number, row = number[~odd[row]], row[~odd[row]]
-        used = np.unique(number)
+        used = np.unique(number) if odd.any() else np.arange(len(coded.dictionary))
         place = np.zeros(len(coded.dictionary), np.int64)
         place[used] = self._numbers(coded.dictionary.take(pa.array(used)).to_pylist())
         size = np.diff(self.at)[place[number]]
