@@ -6,19 +6,18 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from plexum.operators.ordering import row_index
-from plexum.operators.spatial import need_folder
+from plexum.operators.spatial import kept
 
 
 def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """nodes (id) and edges (a, b), in any direction: (id, label), label being the least id that edges lead to."""
-    need_folder(nodes)
-    both = edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).where("a <> b").distinct().checkpoint()
-    label = nodes.select("id").distinct().withColumn("label", F.col("id")).checkpoint()
+    both = kept(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).where("a <> b").distinct())
+    label = kept(nodes.select("id").distinct().withColumn("label", F.col("id")))
     while True:
         seen = both.join(label, F.col("b") == F.col("id")).groupBy("a").agg(F.min("label").alias("m"))
         least = label.join(seen, F.col("id") == F.col("a"), "left").select("id", F.least("label", F.coalesce("m", "label")).alias("m"))
         jump = label.select(F.col("id").alias("_i"), F.col("label").alias("_l"))
-        new = least.join(jump, F.col("m") == F.col("_i"), "left").select("id", F.least("m", F.coalesce("_l", "m")).alias("label")).checkpoint()
+        new = kept(least.join(jump, F.col("m") == F.col("_i"), "left").select("id", F.least("m", F.coalesce("_l", "m")).alias("label")))
         if new.join(label.withColumnRenamed("label", "old"), "id").where("label <> old").isEmpty():
             return new
         label = new

@@ -156,13 +156,12 @@ def grid_components(tiles: DataFrame) -> DataFrame:
     and pointer jumps; lineage is cut in the shared folder every round."""
     near = F.explode(F.array(*[F.struct((F.col("col") + dx).alias("col"), (F.col("row") + dy).alias("row")) for dx, dy in ((0, 0), (1, 0), (-1, 0), (0, 1), (0, -1))]))
     edges = tiles.select(F.col("id").alias("a"), near.alias("n")).join(tiles.select(F.col("id").alias("b"), "col", "row"), (F.col("n.col") == F.col("col")) & (F.col("n.row") == F.col("row"))).select("a", "b")
-    need_folder(tiles)
-    edges = edges.checkpoint()
-    label = tiles.select("id", F.col("id").alias("label")).checkpoint()
+    edges = kept(edges)
+    label = kept(tiles.select("id", F.col("id").alias("label")))
     while True:
         least = edges.join(label, F.col("b") == F.col("id")).groupBy("a").agg(F.min("label").alias("m")).select(F.col("a").alias("id"), "m")
         jump = label.select(F.col("id").alias("_i"), F.col("label").alias("_l"))
-        new = least.join(jump, F.col("m") == F.col("_i")).select("id", F.least("m", "_l").alias("label")).checkpoint()
+        new = kept(least.join(jump, F.col("m") == F.col("_i")).select("id", F.least("m", "_l").alias("label")))
         if new.join(label.withColumnRenamed("label", "old"), "id").where("label <> old").isEmpty():
             return new
         label = new
@@ -182,6 +181,14 @@ def need_folder(df: DataFrame) -> None:
     context.setCheckpointDir(folder)
 
 
+def kept(df: DataFrame) -> DataFrame:
+    """df, computed once and kept in the shared folder. Its lineage ends there, and so do estimates of its size: a checkpoint
+    alone keeps these, joins multiply them, and within a dozen rounds of joins their digits fill the driver."""
+    need_folder(df)
+    done, spark = df.checkpoint(), df.sparkSession
+    return DataFrame(spark._jsparkSession.createDataFrame(done._jdf.toJavaRDD(), done._jdf.schema()), spark)
+
+
 def interior(tiles: DataFrame, steps: int) -> DataFrame:
     """Tiles (id, x, y) at least `steps` ranks from every edge of the grid of distinct coordinates."""
     def ranks(axis: str) -> DataFrame:
