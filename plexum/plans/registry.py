@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from plexum.plans import commands, curation, expression, images, ordered, screens, statistics, summaries, texts, vectors
+from plexum.plans import alignments, commands, curation, expression, images, ordered, screens, statistics, summaries, texts, vectors
 from plexum.plans.base import ORACLES, QUERIES
 
 FLAGSHIP = "cell_gene_pivot"
 
-__all__ = ["FLAGSHIP", "ORACLES", "QUERIES", "commands", "curation", "expression", "images", "ordered", "screens", "statistics", "summaries", "texts", "vectors"]
+__all__ = ["FLAGSHIP", "ORACLES", "QUERIES", "alignments", "commands", "curation", "expression", "images", "ordered", "screens", "statistics", "summaries", "texts", "vectors"]
