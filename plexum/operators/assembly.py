@@ -4,12 +4,15 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 from functools import reduce
-from itertools import cycle, permutations
+from itertools import permutations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from plexum.functions import sequences as S
+from plexum.operators import greedy
 
 
 def equal_to(df: DataFrame, **values: object) -> DataFrame:
@@ -82,30 +85,43 @@ FORBIDDEN = ("AAAAAA", "TTTTTT", "CCCCC", "GGGGG", "GGATCC")
 
 def encode_probes(probes: DataFrame, readouts: Mapping[int, str], codes: Sequence[int], order: Sequence[str] = ("name",)) -> DataFrame:
     """name, seq, code1..codeN: in front of each padlock the reverse complements of the readouts, in lower case and joined by
-    the first separator that gives no forbidden text; probes without one are left out.
-
-    The orders of the codes are dealt out in a cycle: each try takes the next one, whatever probe it is for. How far a probe
-    moves the cycle depends on all before it, so a table's probes, one gene's, pass through one task in their order."""
-    import pandas as pd
+    the first separator that gives no forbidden text; probes without one, and null padlocks, are left out.
 
+    The orders of the codes are dealt out in a cycle: each try takes the next one, whatever probe it is for. A probe moves the
+    cycle by as many as it tries, which is known for each place of the cycle it may begin at; so ranges of probes are moved
+    over as wholes, see greedy.scan_states. Probes that tie in `order` go by padlock."""
     turned = {k: S.reverse_complement_text(v).lower() for k, v in readouts.items()}
     if missing := [c for c in codes if c not in turned]:
         raise ValueError(f"no readout for {missing}")
-    columns = ", ".join(["name string", "seq string", *(f"code{i + 1} long" for i in range(len(codes)))])
+    orders = list(permutations(codes))
+    heads = [[sep.join(turned[c] for c in own) for own in orders] for sep in SEPARATORS]
+
+    def passes(seq: str) -> bool:
+        return not any(f in seq for f in FORBIDDEN[:-1]) and FORBIDDEN[-1] not in seq.upper()
+
+    def tries(pad: str) -> list[int | None]:
+        """For each place of the cycle the first separator that passes."""
+        ok = [[passes(head + pad) for head in of] for of in heads]
+        return [next((k for k in range(len(heads)) if ok[k][(at + k) % len(orders)]), None) for at in range(len(orders))]
+
+    def moves(batch: pa.RecordBatch) -> np.ndarray:
+        used = [[len(heads) if k is None else k + 1 for k in tries(pad)] for pad in batch.column("padlock").to_pylist()]
+        return (np.arange(len(orders)) + np.array(used, np.int64).reshape(-1, len(orders))) % len(orders)
 
-    def build(pdf: pd.DataFrame) -> pd.DataFrame:
-        turns = cycle(permutations(codes))
+    def emit(batch: pa.RecordBatch, met: np.ndarray) -> pa.RecordBatch:
         rows = []
-        for name, pad in pdf.sort_values(list(order))[["name", "padlock"]].itertuples(index=False):
-            for sep in SEPARATORS:
-                own = next(turns)
-                seq = sep.join(turned[c] for c in own) + pad
-                if not any(f in seq for f in FORBIDDEN[:-1]) and FORBIDDEN[-1] not in seq.upper():
-                    rows.append((name, seq, *own))
-                    break
-        return pd.DataFrame(rows, columns=[c.split()[0] for c in columns.split(", ")])
+        for name, pad, at in zip(batch.column("name").to_pylist(), batch.column("padlock").to_pylist(), met.tolist()):
+            if (k := tries(pad)[at]) is not None:
+                turn = (at + k) % len(orders)
+                rows.append((name, heads[k][turn] + pad, *orders[turn]))
+        columns = list(zip(*rows)) or [()] * len(names)
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, [pa.string(), pa.string(), *[pa.int64()] * len(codes)])], names=names)
 
-    return probes.select("name", "padlock", *[c for c in order if c not in ("name", "padlock")]).withColumn("_all", F.lit(0)).groupBy("_all").applyInPandas(build, columns)
+    names = ["name", "seq", *(f"code{i + 1}" for i in range(len(codes)))]
+    schema = ", ".join(["name string", "seq string", *(f"{n} long" for n in names[2:])])
+    by = [*order, *(c for c in ("padlock",) if c not in order)]
+    own = probes.where("padlock is not null").select(*dict.fromkeys(["name", "padlock", *by]))
+    return greedy.scan_states(own, by, len(orders), moves, emit, schema)
 
 
 def single_readout(probes: DataFrame, readout: str, filler: str = "tattcaat", long: int = 46, turn: int = 13) -> DataFrame:
@@ -123,21 +139,8 @@ def single_readout(probes: DataFrame, readout: str, filler: str = "tattcaat", lo
 
 
 def pair_first_free(passed: DataFrame, left: str = "i", right: str = "j", order: str = "k") -> DataFrame:
-    """(left, right): in order, a pair is taken if neither side is. The order decides all, so the pairs, candidates of one set
-    of amplifiers, pass through one task."""
-    import pandas as pd
-
-    def take(pdf: pd.DataFrame) -> pd.DataFrame:
-        a, b, rows = set(), set(), []
-        for i, j in pdf.sort_values(order)[[left, right]].itertuples(index=False):
-            if i not in a and j not in b:
-                a.add(i)
-                b.add(j)
-                rows.append((i, j))
-        return pd.DataFrame(rows, columns=[left, right])
-
-    kinds = {f.name: f.dataType.simpleString() for f in passed.schema}
-    return passed.withColumn("_all", F.lit(0)).groupBy("_all").applyInPandas(take, f"{left} {kinds[left]}, {right} {kinds[right]}")
+    """(left, right): in order, a pair is taken if neither side is."""
+    return greedy.first_free_pairs(passed, left, right, order)
 
 
 def resolve_transcripts(transcripts: DataFrame, genes: DataFrame, mode: str, annotations: DataFrame | None = None, canonical: DataFrame | None = None) -> DataFrame:

@@ -3,18 +3,19 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Callable, Collection, Mapping, Sequence
+from collections.abc import Callable, Collection, Iterator, Mapping, Sequence
 from dataclasses import dataclass
 from functools import reduce
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from plexum.functions import numbers as N
 from plexum.functions import sequences as S
-from plexum.operators import assembly, histograms, screening, spatial
+from plexum.operators import assembly, greedy, histograms, screening, spatial
 from plexum.operators.thermo import melting_temperature
 
 
@@ -214,34 +215,22 @@ def orthogonal_words(candidates: DataFrame, word: str, order: str, given: Collec
     """Of words of 20 letters, in order, each that has no CCC, AAAA or TTTT, 40 to 60 % of G and C, a fit temperature, and at
     least `distance` edits to all given and to all taken before it.
 
-    Rules and the given words are tried where the words lie; the choice among the rest depends on all before it and passes
-    through one task, which holds the words of one search, a number that the caller sets."""
+    Rules, `accept` and the given words are tried where the words lie, and so is each word against those taken before it, see
+    greedy.words_apart."""
     w = F.col(word)
     share = F.length(F.regexp_replace(w, "[^GC]", "")) / F.length(w)
-    fit = candidates.where(~w.rlike("CCC|AAAA|TTTT") & share.between(0.4, 0.6) & melting_temperature(w, "dna").between(*tm))
-    for g in given:
-        fit = fit.where(F.levenshtein(w, F.lit(g)) >= distance)
-
-    def take(pdf: pd.DataFrame) -> pd.DataFrame:
-        taken: list[str] = []
-        for own in pdf.sort_values([order, word])[word]:
-            if all(edits_at_least(own, t, distance) for t in taken) and (accept is None or accept(own)):
-                taken.append(own)
-        return pd.DataFrame({word: taken, "place": range(len(taken))})
-
-    return fit.select(word, order).withColumn("_all", F.lit(0)).groupBy("_all").applyInPandas(take, f"`{word}` string, place long")
-
-
-def edits_at_least(a: str, b: str, least: int) -> bool:
-    """Whether two words are at least so many edits apart; the rest of the table is left out once a row lies beyond."""
-    row = list(range(len(b) + 1))
-    for i, x in enumerate(a, 1):
-        above, row = row, [i]
-        for j, y in enumerate(b, 1):
-            row.append(min(above[j] + 1, row[-1] + 1, above[j - 1] + (x != y)))
-        if min(row) >= least:
-            return True
-    return row[-1] >= least
+    fit = candidates.where(~w.rlike("CCC|AAAA|TTTT") & share.between(0.4, 0.6) & melting_temperature(w, "dna").between(*tm)).select(word, order)
+    kind = candidates.schema[order].dataType.simpleString()
+
+    def far(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = batch.column(word).to_pylist()
+            ok = ~greedy.edits_below(texts, list(given), distance).any(axis=1)
+            if accept is not None:
+                ok &= np.array([bool(k) and accept(t) for k, t in zip(ok, texts)], bool)
+            yield batch.filter(pa.array(ok))
+
+    return greedy.words_apart(fit.mapInArrow(far, f"`{word}` string, `{order}` {kind}"), word, order, distance)
 
 
 def match_fixed(moving: DataFrame, fixed: DataFrame, group: str, size: float, shift: tuple[float, float] = (0.0, 0.0)) -> DataFrame:

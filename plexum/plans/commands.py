@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from itertools import permutations
+
 from pyspark.sql import functions as F
 
 from plexum.functions import numbers as N
-from plexum.operators import commands, fields, screening
+from plexum.operators import assembly, commands, fields, screening
 from plexum.operators.thermo import GAS, MODELS, SODIUM, STRAND, melting_temperature
 from plexum.plans.base import query
 
@@ -131,3 +133,36 @@ def field_correction(lineitem, supplier):
     field = supplier.select(F.col("s_suppkey").alias("x"), F.lit(0).alias("y"), low.alias("low"), (low + 3 + F.col("s_acctbal").cast("double") / 1000).alias("high"))
     pixels = lineitem.select("l_orderkey", "l_linenumber", F.col("l_suppkey").alias("x"), F.lit(0).alias("y"), F.col("l_quantity").cast("double").alias("value"))
     return fields.correct(pixels, fields.range_gain(field, 8.0)).select("l_orderkey", "l_linenumber", F.round("value", 6).alias("value"))
+
+
+_READOUTS = {1: "CATACATTCATTCACATTCC", 2: "CCAATTAATCCTCAAATTCC", 3: "TCCTACATTTTCCAAACCTC"}
+_RC = {k: v[::-1].translate(str.maketrans("ACGT", "TGCA")).lower() for k, v in _READOUTS.items()}
+_TURNS = list(permutations(_READOUTS))
+
+
+def _encoded_sql() -> str:
+    """One row for each place of the cycle and separator; a walk over the probes in order carries the place."""
+    heads = ", ".join(f"({at}, {k}, '{sep.join(_RC[c] for c in _TURNS[(at + k) % 6])}', {', '.join(map(str, _TURNS[(at + k) % 6]))})" for at in range(6) for k, sep in enumerate(("AA", "TA", "AT", "TT")))
+    return f"""with recursive p as (select p_partkey, translate(substr(md5(p_partkey::varchar), 1, 24), '0123456789abcdef', 'AAAACCCCGGGGTTTT') as pad from part),
+h(spot, k, head, code1, code2, code3) as (values {heads}),
+t as (select p_partkey, spot, k, head || pad as seq, code1, code2, code3 from p, h where not regexp_matches(head || pad, 'AAAAAA|TTTTTT|CCCCC|GGGGG') and not contains(upper(head || pad), 'GGATCC')),
+m as (select p_partkey, spot, min(k) as k from t group by all), n as (select p_partkey, row_number() over (order by p_partkey) as r from p),
+a as (select r, p_partkey, list(coalesce(k + 1, 4) order by s.spot) as used from n cross join (select unnest(range(6)) as spot) s left join m using (p_partkey, spot) group by all),
+w(r, p_partkey, spot, next) as (select r, p_partkey, 0, used[1]::bigint % 6 from a where r = 1 union all select a.r, a.p_partkey, w.next, (w.next + a.used[w.next + 1]) % 6 from w join a on a.r = w.r + 1)
+select p_partkey::varchar as name, seq, code1::bigint as code1, code2::bigint as code2, code3::bigint as code3 from w join m using (p_partkey, spot) join t using (p_partkey, spot, k)"""
+
+
+@query("part", sql=_encoded_sql())
+def encoded_probes(part):
+    """Padlocks that each part's key decides, behind three readouts in the orders of a cycle that goes through all parts."""
+    pad = F.translate(F.substring(F.md5(F.col("p_partkey").cast("string")), 1, 24), "0123456789abcdef", "AAAACCCCGGGGTTTT")
+    return assembly.encode_probes(part.select(F.col("p_partkey").cast("string").alias("name"), "p_partkey", pad.alias("padlock")), _READOUTS, list(_READOUTS), ["p_partkey"])
+
+
+@query("part", sql="""with recursive p as (select p_partkey * 7919 % 997 as i, p_partkey * 104729 % 991 as j, md5(p_partkey::varchar) as k from part), n as (select *, row_number() over (order by k, i, j) as r from p),
+w(r, i, j, ok, a, b) as (select r, i, j, true, [i], [j] from n where r = 1 union all select n.r, n.i, n.j, not (list_contains(w.a, n.i) or list_contains(w.b, n.j)), case when list_contains(w.a, n.i) or list_contains(w.b, n.j) then w.a else list_append(w.a, n.i) end, case when list_contains(w.a, n.i) or list_contains(w.b, n.j) then w.b else list_append(w.b, n.j) end from w join n on n.r = w.r + 1)
+select i, j from w where ok""")
+def paired_amplifiers(part):
+    """Pairs of two sets of amplifiers, taken in the order of a digest as long as neither side is."""
+    key = F.col("p_partkey")
+    return assembly.pair_first_free(part.select((key * 7919 % 997).alias("i"), (key * 104729 % 991).alias("j"), F.md5(key.cast("string")).alias("k")))
