@@ -3,12 +3,13 @@
 Pages of a host share templates. The tokens of a page are its container elements, each with its place in the nesting, its
 class and id and, for boxes, its number among its like; and its texts. Tokens with the same occurrence vector over the
 host's distinct pages form an equivalence class; here a vector is a sum (exclusive or) of hashes of page and count, so that
-it is aggregated before and after a shuffle and no task ever holds the pages of a host. A class is valid if it occurs on
-enough pages (PAGES, SHARE) and its tokens once on each, so that they have one order; it is nested in the class of the element
-around it. The valid classes are the host's template, which decides on each page:
+it is aggregated before and after a shuffle and no task ever holds the pages of a host. A class is valid if it has two tokens at
+least, a container among them, on PAGES pages or more, and each token once on each of these, so that they have one order. It is
+nested if every container around its own stands in a valid class too. The containers of valid nested classes are the frame of
+the host's template; what stands directly in a frame's container, once or often, is a slot. The template decides on each page:
 
-- Text that repeats on a share CONSTANT of the pages that hold its element is the template's own and goes. What is left are
-  slots; the template knows how much text each slot holds on average, and how much of it is links.
+- A text of a valid class, inside a slot, is the template's own and goes. Texts that repeat without a container, as copies of an
+  article do, are in no valid class. The template knows how much other text each slot holds on average, and how much is links.
 - The slots of the main text are those inside the innermost box of the template that holds half of all slot text. An article
   or main element of the template goes before, from a tenth on, or if all of its text is the template's.
 - Of these, boxes that the template makes and that hold mostly links go, as do those that it makes and names for what is no
@@ -32,16 +33,13 @@ from typing import NamedTuple
 
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from plexum.llm.common import cut, schema_with, slices, with_columns
 
-#: A token belongs to a template from so many pages, and this share of the host's pages, on. The share bounds a template's
-#: size: at most 1 / SHARE times the tokens of a page.
-PAGES, SHARE = 3, 0.1
-#: Text on this share of the pages that hold its element, three at least, is the template's.
-CONSTANT = 0.5
+#: A class belongs to a template from so many pages on.
+PAGES = 3
 #: Shares of the slot text from which a box, and an article element, holds the main text; of links from which it is a menu.
 HALF, TENTH, MENU = 0.5, 0.1, 0.5
 #: Templates of at most so many tokens in all are sent to every task; else they are joined by host.
@@ -54,7 +52,9 @@ TOKEN = re.compile(
     r"|<[!?/][^>]*(?:>|\Z)",
     re.S | re.I,
 )
-ATTRIBUTE = re.compile(r"""\b(class|id|role|hidden|aria-hidden)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>"']+))""", re.I)
+#: The attribute hidden, with or without a value, in what is left of attributes without their values.
+VALUE, HIDDEN = re.compile(r"""=\s*(?:"[^"]*"|'[^']*'|[^\s>"']+)"""), re.compile(r"(?<![^\s/])hidden(?![^\s/>])", re.I)
+ATTRIBUTE = re.compile(r"""\b(class|id|role|aria-hidden)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>"']+))""", re.I)
 WORDS = re.compile(r"[a-z]+")
 INLINE = set("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark nobr q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
@@ -64,10 +64,10 @@ MAIN_TAGS = {"article", "main"}
 #: Elements that are numbered among their like, and that may hold the main text beside MAIN_TAGS.
 BOXES = set("div section table tr td center".split())
 OTHER_TAGS = set("nav header footer aside form button select menu dialog head script style noscript template fieldset".split())
-#: Names (a whole class or id, or its last part) of boxes that hold no part of an article, if the template makes them.
+#: Names (a class or id, or any part of it) of boxes that hold no part of an article, if the template makes them.
 OTHER_NAMES = set(
     "ad ads advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments consent cookie cookies copyright disqus footer gdpr header login menu modal nav navbar"
-    " navigation newsletter notice notices notification overlay pager pagination popup promo promoted promotion promotions related replies share sharing sidebar signup social sponsor"
+    " navigation newsletter notice notices notification overlay pager pagination popup promo promoted promotion promotions related replies respond review reviews share sharing sidebar signup social sponsor"
     " sponsored subscribe subscription toolbar widget widgets".split()
 )
 
@@ -100,14 +100,17 @@ PAGE = Element("", "", None, False, False)
 def _element(parent: Element, tag: str, attrs: str, number: Counter) -> Element:
     named = hidden = False
     label = tag
-    if "=" in attrs or "hidden" in attrs:
+    if "=" in attrs:
         for name, a, b, c in ATTRIBUTE.findall(attrs):
             value = (a or b or c).lower()
-            if name.lower() in ("hidden", "aria-hidden"):
-                hidden |= name.lower() == "hidden" or value == "true"
+            if name.lower() == "aria-hidden":
+                hidden |= value == "true"
                 continue
-            label += "." + "-".join(WORDS.findall(value))
-            named |= any(x in OTHER_NAMES or WORDS.findall(x)[-1:] and WORDS.findall(x)[-1] in OTHER_NAMES for x in value.split())
+            words = WORDS.findall(value)
+            label += "." + "-".join(words)
+            named |= not OTHER_NAMES.isdisjoint(words)
+    if "hidden" in attrs.lower():
+        hidden |= bool(HIDDEN.search(VALUE.sub(" ", attrs)))
     path = f"{parent.path}>{label}"
     if tag in BOXES:
         number[path] += 1
@@ -211,8 +214,8 @@ def _signed(x: int) -> int:
 
 def seen(pages: DataFrame, url: str = "url", html: str = "html") -> DataFrame:
     """host, token, within, vector, pages (distinct by html) and on each page: most (how often at most), and in sum chars,
-    links; place on average. Token '' is the page itself. Texts on fewer than three pages are left out."""
-    kind = pa.list_(pa.struct([("token", pa.string()), ("within", pa.string()), ("vector", pa.int64()), ("n", pa.int32()), ("chars", pa.int64()), ("links", pa.int64()), ("place", pa.int32())]))
+    links. Token '' is the page itself. Texts on fewer than three pages are left out."""
+    kind = pa.list_(pa.struct([("token", pa.string()), ("within", pa.string()), ("vector", pa.int64()), ("n", pa.int32()), ("chars", pa.int64()), ("links", pa.int64())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "h", 4 << 20):
@@ -220,38 +223,44 @@ def seen(pages: DataFrame, url: str = "url", html: str = "html") -> DataFrame:
             for u, h in zip(batch.column("u").to_pylist(), batch.column("h").to_pylist()):
                 page = xxhash.xxh3_64_intdigest(h or "")
                 rows.append((host(u), _signed(page), [
-                    {"token": t, "within": w, "vector": _signed(xxhash.xxh3_64_intdigest(f"{n}", seed=page)), "n": n, "chars": c, "links": k, "place": i}
-                    for i, (t, w, n, c, k) in enumerate(tokens(h))
+                    {"token": t, "within": w, "vector": _signed(xxhash.xxh3_64_intdigest(f"{n}", seed=page)), "n": n, "chars": c, "links": k}
+                    for t, w, n, c, k in tokens(h)
                 ]))
             cols = list(zip(*rows))
             yield pa.RecordBatch.from_arrays([pa.array(cols[0]), pa.array(cols[1]), pa.array(cols[2], kind)], names=["host", "page", "tokens"])
 
-    each = "array<struct<token string, within string, vector long, n int, chars long, links long, place int>>"
+    each = "array<struct<token string, within string, vector long, n int, chars long, links long>>"
     return (
         pages.select(F.col(url).alias("u"), F.col(html).alias("h")).mapInArrow(run, f"host string, page long, tokens {each}")
         .groupBy("host", "page").agg(F.first("tokens").alias("tokens")).select("host", F.inline("tokens"))
         .groupBy("host", "token", "within").agg(
-            F.bit_xor("vector").alias("vector"), F.count("*").alias("pages"), F.max("n").alias("most"), F.sum("chars").alias("chars"), F.sum("links").alias("links"), F.avg("place").alias("place"))
+            F.bit_xor("vector").alias("vector"), F.count("*").alias("pages"), F.max("n").alias("most"), F.sum("chars").alias("chars"), F.sum("links").alias("links"))
         .where("within is null or pages >= 3")
     )
 
 
 def templates(found: DataFrame) -> DataFrame:
-    """From seen(): _host, _slots (path, once, chars, links, class: number by first place in the page) and _constant (text
-    tokens of the template)."""
-    inside = found.where("within is null").select("host", F.col("token").alias("within"), F.col("pages").alias("of"))
-    fixed = found.where("within is not null").join(inside, ["host", "within"]).where(F.col("pages") >= CONSTANT * F.col("of"))
+    """From seen(): _host, _slots (path, once, chars, links, vector: its class) and _constant (text tokens of the template)."""
+    often = found.where(f"pages >= {PAGES}")
+    alike = often.groupBy("host", "vector", "pages").agg(F.count("*").alias("size"), F.count_if(F.col("within").isNull()).alias("boxes"), F.max("most").alias("most"))
+    valid = often.drop("most").join(alike.where("size >= 2 and boxes >= 1 and most = 1"), ["host", "vector", "pages"])
+    boxes = valid.where("within is null and token <> ''").select("host", "token").unionByName(often.where("token = '' and within is null").select("host", "token"))
+    parts = F.split("token", ">")
+    around = F.transform(F.sequence(F.lit(1), F.size(parts) - 1), lambda i: F.array_join(F.slice(parts, 1, i), ">"))
+    outer = boxes.where("token <> ''").select("host", "token", F.size(around).alias("depth"), F.explode(around).alias("outer"))
+    known = outer.join(boxes.select("host", F.col("token").alias("outer")), ["host", "outer"]).groupBy("host", "token", "depth").agg(F.count("*").alias("n"))
+    frame = known.where("n = depth").select("host", "token").unionByName(boxes.where("token = ''"))
+    parent = F.when(F.col("token") != "", F.regexp_replace("token", ">[^>]*$", ""))
+    boxed = often.where("within is null").withColumn("parent", parent)
+    inside = boxed.join(frame.select("host", F.col("token").alias("parent")), ["host", "parent"], "left_semi").select("host", "token")
+    slots = boxed.join(inside.unionByName(frame).distinct(), ["host", "token"], "left_semi")
+    fixed = valid.where("within is not null").join(slots.select("host", F.col("token").alias("within")), ["host", "within"], "left_semi")
     less = fixed.groupBy("host", F.col("within").alias("token")).agg(F.sum("chars").alias("fixed"), F.sum("links").alias("fixed_links"))
-    sizes = found.where("token = '' and within is null").select("host", F.col("pages").alias("of"))
-    valid = found.where(f"within is null and pages >= {PAGES}").join(sizes, "host").where(f"pages >= {SHARE} * of")
-    held = valid.drop("within").join(less, ["host", "token"], "left")
-    ordered = Window.partitionBy("host").orderBy("first", "vector")
-    classes = valid.groupBy("host", "vector", "pages").agg(F.min("place").alias("first")).withColumn("class", F.row_number().over(ordered))
     per_page = lambda whole, part: (F.col(whole) - F.coalesce(part, F.lit(0))) / F.col("pages")
-    slot = F.struct(F.col("token").alias("path"), (F.col("most") == 1).alias("once"), per_page("chars", "fixed").alias("chars"), per_page("links", "fixed_links").alias("links"), "class", "place")
-    slots = held.join(classes, ["host", "vector", "pages"]).groupBy("host").agg(F.collect_list(slot).alias("_slots"))
+    slot = F.struct(F.col("token").alias("path"), (F.col("most") == 1).alias("once"), per_page("chars", "fixed").alias("chars"), per_page("links", "fixed_links").alias("links"), "vector")
+    known_slots = slots.join(less, ["host", "token"], "left").groupBy("host").agg(F.collect_list(slot).alias("_slots"))
     constant = fixed.groupBy("host").agg(F.collect_list("token").alias("_constant"))
-    return slots.join(constant, "host", "full").withColumnRenamed("host", "_host")
+    return known_slots.join(constant, "host", "full").withColumnRenamed("host", "_host")
 
 
 def region(found: list[Block], elements: list[Element], slots: dict[str, Slot], constant: set[str]) -> str:

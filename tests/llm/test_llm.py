@@ -200,7 +200,7 @@ def test_html(spark):
         assert got == [(i, f"Text {i} of a page.") for i in range(6)] + [(9, ""), (9, "")]
     assert html_extract.extract(pages.limit(0)).count() == 0
     template = html_extract.templates(html_extract.seen(pages)).where("_host = 'h.org'").first()
-    assert {t["class"] for t in template["_slots"]} == {1} and all(t.once for t in template["_slots"]) and len(template["_constant"]) == 1
+    assert len({t["vector"] for t in template["_slots"]}) == 1 and all(t.once for t in template["_slots"]) and len(template["_constant"]) == 1
 
 
 def test_html_keeps_what_authors_write(spark):
@@ -222,12 +222,16 @@ def _by_brute_force(pages):
         rows = [{(t, w): (n, c, k) for t, w, n, c, k in html_extract.tokens(x)} for x in own]
         vectors = {key: tuple(r.get(key, (0, 0, 0))[0] for r in rows) for key in set().union(*rows)}
         held = {key: sum(n > 0 for n in v) for key, v in vectors.items()}
-        fixed = {key for key, n in held.items() if key[1] is not None and n >= 3 and n >= 0.5 * held[key[1], None]}
+        classes = {}
+        for key, v in vectors.items():
+            classes.setdefault(v, []).append(key)
+        valid = {k for v, keys in classes.items() if sum(n > 0 for n in v) >= 3 and len(keys) >= 2 and max(v) == 1 and any(k[1] is None for k in keys) for k in keys}
+        around = lambda path: [path.rsplit(">", i)[0] for i in range(1, path.count(">") + 1)]
+        frame = {k[0] for k in valid if k[1] is None and all((p, None) in valid or not p for p in around(k[0]))} | {""}
+        boxes = {k for k in vectors if k[1] is None and held[k] >= 3 and (k[0] in frame or k[0].rsplit(">", 1)[0] in frame)}
+        fixed = {k for k in valid if k[1] is not None and (k[1], None) in boxes}
         total = lambda key, i: sum(r[key][i] for r in rows if key in r)
-        slots = {
-            key[0]: (max(v) == 1, *(round((total(key, i) - sum(total(f, i) for f in fixed if f[1] == key[0])) / held[key], 6) for i in (1, 2)), v)
-            for key, v in vectors.items() if key[1] is None and held[key] >= 3 and held[key] >= 0.1 * len(own)
-        }
+        slots = {key[0]: (max(vectors[key]) == 1, *(round((total(key, i) - sum(total(f, i) for f in fixed if f[1] == key[0])) / held[key], 6) for i in (1, 2)), vectors[key]) for key in boxes}
         out[h] = slots, {f[0] for f in fixed}
     return out
 
@@ -255,10 +259,38 @@ def test_html_templates_like_brute_force(spark):
         assert {x.path: (x.once, round(x.chars, 6), round(x.links, 6)) for x in r["_slots"]} == {k: v[:3] for k, v in slots.items()} and set(r["_constant"] or ()) == fixed
         classes = {}
         for x in r["_slots"]:
-            classes.setdefault(x["class"], set()).add(slots[x.path][3])
+            classes.setdefault(x["vector"], set()).add(slots[x.path][3])
         assert all(len(v) == 1 for v in classes.values()) and len(classes) == len({v[3] for v in slots.values()})
 
 
+def test_html_classes_decide(spark):
+    """With vectors that tell nothing apart, or everything, no class is valid and other text comes out."""
+    story = {i: f"Story {i} is told here at some length" for i in range(9)}
+    page = lambda i, own: (i, f"http://n.org/{i}", f"<body><div>{'<a href=/>many words of a menu</a> ' * 3}</div><div><div><p>{own}</p><p>Join our circle</p></div></div><div>Note {i}</div></body>")
+    rows = [page(i, own) for i, own in story.items()]
+    read = lambda own: {r.page_id: r.text for r in html_extract.extract(spark.createDataFrame(own, "page_id long, url string, html string")).collect()}
+    assert read(rows) == story
+    found = html_extract.seen(spark.createDataFrame(rows, "page_id long, url string, html string"))
+    for vector in (F.lit(1).cast("long"), F.xxhash64("token", "within")):
+        made = html_extract.templates(found.withColumn("vector", vector)).first()
+        assert not made["_constant"]
+        slots = {x.path: html_extract.Slot(x.once, x.chars, x.links) for x in made["_slots"]}
+        assert all(html_extract.main_text(h, slots, set())[0] != story[i] for i, _, h in rows)
+    # a story that some pages print alike, in paragraphs of its own, is no template
+    alike = story | {i: "The same story here</p><p>in two parts" for i in range(4)}
+    assert read([page(i, own) for i, own in alike.items()]) == story | {i: "The same story here in two parts" for i in range(4)}
+
+
+def test_html_names_and_hidden(spark):
+    names = "comments-area comment-list comment-respond user-reviews ad-slot google-ad-container cookie-bar sidebar-left share-buttons nav-links".split()
+    other = "".join(f"<div class='{n}'><p>part of {n}</p></div>" for n in names)
+    rows = [(i, f"http://k.org/{i}", f"<body><article><p>Page {i} speaks</p>{other}<div hidden>not seen</div><div HIDDEN=''>nor this</div><div class=hidden>{i} is seen</div><div data-x='hidden'>this {i} too</div></article></body>") for i in range(5)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    want = {i: f"Page {i} speaks {i} is seen this {i} too" for i in range(5)}
+    assert {r.page_id: r.text for r in html_extract.extract(df).collect()} == want
+    assert {i: html_extract.main_text(h, {}, set())[0] for i, _, h in rows} == want
+
+
 def test_join_of_many_short_texts(spark):
     """40 000 sets of five shingles that share them across: the work must not grow with the square of the sets."""
     random.seed(8)
