@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from plexum.operators import graphs, probes, rasters
+from plexum.operators import graphs, outlines, probes, rasters, spots
 from plexum.plans.base import query
 
 _PIXELS = "select l_suppkey % 7 as tile, l_linenumber as z, l_orderkey % 64 as y, l_partkey % 64 as x, l_quantity as value from lineitem"
@@ -131,3 +131,33 @@ def exact_code(embeddings):
     v = embeddings.select("vec_id", "label", probes.round_peaks(F.col("embedding"), 3, 4).alias("code"))
     book = v.where("vec_id % 3 = 0").groupBy("code").agg(F.min("label").alias("target"))
     return v.select("vec_id", "code").join(book, "code", "left").select("vec_id", F.array_join(F.col("code").cast("array<string>"), "").alias("code"), "target")
+
+
+@query("lineitem", sql=f"""with p as ({_SET}), v as (select tile, y + dy as vy, x + dx as vx, count(*) as n, sum((2 * dy - 1) * (2 * dx - 1)) as diagonal from p, (values (0, 0), (0, 1), (1, 0), (1, 1)) as c(dy, dx) group by all),
+k as (select tile, sum(case when n in (1, 3) then 1 when n = 2 and abs(diagonal) = 2 then 2 else 0 end) as corners from v group by 1), a as (select tile, count(*) as area from p group by 1),
+j as (select a.tile, count(*) as joined from p a join p b on a.tile = b.tile and ((a.y = b.y and a.x + 1 = b.x) or (a.x = b.x and a.y + 1 = b.y)) group by 1)
+select tile, corners::bigint as corners, area, 4 * area - 2 * coalesce(joined, 0) as perimeter from k join a using (tile) left join j using (tile)""")
+def region_outlines(lineitem):
+    """Corners of the rings around all set pixels of each tile, the area that they go around and their length."""
+    own = _set(lineitem).withColumn("label", F.lit(1))
+    corners = outlines.outlines(own, ["tile"]).groupBy("tile").agg(F.count("*").alias("corners"))
+    x, y, x1, y1 = (F.col(c) for c in ("x", "y", "x1", "y1"))
+    sums = outlines.edges(own, ["tile"]).groupBy("tile").agg((F.sum(x * y1 - x1 * y) / 2).cast("long").alias("area"), F.sum(F.abs(x1 - x) + F.abs(y1 - y)).alias("perimeter"))
+    return corners.join(sums, "tile")
+
+
+@query("lineitem", sql="select distinct l_suppkey % 7 as tile, (l_suppkey % 7 + 1)::double as dy, (l_suppkey % 7 * -2)::double as dx from lineitem")
+def tile_shifts(lineitem):
+    """How far each tile's image, moved round by known steps, lies from itself."""
+    image = _pixels(lineitem).groupBy("tile", "y", "x").agg(F.sum("value").alias("value"))
+    moved = image.withColumns({"y": F.pmod(F.col("y") - F.col("tile") - 1, F.lit(64)), "x": F.pmod(F.col("x") + 2 * F.col("tile"), F.lit(64))})
+    return spots.phase_shifts(image, moved, ["tile"])
+
+
+@query("lineitem")
+def image_spots(lineitem):
+    """Spots of each tile's image of 256 x 256 pixels; tests compare cuts into blocks with each other and with planted spots."""
+    at = lambda c: F.pmod(F.xxhash64(c), F.lit(256))
+    image = lineitem.groupBy(F.pmod("l_suppkey", F.lit(7)).alias("tile"), at("l_orderkey").alias("y"), at("l_partkey").alias("x")).agg(F.sum("l_quantity").alias("value"))
+    out = spots.find_spots(image, ["tile"], 3.0, 3.0, side=64)
+    return out.select("tile", "idx", *[F.round(c, 4).alias(c) for c in ("y", "x", "mag", "sharpness", "roundness")])
