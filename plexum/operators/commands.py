@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from plexum.functions import numbers as N
 from plexum.functions import sequences as S
-from plexum.operators import assembly, greedy, histograms, screening, spatial
+from plexum.operators import assembly, folding, greedy, histograms, screening, spatial
 from plexum.operators.thermo import melting_temperature
 
 
@@ -211,11 +211,11 @@ def ordering_manifest(probes: DataFrame, gene: str, headers: Mapping[str, tuple[
     return done.withColumn("padlockcons", F.when(size.between(*lengths), F.col("padlockcons")).otherwise(F.raise_error(F.format_string("padlock of %s bases", size)).cast("string")))
 
 
-def orthogonal_words(candidates: DataFrame, word: str, order: str, given: Collection[str], distance: int = 6, accept: Callable[[str], bool] | None = None, tm: tuple[float, float] = (52.0, 57.0)) -> DataFrame:
+def orthogonal_words(candidates: DataFrame, word: str, order: str, given: Collection[str], distance: int = 6, accept: Callable[[list[str]], np.ndarray] | None = None, tm: tuple[float, float] = (52.0, 57.0)) -> DataFrame:
     """Of words of 20 letters, in order, each that has no CCC, AAAA or TTTT, 40 to 60 % of G and C, a fit temperature, and at
     least `distance` edits to all given and to all taken before it.
 
-    Rules, `accept` and the given words are tried where the words lie, and so is each word against those taken before it, see
+    Rules, `accept` (of some words, which of them may be taken; see without_hairpin) and the given words are tried where the words lie, and so is each word against those taken before it, see
     greedy.words_apart."""
     w = F.col(word)
     share = F.length(F.regexp_replace(w, "[^GC]", "")) / F.length(w)
@@ -227,12 +227,17 @@ def orthogonal_words(candidates: DataFrame, word: str, order: str, given: Collec
             texts = batch.column(word).to_pylist()
             ok = ~greedy.edits_below(texts, list(given), distance).any(axis=1)
             if accept is not None:
-                ok &= np.array([bool(k) and accept(t) for k, t in zip(ok, texts)], bool)
+                ok[ok] = accept([t for k, t in zip(ok, texts) if k])
             yield batch.filter(pa.array(ok))
 
     return greedy.words_apart(fit.mapInArrow(far, f"`{word}` string, `{order}` {kind}"), word, order, distance)
 
 
+def without_hairpin(words: list[str], joint: str = "AA") -> np.ndarray:
+    """Which words, twice with a joint between, fold into no hairpin that holds above 0 degrees."""
+    return folding.celsius([w + joint + w for w in words]) <= 0
+
+
 def match_fixed(moving: DataFrame, fixed: DataFrame, group: str, size: float, shift: tuple[float, float] = (0.0, 0.0)) -> DataFrame:
     """(group, id, fixed_id, distance, dx, dy): the nearest fixed point of each moved point, of those that share one the nearest,
     ties by id. Both tables are (group, id, x, y); dx and dy lead from the moved point to the fixed one."""

@@ -7,7 +7,7 @@ from itertools import permutations
 from pyspark.sql import functions as F
 
 from plexum.functions import numbers as N
-from plexum.operators import assembly, commands, fields, screening
+from plexum.operators import assembly, commands, fields, folding, screening
 from plexum.operators.thermo import GAS, MODELS, SODIUM, STRAND, melting_temperature
 from plexum.plans.base import query
 
@@ -119,11 +119,18 @@ def split_probes(part):
     return screening.split_arms(part.select("p_partkey", seq.alias("seq")), 60.0)
 
 
+@query("part")
+def hairpin_temperatures(part):
+    """Hairpins of 32 bases that each part's key decides; tests compare them with a slow recursion."""
+    seq = N.random_bases(F.col("p_partkey").cast("string"))
+    return part.select("p_partkey", seq.alias("seq")).withColumn("hairpin", F.round(folding.hairpin_temperature(F.col("seq"), 40.0), 4))
+
+
 @query("part")
 def orthogonal_barcodes(part):
-    """Barcodes of three letters, C as likely as both others, from words that each part's key decides."""
+    """Barcodes of three letters, C as likely as both others, from words that each part's key decides; none folds when repeated."""
     letters = F.translate(F.substring(F.md5(F.col("p_partkey").cast("string")), 1, 20), "0123456789abcdef", "AAAATTTTCCCCCCCC")
-    return commands.orthogonal_words(part.select("p_partkey", letters.alias("word")), "word", "p_partkey", ["TTTTTTTTTTTTTTTTTTTT"])
+    return commands.orthogonal_words(part.select("p_partkey", letters.alias("word")), "word", "p_partkey", ["TTTTTTTTTTTTTTTTTTTT"], accept=commands.without_hairpin)
 
 
 @query("lineitem", "supplier", sql="""with f as (select s_suppkey as x, s_nationkey * 1.0 as low, s_nationkey * 1.0 + 3 + s_acctbal::double / 1000 as high from supplier), v as (select *, 1 / least(greatest((greatest(high, low + 0.001) - low) / 8.0, 1.0 / 3), 3.0) as inv from f),
