@@ -9,6 +9,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from plexum.operators.spatial import kept
+
 
 def linear(df: DataFrame, key: Sequence[str], value: str, bins: int) -> DataFrame:
     """Counts of `bins` equal bins from the least to the largest value of a key, the last one closed. A key of one value alone
@@ -79,13 +81,15 @@ def otsu(hist: DataFrame, key: Sequence[str]) -> DataFrame:
 
 def conditional_percentiles(df: DataFrame, key: str, x: str, y: str, percentile: float = 20.0, top: float = 99.99, points: int = 50, least: int = 100) -> DataFrame:
     """(key, bin, x, y): over bins of x from its Otsu threshold to a high percentile, `points` edges in all, a low percentile of
-    y in bins of `least` rows or more; x is the bin's middle."""
-    cut = otsu(linear(df, [key], x, 256), [key])
+    y in bins of `least` rows or more; x is the bin's middle. Histograms, ends and bins are kept, so the table is read for its
+    least and largest x, for the histogram, for the percentile and for the bins, and not again."""
+    cut = otsu(kept(linear(df, [key], x, 256)), [key])
     ends = df.groupBy(key).agg(F.percentile(F.col(x).cast("double"), F.lit(top / 100)).alias("_b")).join(cut, key).withColumn("_w", F.nullif((F.col("_b") - F.col("threshold")) / (points - 1), F.lit(0.0)))
+    ends = kept(ends)
     at = F.floor((F.col(x) - F.col("threshold")) / F.col("_w")).cast("long")
     held = df.join(ends, key).where((F.col(x) >= F.col("threshold")) & (F.col(x) < F.col("_b"))).withColumn("bin", at)
     out = held.groupBy(key, "bin", "threshold", "_w").agg(F.percentile(F.col(y).cast("double"), F.lit(percentile / 100)).alias("y"), F.count("*").alias("_n")).where(F.col("_n") >= least)
-    return out.select(key, "bin", (F.col("threshold") + (F.col("bin") + 0.5) * F.col("_w")).alias("x"), "y")
+    return kept(out.select(key, "bin", (F.col("threshold") + (F.col("bin") + 0.5) * F.col("_w")).alias("x"), "y"))
 
 
 def robust_line(points: DataFrame, key: str) -> DataFrame:

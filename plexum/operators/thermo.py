@@ -71,6 +71,11 @@ def _sum(seq: Column, model: Model, which: int) -> Column:
 
 def melting_temperature(seq: Column, model: str = "hybrid", formamide: float = 0.0, sodium: float = SODIUM, strand: float = STRAND) -> Column:
     """Degrees Celsius of a sequence bound without mismatches, in so many percent of formamide. Null for fewer than two bases."""
+    # as a lambda's argument the sequence is computed once, not for each neighbour
+    return F.get(F.transform(F.array(seq), lambda own: _melting(own, model, formamide, sodium, strand)), F.lit(0))
+
+
+def _melting(seq: Column, model: str, formamide: float, sodium: float, strand: float) -> Column:
     own, n = MODELS[model], F.length(seq)
     gc = F.length(F.regexp_replace(seq, "[^GC]", "")) / F.nullif(n, F.lit(0))
     entropy = _sum(seq, own, 1) + (F.lit(0.368 * math.log(sodium)) * (n - 1) if own.salt_in_entropy else F.lit(0.0))

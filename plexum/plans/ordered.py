@@ -40,11 +40,11 @@ def list_max_order(lineitem, orders):
     return orders.join(lists, F.col("o_orderkey") == F.col("l_orderkey")).select("o_custkey", "o_orderkey", F.array_max("q").alias("most"), F.row_number().over(w).cast("long").alias("place"))
 
 
-_GRID = "select floor(l_quantity / 5)::bigint as i, floor(l_discount * 100 + 1e-6)::bigint as j, count(*)::double as v from lineitem where l_quantity < 50 group by 1, 2"
+_GRID = "select least(floor(l_quantity / 5), 9)::bigint as i, floor(l_discount * 100 + 1e-6)::bigint as j, count(*)::double as v from lineitem group by 1, 2"
 
 
 def _grid(lineitem):
-    return lineitem.where("l_quantity < 50").groupBy(F.floor(F.col("l_quantity") / 5).alias("i"), F.floor(F.col("l_discount") * 100 + 1e-6).alias("j")).agg(F.count("*").cast("double").alias("v"))
+    return lineitem.groupBy(F.least(F.floor(F.col("l_quantity") / 5), F.lit(9)).alias("i"), F.floor(F.col("l_discount") * 100 + 1e-6).alias("j")).agg(F.count("*").cast("double").alias("v"))
 
 
 @query("lineitem", sql=f"""with g as ({_GRID}), k as (select d, exp(-0.5 * d * d) as w from range(-4, 5) t(d)), kn as (select d, w / sum(w) over () as w from k),

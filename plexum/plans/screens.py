@@ -11,10 +11,14 @@ from plexum.plans.base import query
 _C6 = " and ".join(f"length(replace(substr(seq, {i + 1}, 6), 'C', '')) > 2" for i in range(4))
 
 
-@query("region", sql=f"""with w as (select n, list_aggregate(list_transform(range(0, 9), lambda i: substr('ACT', ((n // pow(3, 8 - i)::bigint) % 3 + 1)::int, 1)), 'string_agg', '') as seq from range(0, 19683) t(n))
-select n, seq from w where not regexp_matches(seq, 'CCC|TTTT|AAAA') and (9 - length(replace(seq, 'C', ''))) / 9.0 between 0.4 and 0.6 and (9 - length(replace(seq, 'A', ''))) / 9.0 < 0.28 and {_C6} and levenshtein(seq, 'CATCATCAT') > 3""")
-def three_letter_words(region):
-    return screening.words(region.sparkSession, 9, c_share=(0.4, 0.6), away=("CATCATCAT", 3))
+@query("part", sql=f"""with w as (select n, list_aggregate(list_transform(range(0, 9), lambda i: substr('ACT', ((n // pow(3, 8 - i)::bigint) % 3 + 1)::int, 1)), 'string_agg', '') as seq from range(0, 19683) t(n)),
+u as (select translate(substr(md5(p_partkey::varchar), 1, 9), '0123456789abcdef', 'ACTACTACTACTACTA') as seq, count(*) as parts from part group by 1)
+select n, seq, coalesce(parts, 0) as parts from w left join u using (seq) where not regexp_matches(seq, 'CCC|TTTT|AAAA') and (9 - length(replace(seq, 'C', ''))) / 9.0 between 0.4 and 0.6 and (9 - length(replace(seq, 'A', ''))) / 9.0 < 0.28 and {_C6} and levenshtein(seq, 'CATCATCAT') > 3""")
+def three_letter_words(part):
+    """Words of nine letters that pass the rules, and how many parts' digests spell each."""
+    spelled = part.select(F.translate(F.substring(F.md5(F.col("p_partkey").cast("string")), 1, 9), "0123456789abcdef", "ACTACTACTACTACTA").alias("seq")).groupBy("seq").agg(F.count("*").alias("parts"))
+    words = screening.words(part.sparkSession, 9, c_share=(0.4, 0.6), away=("CATCATCAT", 3))
+    return words.join(spelled, "seq", "left").select("n", "seq", F.coalesce("parts", F.lit(0)).alias("parts"))
 
 
 @query("lineitem", "part", sql="""with c as (select p_partkey as transcript, case when p_partkey % 11 = 0 then 'Gm' || p_partkey when p_partkey % 5 = 0 then 'Actb-2' || p_partkey else p_name end as transcript_name, count(*) as count from lineitem join part on l_partkey = p_partkey group by all),

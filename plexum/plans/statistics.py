@@ -125,9 +125,9 @@ def gene_correlation(lineitem):
     return tables.correlations(lineitem, _MEASURES).withColumn("r", F.round("r", 6))
 
 
-@query("part", sql="select p_brand, count(*) as n from part where p_size > 10 group by 1 having count(*) > 10")
+@query("part", sql="select p_brand, count(*) as n from part group by 1 having count(*) > 10")
 def min_count_check(part):
-    return part.where("p_size > 10").groupBy("p_brand").agg(F.count("*").alias("n")).where("n > 10")
+    return part.groupBy("p_brand").agg(F.count("*").alias("n")).where("n > 10")
 
 
 @query("supplier", "customer", sql="select s_suppkey as k, s_nationkey::varchar as v, s_acctbal::double as b, null::varchar as seg from supplier union all select c_custkey, c_mktsegment, c_nationkey, c_name from customer")

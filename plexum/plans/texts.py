@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from plexum.functions import sequences as S
+from plexum.operators import kmers
 from plexum.plans.base import query
 
 
@@ -27,8 +28,7 @@ def gc_like(documents):
 
 @query("documents", sql="with k as (select unnest(list_transform(range(1, length(text) - 3), lambda i: substr(text, i, 5))) as kmer from documents where length(text) >= 5) select kmer, count(*) as n from k group by 1 having count(*) >= 50")
 def kmer_count(documents):
-    counted = documents.select(F.explode(S.kmer_bytes(F.col("text"), 5)).alias("kmer")).groupBy("kmer").agg(F.count("*").alias("n")).where("n >= 50")
-    return counted.select(S.kmer_text(F.col("kmer")).alias("kmer"), "n")
+    return kmers.counts(documents, "text", 5).where("n >= 50")
 
 
 @query("part", sql="select p_partkey, len(list_filter(list_transform(range(1, greatest(length(p_name) - 1, 1)), lambda i: substr(p_name, i, 3)), lambda k: k in ('ing', 'the', 'art', 'Par'))) > 0 and length(p_name) >= 3 as hit from part")
