@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from plexum.operators import graphs, outlines, probes, rasters, spots
+from plexum.operators import graphs, mosaic, outlines, probes, rasters, spots
 from plexum.plans.base import query
 
 _PIXELS = "select l_suppkey % 7 as tile, l_linenumber as z, l_orderkey % 64 as y, l_partkey % 64 as x, l_quantity as value from lineitem"
@@ -161,3 +161,13 @@ def image_spots(lineitem):
     image = lineitem.groupBy(F.pmod("l_suppkey", F.lit(7)).alias("tile"), at("l_orderkey").alias("y"), at("l_partkey").alias("x")).agg(F.sum("l_quantity").alias("value"))
     out = spots.find_spots(image, ["tile"], 3.0, 3.0, side=64)
     return out.select("tile", "idx", *[F.round(c, 4).alias(c) for c in ("y", "x", "mag", "sharpness", "roundness")])
+
+
+@query("lineitem", sql=f"""with t as (select tile, y, x, sum(value)::double as v from ({_PIXELS}) group by all),
+g as (select y + tile // 3 * 50 as y, x + tile % 3 * 48 as x, v, least(y + 1, x + 1, 64 - y, 64 - x)::double as w from t)
+select y, x, round(sum(v * w) / sum(w), 6) as value from g group by 1, 2""")
+def mosaic_fused(lineitem):
+    """The tiles' images side by side with overlaps, in one."""
+    image = _pixels(lineitem).groupBy("tile", "y", "x").agg(F.sum("value").alias("value"))
+    tiles = image.select("tile").distinct().select("tile", (F.floor(F.col("tile") / 3) * 50).alias("y"), (F.col("tile") % 3 * 48).alias("x"), F.lit(64).alias("h"), F.lit(64).alias("w"))
+    return mosaic.fuse(image, tiles).withColumn("value", F.round("value", 6))
