@@ -12,6 +12,7 @@ import zipfile
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -117,8 +118,6 @@ def rois(spark: SparkSession, path: str, columns: list[str] | None = None) -> Da
 
 def roi_bytes(name: Column, y: Column, x: Column) -> Column:
     """The bytes of polygons, null where a column is."""
-    import pandas as pd
-
     @F.pandas_udf("binary")
     def run(n: pd.Series, ys: pd.Series, xs: pd.Series) -> pd.Series:
         return pd.Series([None if a is None or b is None or c is None else made(a, list(b), list(c)) for a, b, c in zip(n, ys, xs)])
