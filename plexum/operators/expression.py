@@ -12,7 +12,7 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from plexum.operators.spatial import need_folder
@@ -111,3 +111,37 @@ def principal_components(df: DataFrame, vector: str, k: int, name: str = "compon
     middle = np.asarray(model.pc.toArray()).T @ own.agg(Summarizer.mean(F.col("_v"))).first()[0].toArray()
     shift = F.array(*[F.lit(float(m)) for m in middle])
     return model.transform(own).withColumn(name, F.zip_with(vector_to_array("_p"), shift, lambda p, m: p - m)).drop("_v", "_p")
+
+
+def marker_scores(values: DataFrame, clusters: DataFrame, cell: str, gene: str, cluster: str, value: str = "n") -> DataFrame:
+    """cluster, gene, score: of each gene and cluster how far the ranks of the cluster's cells lie above those of all others, in
+    deviations of the rank-sum statistic without ties. values holds what is not zero; all cells stand in clusters, one row each.
+
+    Zeros tie below all else, negative values below zero. Equal values of a gene are counted before they are ranked, so a window
+    holds a gene's different values. Clusters of all cells have no score; null cells, genes and clusters are left out."""
+    groups = clusters.where(F.col(cell).isNotNull() & F.col(cluster).isNotNull()).select(cell, F.col(cluster).alias("_k"))
+    own = values.where(F.col(cell).isNotNull() & F.col(gene).isNotNull() & (F.col(value) != 0)).select(cell, F.col(gene).alias("_g"), F.col(value).cast("double").alias("_v")).join(groups, cell)
+    sizes = groups.groupBy("_k").agg(F.count("*").alias("_n"))
+    whole = sizes.agg(F.sum("_n").alias("_cells"))
+    alike = own.groupBy("_g", "_v", "_k").agg(F.count("*").alias("_c"))
+    levels = alike.groupBy("_g", "_v").agg(F.sum("_c").alias("_t"))
+    by = Window.partitionBy("_g")
+    below = F.coalesce(F.sum("_t").over(by.orderBy("_v").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    seen = levels.withColumns({"_below": below, "_seen": F.sum("_t").over(by), "_under": F.sum(F.when(F.col("_v") < 0, F.col("_t")).otherwise(0)).over(by)}).join(F.broadcast(whole))
+    zeros = F.col("_cells") - F.col("_seen")
+    rank = F.col("_below") + F.when(F.col("_v") > 0, zeros).otherwise(0) + (F.col("_t") + 1) / 2
+    ranked = seen.select("_g", "_v", rank.alias("_r"), (F.col("_under") + (zeros + 1) / 2).alias("_zero"))
+    summed = alike.join(ranked, ["_g", "_v"]).groupBy("_g", "_k").agg(F.sum(F.col("_c") * F.col("_r")).alias("_sum"), F.sum("_c").alias("_held"))
+    # clusters in which a gene has no value but zero, too
+    pairs = ranked.groupBy("_g").agg(F.first("_zero").alias("_zero")).join(F.broadcast(sizes.agg(F.collect_list(F.struct("_k", "_n")).alias("_all")))).select("_g", "_zero", F.inline("_all"))
+    full = pairs.join(summed, ["_g", "_k"], "left").join(F.broadcast(whole))
+    total = F.coalesce("_sum", F.lit(0.0)) + (F.col("_n") - F.coalesce("_held", F.lit(0))) * F.col("_zero")
+    spread = F.sqrt(F.col("_n") * (F.col("_cells") - F.col("_n")) * (F.col("_cells") + 1) / 12.0)
+    return full.where("_n < _cells").select(F.col("_k").alias(cluster), F.col("_g").alias(gene), ((total - F.col("_n") * (F.col("_cells") + 1) / 2.0) / spread).alias("score"))
+
+
+def marker_genes(values: DataFrame, clusters: DataFrame, cell: str, gene: str, cluster: str, head: int = 5, value: str = "n") -> DataFrame:
+    """The `head` genes of largest score of each cluster, with their place from 0; of equal ones those that sort first."""
+    scores = marker_scores(values, clusters, cell, gene, cluster, value)
+    place = F.row_number().over(Window.partitionBy(cluster).orderBy(F.round("score", 9).desc(), gene)) - 1
+    return scores.withColumn("place", place).where(F.col("place") < head)

@@ -56,3 +56,15 @@ def vector_communities(embeddings):
     """Communities of the graph of nearest neighbours."""
     graph = neighbours.nearest_graph(embeddings, "vec_id", "embedding")
     return neighbours.communities(graph.select("a", "b", F.lit(1.0).alias("w")), resolution=0.8).select(F.col("id").alias("vec_id"), "community", "size")
+
+
+@query("lineitem", "supplier", sql="""with k as (select l_suppkey as cell, l_partkey as gene, count(*)::double as n from lineitem group by all), c as (select s_suppkey as cell, s_nationkey % 4 as cluster from supplier),
+x as (select c.cluster, g.gene, coalesce(n, 0) as v from c cross join (select distinct gene from k join c using (cell)) g left join k on k.cell = c.cell and k.gene = g.gene),
+r as (select cluster, gene, rank() over (partition by gene order by v) + (count(*) over (partition by gene, v) - 1) / 2.0 as r from x), t as (select count(*) as t from c),
+s as (select cluster, gene, (sum(r) - count(*) * (any_value(t) + 1) / 2.0) / sqrt(count(*) * (any_value(t) - count(*)) * (any_value(t) + 1) / 12.0) as score from r, t group by 1, 2),
+p as (select *, row_number() over (partition by cluster order by round(score, 9) desc, gene) - 1 as place from s)
+select cluster, gene as l_partkey, place::int as place, round(score, 6) as score from p where place < 5""")
+def marker_genes(lineitem, supplier):
+    """The five parts that stand out most in each group of suppliers."""
+    groups = supplier.select(F.col("s_suppkey").alias("l_suppkey"), (F.col("s_nationkey") % 4).alias("cluster"))
+    return expression.marker_genes(_counts(lineitem), groups, "l_suppkey", "l_partkey", "cluster").withColumn("score", F.round("score", 6))

@@ -145,3 +145,26 @@ def test_registered_communities(spark):
     assert out.count() == df.count() and out.agg(F.sum(F.when(F.col("community") == 0, 1))).first()[0] == out.where("community = 0").first()["size"]
     sizes = registry.QUERIES["cell_components"](spark, SF)
     assert sizes.groupBy("component").agg(F.sum(F.col("size") ** 2).alias("s")).orderBy("component").agg(F.collect_list("s")).first()[0] == sorted((r.s for r in sizes.groupBy("component").agg(F.sum(F.col("size") ** 2).alias("s")).collect()), reverse=True)
+
+
+def test_marker_scores_like_ranks(spark):
+    rng = np.random.default_rng(11)
+    x = rng.poisson(0.7, (40, 12)) - (rng.random((40, 12)) < 0.1)
+    x[:, 5] = 0
+    groups = rng.integers(0, 3, 40)
+    x[groups == 1, 2] += 4
+    values = spark.createDataFrame([(i, f"g{j:02d}", int(v)) for (i, j), v in np.ndenumerate(x) if v] + [(None, "g00", 3), (1, None, 3)], "cell int, gene string, n int")
+    clusters = spark.createDataFrame([(i, int(k)) for i, k in enumerate(groups)] + [(None, 1), (99, None)], "cell int, cluster int")
+    got = {(r.cluster, r.gene): r.score for r in expression.marker_scores(values, clusters, "cell", "gene", "cluster").collect()}
+    want = {}
+    for j in range(12):
+        if x[:, j].any():
+            order = np.sort(x[:, j])
+            ranks = (np.searchsorted(order, x[:, j], "left") + np.searchsorted(order, x[:, j], "right") + 1) / 2
+            for k in range(3):
+                n = (groups == k).sum()
+                want[k, f"g{j:02d}"] = (ranks[groups == k].sum() - n * 41 / 2) / np.sqrt(n * (40 - n) * 41 / 12)
+    assert got.keys() == want.keys() and np.allclose([got[k] for k in want], list(want.values()))
+    top = expression.marker_genes(values, clusters, "cell", "gene", "cluster", head=2).collect()
+    assert len(top) == 6 and next(r.gene for r in top if r.cluster == 1 and r.place == 0) == "g02"
+    assert expression.marker_scores(values.limit(0), clusters, "cell", "gene", "cluster").count() == 0
