@@ -26,6 +26,8 @@ from plexum.llm.bpe import PATTERN, byte_letters
 PIECES = 500_000
 #: Characters without white space from which a text does not go through the rank encoder.
 RUN = 1_000
+#: Signs that make one word together, behind letters; an apostrophe may go with the letters.
+SIGNS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
 #: Pieces that the library gets as one text.
 TOGETHER = 200
 
@@ -124,9 +126,9 @@ class WordBPE(Pieces):
         return super().encode(pc.replace_substring(texts, "\n", " "))
 
     def _encode(self, pieces: list[str]) -> Ids:
-        """Many pieces in one call, since a call costs more than a piece. Pieces of letters are one word each, and two with a
-        sign behind them; so their ids end where words do. Between others stands a special token, which costs more."""
-        kinds = [1 if p.isalpha() else 2 if p[:-1].isalpha() and p[-1] in ",.;:!?" else 0 for p in pieces]
+        """Many pieces in one call, since a call costs more than a piece. Pieces of letters are one word each, and two with
+        signs behind them; so their ids end where words do. Between others stands a special token, which costs more."""
+        kinds = [1 if p.isalpha() else 2 if p[-1:] in SIGNS and p.rstrip(SIGNS).isalpha() else 0 for p in pieces]
         found, order = [], []
         for kind in (1, 2, 0):
             own = [i for i, k in enumerate(kinds) if k == kind]
