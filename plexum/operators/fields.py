@@ -9,6 +9,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from plexum.operators.spatial import kept
+
 
 def _plates(own: np.ndarray, values: np.ndarray, at: np.ndarray, neighbours: int, smoothing: float) -> np.ndarray:
     """Thin-plate surfaces of the columns of values, with a plane, each place from its nearest points."""
@@ -72,3 +74,47 @@ def flat_field(pixels: DataFrame, field: DataFrame, value: str = "value") -> Dat
     """pixels (x, y, value, ...) less the field's dark image, over its flat one (x, y, flat, dark); null where that is 0."""
     out = (F.col(value) - F.col("dark")) / F.nullif(F.col("flat"), F.lit(0.0))
     return pixels.join(field.select("x", "y", "flat", "dark"), ["x", "y"]).withColumn(value, out).select(pixels.columns)
+
+
+def _smooth(field: np.ndarray, order: int) -> np.ndarray:
+    """The part of a square field that cosines of at most `order` half waves in all make up."""
+    n = len(field)
+    k = np.arange(n)
+    waves = np.cos(np.pi * (k[None] + 0.5) * k[:, None] / n) * np.sqrt(np.where(k == 0, 1, 2) / n)[:, None]
+    spectrum = waves @ field @ waves.T
+    return waves.T @ np.where(k[:, None] + k[None] <= order, spectrum, 0) @ waves
+
+
+def fit_field(pixels: DataFrame, image: str, height: int, width: int, size: int = 32, order: int = 6, rounds: int = 12, settled: float = 1e-4, value: str = "value") -> DataFrame:
+    """(y, x, flat) on a grid of size x size places: the field that all images of one shape share, of mean 1 and of cosines of at most
+    `order` half waves. An image is its brightness times the field, and besides what few places add, cells and spots.
+
+    Images are averaged down to the grid. In each round every image's brightness is fitted to the field and every place of the
+    field to the images, by sums in which a place counts less the further off it was (weights of least absolute deviations); the
+    driver holds the field alone. Rounds end once the field changes by less than `settled`. Null places and values are left out;
+    images that are nowhere over 0 say nothing; without others the field is 1."""
+    at = lambda c, n: F.floor(F.col(c) * size / n).cast("int").alias(c)
+    own = pixels.where(F.col(image).isNotNull() & F.col(value).isNotNull() & F.col("y").between(0, height - 1) & F.col("x").between(0, width - 1))
+    small = kept(own.groupBy(F.col(image).alias("i"), at("y", height), at("x", width)).agg(F.avg(F.col(value).cast("double")).alias("v")))
+    spark = pixels.sparkSession
+    rows = lambda field: spark.createDataFrame([(y, x, float(v)) for (y, x), v in np.ndenumerate(field)], "y int, x int, flat double")
+    field = np.ones((size, size))
+    bright = kept(small.groupBy("i").agg(F.percentile_approx("v", 0.5).alias("b")).where("b > 0"))
+    for _ in range(rounds):
+        seen = small.join(F.broadcast(rows(field)), ["y", "x"]).join(bright, "i")  # size * size rows are sent
+        off = F.abs(F.col("v") - F.col("b") * F.col("flat"))
+        weight = 1 / (off + 1e-3 * F.col("b"))
+        fitted = seen.groupBy("i").agg((F.sum(weight * F.col("v") * F.col("flat")) / F.sum(weight * F.col("flat") * F.col("flat"))).alias("b")).where("b > 0")
+        bright = kept(fitted)
+        again = small.join(F.broadcast(rows(field)), ["y", "x"]).join(bright, "i")
+        places = again.groupBy("y", "x").agg((F.sum(weight * F.col("v") * F.col("b")) / F.sum(weight * F.col("b") * F.col("b"))).alias("f")).collect()  # size * size rows at most
+        new = field.copy()
+        for r in places:
+            new[r["y"], r["x"]] = r["f"]
+        new = np.maximum(_smooth(new, order), 1e-3)
+        new /= new.mean()
+        change = float(np.abs(new - field).mean())
+        field = new
+        if change < settled:
+            break
+    return rows(field)
