@@ -65,11 +65,17 @@ class Pieces:
         """Where each of some distinct pieces stands in the cache, after the new ones are encoded."""
         if len(self.known) > self.most:
             self._forget(but=pieces)
-        new = [p for p in pieces if p not in self.known]
-        ids, at = self.encode_all(new)
-        self.known.update(zip(new, range(len(self.known), len(self.known) + len(new)), strict=True))
-        self.ids, self.at = np.concatenate([self.ids, ids]), np.concatenate([self.at, self.at[-1] + at[1:]])
-        return np.fromiter(map(self.known.__getitem__, pieces), np.int64, len(pieces))
+        found = list(map(self.known.get, pieces))
+        at = [i for i, f in enumerate(found) if f is None]
+        if at:
+            new = [pieces[i] for i in at]
+            ids, edges = self.encode_all(new)
+            first = len(self.known)
+            self.known.update(zip(new, range(first, first + len(new))))
+            self.ids, self.at = np.concatenate([self.ids, ids]), np.concatenate([self.at, self.at[-1] + edges[1:]])
+            for k, i in enumerate(at):
+                found[i] = first + k
+        return np.array(found, np.int64)
 
     def encode(self, texts: pa.Array) -> Ids:
         texts = pc.fill_null(texts.cast(pa.large_string()), "")
@@ -77,18 +83,23 @@ class Pieces:
         start = lists.offsets.to_numpy()
         coded = lists.values.slice(start[0], start[-1] - start[0]).dictionary_encode()
         start = start - start[0]
-        number, row = coded.indices.to_numpy(), np.repeat(np.arange(len(texts)), np.diff(start))
-        odd = np.zeros(len(texts), bool)
-        if self.whole:
-            empty = pc.index(coded.dictionary, pa.scalar("", pa.large_string())).as_py()
-            odd[row[number == empty]] = True
-            odd |= pc.match_substring(texts, "▁").to_numpy(zero_copy_only=False)
-            number, row = number[~odd[row]], row[~odd[row]]
-        used = np.unique(number) if odd.any() else np.arange(len(coded.dictionary))
-        place = np.zeros(len(coded.dictionary), np.int64)
-        place[used] = self._numbers(coded.dictionary.take(pa.array(used)).to_pylist())
-        size = np.diff(self.at)[place[number]]
-        ids = self.ids[spans(self.at[place[number]], size)]
+        number = coded.indices.to_numpy()
+        pieces = coded.dictionary
+        if not self.whole:
+            at = self._numbers(pieces.to_pylist())[number]
+            size = np.diff(self.at)[at]
+            edges = np.concatenate([[0], np.cumsum(size)])[start]
+            return self.ids[spans(self.at[at], size)], edges
+        row = np.repeat(np.arange(len(texts)), np.diff(start))
+        odd = pc.match_substring(texts, "▁").to_numpy(zero_copy_only=False).copy()
+        odd[row[number == pc.index(pieces, pa.scalar("", pa.large_string())).as_py()]] = True
+        number, row = number[~odd[row]], row[~odd[row]]
+        used = np.unique(number)
+        place = np.zeros(len(pieces), np.int64)
+        place[used] = self._numbers(pieces.take(pa.array(used)).to_pylist())
+        at = place[number]
+        size = np.diff(self.at)[at]
+        ids = self.ids[spans(self.at[at], size)]
         sizes = np.bincount(row, weights=size, minlength=len(texts)).astype(np.int64)
         if not odd.any():
             return ids, np.concatenate([[0], np.cumsum(sizes)])
