@@ -41,7 +41,7 @@ def test_like_sql(spark, name):
     import duckdb
 
     con = duckdb.connect()
-    for t in ("documents", "benchmark", "conversations", "pages"):
+    for t in ("documents", "benchmark", "conversations", "pages", "embeddings"):
         p = f"{SF}/{t}.parquet"
         con.execute(f"create view {t} as select * from '{p}{'/*.parquet' if os.path.isdir(p) else ''}'")
     df = queries()[name](spark, SF)
