@@ -36,17 +36,19 @@ def arms_side_by_side(probes: DataFrame, name: str = "name", seq: str = "seq", c
 
 def spaced(df: DataFrame, group: str, at: str, tie: str, gap: int = 50) -> DataFrame:
     """Rows of a group by place, from the end backwards: whatever stands next before a row, less than gap away, goes, and may
-    not remove others itself once it is gone. Places are numbers; the fold holds one group's places, not its rows."""
+    not remove others itself once it is gone. Places are numbers; the fold holds one group's places, not its rows. Of rows of one
+    place and tie one stays."""
     places = F.array_sort(F.collect_list(F.struct(F.col(at).alias("at"), F.col(tie).alias("tie"))), lambda a, b: F.when(a["at"] > b["at"], -1).when(a["at"] < b["at"], 1).when(a["tie"] > b["tie"], -1).when(a["tie"] < b["tie"], 1).otherwise(0))
-    kind = f"struct<last:{df.schema[at].dataType.simpleString()},kept:array<{df.schema[tie].dataType.simpleString()}>>"
+    kind = f"struct<last:{df.schema[at].dataType.simpleString()},kept:array<struct<at:{df.schema[at].dataType.simpleString()},tie:{df.schema[tie].dataType.simpleString()}>>>"
     zero = F.from_json(F.lit('{"kept":[]}'), kind)
 
     def step(acc: Column, x: Column) -> Column:
         near = acc["last"].isNotNull() & (acc["last"] - x["at"] < gap)
-        return F.when(near, acc).otherwise(F.struct(x["at"].alias("last"), F.concat(acc["kept"], F.array(x["tie"])).alias("kept")))
+        return F.when(near, acc).otherwise(F.struct(x["at"].alias("last"), F.concat(acc["kept"], F.array(x)).alias("kept")))
 
-    kept = df.groupBy(group).agg(F.aggregate(places, zero, step)["kept"].alias("_k")).select(group, F.explode("_k").alias(tie))
-    return df.join(kept, [group, tie], "left_semi").select(df.columns)
+    kept = df.groupBy(group).agg(F.aggregate(places, zero, step)["kept"].alias("_k")).select(group, F.inline("_k").alias(at, tie))
+    same = F.row_number().over(Window.partitionBy(group, at, tie).orderBy(F.xxhash64(*df.columns)))
+    return df.join(kept, [group, at, tie], "left_semi").withColumn("_s", same).where("_s = 1").select(df.columns)
 
 
 def with_heads_again(df: DataFrame, group: str, order: Sequence[Column], too_few: int = 4, full: int = 12) -> DataFrame:

@@ -98,7 +98,7 @@ o as (select *, row_number() over (partition by gene order by hairpin, name::var
 f as (select gene, r, name, pos as last, true as kept from t where r = 1 union all select t.gene, t.r, t.name, case when f.last - t.pos < 50 then f.last else t.pos end, f.last - t.pos >= 50 from f join t on t.gene = f.gene and t.r = f.r + 1),
 d as (select gene, name, row_number() over (partition by gene order by md5('4:' || name), name::varchar) as z from f where kept) select gene, name::varchar as name from d where z <= 16""")
 def spaced_table(lineitem, part):
-    rows = lineitem.join(part, F.col("l_partkey") == F.col("p_partkey")).select(F.col("l_suppkey").alias("gene"), (F.col("l_orderkey") * 8 + F.col("l_linenumber")).cast("string").alias("name"), F.col("l_extendedprice").cast("int").alias("pos_start"), F.col("l_quantity").alias("hairpin"), F.concat("p_name", "p_type").alias("splint"), F.col("p_brand").alias("padlock"))
+    rows = lineitem.join(part, F.col("l_partkey") == F.col("p_partkey")).select(F.col("l_suppkey").alias("gene"), (F.col("l_orderkey") * 8 + F.col("l_linenumber")).cast("string").alias("name"), F.rint("l_extendedprice").cast("int").alias("pos_start"), F.col("l_quantity").alias("hairpin"), F.concat("p_name", "p_type").alias("splint"), F.col("p_brand").alias("padlock"))
     return commands.spaced_table(rows, "gene").select("gene", "name")
 
 

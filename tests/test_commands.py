@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from plexum.operators import commands, fields, screening, spatial
 from plexum.operators.thermo import Sums
+from plexum.plans import commands as plans
 from plexum.sources import readers
 
 
@@ -197,3 +198,12 @@ def test_verify(spark, tmp_path):
     assert readers.verify_codebook(spark, root, "cb", ["r2"]).count() == 1
     with pytest.raises(ValueError):
         readers.verify_codebook(spark, root, "cb", ["r3"])
+
+
+def test_spaced_table_rounds_places_and_tells_rows_of_one_name_apart(spark):
+    part = spark.createDataFrame([(1, "p" * 10, "t" * 10, "brand")], "p_partkey long, p_name string, p_type string, p_brand string")
+    # gene 1: 1000.6 rounds to 1001, 50 below 1050.7 -> 1051, and 49.6 below 1050.2; gene 2: one name twice, the second row too near
+    rows = [(1, 1, 1, 1, 1000.6, 1.0), (2, 1, 1, 1, 1050.2, 2.0), (3, 1, 2, 1, 500.0, 1.0), (3, 1, 2, 1, 520.0, 2.0), (4, 1, 3, 1, 50.6, 1.0), (5, 1, 3, 1, 300.0, 1.0), (5, 1, 3, 1, 300.0, 1.0)]
+    lineitem = spark.createDataFrame(rows, "l_orderkey long, l_partkey long, l_suppkey long, l_linenumber int, l_extendedprice double, l_quantity double")
+    out = sorted(tuple(r) for r in plans.spaced_table(lineitem, part).collect())
+    assert out == [(1, "17"), (2, "25"), (3, "33"), (3, "41")]
