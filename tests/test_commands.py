@@ -207,3 +207,12 @@ def test_spaced_table_rounds_places_and_tells_rows_of_one_name_apart(spark):
     lineitem = spark.createDataFrame(rows, "l_orderkey long, l_partkey long, l_suppkey long, l_linenumber int, l_extendedprice double, l_quantity double")
     out = sorted(tuple(r) for r in plans.spaced_table(lineitem, part).collect())
     assert out == [(1, "17"), (2, "25"), (3, "33"), (3, "41")]
+
+
+def test_grid_components_makes_no_pairs_of_tiles_that_share_a_place(spark, monkeypatch):
+    rows = [(i, x, 0) for i, x in zip(range(300), [0, 1, 5] * 100)]
+    seen, kept = [], spatial.kept
+    monkeypatch.setattr(spatial, "kept", lambda df: seen.append(df := kept(df)) or df)
+    out = {r.id: r.label for r in spatial.grid_components(spark.createDataFrame(rows, "id long, col int, row int")).collect()}
+    assert out == {i: 2 if x == 5 else 0 for i, x, _ in rows}
+    assert max(df.count() for df in seen) <= 5 * 3
