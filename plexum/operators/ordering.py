@@ -35,6 +35,12 @@ def row_index(df: DataFrame, key: str, ties: Sequence[str] = (), name: str = "in
     return running_sum(df, key, F.lit(1).cast("long"), name, ties).withColumn(name, F.col(name) - 1)
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """df dealt evenly to as many tasks as keep all cores busy, before work in Python: a small file of many rows is one task."""
+    spark = df.sparkSession
+    return df.repartition(max(int(spark.conf.get("spark.sql.shuffle.partitions")), 4 * spark.sparkContext.defaultParallelism))
+
+
 def every_nth(df: DataFrame, n: int, key: str, ties: Sequence[str] = ()) -> DataFrame:
     """The first row in order and every n-th after it."""
     return row_index(df, key, ties, "_i").where(F.pmod("_i", F.lit(n)) == 0).drop("_i")

@@ -7,7 +7,7 @@ from itertools import permutations
 from pyspark.sql import functions as F
 
 from plexum.functions import numbers as N
-from plexum.operators import assembly, commands, fields, folding, screening
+from plexum.operators import assembly, commands, fields, folding, ordering, screening
 from plexum.operators.thermo import GAS, MODELS, SODIUM, STRAND, melting_temperature
 from plexum.plans.base import query
 
@@ -123,7 +123,7 @@ def split_probes(part):
 def hairpin_temperatures(part):
     """Hairpins of 32 bases that each part's key decides; tests compare them with a slow recursion."""
     seq = N.random_bases(F.col("p_partkey").cast("string"))
-    return part.select("p_partkey", seq.alias("seq")).withColumn("hairpin", F.round(folding.hairpin_temperature(F.col("seq"), 40.0), 4))
+    return ordering.spread(part.select("p_partkey", seq.alias("seq"))).withColumn("hairpin", F.round(folding.hairpin_temperature(F.col("seq"), 40.0), 4))
 
 
 @query("part")

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from plexum.operators import commands, folding, screening
 from plexum.operators.thermo import MODELS
+from plexum.plans import commands as plans
 
 
 def slow(seq, sodium):
@@ -87,3 +88,9 @@ def test_rules_that_take_hairpins(spark):
     hits = spark.createDataFrame([("p", "t", "GCGCATGCTTTTGCATGCGCACACAC", "26M", "26", 26, 26, 26)], "name string, transcript string, seq string, cigar string, md string, match int, match_consec int, length int")
     best = commands.candidates(hits, hits.select("transcript"), hairpin=folding.hairpin_temperature).first()
     assert best.hp == folding.celsius([best.seq])[0] > 50
+
+
+def test_hairpins_are_folded_in_several_tasks(spark):
+    part = spark.range(200).withColumnRenamed("id", "p_partkey").coalesce(1)
+    out = plans.hairpin_temperatures(part)
+    assert out.withColumn("p", F.spark_partition_id()).select("p").distinct().count() > 4
