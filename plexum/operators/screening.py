@@ -2,9 +2,8 @@
 
 from __future__ import annotations
 
-import math
 import re
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Sequence
 from functools import reduce
 
 import numpy as np
@@ -12,8 +11,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from plexum.operators import spatial, tables
-from plexum.operators.thermo import Sums, melting_temperature
+from plexum.operators import ordering, spatial, tables
+from plexum.operators.thermo import Sums, melting_temperature, window_temperatures
 
 
 def words(spark: SparkSession, length: int, letters: str = "ACT", c_share: tuple[float, float] = (0.45, 0.55), a_share: float = 0.28, away: tuple[str, int] | None = None) -> DataFrame:
@@ -86,33 +85,56 @@ def off_target(hits: DataFrame, accepted: DataFrame, formamide: float = 10.0) ->
     return good.join(worst, "name", "left").na.fill({"max_tm_offtarget": 0.0, "match_consec_all": 0})
 
 
+#: A place at which an N or too long a run of a base begins; cells of temperatures that are computed at once.
+_RUNS, CELLS = re.compile("(?=(N|A{6}|T{6}|C{5}|G{5}))"), 1 << 20
+
+
 def crawl(sequences: DataFrame, length: tuple[int, int] = (43, 55), gc: tuple[float, float] = (0.3, 0.7), tm: tuple[float, float] = (54, 68), formamide: float = 50.0, accept: Callable[[str], bool] | None = None, model: str = "hybrid") -> DataFrame:
     """sequences (name, seq): windows (name, seq, pos_start, pos_end). From each start the end moves on, never back, to the first
     window with fit GC that is warm enough; it counts unless too hot, with N, long runs of a base, or refused by `accept`."""
-    bad = re.compile("N|A{6}|T{6}|C{5}|G{5}")
-
-    def windows(seq: str):
-        seq = seq.upper()
-        sums, stop = Sums(seq, model, formamide), length[0]
-        for start in range(len(seq) - length[0]):
-            if seq[start] == "N":
-                continue
-            stop = max(stop, start + length[0])
-            while stop <= min(start + length[1], len(seq)):
-                warm = sums.celsius(start, stop) if gc[0] <= sums.share(start, stop) <= gc[1] else -math.inf
-                if warm > tm[0]:
-                    piece = seq[start:stop]
-                    if warm <= tm[1] and not bad.search(piece) and (accept is None or accept(piece)):
-                        yield piece, start, stop - 1
-                    break
-                stop += 1
+    def windows(seqs: list[str]) -> Iterator[tuple[int, int, int]]:
+        """Row, start and stop of the windows of texts of one length: all temperatures at once, then start by start."""
+        n = len(seqs[0])
+        heat, ends = window_temperatures(seqs, length, model, formamide, gc), _run_ends(seqs)
+        rows, masked = np.arange(len(seqs)), np.array([[c == "N" for c in s] for s in seqs])
+        stop = np.full(len(seqs), length[0])
+        for start in range(n - length[0]):
+            live = rows[~masked[:, start]]
+            low, last = np.maximum(stop[live], start + length[0]), min(start + length[1], n)
+            warm = heat[live, start, : last - start - length[0] + 1]
+            warm = np.where(start + length[0] + np.arange(warm.shape[1]) >= low[:, None], warm, -np.inf)
+            fit = warm > tm[0]
+            found, at = fit.any(axis=1), fit.argmax(axis=1)
+            end = start + length[0] + at
+            stop[live] = np.where(found, end, np.maximum(low, last + 1))
+            good = found & (warm[np.arange(len(live)), at] <= tm[1]) & (ends[live, start] > end)
+            for row, b in zip(live[good].tolist(), end[good].tolist()):
+                if accept is None or accept(seqs[row][start:b]):
+                    yield row, start, b
 
     def run(frames):
         for pdf in frames:
-            rows = [(f"{n}:{a}-{b}", piece, a, b) for n, seq in zip(pdf["name"], pdf["seq"]) if seq for piece, a, b in windows(seq)]
+            names, seqs = pdf["name"].tolist(), [s.upper() if s else "" for s in pdf["seq"]]
+            sizes = np.array([len(s) for s in seqs], np.int64)
+            rows = []
+            for n in np.unique(sizes[sizes > length[0]]).tolist():
+                alike, step = np.flatnonzero(sizes == n), max(1, CELLS // (n * (length[1] - length[0] + 1)))
+                for k in range(0, len(alike), step):
+                    of = alike[k : k + step].tolist()
+                    rows += [(f"{names[of[r]]}:{a}-{b - 1}", seqs[of[r]][a:b], a, b - 1) for r, a, b in windows([seqs[i] for i in of])]
             yield pd.DataFrame(rows, columns=["name", "seq", "pos_start", "pos_end"])
 
-    return sequences.select("name", "seq").mapInPandas(run, "name string, seq string, pos_start long, pos_end long")
+    return ordering.spread(sequences.select("name", "seq")).mapInPandas(run, "name string, seq string, pos_start long, pos_end long")
+
+
+def _run_ends(seqs: list[str]) -> np.ndarray:
+    """For each place of texts of one length where the first N or long run that begins there or later has ended; past all, where none is."""
+    n = len(seqs[0])
+    out = np.full((len(seqs), n + 1), n + 1)
+    for row, seq in enumerate(seqs):
+        for m in _RUNS.finditer(seq):
+            out[row, m.start()] = m.start() + len(m[1])
+    return np.minimum.accumulate(out[:, ::-1], axis=1)[:, ::-1]
 
 
 def split_arms(probes: DataFrame, target: float, seq: str = "seq", hairpin: Callable[[str], float] | None = None) -> DataFrame:
@@ -139,7 +161,7 @@ def split_arms(probes: DataFrame, target: float, seq: str = "seq", hairpin: Call
     def run(texts: pd.Series) -> pd.DataFrame:
         return pd.DataFrame([split(t.upper()) if t else ("", "", -1) for t in texts], columns=["padlock", "splint", "pad_start"])
 
-    return probes.withColumn("_arms", run(F.col(seq))).select(*probes.columns, "_arms.*")
+    return ordering.spread(probes).withColumn("_arms", run(F.col(seq))).select(*probes.columns, "_arms.*")
 
 
 def tiered_selection(probes: DataFrame, group: str, tiers: int, overlap: int, enough: int) -> DataFrame:

@@ -5,11 +5,14 @@ from __future__ import annotations
 import math
 from dataclasses import dataclass
 
+import numpy as np
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 Pair = tuple[float, float]
 _SWAP = str.maketrans("ACGT", "TGCA")
+_CODE = np.full(256, 4, np.uint8)
+_CODE[[ord(c) for c in "ACGT"]] = range(4)
 SODIUM, STRAND, GAS = 0.39, 1e-9, 1.987  # mol/l of salt and of probe, cal/(mol K)
 
 
@@ -108,3 +111,26 @@ class Sums:
         h, s = (t[b - 1] - t[a] + m.start[k] + ends[0][k] + ends[1][k] for k, t in enumerate((self.h, self.s)))
         out = 1000.0 * h / (s + (b - a - 1) * self.salt + self.strand) - 273.15 + formamide_shift(gc, self.formamide)
         return out if m.salt_in_entropy else out + salt_shift(gc, self.sodium)
+
+
+def window_temperatures(seqs: list[str], length: tuple[int, int], model: str = "hybrid", formamide: float = 0.0, gc: Pair = (0.0, 1.0), sodium: float = SODIUM, strand: float = STRAND) -> np.ndarray:
+    """Sums.celsius of all windows of texts of one length, by text, start and length, from length[0] on up to length[1]; -inf for
+    windows that do not fit into the text or whose share of G and C lies out of bounds."""
+    own, n, (low, high) = MODELS[model], len(seqs[0]), length
+    codes = _CODE[np.frombuffer("".join(seqs).encode("ascii", "replace"), np.uint8)].reshape(len(seqs), n)
+    pairs = np.zeros((2, 5, 5))
+    for pair, values in own.neighbours().items():
+        pairs[:, "ACGT".index(pair[0]), "ACGT".index(pair[1])] = values
+    ends = [np.array([own.weak[k], own.strong[k], own.strong[k], own.weak[k], 0.0])[codes] for k in (0, 1)]
+    sums = [np.concatenate([np.zeros((len(seqs), 1)), np.cumsum(pairs[k][codes[:, :-1], codes[:, 1:]], axis=1)], axis=1) for k in (0, 1)]
+    strong = np.concatenate([np.zeros((len(seqs), 1), np.int64), np.cumsum((codes == 1) | (codes == 2), axis=1)], axis=1)
+    out = np.full((len(seqs), n, high - low + 1), -np.inf)
+    salt = 0.368 * math.log(sodium) if own.salt_in_entropy else 0.0
+    for size in range(low, min(high, n) + 1):
+        m = n - size + 1
+        share = (strong[:, size:] - strong[:, :m]) / size
+        h, s = (t[:, size - 1 :] - t[:, :m] + own.start[k] + ends[k][:, :m] + ends[k][:, size - 1 :] for k, t in enumerate(sums))
+        celsius = 1000.0 * h / (s + (size - 1) * salt + GAS * math.log(strand)) - 273.15 + formamide_shift(share, formamide)
+        celsius = celsius if own.salt_in_entropy else celsius + salt_shift(share, sodium)
+        out[:, :m, size - low] = np.where((share >= gc[0]) & (share <= gc[1]), celsius, -np.inf)
+    return out

@@ -1,6 +1,7 @@
 """Screening, graphs, rasters and orders against plain Python."""
 
 import itertools
+import math
 import random
 import re
 
@@ -9,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from plexum.operators import graphs, grids, ordering, rasters, screening, spatial, tables
-from plexum.operators.thermo import melting_temperature
+from plexum.operators.thermo import Sums, melting_temperature
 from plexum.plans import registry
 
 
@@ -178,3 +179,27 @@ def test_blank_classifier_keeps_spots_without_a_feature(spark):
     rows = [(i, float(i), 1.0, i < 20) for i in range(40)] + [(100, None, 1.0, True), (101, 3.0, None, False), (102, float("nan"), 1.0, True)]
     out = screening.blank_classifier(spark.createDataFrame(rows, "id int, a double, b double, blank boolean"), ["a", "b"], "blank")
     assert {r.id: r.p_blank for r in out.collect()} == {i: float(i < 20) for i in range(40)} | {100: None, 101: None, 102: None}
+
+
+def test_crawl_takes_the_windows_of_a_walk_in_several_tasks(spark):
+    rng = random.Random(4)
+    seqs = ["".join(rng.choice("ACGTacgtNAT" if i % 3 else "ACGT") for _ in range(n)) for i, n in enumerate([50, 128, 128, 20, 21, 300, 128, 0])]
+    length, gc, tm, bad = (20, 30), (0.35, 0.65), (15, 32), re.compile("N|A{6}|T{6}|C{5}|G{5}")
+    want = []
+    for i, seq in enumerate(s.upper() for s in seqs):
+        sums, stop = Sums(seq, "hybrid", 50.0), length[0]
+        for start in range(len(seq) - length[0]):
+            if seq[start] == "N":
+                continue
+            stop = max(stop, start + length[0])
+            while stop <= min(start + length[1], len(seq)):
+                warm = sums.celsius(start, stop) if gc[0] <= sums.share(start, stop) <= gc[1] else -math.inf
+                if warm > tm[0]:
+                    if warm <= tm[1] and not bad.search(seq[start:stop]):
+                        want.append((f"{i}:{start}-{stop - 1}", seq[start:stop], start, stop - 1))
+                    break
+                stop += 1
+    df = spark.createDataFrame([(str(i), s) for i, s in enumerate(seqs)], "name string, seq string").coalesce(1)
+    out = screening.crawl(df, length, gc, tm, 50.0)
+    assert sorted(tuple(r) for r in out.collect()) == sorted(want) and len(want) > 50
+    assert out.withColumn("p", F.spark_partition_id()).select("p").distinct().count() > 1
