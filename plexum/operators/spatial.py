@@ -6,6 +6,7 @@ several cells counts only in the one that holds its lower corner, so that no dis
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 import numpy as np
@@ -75,35 +76,53 @@ def nearest(points: DataFrame, targets: DataFrame, group: str, ties: Sequence[st
     return near.withColumn("_n", best).select("id", group, F.col("_n.t").alias("target_id"), F.col("_n.d").alias("distance"))
 
 
+def _finer(targets: DataFrame, group: str, size: float) -> int:
+    """Levels below `size`, each a quarter as wide as the one before, until cells are half as wide as targets of the densest group are apart."""
+    ends = targets.groupBy(group).agg(F.count("*").alias("n"), *[(F.max(c) - F.min(c)).alias(f"_{c}") for c in "xy"])
+    apart = F.greatest(F.sqrt(F.col("_x") * F.col("_y") / F.col("n")), F.greatest("_x", "_y") / F.col("n"))
+    least = ends.agg(F.min(F.when(apart > 0, apart))).first()[0]
+    return min(max(math.ceil(math.log(2 * size / least, 4)), 0), 16) if least else 0
+
+
 def nearest_in_plane(points: DataFrame, targets: DataFrame, group: str, size: float, levels: int = 6) -> DataFrame:
     """(group, id, target_id, distance, dx, dy): for points (group, id, x, y) the nearest target of the same group, ties by id; dx and
-    dy lead to the target. Ids are unique in a group; points of groups without targets are left out.
+    dy lead to the target. Ids are unique in a group; points of groups without targets, and what has no place, are left out.
+
+    Cells are laid out at several levels, each four times as wide as the one before, from `size` on, or from less where targets are
+    denser; the last has one cell. A point's level is the first at which its cell or one next to it holds a target. One target
+    of each of these cells bounds the distance, and only cells that this bound reaches are joined, at the first level whose cells
+    are half as wide as it or more: pairs stay few however dense the targets are."""
+    real = lambda df: df.where(" and ".join(f"{c} is not null and not isnan({c}) and abs({c}) < double('Infinity')" for c in "xy"))
+    points = real(points.select(group, "id", F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y")))
+    targets = real(targets.select(group, "id", F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y")))
+    targets = kept(targets.groupBy(group, "x", "y").agg(F.min("id").alias("target_id")))  # of one place the least id alone can be nearest
+    first = -_finer(targets, group, size)
 
-    Cells are laid out at several levels, each four times as wide as the one before, from `size` on; the last has one cell. A
-    point's level is the first at which its cell or one next to it holds a target. That one is less than three cells off, so
-    the nearest lies in the nine cells around the point one level up, where they are joined: pairs stay few wherever `size`
-    is about the distance between targets, and far points cost as much as near ones."""
-    def at(x: Column, y: Column, level: Column) -> tuple[Column, Column]:
-        wide = F.lit(float(size)) * F.pow(F.lit(4.0), level)
-        return tuple(F.when(level < levels, F.floor(v / wide)).otherwise(0).cast("long") for v in (x, y))
+    def at(x: Column, level: Column) -> Column:
+        return F.when(level < levels, F.floor(x / (F.lit(float(size)) * F.pow(F.lit(4.0), level)))).otherwise(0).cast("long")
 
-    def placed(df: DataFrame, level: Column) -> DataFrame:
-        df = df.withColumn("_l", level)
-        cx, cy = at(F.col("x"), F.col("y"), F.col("_l"))
-        return df.withColumns({"_cx": cx, "_cy": cy})
+    def placed(df: DataFrame) -> DataFrame:
+        df = df.withColumn("_l", F.explode(F.sequence(F.lit(first), F.lit(levels))))
+        return df.withColumns({"_cx": at(F.col("x"), F.col("_l")), "_cy": at(F.col("y"), F.col("_l"))})
 
     around = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (-1, 0, 1) for j in (-1, 0, 1)])
     step = F.explode(F.when(F.col("_l") < levels, around).otherwise(F.slice(around, 5, 1))).alias("_s")
     key = [group, "_l", "_cx", "_cy"]
-    every = F.explode(F.sequence(F.lit(0), F.lit(levels)))
-    held = placed(targets.select(group, "x", "y"), every).select(*key).distinct()
-    near = held.select(*key, step).select(group, "_l", (F.col("_cx") + F.col("_s.i")).alias("_cx"), (F.col("_cy") + F.col("_s.j")).alias("_cy")).distinct()
-    level = placed(points.select(group, "id", "x", "y"), every).join(near, key).groupBy(group, "id", "x", "y").agg(F.min("_l").alias("_first"))
-    asked = placed(level, F.least(F.col("_first") + 1, F.lit(levels))).select(group, "id", "x", "y", "_l", "_cx", "_cy", step)
-    asked = asked.select(group, "id", "x", "y", "_l", (F.col("_cx") + F.col("_s.i")).alias("_cx"), (F.col("_cy") + F.col("_s.j")).alias("_cy"))
-    there = placed(targets.select(group, F.col("id").alias("target_id"), "x", "y"), F.explode(F.sequence(F.lit(1), F.lit(levels)))).withColumnsRenamed({"x": "_tx", "y": "_ty"})
+    held = placed(targets).groupBy(*key).agg(F.first("x").alias("_hx"), F.first("y").alias("_hy"))  # any one target of the cell
+    near = held.select(group, "_l", "_hx", "_hy", "_cx", "_cy", step).select(group, "_l", (F.col("_cx") + F.col("_s.i")).alias("_cx"), (F.col("_cy") + F.col("_s.j")).alias("_cy"), "_hx", "_hy")
+    near = near.groupBy(*key).agg(F.collect_list(F.struct("_hx", "_hy")).alias("_of"))  # nine at most
+    bound = F.array_min(F.transform("_of", lambda t: F.hypot(t["_hx"] - F.col("x"), t["_hy"] - F.col("y"))))
+    # no less than the distance as it is computed, whichever way its parts are rounded
+    reach = (F.min("_d") * (1 + 1e-9) + (F.abs("x") + F.abs("y")) * 1e-12).alias("_d")
+    asked = placed(points).join(near, key).withColumn("_d", bound).groupBy(group, "id", "x", "y").agg(reach)
+    wide = F.greatest(F.ceil(F.log(4.0, F.greatest(F.col("_d"), F.lit(1e-300)) / (2.0 * float(size)))), F.lit(first))
+    asked = asked.withColumn("_l", F.least(wide, F.lit(levels)).cast("int"))
+    for c in "xy":
+        asked = asked.withColumn(f"_c{c}", F.explode(F.sequence(at(F.col(c) - F.col("_d"), F.col("_l")), at(F.col(c) + F.col("_d"), F.col("_l")))))
+    there = placed(targets).select(*key, "target_id", F.col("x").alias("_tx"), F.col("y").alias("_ty"))
     pairs = asked.join(there, key).withColumns({"dx": F.col("_tx") - F.col("x"), "dy": F.col("_ty") - F.col("y")})
-    best = F.min(F.struct(F.hypot("dx", "dy").alias("distance"), "target_id", "dx", "dy")).alias("_b")
+    pairs = pairs.withColumn("distance", F.hypot("dx", "dy")).where(F.col("distance") <= F.col("_d"))
+    best = F.min(F.struct("distance", "target_id", "dx", "dy")).alias("_b")
     return pairs.groupBy(group, "id").agg(best).select(group, "id", "_b.target_id", "_b.distance", "_b.dx", "_b.dy")
 
 

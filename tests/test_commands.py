@@ -216,3 +216,12 @@ def test_grid_components_makes_no_pairs_of_tiles_that_share_a_place(spark, monke
     out = {r.id: r.label for r in spatial.grid_components(spark.createDataFrame(rows, "id long, col int, row int")).collect()}
     assert out == {i: 2 if x == 5 else 0 for i, x, _ in rows}
     assert max(df.count() for df in seen) <= 5 * 3
+
+
+def test_nearest_in_plane_has_cells_as_fine_as_dense_targets(spark):
+    side = range(40)
+    fixed = spark.createDataFrame([("a", 40 * i + j, i / 4, j / 4) for i in side for j in side], "g string, id long, x double, y double")
+    moving = spark.createDataFrame([("a", 40 * i + j, i / 4 + 0.1, j / 4 - 0.05) for i in side for j in side], "g string, id long, x double, y double")
+    near = spatial.nearest_in_plane(moving, fixed, "g", 16.0)
+    assert all(r.id == r.target_id for r in near.collect())
+    assert 0.25 / 8 < 16.0 / 4 ** spatial._finer(fixed, "g", 16.0) <= 0.25
