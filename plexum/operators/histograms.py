@@ -5,10 +5,12 @@ A histogram is rows (key, lo, width, bin, n): bins of one width from lo on, numb
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from plexum.operators.ordering import dealt_by
 from plexum.operators.spatial import kept
 
 
@@ -52,6 +54,25 @@ def quantile(hist: DataFrame, key: Sequence[str], q: Column) -> DataFrame:
     return first.select(*key, F.when(F.col("b.bin") == 0, F.col("b.lo") + 0.5 * F.col("b.width")).otherwise(inside).alias("quantile"))
 
 
+def exact_percentile(df: DataFrame, key: Sequence[str], value: str, q: float, name: str) -> DataFrame:
+    """(key, name): the exact percentile as F.percentile computes it, from distinct values in ranges of their order: no task holds a
+    key's values, however many differ. Nulls do not count; keys of nulls alone are left out."""
+    v = F.col(value).cast("double")
+    once = kept(df.where(v.isNotNull()).groupBy(*key, v.alias("_v")).agg(F.count("*").alias("_n")))
+    dealt = dealt_by(once, "_v")
+    before = Window.partitionBy(*key).orderBy("_b")  # a row for each key and range
+    starts = dealt.groupBy(*key, "_b").agg(F.sum("_n").alias("_t")).withColumns({"_s": F.sum("_t").over(before) - F.col("_t"), "_all": F.sum("_t").over(Window.partitionBy(*key))})
+    at = (F.col("_all") - 1) * F.lit(q)
+    starts = starts.withColumns({"_lo": F.floor(at), "_hi": F.ceil(at), "_at": at}).where((F.col("_s") <= F.col("_hi")) & (F.col("_s") + F.col("_t") > F.col("_lo")))
+    same = [F.col(f"d.{k}").eqNullSafe(F.col(f"s.{k}")) for k in [*key, "_b"]]
+    inside = dealt.alias("d").join(starts.alias("s"), reduce(lambda a, b: a & b, same)).select("d.*", "_s", "_lo", "_hi", "_at")
+    c = F.col("_s") + F.sum("_n").over(Window.partitionBy(*key, "_b").orderBy("_v"))
+    found = inside.withColumn("_c", c).where((F.col("_c") > F.col("_lo")) & (F.col("_c") - F.col("_n") <= F.col("_hi")))
+    ends = found.groupBy(*key).agg(F.min("_v").alias("_a"), F.max("_v").alias("_z"), F.first("_lo").alias("_lo"), F.first("_hi").alias("_hi"), F.first("_at").alias("_at"))
+    between = (F.col("_hi") - F.col("_at")) * F.col("_a") + (F.col("_at") - F.col("_lo")) * F.col("_z")
+    return ends.select(*key, F.when(F.col("_a") == F.col("_z"), F.col("_a")).otherwise(between).alias(name))
+
+
 def quantise_parameters(hist: DataFrame, key: str, bins: int, low: float, high: float, gamma: float, top: int, overrides: dict[str, float]) -> DataFrame:
     """(key, m, s) for quantising: m the low quantile, s what brings the range up to the high one, times gamma, to top. Where
     the quantiles do not differ, the edges count."""
@@ -84,11 +105,13 @@ def conditional_percentiles(df: DataFrame, key: str, x: str, y: str, percentile:
     y in bins of `least` rows or more; x is the bin's middle. Histograms, ends and bins are kept, so the table is read for its
     least and largest x, for the histogram, for the percentile and for the bins, and not again."""
     cut = otsu(kept(linear(df, [key], x, 256)), [key])
-    ends = df.groupBy(key).agg(F.percentile(F.col(x).cast("double"), F.lit(top / 100)).alias("_b")).join(cut, key).withColumn("_w", F.nullif((F.col("_b") - F.col("threshold")) / (points - 1), F.lit(0.0)))
+    ends = exact_percentile(df, [key], x, top / 100, "_b").join(cut, key).withColumn("_w", F.nullif((F.col("_b") - F.col("threshold")) / (points - 1), F.lit(0.0)))
     ends = kept(ends)
     at = F.floor((F.col(x) - F.col("threshold")) / F.col("_w")).cast("long")
     held = df.join(ends, key).where((F.col(x) >= F.col("threshold")) & (F.col(x) < F.col("_b"))).withColumn("bin", at)
-    out = held.groupBy(key, "bin", "threshold", "_w").agg(F.percentile(F.col(y).cast("double"), F.lit(percentile / 100)).alias("y"), F.count("*").alias("_n")).where(F.col("_n") >= least)
+    full = held.groupBy(key, "bin", "threshold", "_w").agg(F.count("*").alias("_n")).where(F.col("_n") >= least)
+    low = exact_percentile(held, [key, "bin"], y, percentile / 100, "y")
+    out = full.join(low, [key, "bin"], "left")
     return kept(out.select(key, "bin", (F.col("threshold") + (F.col("bin") + 0.5) * F.col("_w")).alias("x"), "y"))
 
 
@@ -113,7 +136,7 @@ def binned_mode(df: DataFrame, key: str, value: str, width: float) -> DataFrame:
     """(key, mode): values are numbered by bins from the least one on; the mode is the middle of the bin after the fullest one,
     the first of equals, as bins count from the edge before them; the median if that lies past the last bin."""
     v = F.col(value).cast("double")
-    per = df.where(F.col(value).isNotNull()).groupBy(key).agg(F.min(v).alias("_a"), F.max(v).alias("_b"), F.percentile(v, F.lit(0.5)).alias("_m"))
+    per = df.where(F.col(value).isNotNull()).groupBy(key).agg(F.min(v).alias("_a"), F.max(v).alias("_b")).join(exact_percentile(df, [key], value, 0.5, "_m"), key)
     held = df.where(F.col(value).isNotNull()).join(per, key).groupBy(key, "_a", "_b", "_m", (F.floor((v - F.col("_a")) / width) + 1).alias("_i")).agg(F.count("*").alias("_n"))
     top = held.groupBy(key, "_a", "_b", "_m").agg(F.min_by("_i", F.struct(-F.col("_n"), "_i")).alias("_i"))
     last = F.ceil((F.col("_b") - F.col("_a")) / width)

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def _dealt(df: DataFrame, key: str) -> DataFrame:
+def dealt_by(df: DataFrame, key: str) -> DataFrame:
     """df with _b, the range of a numeric column that each row is in; nulls come first."""
     parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     shares = [i / parts for i in range(1, parts)] or [0.5]
@@ -23,7 +23,7 @@ def _dealt(df: DataFrame, key: str) -> DataFrame:
 
 def running_sum(df: DataFrame, key: str, value: Column, name: str, ties: Sequence[str] = ()) -> DataFrame:
     """df with the sum of value over all rows up to this one, in order of key, then ties; together they tell rows apart."""
-    dealt = _dealt(df.withColumn("_v", value), key)
+    dealt = dealt_by(df.withColumn("_v", value), key)
     totals = dealt.groupBy("_b").agg(F.sum("_v").alias("_t"))  # a row for each range
     before = totals.select("_b", (F.sum("_t").over(Window.orderBy("_b")) - F.col("_t")).alias("_before"))
     inside = F.sum("_v").over(Window.partitionBy("_b").orderBy(key, *ties).rowsBetween(Window.unboundedPreceding, 0))

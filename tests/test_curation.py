@@ -131,3 +131,16 @@ def test_spots_path(spark, tmp_path):
         readers.spots_path(spark, root, "r", "a-c", must_exist=True)
     (tmp_path / "analysis/deconv/r+a-c.parquet").mkdir(parents=True)
     assert readers.spots_path(spark, root, "r", "a-c", must_exist=True).endswith("deconv/r+a-c.parquet")
+
+
+def test_exact_percentile_over_ranges(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    rows = [("a", float(x)) for x in rng.integers(0, 40, 301)] + [("b", float(x)) for x in rng.normal(size=200)] + [("c", 2.0), ("d", None), ("e", 1.0), ("e", 4.0)]
+    df = spark.createDataFrame(rows, "k string, v double")
+    for q in (0.0, 0.2, 0.5, 0.9999, 1.0):
+        want = {r.k: r.p for r in df.where("v is not null").groupBy("k").agg(F.percentile("v", F.lit(q)).alias("p")).collect()}
+        assert {r.k: r.p for r in histograms.exact_percentile(df, ["k"], "v", q, "p").collect()} == want and len(want) == 4
+    # a bin's values are in no aggregate that holds them all
+    monkeypatch.setattr(histograms.F, "percentile", None)
+    points = [("a", float(i % 50), float(i)) for i in range(2000)]
+    assert histograms.conditional_percentiles(spark.createDataFrame(points, "k string, x double, y double"), "k", "x", "y", points=5, least=10).count() > 0
