@@ -15,12 +15,12 @@ def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     label = kept(nodes.select("id").distinct().withColumn("label", F.col("id")))
     while True:
         seen = both.join(label, F.col("b") == F.col("id")).groupBy("a").agg(F.min("label").alias("m"))
-        least = label.join(seen, F.col("id") == F.col("a"), "left").select("id", F.least("label", F.coalesce("m", "label")).alias("m"))
+        least = label.join(seen, F.col("id") == F.col("a"), "left").select("id", F.col("label").alias("old"), F.least("label", F.coalesce("m", "label")).alias("m"))
         jump = label.select(F.col("id").alias("_i"), F.col("label").alias("_l"))
-        new = kept(least.join(jump, F.col("m") == F.col("_i"), "left").select("id", F.least("m", F.coalesce("_l", "m")).alias("label")))
-        if new.join(label.withColumnRenamed("label", "old"), "id").where("label <> old").isEmpty():
-            return new
-        label = new
+        new = kept(least.join(jump, F.col("m") == F.col("_i"), "left").select("id", "old", F.least("m", F.coalesce("_l", "m")).alias("label")))
+        label = new.select("id", "label")
+        if new.where("label <> old").isEmpty():
+            return label
 
 
 def merge_labels(used: DataFrame, faces: DataFrame) -> DataFrame:

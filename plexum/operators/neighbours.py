@@ -179,9 +179,10 @@ def both_ways(edges: DataFrame) -> DataFrame:
     return turned.unionByName(turned.select(F.col("b").alias("a"), F.col("a").alias("b"), "w"))
 
 
-def modularity(adjacency: DataFrame, of: DataFrame, resolution: float = 1.0) -> float:
-    """Of a partition (id, c) of a graph whose edges stand in adjacency from both ends; a loop's weight counts both its ends."""
-    m2 = adjacency.agg(F.sum("w")).first()[0]
+def modularity(adjacency: DataFrame, of: DataFrame, resolution: float = 1.0, m2: float | None = None) -> float:
+    """Of a partition (id, c) of a graph whose edges stand in adjacency from both ends; a loop's weight counts both its ends. m2:
+    the weight of all edges, where it is known."""
+    m2 = adjacency.agg(F.sum("w")).first()[0] if m2 is None else m2
     if not m2:
         return 0.0
     left = adjacency.join(of.select(F.col("id").alias("a"), F.col("c").alias("ca")), "a").join(of.select(F.col("id").alias("b"), F.col("c").alias("cb")), "b")
@@ -218,7 +219,7 @@ def communities(edges: DataFrame, resolution: float = 1.0, turns: int = 8, level
     m2 = whole.agg(F.sum("w")).first()[0]
     if not m2:
         return member.select("id", F.lit(0).cast("long").alias("community"), F.lit(0).cast("long").alias("size")).limit(0)
-    reached = modularity(graph, member, resolution)
+    reached = modularity(graph, member, resolution, m2)
     for level in range(levels):
         degree = kept(graph.groupBy(F.col("a").alias("id")).agg(F.sum("w").alias("k")))
         of = degree.select("id", F.col("id").alias("c"))
@@ -226,7 +227,7 @@ def communities(edges: DataFrame, resolution: float = 1.0, turns: int = 8, level
         for turn in range(turns):
             new = kept(_moved(graph, degree, of, m2, resolution, level * turns + turn))
             of = new.select("id", "c")
-            q = modularity(graph, of, resolution)
+            q = modularity(graph, of, resolution, m2)
             idle = 0 if q > best_q + least_gain else idle + 1
             if q > best_q:
                 best, best_q = of, q

@@ -168,3 +168,11 @@ def test_marker_scores_like_ranks(spark):
     top = expression.marker_genes(values, clusters, "cell", "gene", "cluster", head=2).collect()
     assert len(top) == 6 and next(r.gene for r in top if r.cluster == 1 and r.place == 0) == "g02"
     assert expression.marker_scores(values.limit(0), clusters, "cell", "gene", "cluster").count() == 0
+
+
+def test_communities_sum_the_weight_of_all_edges_once(spark, monkeypatch):
+    known, modularity = [], neighbours.modularity
+    monkeypatch.setattr(neighbours, "modularity", lambda g, of, r, m2=None: known.append(m2) or modularity(g, of, r, m2))
+    edges = [(a, b, 1.0) for k in (0, 4) for a in range(k, k + 4) for b in range(a) if b >= k] + [(0, 4, 1.0)]
+    out = {r.id: r.community for r in neighbours.communities(spark.createDataFrame(edges, "a long, b long, w double")).collect()}
+    assert len({out[i] for i in range(4)}) == 1 and len(set(out.values())) == 2 and set(known) == {26.0}
