@@ -58,6 +58,23 @@ def test_pieces_like_libraries(samples, most):
         assert codec.encode(pa.array([], pa.string()))[1].tolist() == [0]
 
 
+def test_words_apart_from_signs():
+    """A word is encoded once, whatever signs stand behind it and whichever of its ASCII letters are capitals."""
+    codec = vocab.WordBPE(WORD)
+    seen, real = [], codec.encode_all
+    codec.encode_all = lambda pieces: seen.extend(pieces) or real(pieces)
+    texts = ["Word word, WORD!? word", "word. (word) word's Word,", None, "été Été été;"]
+    want = [e.ids for e in library(WORD, False).encode_batch([x or "" for x in texts], add_special_tokens=False)]
+    for _ in range(2):
+        ids, at = codec.encode(pa.array(texts))
+        assert [ids[i:j].tolist() for i, j in zip(at, at[1:])] == want
+    assert len(seen) == len(set(seen)) and set(seen) <= {"word", "(word)", "word's", "été", "Été", "", ",", "!?", ".", ";"}
+    letters = [chr(c) for c in range(0x21, 0x260)]
+    odd = ["".join(p) for a in letters for p in ((a,), (a, ","), ("x", a), ("X", a, "'"), (a, "\u0301"), (a, "!\u0338"), (a, "<|endoftext|>"), (a, "'s"))]
+    ids, at = codec.encode(pa.array(odd))
+    assert [ids[i:j].tolist() for i, j in zip(at, at[1:])] == [e.ids for e in library(WORD, False).encode_batch(odd, add_special_tokens=False)]
+
+
 def brute_align(docs):
     """The rows of op11 by loops."""
     a, b = library(BYTE, True), sentencepiece.SentencePieceProcessor(model_file=PIECE)
