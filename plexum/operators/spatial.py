@@ -114,7 +114,8 @@ def nearest_in_plane(points: DataFrame, targets: DataFrame, group: str, size: fl
     bound = F.array_min(F.transform("_of", lambda t: F.hypot(t["_hx"] - F.col("x"), t["_hy"] - F.col("y"))))
     # no less than the distance as it is computed, whichever way its parts are rounded
     reach = (F.min("_d") * (1 + 1e-9) + (F.abs("x") + F.abs("y")) * 1e-12).alias("_d")
-    asked = placed(points).join(near, key).withColumn("_d", bound).groupBy(group, "id", "x", "y").agg(reach)
+    # a file's size does not tell of rows placed at every level: told by it, Spark would send them all through the driver
+    asked = placed(points).hint("merge").join(near, key).withColumn("_d", bound).groupBy(group, "id", "x", "y").agg(reach)
     wide = F.greatest(F.ceil(F.log(4.0, F.greatest(F.col("_d"), F.lit(1e-300)) / (2.0 * float(size)))), F.lit(first))
     asked = asked.withColumn("_l", F.least(wide, F.lit(levels)).cast("int"))
     for c in "xy":

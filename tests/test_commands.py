@@ -225,3 +225,17 @@ def test_nearest_in_plane_has_cells_as_fine_as_dense_targets(spark):
     near = spatial.nearest_in_plane(moving, fixed, "g", 16.0)
     assert all(r.id == r.target_id for r in near.collect())
     assert 0.25 / 8 < 16.0 / 4 ** spatial._finer(fixed, "g", 16.0) <= 0.25
+
+
+def test_nearest_in_plane_sends_no_points_through_the_driver(spark, tmp_path):
+    """Points of a small file are many rows at all levels: no size of a file may make them a broadcast."""
+    rng = random.Random(6)
+    moving = [("a", i, rng.uniform(0, 900), rng.uniform(0, 900)) for i in range(300)]
+    fixed = [("a", i, rng.uniform(0, 900), rng.uniform(0, 900)) for i in range(30)]
+    kind = "g string, id long, x double, y double"
+    for name, rows in (("moving", moving), ("fixed", fixed)):
+        spark.createDataFrame(rows, kind).write.parquet(f"{tmp_path}/{name}")
+    near = spatial.nearest_in_plane(spark.read.parquet(f"{tmp_path}/moving"), spark.read.parquet(f"{tmp_path}/fixed"), "g", 16.0)
+    assert "Broadcast" not in near._jdf.queryExecution().executedPlan().toString()
+    got = {r.id: r.target_id for r in near.collect()}
+    assert got == {i: min((math.hypot(fx - x, fy - y), k) for _, k, fx, fy in fixed)[1] for _, i, x, y in moving}
